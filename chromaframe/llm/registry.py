@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chromaframe.llm import decontamination
+from chromaframe.llm import decontamination, token_counts, token_files
 from chromaframe.llm.common import table
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": lambda s, d: decontamination.query(table(s, d, "documents"), table(s, d, "benchmark")),
+        "op2_token_counts": lambda s, d: token_counts.query(table(s, d, "documents"), BYTE_BPE),
+        "op7_token_files": lambda s, d: token_files.query(table(s, d, "documents"), BYTE_BPE),
     }
 
 
