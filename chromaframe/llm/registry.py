@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chromaframe.llm import decontamination, licenses, packing, quality, token_counts, token_files
+from chromaframe.llm import decontamination, exact_dedup, licenses, packing, quality, token_counts, token_files
 from chromaframe.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontamination": lambda s, d: decontamination.query(table(s, d, "documents"), table(s, d, "benchmark")),
         "op2_token_counts": lambda s, d: token_counts.query(table(s, d, "documents"), BYTE_BPE),
         "op5_packing": lambda s, d: packing.pack(table(s, d, "documents"), WORD_BPE),
+        "op6_exact_dedup": lambda s, d: exact_dedup.query(table(s, d, "documents")),
         "op7_token_files": lambda s, d: token_files.query(table(s, d, "documents"), BYTE_BPE),
         "op8_licenses": lambda s, d: licenses.query(table(s, d, "documents")),
         "op9_quality": lambda s, d: quality.query(table(s, d, "documents"), table(s, d, "labels")),
@@ -28,4 +29,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": decontamination.SQL,
+        "op6_exact_dedup": exact_dedup.SQL,
     }
