@@ -140,13 +140,13 @@ def _contamination_by_join(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """The same report for item sets of any size: windows of the texts meet those of the items in a shuffled join."""
     lengths = [r[0] for r in windows.select(F.size("window")).distinct().collect()]  # at most n numbers
     rows = docs.select(F.col("doc_id").cast("long"), words_column().alias("w")).withColumn("row", F.monotonically_increasing_id())
-    cut = [
-        F.transform(
-            F.when(F.size("w") >= k, F.sequence(F.lit(1), F.size("w") - (k - 1))).otherwise(F.array().cast("array<int>")),
-            lambda i, k=k: F.struct((i - 1).cast("long").alias("start"), (i - 1 + k).cast("long").alias("end"), F.slice("w", i, F.lit(k)).alias("window")),
-        )
-        for k in lengths
-    ]
+
+    def windows_of(k: int) -> F.Column:
+        starts = F.when(F.size("w") >= k, F.sequence(F.lit(1), F.size("w") - (k - 1))).otherwise(F.array().cast("array<int>"))
+        at = lambda i: F.struct((i - 1).cast("long").alias("start"), (i - 1 + k).cast("long").alias("end"), F.slice("w", i, F.lit(k)).alias("window"))
+        return F.transform(starts, at)
+
+    cut = [windows_of(k) for k in lengths]
     rows = written(rows, "decontam-words")  # row numbers must not change between the two reads
     keyed = windows.groupBy(F.sha2(F.array_join("window", " "), 256).alias("key")).agg(F.collect_set("item_id").alias("ids"))
     cand = rows.select("row", F.explode(F.concat(*cut) if cut else F.array()).alias("c")) if cut else None
