@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chromaframe.llm import decontamination, exact_dedup, licenses, packing, pii, quality, token_counts, token_files
+from chromaframe.llm import decontamination, exact_dedup, licenses, ngram_join, packing, pii, quality, token_counts, token_files
 from chromaframe.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": lambda s, d: decontamination.query(table(s, d, "documents"), table(s, d, "benchmark")),
         "op2_token_counts": lambda s, d: token_counts.query(table(s, d, "documents"), BYTE_BPE),
+        "op3_ngram_join": lambda s, d: ngram_join.query(table(s, d, "documents")),
         "op4_pii": lambda s, d: pii.query(table(s, d, "documents")),
         "op5_packing": lambda s, d: packing.pack(table(s, d, "documents"), WORD_BPE),
         "op6_exact_dedup": lambda s, d: exact_dedup.query(table(s, d, "documents")),
@@ -30,5 +31,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": decontamination.SQL,
+        "op3_ngram_join": ngram_join.SQL,
         "op6_exact_dedup": exact_dedup.SQL,
     }
