@@ -10,15 +10,16 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from array import array
 from functools import cache
-from itertools import chain
 
+import numpy as np
 import regex
 from tokenizers import Tokenizer
 
 #: Chunks kept at once; the older half is given up beyond it, so a worker's memory is bounded.
-CACHED_CHUNKS = 300_000
-CACHED_PIECES = 400_000
+CACHED_CHUNKS = 700_000
+CACHED_PIECES = 100_000
 
 #: The patterns that the two tokenizer files name for cutting text before merges.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -67,6 +68,37 @@ class _Aged(dict):
         return value
 
 
+class _Chunks(dict):
+    """Values of chunks, in two generations like ``_Aged``. Letters, also before a comma or full stop, take the short way."""
+
+    def __init__(self, enc: Encoder, value, most: int):
+        super().__init__()
+        self.enc, self.value, self.most, self.old = enc, value, most // 2, {}
+        self.lead = "" if enc.words else " "
+        self.marks = {c: value(c) for c in ",."}
+        self.disputed = disputed()
+
+    def __missing__(self, chunk):
+        value = self.old.get(chunk)
+        if value is None:
+            if chunk.isalpha():
+                if chunk.isascii():
+                    value = self.value(self.lead + (chunk.lower() if self.enc.words else chunk))
+                elif not self.enc.words and self.disputed.isdisjoint(chunk):
+                    value = self.value(self.lead + chunk)
+            elif chunk[-1:] in self.marks and chunk[:-1].isalpha() and (not self.enc.words or chunk.isascii()):
+                value = self[chunk[:-1]]
+                if value is not None:
+                    value = value + self.marks[chunk[-1]]
+            if value is None:
+                value = self.enc.slow_chunk(chunk, self.value)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[chunk] = value
+        return value
+
+
 class Encoder:
     """``ids(text)`` and ``count(text)`` for a byte-level or a word-level BPE file."""
 
@@ -75,19 +107,24 @@ class Encoder:
         self.model = self.library.model
         self.words = self.model.end_of_word_suffix is not None and self.model.end_of_word_suffix != ""
         self.pattern = regex.compile(WORD_LEVEL if self.words else BYTE_LEVEL)
-        self.letters = byte_letters()
+        self.letters = dict(enumerate(byte_letters()))
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
+        self.code = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
+        self.dtype = np.dtype(self.code)
         self.mark = "<|"
         spaces = [chr(i) for i in range(sys.maxunicode + 1) if chr(i).isspace()] if self.words else []
         self.odd_spaces = [c for c in spaces if self.library.normalizer.normalize_str(f"a{c}a") != "a a"]
         assert all(s.startswith(self.mark) for s in self.special)
-        self.pieces = _Aged(self._merge, CACHED_PIECES)
-        self.chunks = _Aged(self._chunk, CACHED_CHUNKS)
+        self.pieces = _Aged(self.merge, CACHED_PIECES)
+        self.chunks = _Chunks(self, self.merge, CACHED_CHUNKS)
+
+    def tokens(self, piece: str) -> list:
+        """The library's merges on one piece."""
+        return self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
 
-    def _merge(self, piece: str) -> tuple[int, ...]:
-        letters = self.letters
-        return tuple(t.id for t in self.model.tokenize("".join([letters[b] for b in piece.encode()])))
+    def merge(self, piece: str) -> bytes:
+        return array(self.code, [t.id for t in self.tokens(piece)]).tobytes()
 
     def certain(self, text: str) -> bool:
         if text.isascii():
@@ -107,47 +144,55 @@ class Encoder:
             return [text[:-1], text[-1]]
         return self.pattern.findall(text)
 
-    def _chunk(self, chunk: str):
-        """A chunk's ids; None where its text must be taken whole."""
-        if not self.certain(chunk):
+    def whole_only(self, chunk: str) -> bool:
+        """Whether a chunk's text must be taken whole: white space meets white space at its ends, or a disputed code point."""
+        return not self.words and (not chunk or chunk[0].isspace() or chunk[-1].isspace()) or not self.certain(chunk)
+
+    def lead(self, chunk: str) -> str:
+        return chunk if self.words else " " + chunk
+
+    def slow_chunk(self, chunk: str, value):
+        """The summed values of the pieces of a chunk that is not the first; None where its text must be taken whole."""
+        if self.whole_only(chunk):
             return None
-        if not self.words and (len(chunk) < 2 or chunk[1].isspace() or chunk[-1].isspace()):
-            return None  # white space meets white space at a cut
-        return tuple(chain.from_iterable(map(self.pieces.__getitem__, self.split(chunk))))
+        first, *rest = self.split(self.lead(chunk))
+        total = value(first)
+        for piece in rest:
+            total = total + value(piece)
+        return total
 
-    def _whole(self, text: str) -> list[int]:
+    def _whole(self, text: str) -> bytes:
         if self.certain(text):
-            return list(chain.from_iterable(map(self.pieces.__getitem__, self.split(text))))
-        return self.library.encode(text, add_special_tokens=False).ids
+            return b"".join(map(self.pieces.__getitem__, self.split(text)))
+        return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _plain(self, text: str) -> list[int]:
+    def _plain(self, text: str) -> bytes:
         if not text:
-            return []
+            return b""
+        first = b""
         if self.words:
             if any(c in text for c in self.odd_spaces):
-                return self.library.encode(text, add_special_tokens=False).ids
-            got = list(map(self.chunks.__getitem__, text.split()))
+                return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
+            chunks = text.split()
         else:
-            head, *rest = text.split(" ")
-            got = list(map(self.chunks.__getitem__, [" " + c for c in rest]))
+            head, *chunks = text.split(" ")
             if head:
-                if head[-1].isspace() or head[0].isspace():
+                if self.whole_only(head):
                     return self._whole(text)
-                got.insert(0, tuple(chain.from_iterable(map(self.pieces.__getitem__, self.split(head)))) if self.certain(head) else None)
-        if None in got:
+                first = b"".join(map(self.pieces.__getitem__, self.split(head)))
+        try:
+            return first + b"".join(map(self.chunks.__getitem__, chunks))
+        except TypeError:  # a None among them
             return self._whole(text)
-        return list(chain.from_iterable(got))
 
-    def ids(self, text: str) -> list[int]:
+    def ids(self, text: str) -> np.ndarray:
+        """Ids as unsigned 32-bit numbers."""
         if self.mark not in text:
-            return self._plain(text)
-        out: list[int] = []
-        for k, part in enumerate(self.cut.split(text)):
-            if k % 2:
-                out.append(self.special[part])
-            else:
-                out += self._plain(part)
-        return out
+            data = self._plain(text)
+        else:
+            parts = self.cut.split(text)
+            data = b"".join(array(self.code, [self.special[t]]).tobytes() if k % 2 else self._plain(t) for k, t in enumerate(parts))
+        return np.frombuffer(data, self.dtype).astype(np.uint32)
 
 
 @cache

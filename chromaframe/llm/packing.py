@@ -124,10 +124,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
 
         for batch in slices(batches, "text", 4 << 20):
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                one = ids_of(text)
-                one.append(end_id)
+                ids = np.append(ids_of(text), np.uint32(end_id)).astype("<u4")
                 number += 1
-                ids = np.array(one, "<u4")
                 whole = len(ids) // capacity * capacity
                 for a in range(0, whole, capacity):
                     place([(doc, a, ids[a : a + capacity], len(ids), number)])

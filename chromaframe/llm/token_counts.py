@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chromaframe.llm.bpe import Encoder, _Aged, encoder, CACHED_CHUNKS
+from chromaframe.llm.bpe import CACHED_CHUNKS, CACHED_PIECES, Encoder, _Aged, _Chunks, encoder
 from chromaframe.llm.common import arrow, record_batch, slices
 
 LIMIT = 512
@@ -26,7 +26,7 @@ LIMIT = 512
 def whole_tokens(path: str) -> frozenset[str]:
     """Vocabulary strings that are one piece and one token."""
     enc = Encoder(path)
-    byte = {c: b for b, c in enumerate(enc.letters)}
+    byte = {c: b for b, c in enc.letters.items()}
     found = []
     for letters in enc.library.get_vocab(with_added_tokens=False):
         if enc.words:
@@ -46,34 +46,34 @@ class Counter:
 
     def __init__(self, enc: Encoder, whole: frozenset[str]):
         self.enc, self.whole = enc, whole
-        self.merged = _Aged(lambda piece: len(enc._merge(piece)), CACHED_CHUNKS)
-        self.chunks = _Aged(self._chunk, CACHED_CHUNKS)
+        self.merged = _Aged(lambda piece: len(enc.tokens(piece)), CACHED_PIECES)
+        self.chunks = _Chunks(enc, self._piece, CACHED_CHUNKS)
+
+    def _piece(self, piece: str) -> int:
+        """One token without a merge where that was proved, else what the merges leave."""
+        return 1 if piece in self.whole else len(self.enc.tokens(piece))
 
     def _pieces(self, pieces: list[str]) -> int:
         rest = [p for p in pieces if p not in self.whole]
         return len(pieces) - len(rest) + sum(map(self.merged.__getitem__, rest))
 
-    def _chunk(self, chunk: str) -> float:
-        """A chunk's tokens; NaN where its text must be taken whole."""
-        enc = self.enc
-        if not enc.certain(chunk) or not enc.words and (len(chunk) < 2 or chunk[1].isspace() or chunk[-1].isspace()):
-            return float("nan")
-        return self._pieces(enc.split(chunk))
-
     def _plain(self, text: str) -> int:
         enc = self.enc
+        first = 0
         if enc.words:
             if any(c in text for c in enc.odd_spaces):
                 return len(enc.library.encode(text, add_special_tokens=False).ids)
-            total = sum(map(self.chunks.__getitem__, text.split()))
+            chunks = text.split()
         else:
-            head, *rest = text.split(" ")
-            total = sum(map(self.chunks.__getitem__, [" " + c for c in rest]))
-            if head:
-                sure = enc.certain(head) and not head[0].isspace() and not head[-1].isspace()
-                total += self._pieces(enc.split(head)) if sure else float("nan")
-        if total == total:
-            return total
+            head, *chunks = text.split(" ")
+            if head and not enc.whole_only(head):
+                first = self._pieces(enc.split(head))
+            elif head:
+                chunks = [""]  # taken whole
+        try:
+            return first + sum(map(self.chunks.__getitem__, chunks))
+        except TypeError:  # a None among them
+            pass
         if enc.certain(text):
             return self._pieces(enc.split(text))
         return len(enc.library.encode(text, add_special_tokens=False).ids)

@@ -1,7 +1,7 @@
 """Token ids as word-aligned Simple-8b blocks.
 
-Format, version 1. A dataset is a folder of Parquet files; a row is one block of whole documents: ``shard`` and ``block`` (their
-order is the order of the documents), ``doc_ids``, ``lengths`` (ids per document), ``word_offsets`` (first 64-bit word of each part
+Format, version 1. A dataset is a folder of Parquet files; a row is one block of whole documents: ``shard`` and ``first``, the ids
+of the shard before it (their order is the order of the documents), ``doc_ids``, ``lengths`` (ids per document), ``word_offsets`` (first 64-bit word of each part
 of ``PART`` ids, so parts decode on their own) and ``words``, little-endian 64-bit. A word's top 4 bits are
 its selector; selector s >= 1 holds COUNTS[s] ids of BITS[s] bits, the first id lowest, and may be filled up with zeros at a
 block's end. Selector 0 is the escape: the next word is one id of up to 64 bits as it is. A block starts a new word.
@@ -112,7 +112,7 @@ def decode(words: np.ndarray, n: int) -> np.ndarray:
 BLOCKS = T.StructType(
     [
         T.StructField("shard", T.IntegerType()),
-        T.StructField("block", T.IntegerType()),
+        T.StructField("first", T.LongType()),
         T.StructField("doc_ids", T.ArrayType(T.LongType())),
         T.StructField("lengths", T.ArrayType(T.LongType())),
         T.StructField("word_offsets", T.ArrayType(T.LongType())),
@@ -129,32 +129,31 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> N
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, ids_of = arrow(BLOCKS), encoder(tokenizer).ids
-        shard, number = TaskContext.get().partitionId(), 0
+        shard, first = TaskContext.get().partitionId(), 0
         names: list[int | None] = []
         ids: list[np.ndarray] = []
         held = 0
         for batch in slices(batches, "text", 4 << 20):
             for name, doc in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                one = ids_of(doc)
-                one.append(end_id)
+                one = np.append(ids_of(doc), np.uint32(end_id))
                 names.append(name)
-                ids.append(np.array(one, np.uint32))
+                ids.append(one)
                 held += len(one)
                 if held >= BLOCK_IDS:
-                    yield _block(schema, shard, number, names, ids)
-                    names, ids, held, number = [], [], 0, number + 1
+                    yield _block(schema, shard, first, names, ids)
+                    names, ids, held, first = [], [], 0, first + held
         if names:
-            yield _block(schema, shard, number, names, ids)
+            yield _block(schema, shard, first, names, ids)
 
     ordered.mapInArrow(blocks, BLOCKS).write.option("compression", "uncompressed").parquet(path)
 
 
-def _block(schema: pa.Schema, shard: int, number: int, names: list, ids: list[np.ndarray]) -> pa.RecordBatch:
+def _block(schema: pa.Schema, shard: int, first: int, names: list, ids: list[np.ndarray]) -> pa.RecordBatch:
     every = np.concatenate(ids)
     parts = [encode(every[i : i + PART]) for i in range(0, len(every), PART)]
     offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts])[:-1]))
     words = np.concatenate(parts).astype("<u8").tobytes()
-    return record_batch(schema, [[shard], [number], [names], [[len(x) for x in ids]], [offsets.tolist()], [words]])
+    return record_batch(schema, [[shard], [first], [names], [[len(x) for x in ids]], [offsets.tolist()], [words]])
 
 
 def block_ids(lengths: list[int], offsets: list[int], words: bytes) -> np.ndarray:
@@ -175,14 +174,13 @@ DIGESTS = T.StructType([*READ.fields[:2], T.StructField("n_tokens", T.LongType()
 
 
 def _blocks_with_start(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks with ``base``, the ids of all blocks before: sums over shards (a row each), then over each shard's blocks."""
+    """Blocks with ``base``, the ids of all blocks before: sums over shards, a row each, and the block's place in its shard."""
     blocks = spark.read.schema(BLOCKS).parquet(path)
-    sizes = blocks.select("shard", "block", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
-    shards = sizes.groupBy("shard").agg(F.sum("n").alias("n"))
+    size = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
+    shards = blocks.groupBy("shard").agg(F.sum(size).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.withColumn("inside", inside).join(shards.select("shard", before.alias("before")), "shard")
-    return blocks.join(starts.select("shard", "block", (F.col("before") + F.col("inside")).alias("base")), ["shard", "block"])
+    # one row per task of the writer: bounded by its number of partitions
+    return blocks.join(F.broadcast(shards.select("shard", before.alias("before"))), "shard").withColumn("base", F.col("before") + F.col("first"))
 
 
 def _per_document(spark: SparkSession, path: str, schema: T.StructType, make) -> DataFrame:
