@@ -24,8 +24,12 @@ from pyspark.sql.utils import AnalysisException
 
 from chromaframe.llm.common import new_path, written
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk, and a bound for what all state partitions of an executor hold in memory.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -52,8 +56,9 @@ def _stream_state(spark: SparkSession, rows: DataFrame, path: str, state: str) -
         .groupBy("digest")
         .agg(F.count(F.lit(1)).alias("group_size"), F.max(_order()).alias("keep"))
     )
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
     try:
         query = (
             keyed.writeStream.outputMode("update")
@@ -64,10 +69,11 @@ def _stream_state(spark: SparkSession, rows: DataFrame, path: str, state: str) -
         )
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     wanted = "digest binary, group_size bigint, keep struct<order:bigint,doc_id:bigint,_file:string,_row:bigint>, batch int"
     if query.lastProgress is None or not any(p["numInputRows"] for p in query.recentProgress):
         return spark.createDataFrame([], wanted)
