@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chromaframe.llm import decontamination, exact_dedup, licenses, ngram_join, packing, pii, quality, token_counts, token_files
+from chromaframe.llm import decontamination, exact_dedup, katz, licenses, ngram_join, packing, pii, quality, token_counts, token_files
 from chromaframe.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_token_files": lambda s, d: token_files.query(table(s, d, "documents"), BYTE_BPE),
         "op8_licenses": lambda s, d: licenses.query(table(s, d, "documents")),
         "op9_quality": lambda s, d: quality.query(table(s, d, "documents"), table(s, d, "labels")),
+        "op10_katz": lambda s, d: katz.query(table(s, d, "documents")),
     }
 
 
