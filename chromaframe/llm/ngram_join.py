@@ -9,9 +9,10 @@ A document's set holds its distinct shingles as 64-bit hashes. Two documents lin
 3. Prefixes: with document frequencies among the classes, shingles are ordered rare first. Rare ones are indexed singly; frequent
    ones in 2-combinations within hash buckets, for which the prefix is extended until no partner can escape: leaving every bucket
    with at most one common shingle must cost more than ``missing``. Buckets depend on the size class of the smaller set.
-4. Candidates of a signature are first compared with one leader only and linked ones merged; then, where a signature still holds
-   several components, every pair across components is compared. So a group of thousands of near copies costs one comparison
-   each, and no link between different components is left unchecked.
+4. Candidates of a signature are first compared with one leader only, the one whose shingles are most common, and linked ones
+   merged. Where a signature still holds several components, members outside the largest try a few members of it, in ``ROUNDS``
+   rounds; what then still stands apart is compared with every candidate across components. So a group of thousands of near
+   copies costs a few comparisons each, and no link between different components is left unchecked.
 5. Candidates are verified on whole sets.
 
 Edge cases: texts without words (null, empty) have n_shingles 0 and link with nothing, each its own component. Texts of fewer words
@@ -41,6 +42,8 @@ PERCENT = 75
 MAX_BROADCAST_IDS = 500_000
 #: Shingles in at most so many classes are indexed singly.
 RARE = 16
+#: Rounds in which members apart try this many others each, before all pairs across components are compared.
+ROUNDS, TRIES = 2, 4
 #: Sets under 2^SMALL shingles use single shingles only.
 SMALL = 5
 
@@ -125,7 +128,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return marked.mapInArrow(run, SETS)
 
 
-SIGNATURES = T.StructType([T.StructField("sig", T.LongType()), T.StructField("rep", T.LongType()), T.StructField("n", T.LongType())])
+SIGNATURES = T.StructType(
+    [T.StructField("sig", T.LongType()), T.StructField("rep", T.LongType()), T.StructField("n", T.LongType()), T.StructField("shared", T.LongType()), T.StructField("common", T.DoubleType())]
+)
 
 
 def signatures(n: int, df: np.ndarray, tokens: np.ndarray, percent: int = PERCENT, rare: int = RARE) -> np.ndarray:
@@ -144,7 +149,7 @@ def signatures(n: int, df: np.ndarray, tokens: np.ndarray, percent: int = PERCEN
     out = []
     for size_class in (own, own - 1) if -(-percent * n // 100) < 1 << own and own else (own,):
         need = lost + 1 - alone  # what the shared part of the prefix must still cost
-        seed = np.uint64(size_class + 1) * np.uint64(_MULTIPLIERS[1])
+        seed = np.uint64((size_class + 1) * _MULTIPLIERS[1] & 0xFFFFFFFFFFFFFFFF)
         single = len(tokens) if size_class < SMALL else int(np.searchsorted(df, rare, side="right"))
         single = min(single, need)
         out.append(_mix(tokens[:single] + seed))
@@ -181,7 +186,8 @@ def _signature_rows(classes: DataFrame, percent: int) -> DataFrame:
                 sigs = signatures(n.as_py(), df.values.to_numpy(zero_copy_only=False), token, percent)
                 if len(sigs):
                     k = len(sigs)
-                    yield record_batch(schema, [sigs.view(np.int64), np.full(k, rep.as_py()), np.full(k, n.as_py())])
+                    common = df.values.to_numpy(zero_copy_only=False).sum() / n.as_py()
+                    yield record_batch(schema, [sigs.view(np.int64), np.full(k, rep.as_py()), np.full(k, n.as_py()), np.full(k, len(token)), np.full(k, common)])
 
     return own.mapInArrow(run, SIGNATURES)
 
@@ -195,33 +201,63 @@ def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _fits(a: str, b: str, percent: int):
-    return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
+    """Whether sets a and b can link by size (n) and by how many of their shingles occur in other sets at all (shared)."""
+    na, nb = F.col(f"{a}n"), F.col(f"{b}n")
+    return (100 * na >= percent * nb) & (100 * nb >= percent * na) & ((100 + percent) * F.least(f"{a}shared", f"{b}shared") >= percent * (na + nb))
+
+
+def _rich(percent: int):
+    """Sets of which two poor ones cannot link: an intersection is at most the mean of what each shares with any other set."""
+    return (100 + percent) * F.col("shared") >= 2 * percent * F.col("n")
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (rep, component) after ``links`` (a, b) have merged components."""
+    of = labels.withColumnRenamed("component", "c")
+    edges = links.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    merged = components(edges).toDF("component", "into")
+    return written(labels.join(merged, "component", "left").select("rep", F.coalesce("into", "component").alias("component")), "ngram-labels")
+
+
+def _open(placed: DataFrame, *order) -> DataFrame:
+    """Signatures with several components: their largest one, and one member (a, na) of it."""
+    per = placed.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(*order, "rep", "n", "shared")).alias("lead"))
+    mains = per.groupBy("sig").agg(F.max(F.struct("k", "component", "lead")).alias("m"), F.count(F.lit(1)).alias("components")).where("components > 1")
+    return mains.select("sig", F.col("m.component").alias("main"), F.col("m.lead.rep").alias("a"), F.col("m.lead.n").alias("an"), F.col("m.lead.shared").alias("ashared"))
 
 
 def linked_classes(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Components (node, component) of classes (rep, n, tokens), and the links that were verified."""
+    """Components (rep, component) of classes (rep, n, tokens), and the links that were verified."""
     rows = written(_signature_rows(classes, percent), "ngram-signatures")
-    leaders = rows.groupBy("sig").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count(F.lit(1)).alias("k")).where("k > 1").select("sig", F.col("lead.rep").alias("a"), F.col("lead.n").alias("na"))
-    stars = rows.join(leaders, "sig").where((F.col("rep") != F.col("a")) & _fits("n", "na", percent)).select("a", F.col("rep").alias("b")).distinct()
-    stars = written(stars, "ngram-stars")
-    links = written(_verified(stars, classes, percent), "ngram-links")
-    merged = components(links)
-
-    placed = rows.join(merged.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    placed = written(placed, "ngram-placed")
-    per = placed.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("k"))
-    open_sigs = per.groupBy("sig").agg(F.max_by("component", "k").alias("main"), F.count(F.lit(1)).alias("components")).where("components > 1")
-    minor = placed.join(open_sigs, "sig").where("component <> main").select("sig", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    across = (
-        placed.join(minor, "sig")
-        .where((F.col("component") != F.col("cx")) & _fits("n", "nx", percent))
-        .select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b"))
-        .distinct()
-        .join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    )
-    more = written(_verified(written(across, "ngram-across"), classes, percent), "ngram-links")
-    every = links.unionByName(more)
-    return (merged if more.isEmpty() else components(every)), every
+    labels = rows.select("rep", F.col("rep").alias("component")).distinct()
+    leaders = rows.groupBy("sig").agg(F.max(F.struct("common", -F.col("rep"), "rep", "n", "shared")).alias("lead"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    leaders = leaders.select("sig", F.col("lead.rep").alias("a"), F.col("lead.n").alias("an"), F.col("lead.shared").alias("ashared"))
+    pairs = rows.join(leaders, "sig").where((F.col("rep") != F.col("a")) & _fits("", "a", percent)).select("a", F.col("rep").alias("b"))
+    tested = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "ngram-pairs")
+    links = written(_verified(tested, classes, percent), "ngram-links")
+    labels = _joined(labels, links)
+    for turn in range(ROUNDS + 1):
+        placed = rows.join(labels, "rep")
+        mains = _open(placed, F.xxhash64("sig", "rep", F.lit(turn)))
+        apart = placed.join(mains, "sig").where("component <> main")
+        if turn < ROUNDS:
+            order = Window.partitionBy("rep").orderBy(F.xxhash64("sig", F.lit(turn)))
+            tries = apart.where(_fits("", "a", percent)).withColumn("try", F.row_number().over(order)).where(F.col("try") <= TRIES)
+            pairs = tries.select("a", F.col("rep").alias("b"))
+        else:
+            placed = written(placed.withColumn("rich", _rich(percent)), "ngram-placed")
+            minor = placed.join(mains.select("sig", "main"), "sig").where("component <> main")
+            minor = minor.select("sig", *[F.col(c).alias(f"x{c}") for c in ("rep", "n", "shared", "component", "rich")])
+            ways = placed.join(minor.where("xrich"), "sig"), placed.where("rich").join(minor.where("not xrich"), "sig")
+            met = [w.where((F.col("component") != F.col("xcomponent")) & _fits("", "x", percent)).select(F.col("rep").alias("a"), F.col("xrep").alias("b")) for w in ways]
+            pairs = met[0].union(met[1])
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        new = written(pairs.join(tested, ["a", "b"], "left_anti"), "ngram-pairs")
+        more = written(_verified(new, classes, percent), "ngram-links")
+        tested, links = tested.unionByName(new), links.unionByName(more)
+        if not more.isEmpty():
+            labels = _joined(labels, more)
+    return labels, links
 
 
 def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -239,7 +275,7 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     )
     merged, links = linked_classes(classes, percent)
     member = chosen.select("doc_id", "digest").join(reps, "digest").select("doc_id", "rep")
-    member = member.join(merged.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
+    member = member.join(merged, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
     out = sets.select("doc_id", F.col("n").alias("n_shingles")).join(member, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")), links
 
