@@ -11,8 +11,9 @@ A document's set holds its distinct shingles as 64-bit hashes. Two documents lin
    with at most one common shingle must cost more than ``missing``. Buckets depend on the size class of the smaller set.
 4. Candidates of a signature are first compared with one leader only, the one whose shingles are most common, and linked ones
    merged. Where a signature still holds several components, members outside the largest try a few members of it, in ``ROUNDS``
-   rounds; what then still stands apart is compared with every candidate across components. So a group of thousands of near
-   copies costs a few comparisons each, and no link between different components is left unchecked.
+   rounds; what then still stands apart is compared in blocks with the signature's other members, sets against sets in numpy, and
+   only links leave a block. So a group of thousands of near copies costs a few comparisons each, candidate pairs never become
+   rows, and no link between different components is left unchecked.
 5. Candidates are verified on whole sets.
 
 Edge cases: texts without words (null, empty) have n_shingles 0 and link with nothing, each its own component. Texts of fewer words
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chromaframe.llm.bpe import _Aged
-from chromaframe.llm.common import SPACE_WORDS, arrow, record_batch, slices, text_bytes, written
+from chromaframe.llm.common import SPACE_WORDS, arrow, free_shuffles, record_batch, slices, text_bytes, written
 from chromaframe.llm.components import components
 
 WORDS = 5
@@ -44,6 +45,8 @@ MAX_BROADCAST_IDS = 500_000
 RARE = 16
 #: Rounds in which members apart try this many others each, before all pairs across components are compared.
 ROUNDS, TRIES = 2, 4
+#: Sets compared as one block, on either side.
+BLOCK = 256
 #: Sets under 2^SMALL shingles use single shingles only.
 SMALL = 5
 
@@ -206,9 +209,69 @@ def _fits(a: str, b: str, percent: int):
     return (100 * na >= percent * nb) & (100 * nb >= percent * na) & ((100 + percent) * F.least(f"{a}shared", f"{b}shared") >= percent * (na + nb))
 
 
-def _rich(percent: int):
-    """Sets of which two poor ones cannot link: an intersection is at most the mean of what each shares with any other set."""
-    return (100 + percent) * F.col("shared") >= 2 * percent * F.col("n")
+LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+
+def _counts(u: np.ndarray, ends: np.ndarray, holders: np.ndarray, tokens: np.ndarray, n: int) -> np.ndarray:
+    """How many of ``tokens`` each of n sets holds, from the sorted tokens ``u`` with the sets that hold each."""
+    at = np.minimum(np.searchsorted(u, tokens), len(u) - 1)
+    at = at[u[at] == tokens]
+    size = ends[at + 1] - ends[at]
+    total = int(size.sum())
+    if not total:
+        return np.zeros(n, np.int64)
+    where = np.repeat(ends[at] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(total)
+    return np.bincount(holders[where], minlength=n)
+
+
+def _block_links(apart: list[dict], others: list[dict], percent: int) -> list[tuple[int, int]]:
+    """Links between two blocks of sets, one for each set apart and component of the others."""
+    tokens = [np.asarray(s["tokens"]) for s in apart]
+    flat = np.concatenate(tokens)
+    order = np.argsort(flat, kind="stable")
+    holders = np.repeat(np.arange(len(apart)), [len(t) for t in tokens])[order]
+    u, first = np.unique(flat[order], return_index=True)
+    ends = np.append(first, len(flat))
+    n = np.array([len(t) for t in tokens])
+    components_apart = np.array([s["component"] for s in apart])
+    found: dict[tuple[int, int], int] = {}
+    for other in others:
+        mine = np.asarray(other["tokens"])
+        common = _counts(u, ends, holders, mine, len(apart))
+        hit = (100 * common >= percent * (n + len(mine) - common)) & (components_apart != other["component"])
+        for i in np.flatnonzero(hit).tolist():
+            found.setdefault((apart[i]["rep"], other["component"]), other["rep"])
+    return [(min(a, b), max(a, b)) for (a, _), b in found.items()]
+
+
+def _across(placed: DataFrame, mains: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """All links between components that share a signature, one for each set apart and component.
+
+    A set is apart where it does not belong to the signature's main component. Of two sets with a common signature and different
+    components one is apart, and the other is apart or a member of that main component, so the blocks of each main component
+    hold every candidate.
+    """
+    here = placed.join(mains.select("sig", "main"), "sig").select("main", "rep", "component").distinct()
+    here = written(here.withColumn("apart", F.col("component") != F.col("main")), "ngram-apart")
+    sizes = here.groupBy("main").agg(F.count(F.lit(1)).alias("n_all"), F.sum(F.col("apart").cast("int")).alias("n_apart"))
+    cut = [F.ceil(F.col(c) / F.lit(BLOCK)).cast("int") for c in ("n_all", "n_apart")]
+    sets = here.join(sizes.select("main", cut[0].alias("all_blocks"), cut[1].alias("apart_blocks")), "main").join(classes.select("rep", "tokens"), "rep")
+    one = F.struct("rep", "component", "tokens")  # a block holds about BLOCK of them
+    block = F.pmod(F.xxhash64("rep"), F.col("all_blocks")).alias("block")
+    others = sets.select("main", block, one.alias("s")).groupBy("main", "block").agg(F.collect_list("s").alias("others"))
+    own = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("apart_blocks")).alias("own")
+    apart = sets.where("apart").select("main", own, "all_blocks", one.alias("s")).groupBy("main", "own", "all_blocks").agg(F.collect_list("s").alias("sets"))
+    pairs = apart.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all_blocks") - 1))).join(others, ["main", "block"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow(LINKS)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                links = _block_links(batch.column("sets")[i].as_py(), batch.column("others")[i].as_py(), percent)
+                if links:
+                    yield record_batch(schema, [list(c) for c in zip(*links, strict=True)])
+
+    return pairs.select("sets", "others").mapInArrow(run, LINKS).distinct()
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -236,28 +299,22 @@ def linked_classes(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFra
     tested = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "ngram-pairs")
     links = written(_verified(tested, classes, percent), "ngram-links")
     labels = _joined(labels, links)
-    for turn in range(ROUNDS + 1):
+    for turn in range(ROUNDS):
         placed = rows.join(labels, "rep")
         mains = _open(placed, F.xxhash64("sig", "rep", F.lit(turn)))
-        apart = placed.join(mains, "sig").where("component <> main")
-        if turn < ROUNDS:
-            order = Window.partitionBy("rep").orderBy(F.xxhash64("sig", F.lit(turn)))
-            tries = apart.where(_fits("", "a", percent)).withColumn("try", F.row_number().over(order)).where(F.col("try") <= TRIES)
-            pairs = tries.select("a", F.col("rep").alias("b"))
-        else:
-            placed = written(placed.withColumn("rich", _rich(percent)), "ngram-placed")
-            minor = placed.join(mains.select("sig", "main"), "sig").where("component <> main")
-            minor = minor.select("sig", *[F.col(c).alias(f"x{c}") for c in ("rep", "n", "shared", "component", "rich")])
-            ways = placed.join(minor.where("xrich"), "sig"), placed.where("rich").join(minor.where("not xrich"), "sig")
-            met = [w.where((F.col("component") != F.col("xcomponent")) & _fits("", "x", percent)).select(F.col("rep").alias("a"), F.col("xrep").alias("b")) for w in ways]
-            pairs = met[0].union(met[1])
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        order = Window.partitionBy("rep").orderBy(F.xxhash64("sig", F.lit(turn)))
+        apart = placed.join(mains, "sig").where((F.col("component") != F.col("main")) & _fits("", "a", percent))
+        tries = apart.withColumn("try", F.row_number().over(order)).where(F.col("try") <= TRIES)
+        pairs = tries.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
         new = written(pairs.join(tested, ["a", "b"], "left_anti"), "ngram-pairs")
         more = written(_verified(new, classes, percent), "ngram-links")
         tested, links = tested.unionByName(new), links.unionByName(more)
         if not more.isEmpty():
             labels = _joined(labels, more)
-    return labels, links
+    free_shuffles(rows.sparkSession)
+    placed = written(rows.join(labels, "rep"), "ngram-placed")
+    last = written(_across(placed, _open(placed, F.xxhash64("rep")), classes, percent), "ngram-links")
+    return (labels if last.isEmpty() else _joined(labels, last)), links.unionByName(last)
 
 
 def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -267,12 +324,14 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     wanted = written(_screen(texts.where("doc_id is not null"), width, percent).withColumn("wanted", F.lit(True)), "ngram-wanted")
+    free_shuffles(docs.sparkSession)
     sets = written(_sets(texts, wanted, width), "ngram-sets")
     chosen = sets.where("tokens is not null")
     reps = chosen.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     classes = written(
         chosen.join(reps.select("digest", "rep"), "digest").where("doc_id = rep").select("rep", "n", "tokens").dropDuplicates(["rep"]), "ngram-classes"
     )
+    free_shuffles(docs.sparkSession)
     merged, links = linked_classes(classes, percent)
     member = chosen.select("doc_id", "digest").join(reps, "digest").select("doc_id", "rep")
     member = member.join(merged, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
