@@ -11,14 +11,13 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from chromaframe.llm import bpe, components, decontamination, exact_dedup, katz, licenses, ngram_join, packing, pii, quality, token_counts, token_files
 
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
 WORD = public_tokenizers.path("word_bpe_49k.json")
-SCHEMA = T.StructType.fromDDL("doc_id bigint, text string, lang string, source string, n_chars bigint, n int, spans string, token string, digest string, score double")
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n int, spans string, token string, digest string, score double"
 EXTRA = ("en", "s", 0, 7, "clash", "clash", "clash", 0.5)
 
 
@@ -220,9 +219,9 @@ def test_exact_dedup(docs, empty):
     texts = {hashlib.sha256(t.encode()).hexdigest(): v for t, v in groups.items()}
     for r in got:
         assert (r.keep_id, r.group_size) == texts[r.text_sha256]
-    assert Counter(r.text_sha256 for r in got if r.kept) == Counter(texts)
+    assert Counter(r.text_sha256 for r in got if r.kept) == Counter(list(texts))
     kept = exact_dedup.deduplicate(docs)
-    assert kept.schema == docs.schema and Counter(r.text or "" for r in kept.collect()) == Counter(groups)
+    assert kept.schema == docs.schema and Counter(r.text or "" for r in kept.collect()) == Counter(list(groups))
     assert exact_dedup.query(empty).isEmpty()
 
 
