@@ -5,8 +5,10 @@ model needs is then counted over all blocks by Spark: words by a grouped sum, bi
 buckets and adding up equal ones there. A bucket is chosen by the history, except for histories so frequent that one bucket would
 grow uneven, whose bigrams are dealt by both words. The tables (words; bigrams by bucket) are written to the shared folder.
 
-Model: Good-Turing discounts for counts up to ``K``; bigrams seen fewer than ``LEAST`` times leave their mass to the backoff; the
-backoff weight of every history makes its distribution sum to 1 exactly; words never seen share one unknown event. A token's
+Model: Good-Turing discounts for counts up to ``K``; ``query`` keeps every bigram seen, while ``score`` can leave the mass of those seen
+fewer than ``least`` times to the backoff. The backoff weight of every history makes its distribution sum to 1 exactly; words never
+seen share one unknown event. A history's discounted mass is added up in the blocks: one of those that hold a bigram owns it, so
+bigrams are neither stored nor dealt out a second time. A token's
 probability is its discounted bigram, else the weight of its history times its word's probability. A history without any mass left
 counts one more occurrence. Weights and counts return to the blocks by word and by bucket, and each block scores its documents.
 
@@ -29,9 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chromaframe.llm.common import SPACE_WORDS, arrow, crc_remainder, free_shuffles, record_batch, slices, text_bytes, written
+from chromaframe.llm.common import SPACE_WORDS, arrow, crc_remainder, free_shuffles, record_batch, remove, slices, text_bytes, written
 
 K = 5
+#: Least count of a kept bigram where ``score`` is not told; ``query`` keeps all.
 LEAST = 2
 BLOCK_TOKENS = 1 << 20
 HELD_OUT_MOD, HELD_OUT = 5, 1
@@ -143,17 +146,17 @@ def _asked(blocks: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
 
 ADDED = T.StructType(
     [
-        T.StructField("kind", T.StringType()),
         T.StructField("bucket", T.IntegerType()),
         T.StructField("block", T.LongType()),
         T.StructField("totals", T.BinaryType()),
-        *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("h", "w", "c", "tally")),
+        T.StructField("owned", T.BinaryType()),
+        T.StructField("tally", T.ArrayType(T.LongType())),
     ]
 )
 
 
 def _added(asked: DataFrame) -> DataFrame:
-    """Bigram totals by bucket: kept bigrams (kind gram), how many occur 1 to K + 1 times (tally), and the totals each block asked for."""
+    """Totals that each block asked for, by bucket, with the bigrams that it owns; the first row of a bucket has how many occur 1 to K + 1 times."""
     schema = arrow(ADDED)
 
     def add(table: pa.Table) -> pa.Table:
@@ -166,16 +169,15 @@ def _added(asked: DataFrame) -> DataFrame:
         total = np.add.reduceat(counts[order], first)
         back = np.empty(len(h), np.int64)
         back[order] = np.repeat(total, np.diff(np.append(first, len(order))))
-        kept = total >= LEAST
-        at = order[first[kept]]
-        bucket = rows[0]["bucket"]
+        owned = np.zeros(len(h), bool)
+        owned[order[first]] = True
         tally = [int((total == r).sum()) for r in range(1, K + 2)]
-        out = [{"kind": "gram", "bucket": bucket, "h": h[at].view(np.int64), "w": w[at].view(np.int64), "c": total[kept], "tally": tally}]
-        start = 0
+        out, start = [], 0
         for r in rows:
-            n = len(r["w"]) // 8
-            out.append({"kind": "reply", "bucket": bucket, "block": r["block"], "totals": zlib.compress(back[start : start + n].astype("<u4").tobytes(), 1)})
-            start += n
+            end = start + len(r["w"]) // 8
+            totals, own = (zlib.compress(x.tobytes(), 1) for x in (back[start:end].astype("<u4"), np.packbits(owned[start:end])))
+            out.append({"bucket": r["bucket"], "block": r["block"], "totals": totals, "owned": own, "tally": None if start else tally})
+            start = end
         return pa.Table.from_pylist(out, schema=schema)
 
     return asked.groupBy("bucket").applyInArrow(add, ADDED)
@@ -213,8 +215,63 @@ def _discounted(count, ratios: list[float]):
     return d * count
 
 
-def train(blocks: DataFrame) -> tuple[Model, DataFrame, DataFrame, DataFrame]:
-    """The model over ``blocks``; words (word, c, log_weight, bare), kept bigrams (h, w, c), and totals for each block."""
+def _known(blocks: DataFrame, words: DataFrame, name: str, *columns: str) -> DataFrame:
+    """``columns`` of the words of each block beside their places in it; a block's vocabulary is bounded by the block."""
+    places = blocks.select("block", F.posexplode("words").alias("at", "word")).join(words.select("word", *columns), "word")
+    out = written(places.groupBy("block").agg(F.collect_list(F.struct("at", *columns)).alias("known")), name)
+    free_shuffles(blocks.sparkSession)
+    return out
+
+
+def _answers(replies: DataFrame, *columns: str) -> DataFrame:
+    return replies.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", *columns))).alias("answers"))
+
+
+def _in_key_order(parts: list[np.ndarray], hashes: np.ndarray, keys: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
+    """What the buckets answered, in the order of a block's keys."""
+    bucket = _bucket(hashes[keys >> 32], hashes[keys & 0xFFFFFFFF], hot, buckets)
+    found = np.concatenate(parts)
+    out = np.empty(len(keys), found.dtype)
+    out[np.argsort(bucket, kind="stable")] = found
+    return out
+
+
+def _totals(answers) -> list[np.ndarray]:
+    return [np.frombuffer(zlib.decompress(t.as_py()), "<u4").astype(np.int64) for t in answers.field("totals")]
+
+
+MASSES = T.StructType([T.StructField("h", T.LongType()), T.StructField("seen", T.DoubleType()), T.StructField("lower", T.DoubleType())])
+
+
+def _masses(blocks: DataFrame, known: DataFrame, replies: DataFrame, model: Model, hot: np.ndarray, buckets: int, least: int) -> DataFrame:
+    """Per history, the discounted counts of its kept bigrams and the probabilities of their words, from the blocks that own them."""
+    joined = blocks.select("block", "lengths", "tokens", "words").join(known, "block").join(_answers(replies, "totals", "owned"), "block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow(MASSES)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                known, answers = batch.column("known")[i].values, batch.column("answers")[i].values
+                row = batch.slice(i, 1).drop_columns(["known", "answers"]).to_pylist()[0]
+                _, _, keys, _ = _bigrams(row)
+                hashes = np.append(_hashes(row["words"]), np.uint64(START_HASH))
+                totals = _totals(answers)
+                owned = [np.unpackbits(np.frombuffer(zlib.decompress(o.as_py()), np.uint8), count=len(t)).astype(bool) for o, t in zip(answers.field("owned"), totals, strict=True)]
+                total, own = (_in_key_order(x, hashes, keys, hot, buckets) for x in (totals, owned))
+                kept = own & (total >= least)
+                p = np.zeros(len(row["words"]))
+                count = known.field("c").to_numpy(zero_copy_only=False)
+                p[known.field("at").to_numpy(zero_copy_only=False)] = _ratios(count, model.word_discounts) * count / model.word_mass * (1 - model.unknown)
+                h, w, total = keys[kept] >> 32, keys[kept] & 0xFFFFFFFF, total[kept]
+                seen, lower = (np.bincount(h, x, minlength=len(hashes)) for x in (_ratios(total, model.gram_discounts) * total, p[w]))
+                at = np.unique(h)
+                yield record_batch(schema, [hashes[at].view(np.int64), seen[at], lower[at]])
+
+    return joined.mapInArrow(run, MASSES).groupBy("h").agg(F.sum("seen").alias("seen"), F.sum("lower").alias("lower"))
+
+
+def train(blocks: DataFrame, least: int = LEAST) -> tuple[Model, DataFrame, DataFrame]:
+    """The model over ``blocks``; words (word, c, log_weight, bare), and totals for each block."""
     spark = blocks.sparkSession
     listed = blocks.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select("x.words", "x.counts").where("counts > 0")
     counted = written(listed.groupBy(F.col("words").alias("word")).agg(F.sum("counts").alias("c")), "katz-word-counts")
@@ -228,21 +285,21 @@ def train(blocks: DataFrame) -> tuple[Model, DataFrame, DataFrame, DataFrame]:
     hot = np.append(_hashes(frequent), np.uint64(START_HASH)) if frequent else np.array([START_HASH], np.uint64)
     added = written(_added(_asked(blocks, hot, buckets)), "katz-bigrams")
     free_shuffles(spark)
-    lists = added.where("kind = 'gram'")
-    grams = lists.select(F.explode(F.arrays_zip("h", "w", "c")).alias("g")).select("g.h", "g.w", "g.c")
-    tally = lists.agg(*[F.sum(F.element_at("tally", r)).alias(f"n{r}") for r in range(1, K + 2)]).first()
+    tally = added.agg(*[F.sum(F.element_at("tally", r)).alias(f"n{r}") for r in range(1, K + 2)]).first()
 
     word_d = discounts([sums[f"n{r}"] or 0 for r in range(1, K + 2)])
     gram_d = discounts([t or 0 for t in tally])
     mass = counted.agg(F.sum(_discounted(F.col("c"), word_d))).first()[0] or 0.0
     unknown = (n - mass + 1.0) / (n + 1.0) if n else 1.0  # what the discounts leave, and one more
-    p = _discounted(F.col("c"), word_d) / F.lit(mass or 1.0) * F.lit(1.0 - unknown)
     hashed = F.pandas_udf(lambda s: s.map(lambda x: np.uint64(xxhash.xxh64_intdigest(x)).astype(np.int64)), "long")
-    words = written(counted.select("word", "c", hashed("word").alias("hash"), p.alias("p")), "katz-words")
+    words = written(counted.select("word", "c", hashed("word").alias("hash")), "katz-words")
+    remove(spark, counted)
 
-    left = grams.join(words.select(F.col("hash").alias("w"), "p"), "w").groupBy("h").agg(F.sum(_discounted(F.col("c"), gram_d)).alias("seen"), F.sum("p").alias("lower"))
-    left = written(left, "katz-histories")
+    model = Model(n, v, word_d, mass, unknown, gram_d, float(texts), 1.0)
+    known = _known(blocks, words, "katz-known-counts", "c")
+    left = written(_masses(blocks, known, added, model, hot, buckets, least), "katz-histories")
     free_shuffles(spark)
+    remove(spark, known)
     bare = F.coalesce("seen", F.lit(0.0)) >= F.col("c")  # nothing left: one more occurrence
     hc = F.when(bare, F.col("c") + 1.0).otherwise(F.col("c").cast("double"))
     weight = (1 - F.coalesce("seen", F.lit(0.0)) / F.col("hc")) / (1 - F.coalesce("lower", F.lit(0.0)))
@@ -251,9 +308,11 @@ def train(blocks: DataFrame) -> tuple[Model, DataFrame, DataFrame, DataFrame]:
     free_shuffles(spark)
     start = left.where(F.col("h") == F.lit(int(np.uint64(START_HASH).astype(np.int64)))).first()
     seen, lower = (start.seen, start.lower) if start else (0.0, 0.0)
-    start_count = texts + 1.0 if seen >= texts else float(texts)
-    model = Model(n, v, word_d, mass, unknown, gram_d, start_count, (1 - seen / start_count) / (1 - lower))
-    return model, finished, grams, added.where("kind = 'reply'").select("block", "bucket", "totals")
+    for table in (words, left):
+        remove(spark, table)
+    model.start_count = texts + 1.0 if seen >= texts else float(texts)
+    model.start_weight = (1 - seen / model.start_count) / (1 - lower)
+    return model, finished, added.select("block", "bucket", "totals")
 
 
 SCORES = T.StructType(
@@ -269,19 +328,14 @@ SCORES = T.StructType(
 )
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """Base and model log10 probability of every row's text."""
+def score(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """Base and model log10 probability of every row's text; bigrams seen fewer than ``least`` times count as not seen."""
     spark = docs.sparkSession
     blocks = written(_blocks(docs), "katz-blocks")
-    model, words, _, replies = train(blocks)
+    model, words, replies = train(blocks, least)
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    places = blocks.select("block", F.posexplode("words").alias("at", "word")).join(words, "word")
-    # a block's vocabulary and its replies are bounded by the block
-    lists = places.groupBy("block").agg(F.collect_list(F.struct("at", "c", "log_weight", "bare")).alias("known"))
-    lists = written(lists, "katz-known")
-    free_shuffles(spark)
-    answers = replies.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "totals"))).alias("answers"))
-    joined = blocks.drop("counts").join(lists, "block", "left").join(answers, "block", "left")
+    lists = _known(blocks, words, "katz-known", "c", "log_weight", "bare")
+    joined = blocks.drop("counts").join(lists, "block", "left").join(_answers(replies, "totals"), "block", "left")
     frequent = words.where(F.col("c") * 4 * buckets > model.train_tokens).select("word")
     hot = np.append(_hashes([bytes(r.word) for r in frequent.collect()]), np.uint64(START_HASH))
 
@@ -292,7 +346,7 @@ def score(docs: DataFrame) -> DataFrame:
                 known = batch.column("known")[i].values
                 answers = batch.column("answers")[i].values
                 row = batch.slice(i, 1).drop_columns(["known", "answers"]).to_pylist()[0]
-                n, base, full, held = _score_block(row, known, answers, model, hot, buckets)
+                n, base, full, held = _score_block(row, known, answers, model, hot, buckets, least)
                 yield record_batch(schema, [row["doc_ids"], row["held_out"], row["lengths"], n, [model.train_tokens] * len(n), base, full])
 
     return joined.mapInArrow(run, SCORES)
@@ -302,7 +356,7 @@ def _ratios(count: np.ndarray, discounts: list[float]) -> np.ndarray:
     return np.array([1.0, *discounts, 1.0])[np.minimum(count, K + 1)]
 
 
-def _score_block(row: dict, known, answers, model: Model, hot: np.ndarray, buckets: int):
+def _score_block(row: dict, known, answers, model: Model, hot: np.ndarray, buckets: int, least: int):
     v = len(row["words"])
     c, log_p = np.zeros(v), np.full(v, math.log10(model.unknown))
     log_weight, hc = np.zeros(v + 1), np.ones(v + 1)
@@ -315,11 +369,9 @@ def _score_block(row: dict, known, answers, model: Model, hot: np.ndarray, bucke
     log_weight[v], hc[v] = math.log10(model.start_weight), model.start_count
     tokens, history, keys, which = _bigrams(row)
     hashes = np.append(_hashes(row["words"]), np.uint64(START_HASH))
-    bucket = _bucket(hashes[keys >> 32], hashes[keys & 0xFFFFFFFF], hot, buckets)
-    total = np.zeros(len(keys), np.int64)
-    total[np.argsort(bucket, kind="stable")] = np.concatenate([np.frombuffer(zlib.decompress(t.as_py()), "<u4") for t in answers.field("totals")])
+    total = _in_key_order(_totals(answers), hashes, keys, hot, buckets)
     h, w = keys >> 32, keys & 0xFFFFFFFF
-    kept = total >= LEAST
+    kept = total >= least
     discounted = _ratios(total, model.gram_discounts) * total
     value = np.where(kept, np.log10(np.where(kept, discounted, 1.0) / hc[h]), log_weight[h] + log_p[w])
     starts = np.concatenate(([0], np.cumsum(row["lengths"])[:-1])).astype(np.int64)
@@ -333,4 +385,4 @@ def _score_block(row: dict, known, answers, model: Model, hot: np.ndarray, bucke
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return score(docs)
+    return score(docs, least=1)

@@ -468,3 +468,51 @@ def test_katz(docs, empty):
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert all(math.isclose(a, b, rel_tol=1e-9) for g, w in zip(got, want) for a, b in zip(g[5:], w[5:]))
     assert katz.score(empty).isEmpty()
+
+
+def brute_katz_of_all(data):
+    """Scores by a Katz model that keeps every bigram, those seen once too."""
+    end, begin = object(), object()
+    docs = [(d, [*space_words(t), end]) for d, t in data]
+    words, grams = Counter(), Counter()
+    for d, w in docs:
+        if d is None or zlib.crc32(str(d).encode()) % 5 != 1:
+            words.update(w)
+            grams.update(zip([begin, *w], w))
+    n = sum(words.values())
+    word_d, gram_d = (katz.discounts([sum(c == r for c in t.values()) for r in range(1, 7)]) for t in (words, grams))
+
+    def cut(c, d):
+        return c * (d[c - 1] if c <= 5 else 1)
+
+    mass = sum(cut(c, word_d) for c in words.values())
+    unknown = (n - mass + 1) / (n + 1)
+    p = {w: cut(c, word_d) / mass * (1 - unknown) for w, c in words.items()}
+    count, seen, low = Counter(), Counter(), Counter()
+    for (h, w), c in grams.items():
+        count[h] += c
+        seen[h] += cut(c, gram_d)
+        low[h] += p[w]
+    hc = {h: c + 1.0 if seen[h] >= c else float(c) for h, c in count.items()}
+
+    def prob(h, w):
+        if (h, w) in grams:
+            return cut(grams[h, w], gram_d) / hc[h]
+        return (1 - seen[h] / hc[h]) / (1 - low[h]) * p.get(w, unknown) if h in hc else p.get(w, unknown)
+
+    for h in list(hc)[:20]:
+        assert math.isclose(sum(prob(h, w) for w in [*words, object()]), 1, rel_tol=1e-9)
+    return gram_d, [(d, len(w), sum(math.log10(prob(h, x)) for h, x in zip([begin, *w], w))) for d, w in docs]
+
+
+def test_katz_query_keeps_bigrams_seen_once(spark):
+    rng = np.random.default_rng(4)
+    data = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.3, 60) if x < 400)) for i in range(90)] + [(None, "w1 w2 once"), (7, "")]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    gram_d, want = brute_katz_of_all(data)
+    assert gram_d[0] < 1  # the discount of the count 1 is used
+    got = [(r.doc_id, r.n_tokens, r.score) for r in katz.query(docs).collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    got, want = sorted(got, key=key), sorted(want, key=key)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(math.isclose(g[2], w[2], rel_tol=1e-9) for g, w in zip(got, want))
