@@ -1,7 +1,7 @@
 """Palettes of recipes: assignment, merging, pruning and the end-to-end builder.
 
-A ``recipe`` row is (image_id, recipe_id, components array of (pid, concentration), ok_l, ok_a, ok_b, cnt, importance). An image has
-at most 48 recipes; the greedy steps, whose outcome depends on their order, run as one group per image.
+A ``recipe`` row is (image_id, recipe_id, components array of (pid, concentration), ok_l, ok_a, ok_b, cnt, importance). ``build`` makes
+at most 48 recipes an image; the greedy steps, whose outcome depends on their order, run as one group per image.
 """
 
 from __future__ import annotations
