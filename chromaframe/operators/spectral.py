@@ -47,6 +47,16 @@ def pigments_of_embeddings(embeddings: DataFrame, n: int = 12) -> DataFrame:
     )
 
 
+def pigment_fixture(spark: SparkSession) -> DataFrame:
+    """A table of 78 synthetic pigments, the number of the reference: absorption lobes at 13 wavelengths in 6 strengths and widths."""
+    rows = []
+    for pid in range(78):
+        level, place = divmod(pid, 13)
+        ks = [0.02 + 4.0 * (level + 1) / 6 * math.exp(-0.5 * ((w - 400 - 25 * place) / (30 + 15 * level)) ** 2) for w in WAVELENGTHS]
+        rows.append((pid, f"p{pid}", f"Pigment {pid}", pid % 3 != 2, ks))
+    return spark.createDataFrame(rows, "pid int, id string, name string, essential boolean, k_over_s array<double>")
+
+
 SPECTRAL_SCHEMA = """metadata map<string,string>, wavelengths array<int>, illuminant array<double>, cmf_x array<double>, cmf_y array<double>, cmf_z array<double>,
   pigments array<struct<id:string,name:string,productNumber:int,essential:boolean,cielab:struct<l:double,a:double,b:double>,reflectance:array<double>,kOverS:array<double>>>"""
 

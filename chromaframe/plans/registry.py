@@ -355,7 +355,7 @@ def _(s, d):
 
 @query("palette_full")
 def palette_full(s, d):
-    final, _ = palette.build(_lab(s, d), spectral.mix_table(_pigments(s, d), 2), shades=6, paints=2)
+    final, _ = palette.build(_lab(s, d), spectral.mix_table(spectral.pigment_fixture(s), 2), shades=6, paints=2)
     return r6(final.select("image_id", "recipe_id", *LAB, "cnt"), *LAB)
 
 
