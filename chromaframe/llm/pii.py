@@ -41,7 +41,7 @@ LOOSE = {
     "phone": re.compile(r"(?<![0-9A-Za-z+.])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9])"),
     "iban": re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?\b"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    "secret": re.compile(r"(?i:\b(?:api[_-]?key|token|secret|password|passwd|access[_-]?key))[\"']?\x20?[:=]\x20?[\"']?[A-Za-z0-9_/+=-]{16,256}"),
+    "secret": re.compile(r"(?i:\b(?:api[_-]?key|token|secret|password|passwd|access[_-]?key))[\"']?\x20?[:=]\x20?[\"']?[A-Za-z0-9_/+=-]{16,}"),
 }
 
 #: Gazetteers and context words.

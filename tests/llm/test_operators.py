@@ -346,6 +346,12 @@ def test_pii(docs, empty):
     assert clean[11].startswith("mail <email> or <phone>, ip 10.0.0.256 <ip> card <card>") and clean[0] is None
 
 
+def test_pii_secret_spans_the_whole_value():
+    for n in (16, 256, 257, 5000):
+        text = f"see api_key={'a1B2' * n}"[: 12 + n] + " end"
+        assert pii.loose_spans(text) == [(pii.KINDS.index("secret"), 4, 12 + n)], n
+
+
 def test_reliabilities_separate_good_labelers():
     r = random.Random(4)
     counted = Counter()
