@@ -31,17 +31,19 @@ def _step(last: tuple | None, band, at: float, within: float) -> tuple[str, tupl
 
 
 def double_taps(taps: DataFrame, within: float = DOUBLE_S) -> DataFrame:
-    """Action of every tap (user_id, event_id, ts, band): inspect, or focus / reset on the second of a pair."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        last, actions = None, []
-        group = group.sort_values(["at", "event_id"])
-        for band, at in zip(group["band"], group["at"], strict=True):
-            action, last = _step(last, band, at, within)
-            actions.append(action)
-        return pd.DataFrame({"user_id": group["user_id"], "event_id": group["event_id"], "action": actions})
-
-    return _keyed(taps).groupBy("user_id").applyInPandas(run, TAPS)
+    """Action of every tap (user_id, event_id, ts, band): inspect, or focus / reset on the second of a pair.
+
+    Taps of one band in time of each other are a chain, in which every second tap acts, as ``_step`` does tap by tap. Windows sort a
+    user's taps outside Python and spill.
+    """
+    taps = _keyed(taps)
+    w = Window.partitionBy("user_id").orderBy(F.col("at"), F.col("event_id").asc_nulls_last())
+    linked = (F.lag("band").over(w) == F.col("band")) & (F.col("at") - F.lag("at").over(w) <= within)
+    placed = taps.withColumns({"_n": F.row_number().over(w), "_linked": F.coalesce(linked, F.lit(False))})
+    first = F.max(F.when(~F.col("_linked"), F.col("_n"))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    acts = (F.col("_n") - first) % 2 == 1
+    action = F.when(acts & (F.col("band") == ""), "reset").when(acts, "focus").otherwise("inspect")
+    return placed.select(F.col("user_id").cast("long"), F.col("event_id").cast("long"), action.alias("action"))
 
 
 def _keyed(taps: DataFrame) -> DataFrame:

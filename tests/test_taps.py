@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from chromaframe.streaming import taps
@@ -14,6 +16,21 @@ def test_batch(spark):
     assert {r.event_id: r.action for r in taps.double_taps(frame(spark)).collect()} == EXPECTED
 
 
+def test_batch_of_one_busy_user(spark):
+    r = random.Random(6)
+    data, at = [], 0
+    for i in range(2000):
+        at += r.choice([0, 100_000, 450_000, 450_001, 900_000])
+        data.append((i, r.choice([1, 1, 1, 2]), at, r.choice([None, 1, 1])))
+    frame = spark.createDataFrame(data, "event_id long, user_id long, us long, band int").withColumn("ts", F.timestamp_micros("us"))
+    want, last = {}, {}
+    for i, user, us, band in data:
+        want[i], last[user] = taps._step(last.get(user), "" if band is None else str(band), us / 1e6, taps.DOUBLE_S)
+    got = taps.double_taps(frame.repartition(3))
+    assert {x.event_id: x.action for x in got.collect()} == want and set(want.values()) == {"inspect", "focus", "reset"}
+    assert "InPandas" not in got._jdf.queryExecution().toString()  # a user's taps are not held in a Python worker
+
+
 def test_stream_equals_batch(spark, tmp_path):
     for i, part in enumerate(([1, 7], [2, 3, 8], [4, 5], [6])):
         frame(spark).where(F.col("event_id").isin(part)).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
