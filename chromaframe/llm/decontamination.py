@@ -183,10 +183,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, remove: str =
     windows = item_windows(items, n).cache()
     try:
         if _too_many(windows, max_windows):
-            hit = _contamination_by_join(docs, item_windows(items, n)).where(F.size("spans") > 0).select("doc_id").distinct()
-            if remove == "documents":
-                return docs.join(hit, "doc_id", "left_anti")
-            raise ValueError("spans can be cut out only while the item windows fit the broadcast bound")
+            return _decontaminate_by_join(docs, item_windows(items, n), remove)
         matcher = _broadcast_matcher(docs, windows)
     finally:
         windows.unpersist()
@@ -200,16 +197,37 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, remove: str =
             if remove == "documents":
                 yield batch.filter(pa.array([not s for s in spans], pa.bool_()))
                 continue
-            new = [_cut(t.encode(), s).decode() if s else t for t, s in zip(texts, spans, strict=True)]
-            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
-            columns["text"] = pa.array(new, columns["text"].type)
-            if "n_chars" in columns:
-                columns["n_chars"] = pa.array([None if t is None else len(t) for t in new]).cast(columns["n_chars"].type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), schema=batch.schema)
+            yield _with_cuts(batch, texts, spans)
 
     return docs.mapInArrow(clean, schema)
 
 
+def _decontaminate_by_join(docs: DataFrame, windows: DataFrame, remove: str) -> DataFrame:
+    """The same rows for item sets of any size; rows are told apart by number, as ids may be null or repeated."""
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "decontam-rows")  # numbers must not change between the two reads
+    report = _contamination_by_join(rows.select(F.col("_row").alias("doc_id"), "text"), windows)
+    hit = report.where(F.size("spans") > 0).select(F.col("doc_id").alias("_row"), F.col("spans").alias("_spans"))
+    if remove == "documents":
+        return rows.join(hit, "_row", "left_anti").select(*docs.columns)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            spans = [[(x["start"], x["end"]) for x in s or []] for s in batch.column("_spans").to_pylist()]
+            yield _with_cuts(batch.drop_columns(["_spans"]), batch.column("text").to_pylist(), spans)
+
+    return rows.join(hit, "_row", "left").select(*docs.columns, "_spans").mapInArrow(clean, docs.schema)
+
+
+def _with_cuts(batch: pa.RecordBatch, texts: list, spans: list) -> pa.RecordBatch:
+    """``batch`` with the spans cut out of its texts, and ``n_chars`` of the new ones."""
+    new = [_cut(t.encode(), s).decode() if s else t for t, s in zip(texts, spans, strict=True)]
+    columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+    columns["text"] = pa.array(new, columns["text"].type)
+    if "n_chars" in columns:
+        columns["n_chars"] = pa.array([None if t is None else len(t) for t in new]).cast(columns["n_chars"].type)
+    return pa.RecordBatch.from_arrays(list(columns.values()), schema=batch.schema)
+
+
 def _cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     at = [m.span() for m in _RAW_WORD.finditer(text)]
     out, last = [], 0

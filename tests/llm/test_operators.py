@@ -105,6 +105,18 @@ def test_decontamination(docs, items, empty):
     assert sorted(map(key, shuffled)) == sorted(map(key, direct))
 
 
+def test_decontaminate_by_join_as_by_broadcast(spark):
+    leak = " ".join(f"leak{i}" for i in range(12))
+    data = [(None, f"a {leak} b", 1), (1, f"c, {leak}. d", 2), (1, "a clean text of the same id", 3), (None, "clean", 4), (2, None, None), (3, f"{leak}\n{leak}", 5), (4, f"\u00e9 {leak}", 6)]
+    frame = spark.createDataFrame(data, "doc_id long, text string, n_chars int").repartition(3)
+    bench = spark.createDataFrame([(9, leak)], "item_id long, text string")
+    for remove, n in (("documents", 3), ("spans", 7)):
+        direct, joined = (decontamination.decontaminate(frame, bench, remove=remove, max_windows=m) for m in (1000, 1))
+        assert joined.schema == direct.schema
+        assert sorted(map(repr, joined.collect())) == sorted(map(repr, direct.collect())) and joined.count() == n
+    assert not joined.where("text like '%leak%'").count()
+
+
 def test_decontaminate_removes(docs, items):
     bad = {r[0] for r in rows() if brute_contamination(r[1])[-1]}
     kept = decontamination.decontaminate(docs, items)
