@@ -17,8 +17,10 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-#: Chunks kept at once; the older half is given up beyond it, so a worker's memory is bounded.
-CACHED_CHUNKS = 700_000
+#: Chunks kept at once; the older half is given up beyond it, so a worker's memory is bounded. A chunk is kept when it comes a second
+#: time, told by a table of marks.
+CACHED_CHUNKS = 1_400_000
+MARKS = 1 << 22
 CACHED_PIECES = 100_000
 
 #: The patterns that the two tokenizer files name for cutting text before merges.
@@ -69,7 +71,7 @@ class _Aged(dict):
 
 
 class _Chunks(dict):
-    """Values of chunks, in two generations like ``_Aged``. Letters, also before a comma or full stop, take the short way."""
+    """Values of chunks that come again, in two generations like ``_Aged``. Letters, also before a comma or full stop, take the short way."""
 
     def __init__(self, enc: Encoder, value, most: int):
         super().__init__()
@@ -77,10 +79,14 @@ class _Chunks(dict):
         self.lead = "" if enc.words else " "
         self.marks = {c: value(c) for c in ",."}
         self.disputed = disputed()
+        self.seen = bytearray(MARKS)
 
     def __missing__(self, chunk):
         value = self.old.get(chunk)
         if value is None:
+            mark = hash(chunk) % MARKS
+            again = self.seen[mark]
+            self.seen[mark] = 1
             if chunk.isalpha():
                 if chunk.isascii():
                     value = self.value(self.lead + (chunk.lower() if self.enc.words else chunk))
@@ -92,9 +98,12 @@ class _Chunks(dict):
                     value = value + self.marks[chunk[-1]]
             if value is None:
                 value = self.enc.slow_chunk(chunk, self.value)
+            if not again:
+                return value
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
+            self.seen = bytearray(MARKS)
         self[chunk] = value
         return value
 
@@ -151,11 +160,16 @@ class Encoder:
     def lead(self, chunk: str) -> str:
         return chunk if self.words else " " + chunk
 
+    def chunks_of(self, text: str) -> list[str]:
+        """A byte-level text cut at its spaces and, where they stand alone, before its line ends."""
+        return (text if "\n\n" in text else text.replace("\n", " \n")).split(" ")
+
     def slow_chunk(self, chunk: str, value):
         """The summed values of the pieces of a chunk that is not the first; None where its text must be taken whole."""
-        if self.whole_only(chunk):
+        line = not self.words and chunk[:1] == "\n" and len(chunk) > 1  # a line end, then a word without a space before it
+        if self.whole_only(chunk[1:] if line else chunk):
             return None
-        first, *rest = self.split(self.lead(chunk))
+        first, *rest = ("\n", *self.split(chunk[1:])) if line else self.split(self.lead(chunk))
         total = value(first)
         for piece in rest:
             total = total + value(piece)
@@ -175,7 +189,7 @@ class Encoder:
                 return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
             chunks = text.split()
         else:
-            head, *chunks = text.split(" ")
+            head, *chunks = self.chunks_of(text)
             if head:
                 if self.whole_only(head):
                     return self._whole(text)
@@ -185,14 +199,16 @@ class Encoder:
         except TypeError:  # a None among them
             return self._whole(text)
 
+    def data(self, text: str) -> bytes:
+        """Ids as the bytes of an array of ``dtype``."""
+        if self.mark not in text:
+            return self._plain(text)
+        parts = self.cut.split(text)
+        return b"".join(array(self.code, [self.special[t]]).tobytes() if k % 2 else self._plain(t) for k, t in enumerate(parts))
+
     def ids(self, text: str) -> np.ndarray:
         """Ids as unsigned 32-bit numbers."""
-        if self.mark not in text:
-            data = self._plain(text)
-        else:
-            parts = self.cut.split(text)
-            data = b"".join(array(self.code, [self.special[t]]).tobytes() if k % 2 else self._plain(t) for k, t in enumerate(parts))
-        return np.frombuffer(data, self.dtype).astype(np.uint32)
+        return np.frombuffer(self.data(text), self.dtype).astype(np.uint32)
 
 
 @cache

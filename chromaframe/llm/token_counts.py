@@ -65,7 +65,7 @@ class Counter:
                 return len(enc.library.encode(text, add_special_tokens=False).ids)
             chunks = text.split()
         else:
-            head, *chunks = text.split(" ")
+            head, *chunks = enc.chunks_of(text)
             if head and not enc.whole_only(head):
                 first = self._pieces(enc.split(head))
             elif head:

@@ -34,50 +34,77 @@ BLOCK_IDS = 1 << 17
 END_ID = 2
 
 
+#: Bits of every number under 2^16; a word has no more than ``COUNTS[1]`` ids.
+_WIDTHS = np.frexp(np.arange(1 << 16))[1].astype(np.uint8)
+_AHEAD = 64
+
+
+def _width(ids: np.ndarray) -> np.ndarray:
+    """Bits of every id."""
+    out = np.zeros(len(ids), np.uint8)
+    for shift in range(0, 64, 16):
+        above = ids >> np.uint64(shift)
+        if shift and not above.any():
+            break
+        bits = _WIDTHS[(above & np.uint64(0xFFFF)).astype(np.uint16)]
+        out = np.where(bits > 0, bits + np.uint8(shift), out) if shift else bits
+    return out
+
+
+def _later(a: np.ndarray, by: int) -> np.ndarray:
+    """``a`` moved forward by ``by`` places; zeros follow its end."""
+    return np.concatenate((a[by:], np.zeros(min(by, len(a)), a.dtype)))
+
+
+def _starts(step: np.ndarray) -> np.ndarray:
+    """Where words start if one that starts at i is followed by one at i + step[i]: pointers are doubled to ``_AHEAD`` words ahead."""
+    n = len(step)
+    to = np.append(np.minimum(np.arange(n) + step, n), n).astype(np.int32)
+    far = to
+    for _ in range(_AHEAD.bit_length() - 1):
+        far = far.take(far)
+    every, i = [], 0
+    while i < n:
+        every.append(i)
+        i = int(far[i])
+    at = np.empty((_AHEAD, len(every)), np.int32)
+    at[0] = every
+    for j in range(1, _AHEAD):
+        at[j] = to.take(at[j - 1])
+    at = at.T.ravel()
+    return at[at < n]
+
+
 def encode(ids: np.ndarray) -> np.ndarray:
     """Ids (unsigned, up to 64 bits) as words: each word takes as many of the next ids as fit."""
     ids = np.asarray(ids, np.uint64)
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64)
-    width = np.zeros(n, np.uint8)
-    for b in range(64):
-        above = ids >> np.uint64(b)
-        if not above.any():
-            break
-        width += above > 0
     # widest id among the next 2^k, to choose for every start the selector with most ids
-    spans = [width]
-    while 1 << len(spans) <= 60:
-        half, last = 1 << (len(spans) - 1), spans[-1]
-        spans.append(np.maximum(last, np.concatenate((last[half:], np.zeros(min(half, n), np.uint8)))[:n]))
-    choice = np.zeros(n, np.uint8)
-    for s in range(len(COUNTS) - 1, 0, -1):
-        c = int(COUNTS[s])
-        k = c.bit_length() - 1
-        rest = c - (1 << k)
-        widest = spans[k]
-        if rest:
-            widest = np.maximum(widest, np.concatenate((spans[k][rest:], np.zeros(min(rest, n), np.uint8)))[:n])
-        choice[widest <= BITS[s]] = s
-    step = COUNTS[choice].tolist()
-    starts, i = [], 0
-    while i < n:
-        starts.append(i)
-        i += step[i]
-    at = np.array(starts)
+    spans = [_width(ids)]
+    while 1 << len(spans) <= COUNTS[1]:
+        spans.append(np.maximum(spans[-1], _later(spans[-1], 1 << (len(spans) - 1))))
+    # where a selector fits all later ones do, so the first that fits is told by how many do; none: 0, the escape
+    fits = np.zeros(n, np.uint8)
+    for s in range(1, len(COUNTS)):
+        k = int(COUNTS[s]).bit_length() - 1
+        rest = int(COUNTS[s]) - (1 << k)
+        widest = np.maximum(spans[k], _later(spans[k], rest)) if rest else spans[k]
+        fits += widest <= BITS[s]
+    choice = (len(COUNTS) - fits) % len(COUNTS)
+    at = _starts(COUNTS[choice])
     chosen = choice[at]
     escaped = chosen == 0
     place = np.arange(len(at)) + np.concatenate(([0], np.cumsum(escaped)[:-1]))
     words = np.zeros(len(at) + int(escaped.sum()), np.uint64)
-    padded = np.concatenate((ids, np.zeros(60, np.uint64)))
-    for s in range(1, len(COUNTS)):
+    padded = np.concatenate((ids, np.zeros(COUNTS[1], np.uint64)))
+    for s in np.unique(chosen[~escaped]).tolist():
         rows = np.flatnonzero(chosen == s)
-        if len(rows):
-            word = np.full(len(rows), np.uint64(s) << np.uint64(60))
-            for j in range(int(COUNTS[s])):
-                word |= padded[at[rows] + j] << np.uint64(j * int(BITS[s]))
-            words[place[rows]] = word
+        word = np.full(len(rows), np.uint64(s) << np.uint64(60))
+        for j in range(int(COUNTS[s])):
+            word |= padded[at[rows] + j] << np.uint64(j * int(BITS[s]))
+        words[place[rows]] = word
     words[place[escaped] + 1] = ids[at[escaped]]
     return words
 
@@ -128,32 +155,36 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> N
     ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, ids_of = arrow(BLOCKS), encoder(tokenizer).ids
+        schema, enc = arrow(BLOCKS), encoder(tokenizer)
+        end = np.array([end_id], enc.dtype).tobytes()
         shard, first = TaskContext.get().partitionId(), 0
         names: list[int | None] = []
-        ids: list[np.ndarray] = []
+        data: list[bytes] = []
         held = 0
+
+        def block() -> pa.RecordBatch:
+            return _block(schema, shard, first, names, [len(d) // enc.dtype.itemsize for d in data], np.frombuffer(b"".join(data), enc.dtype))
+
         for batch in slices(batches, "text", 4 << 20):
             for name, doc in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                one = np.append(ids_of(doc), np.uint32(end_id))
+                one = enc.data(doc) + end
                 names.append(name)
-                ids.append(one)
-                held += len(one)
+                data.append(one)
+                held += len(one) // enc.dtype.itemsize
                 if held >= BLOCK_IDS:
-                    yield _block(schema, shard, first, names, ids)
-                    names, ids, held, first = [], [], 0, first + held
+                    yield block()
+                    names, data, held, first = [], [], 0, first + held
         if names:
-            yield _block(schema, shard, first, names, ids)
+            yield block()
 
     ordered.mapInArrow(blocks, BLOCKS).write.option("compression", "uncompressed").parquet(path)
 
 
-def _block(schema: pa.Schema, shard: int, first: int, names: list, ids: list[np.ndarray]) -> pa.RecordBatch:
-    every = np.concatenate(ids)
-    parts = [encode(every[i : i + PART]) for i in range(0, len(every), PART)]
+def _block(schema: pa.Schema, shard: int, first: int, names: list, lengths: list[int], ids: np.ndarray) -> pa.RecordBatch:
+    parts = [encode(ids[i : i + PART]) for i in range(0, len(ids), PART)]
     offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts])[:-1]))
     words = np.concatenate(parts).astype("<u8").tobytes()
-    return record_batch(schema, [[shard], [first], [names], [[len(x) for x in ids]], [offsets.tolist()], [words]])
+    return record_batch(schema, [[shard], [first], [names], [lengths], [offsets.tolist()], [words]])
 
 
 def block_ids(lengths: list[int], offsets: list[int], words: bytes) -> np.ndarray:
