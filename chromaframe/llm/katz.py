@@ -1,16 +1,20 @@
-"""Katz backoff scoring of texts with a bigram model of the corpus itself.
+"""Katz backoff scoring of texts with an n-gram model of the corpus itself.
 
-Texts are read once into blocks: token numbers of a block's own vocabulary, beside that vocabulary with its counts. Everything the
-model needs is then counted over all blocks by Spark: words by a grouped sum, bigrams by dealing each block's distinct bigrams to
-buckets and adding up equal ones there. A bucket is chosen by the history, except for histories so frequent that one bucket would
-grow uneven, whose bigrams are dealt by both words. The tables (words; bigrams by bucket) are written to the shared folder.
+Texts are read once into blocks: token numbers of a block's own vocabulary, beside that vocabulary. An n-gram ends in a token and may
+start with the start of its text. For every order, each block deals its distinct n-grams with their counts to buckets by a 96-bit
+hash; a bucket adds up equal ones and sends the totals back, in the order it was asked, with two bits: whether the block owns the n-gram
+(one of those that hold it does) and whether it occurs in a held-out text. From order 3 on, an n-gram need not be dealt where its parts
+tell its total: no more than theirs, and all of it in this block.
 
-Model: Good-Turing discounts for counts up to ``K``; ``query`` keeps every bigram seen, while ``score`` can leave the mass of those seen
-fewer than ``least`` times to the backoff. The backoff weight of every history makes its distribution sum to 1 exactly; words never
-seen share one unknown event. A history's discounted mass is added up in the blocks: one of those that hold a bigram owns it, so
-bigrams are neither stored nor dealt out a second time. A token's
-probability is its discounted bigram, else the weight of its history times its word's probability. A history without any mass left
-counts one more occurrence. Weights and counts return to the blocks by word and by bucket, and each block scores its documents.
+Model: every order has Good-Turing discounts for counts up to ``K`` and keeps every n-gram, those seen once too. Words never seen share
+one unknown event. The backoff weight of a history makes its distribution sum to 1 exactly: one less the discounted shares of what
+followed it, over one less the lower order's probabilities of the same words. Blocks add both up for the n-grams that they own, buckets
+add up the blocks. A history whose followers may all be without a discount counts one more occurrence, so that mass is always left.
+A token's probability is its discounted n-gram where that was seen, else the weight of its history times its probability given the
+history less its first token, and so on down to words; a history never seen has weight 1.
+
+Tables: blocks, bucketed by block; per order the totals, and the masses of histories, partitioned by bucket (about ``BUCKET_GRAMS``
+n-grams each, and one per block of every frequent one). They lie in the shared folder, and only the scores stay there.
 
 Edge cases: a null or empty text is its end token alone. Texts whose doc_id is null are trained on. An empty table gives no rows; with no
 training rows every word is unknown. Repeated rows are scored once per row and counted each. Other columns are not read.
@@ -18,30 +22,33 @@ training rows every word is unknown. Repeated rows are scored once per row and c
 
 from __future__ import annotations
 
-import math
-import zlib
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chromaframe.llm.common import SPACE_WORDS, arrow, crc_remainder, free_shuffles, record_batch, remove, slices, text_bytes, written
+from chromaframe.llm.common import SPACE_WORDS, arrow, brief_shuffles, crc_remainder, new_path, record_batch, remove, slices, text_bytes, written
 
+ORDER = 3
 K = 5
-#: Least count of a kept bigram where ``score`` is not told; ``query`` keeps all.
-LEAST = 2
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 3 << 19
+BUCKET_GRAMS = 1 << 20
+#: Bytes of a hash.
+KEY = 12
 HELD_OUT_MOD, HELD_OUT = 5, 1
 
-#: The end of a text as a token (no word contains a space), and the start of a text as a history.
-END = b" "
-START_HASH = xxhash.xxh64_intdigest(b"  ")
+#: The end of a text as a token (no word contains a space), number 0 of every block's vocabulary; the start of a text as a history.
+END, START = b" ", b"  "
+_MASKS = (0xFFFFFFFFFFFFFFFF, 0xFFFFFFFF)
+_LANES = ((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F))
 
 BLOCKS = T.StructType(
     [
@@ -50,12 +57,19 @@ BLOCKS = T.StructType(
         T.StructField("lengths", T.ArrayType(T.LongType())),
         T.StructField("held_out", T.ArrayType(T.BooleanType())),
         T.StructField("tokens", T.BinaryType()),
-        T.StructField("words", T.ArrayType(T.BinaryType())),
-        T.StructField("counts", T.ArrayType(T.LongType())),
+        T.StructField("words", T.BinaryType()),
     ]
 )
 
 
+def _pack(a: np.ndarray) -> bytes:
+    return zstandard.compress(a.tobytes(), 1)
+
+
+def _unpack(data: bytes, dtype) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), dtype)
+
+
 def _blocks(docs: DataFrame) -> DataFrame:
     """Documents as blocks of about ``BLOCK_TOKENS`` tokens, numbered by each block's own vocabulary."""
 
@@ -64,28 +78,28 @@ def _blocks(docs: DataFrame) -> DataFrame:
         number = TaskContext.get().partitionId() << 24
         ids, lengths, held = [], [], []
         tokens: list[np.ndarray] = []
-        vocabulary: dict[bytes, int] = {}
+        vocabulary: dict[bytes, int] = {END: 0}
+        total = 0
 
         def block() -> pa.RecordBatch:
             every = np.concatenate(tokens)
-            trained = np.repeat(~np.array(held, bool), lengths)
-            counts = np.bincount(every[trained], minlength=len(vocabulary))
-            data = zlib.compress(every.astype("<u4").tobytes(), 1)
-            return record_batch(schema, [[number], [ids], [lengths], [held], [data], [list(vocabulary)], [counts]])
+            words = b" ".join(list(vocabulary)[1:])
+            return record_batch(schema, [[number], [ids], [lengths], [held], [_pack(every)], [words]])
 
         for batch in slices(batches, "text", 4 << 20):
             for doc, out, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text")), strict=True):
                 words = text.translate(SPACE_WORDS).split()
                 words.append(END)
                 add = vocabulary.setdefault
-                tokens.append(np.array([add(w, len(vocabulary)) for w in words], np.uint32))
+                tokens.append(np.array([add(w, len(vocabulary)) for w in words], "<u4"))
                 ids.append(doc)
                 lengths.append(len(words))
                 held.append(out)
-                if sum(lengths[-1:]) and len(tokens) % 64 == 0 and sum(lengths) >= BLOCK_TOKENS:
+                total += len(words)
+                if total >= BLOCK_TOKENS:
                     yield block()
                     number += 1
-                    ids, lengths, held, tokens, vocabulary = [], [], [], [], {}
+                    ids, lengths, held, tokens, vocabulary, total = [], [], [], [], {END: 0}, 0
         if ids:
             yield block()
 
@@ -93,94 +107,222 @@ def _blocks(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), text_bytes().alias("text")).mapInArrow(run, BLOCKS)
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
-
-
-def _bigrams(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A block's tokens, its histories (vocabulary size: the start), the distinct (history, word) keys and each token's key."""
-    tokens = np.frombuffer(zlib.decompress(row["tokens"]), "<u4").astype(np.int64)
-    lengths = np.array(row["lengths"])
-    history = np.concatenate(([0], tokens[:-1]))
-    history[np.concatenate(([0], np.cumsum(lengths)[:-1]))] = len(row["words"])
-    keys, which = np.unique(history << 32 | tokens, return_inverse=True)
-    return tokens, history, keys, which
-
-
-def _bucket(h: np.ndarray, w: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
-    spread = np.isin(h, hot)
-    return ((h ^ np.where(spread, w * np.uint64(0x9E3779B97F4A7C15), np.uint64(0))) % np.uint64(buckets)).astype(np.int64)
+class Words:
+    """Hashes of words, by lane."""
+
+    def __init__(self, digests: np.ndarray):
+        self.digests = digests
+
+    def lane(self, i: int) -> np.ndarray:
+        return self.digests[i]
+
+
+def _both(which: np.ndarray, out: np.ndarray, n: int) -> np.ndarray:
+    """Per n-gram, how often training texts and held-out texts have it."""
+    return np.bincount(which << 1 | out, minlength=2 * n).reshape(n, 2)
+
+
+@dataclass(eq=False)
+class Level:
+    """The distinct n-grams of one order in a block.
+
+    ``which`` has each token's (-1: none); ``history`` and ``suffix`` are places in the level below, ``last`` the word. ``parts`` are the
+    hashes of histories and words. ``count`` is the training count, ``out`` whether a held-out text of the block has it; the rest is
+    what buckets know of all blocks.
+    """
+
+    which: np.ndarray
+    history: np.ndarray
+    suffix: np.ndarray
+    last: np.ndarray
+    both: np.ndarray
+    parts: tuple
+    total: np.ndarray | None = None
+    owned: np.ndarray | None = None
+    held: np.ndarray | None = None
+    made: dict[int, np.ndarray] = field(default_factory=dict)
+
+    @property
+    def count(self) -> np.ndarray:
+        return self.both[:, 0]
+
+    @property
+    def out(self) -> np.ndarray:
+        return self.both[:, 1] > 0
+
+    def lane(self, i: int) -> np.ndarray:
+        """Half ``i`` of the hashes: 64 bits of the first, 32 of the second."""
+        if i not in self.made:
+            histories, words = self.parts
+            x = histories(i)[self.history] * np.uint64(_LANES[i][0]) + words(i)[self.last]
+            x = (x ^ (x >> np.uint64(31))) * np.uint64(_LANES[i][1])
+            self.made[i] = (x ^ (x >> np.uint64(29))) & np.uint64(_MASKS[i])
+        return self.made[i]
+
+
+class Block:
+    """A row of the blocks with its levels up to an order."""
+
+    def __init__(self, row: dict, order: int):
+        self.row = row
+        tokens = _unpack(row["tokens"], "<u4").astype(np.int64)
+        self.lengths = np.array(row["lengths"], np.int64)
+        self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
+        out = np.repeat(np.array(row["held_out"], np.int64), self.lengths)
+        words = [END, *(row["words"].split(b" ") if row["words"] else []), START]
+        digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), "<u8").reshape(-1, 2).T & np.array(_MASKS, np.uint64)[:, None]
+        n = len(words) - 1
+        self.words, self.histories = Words(digests[:, :n]), Words(digests)
+        none = np.zeros(0, np.int64)
+        self.levels = [Level(tokens, none, none, none, _both(tokens, out, n), ())]
+        first = np.zeros(len(tokens), bool)
+        first[self.starts] = True
+        for k in range(2, order + 1):
+            below = self.levels[-1].which
+            history = np.concatenate(([-1], below[:-1]))
+            history[first] = n if k == 2 else -1  # the start of a text is the last of the words' histories
+            at = None if k == 2 else np.flatnonzero(history >= 0)  # every token has a bigram
+            keys, inverse = np.unique((history << 32 | tokens) if at is None else (history[at] << 32 | tokens[at]), return_inverse=True)
+            last = keys & 0xFFFFFFFF
+            if at is None:
+                which, suffix, both = inverse, last, _both(inverse, out, len(keys))
+            else:
+                which = np.full(len(tokens), -1, np.int64)
+                which[at] = inverse
+                suffix = np.empty(len(keys), np.int64)
+                suffix[inverse] = below[at]
+                both = _both(inverse, out[at], len(keys))
+            self.levels.append(Level(which, keys >> 32, suffix, last, both, (self.histories.lane if k == 2 else self.levels[-1].lane, self.words.lane)))
+
+    def lanes(self, k: int):
+        return self.words.lane if k == 1 else self.levels[k - 1].lane
+
+    def history_lanes(self, k: int):
+        """Hashes of the histories of order ``k``."""
+        return self.histories.lane if k == 2 else self.levels[k - 2].lane
+
+    def dealt(self, k: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """The n-grams of order ``k`` that buckets must add up, by bucket, and where each bucket starts. What the parts tell is settled here."""
+        level = self.levels[k - 1]
+        wanted = np.arange(len(level.both))
+        level.total, level.owned, level.held = np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool), np.ones(len(wanted), bool)
+        if k > 2:
+            below = self.levels[k - 2]
+            most = np.minimum(below.total[level.history], below.total[level.suffix])
+            never = most == 0
+            whole = ~never & (most == level.count) & ~(below.held[level.history] & below.held[level.suffix])
+            level.total[whole], level.owned[whole], level.held[whole] = level.count[whole], True, False
+            wanted = np.flatnonzero(~never & ~whole)
+        return _by_bucket(self.lanes(k)(0), wanted, buckets)
+
+    def answer(self, k: int, buckets: int, rows: list[dict]) -> None:
+        """Take in the totals of order ``k``."""
+        at, _ = self.dealt(k, buckets)
+        level = self.levels[k - 1]
+        if len(at):
+            rows = sorted((r for r in rows if r["totals"] is not None), key=lambda r: r["bucket"])
+            level.total[at] = np.concatenate([_unpack(r["totals"], f"<u{r['width']}").astype(np.int64) for r in rows])
+            for name, bit in (("owned", 1), ("held", 2)):
+                getattr(level, name)[at] = np.concatenate([_unpack(r["bits"], np.uint8) for r in rows]) & bit > 0
+
+
+def _by_bucket(hashes: np.ndarray, wanted: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    bucket = ((hashes if len(wanted) == len(hashes) else hashes[wanted]) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    bucket = bucket.astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return wanted[order], np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=buckets))))
+
+
+def _keys(lanes, at: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The hashes of every bucket: the long halves, then the short ones."""
+    high, low = lanes(0)[at], lanes(1)[at].astype("<u4")
+    return [high[a:b].tobytes() + low[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _grouped(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """The order that brings equal keys of ``rows`` together, and where each key starts in it."""
+    sizes = [len(r["keys"]) // KEY for r in rows]
+    high = np.concatenate([np.frombuffer(r["keys"], "<u8", n) for r, n in zip(rows, sizes, strict=True)])
+    low = np.concatenate([np.frombuffer(r["keys"], "<u4", n, 8 * n) for r, n in zip(rows, sizes, strict=True)])
+    order = np.argsort(high)
+    sorted_high, sorted_low = high[order], low[order]
+    same = sorted_high[1:] == sorted_high[:-1]
+    if (same & (sorted_low[1:] != sorted_low[:-1])).any():
+        order = np.lexsort((low, high))
+        same = (high[order][1:] == high[order][:-1]) & (low[order][1:] == low[order][:-1])
+    return order, np.flatnonzero(np.concatenate(([True], ~same))) if len(order) else np.zeros(0, np.int64)
 
 
 ASKED = T.StructType(
-    [T.StructField("bucket", T.IntegerType()), T.StructField("block", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in ("h", "runs", "w", "counts"))]
+    [
+        T.StructField("bucket", T.IntegerType()),
+        T.StructField("block", T.LongType()),
+        T.StructField("keys", T.BinaryType()),
+        T.StructField("counts", T.BinaryType()),
+        T.StructField("out", T.BinaryType()),
+        T.StructField("tally", T.ArrayType(T.LongType())),
+    ]
 )
-
-
-def _asked(blocks: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
-    """Every block's distinct bigrams with their training counts, by bucket: histories with run lengths, words, counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow(ASKED)
-        for batch in batches:
-            for row in batch.to_pylist():
-                _, _, keys, which = _bigrams(row)
-                trained = np.repeat(~np.array(row["held_out"], bool), row["lengths"])
-                counts = np.bincount(which[trained], minlength=len(keys))
-                hashes = np.append(_hashes(row["words"]), np.uint64(START_HASH))
-                h, w = hashes[keys >> 32], hashes[keys & 0xFFFFFFFF]
-                bucket = _bucket(h, w, hot, buckets)
-                order = np.argsort(bucket, kind="stable")
-                ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                for b in np.flatnonzero(np.diff(ends)).tolist():
-                    at = order[ends[b] : ends[b + 1]]
-                    first = np.flatnonzero(np.concatenate(([True], h[at][1:] != h[at][:-1])))
-                    runs = np.diff(np.append(first, len(at)))
-                    yield record_batch(
-                        schema,
-                        [[b], [row["block"]], [h[at][first].tobytes()], [zlib.compress(runs.astype("<u4").tobytes(), 1)], [w[at].tobytes()], [zlib.compress(counts[at].astype("<u4").tobytes(), 1)]],
-                    )
-
-    return blocks.select("block", "lengths", "held_out", "tokens", "words").mapInArrow(run, ASKED)
-
-
-ADDED = T.StructType(
+TOTALS = T.StructType(
     [
         T.StructField("bucket", T.IntegerType()),
         T.StructField("block", T.LongType()),
         T.StructField("totals", T.BinaryType()),
-        T.StructField("owned", T.BinaryType()),
+        T.StructField("width", T.IntegerType()),
+        T.StructField("bits", T.BinaryType()),
         T.StructField("tally", T.ArrayType(T.LongType())),
     ]
 )
 
 
-def _added(asked: DataFrame) -> DataFrame:
-    """Totals that each block asked for, by bucket, with the bigrams that it owns; the first row of a bucket has how many occur 1 to K + 1 times."""
-    schema = arrow(ADDED)
+def _tally(total: np.ndarray) -> list[int]:
+    """How many n-grams occur 1 to K + 1 times, how many at all, and all their occurrences."""
+    return [*np.bincount(np.minimum(total, K + 2), minlength=K + 2)[1 : K + 2].tolist(), int((total > 0).sum()), int(total.sum())]
+
+
+def _ask(block: Block, k: int, buckets: int) -> list[dict]:
+    at, ends = block.dealt(k, buckets)
+    level = block.levels[k - 1]
+    settled = _tally(level.total)
+    keys, counts, out = _keys(block.lanes(k), at, ends), level.count[at].astype("<u4"), level.out[at]
+    rows = []
+    for b in np.flatnonzero(np.diff(ends)).tolist() or [0]:
+        mine = slice(ends[b], ends[b + 1])
+        rows.append({"bucket": b, "block": block.row["block"], "keys": keys[b], "counts": _pack(counts[mine]), "out": _pack(np.packbits(out[mine])), "tally": None if rows else settled})
+    return rows
+
+
+def _added(asked: DataFrame, buckets: int) -> DataFrame:
+    """What each block is told about the n-grams that it asked for; a bucket's first row has its tally."""
+    schema = arrow(TOTALS)
 
     def add(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["block"])
-        h = np.concatenate([np.repeat(np.frombuffer(r["h"], np.uint64), np.frombuffer(zlib.decompress(r["runs"]), "<u4")) for r in rows])
-        w = np.concatenate([np.frombuffer(r["w"], np.uint64) for r in rows])
-        counts = np.concatenate([np.frombuffer(zlib.decompress(r["counts"]), "<u4") for r in rows]).astype(np.int64)
-        order = np.lexsort((w, h))
-        first = np.flatnonzero(np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1]))))
-        total = np.add.reduceat(counts[order], first)
-        back = np.empty(len(h), np.int64)
-        back[order] = np.repeat(total, np.diff(np.append(first, len(order))))
-        owned = np.zeros(len(h), bool)
-        owned[order[first]] = True
-        tally = [int((total == r).sum()) for r in range(1, K + 2)]
-        out, start = [], 0
-        for r in rows:
-            end = start + len(r["w"]) // 8
-            totals, own = (zlib.compress(x.tobytes(), 1) for x in (back[start:end].astype("<u4"), np.packbits(owned[start:end])))
-            out.append({"bucket": r["bucket"], "block": r["block"], "totals": totals, "owned": own, "tally": None if start else tally})
-            start = end
-        return pa.Table.from_pylist(out, schema=schema)
-
-    return asked.groupBy("bucket").applyInArrow(add, ADDED)
+        sizes = [len(r["keys"]) // KEY for r in rows]
+        counts = np.concatenate([_unpack(r["counts"], "<u4") for r in rows]).astype(np.int64)
+        out = np.concatenate([np.unpackbits(_unpack(r["out"], np.uint8), count=n) for r, n in zip(rows, sizes, strict=True)]).astype(np.int64)
+        order, first = _grouped(rows)
+        tally = np.sum([r["tally"] for r in rows if r["tally"] is not None] or [[0] * (K + 3)], axis=0)
+        total = back = bits = np.zeros(0, np.int64)
+        if len(order):
+            total = np.add.reduceat(counts[order], first)
+            held = np.add.reduceat(out[order], first) > 0
+            times = np.diff(np.append(first, len(order)))
+            back, bits = np.empty(len(order), np.int64), np.zeros(len(order), np.uint8)
+            back[order] = np.repeat(total, times)
+            bits[order] = np.repeat(held, times) * np.uint8(2)
+            bits[order[first]] |= 1
+        tally = (tally + _tally(total)).tolist()
+        found, start = [], 0
+        for r, n in zip(rows, sizes, strict=True):
+            mine = back[start : start + n]
+            width = 4 if not n or mine.max() < 1 << 32 else 8
+            told = {"totals": _pack(mine.astype(f"<u{width}")), "width": width, "bits": _pack(bits[start : start + n])} if n else {"totals": None, "width": None, "bits": None}
+            found.append({"bucket": r["bucket"], "block": r["block"], **told, "tally": None if found else tally})
+            start += n
+        return pa.Table.from_pylist(found, schema=schema)
+
+    return asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(add, TOTALS)
 
 
 def discounts(tally: list[int]) -> list[float]:
@@ -196,123 +338,105 @@ def discounts(tally: list[int]) -> list[float]:
 
 @dataclass
 class Model:
-    """Scalars of the model; its tables are ``words`` and ``grams``."""
+    """Scalars of the model: discounts per order, and of words their number, kinds, discounted mass and the unknown event's share."""
 
+    ratios: list[list[float]]
     train_tokens: int
     distinct: int
-    word_discounts: list[float]
-    word_mass: float
+    mass: float
     unknown: float
-    gram_discounts: list[float]
-    start_count: float
-    start_weight: float
-
 
-def _discounted(count, ratios: list[float]):
-    d = F.lit(1.0)
-    for r, v in enumerate(ratios, 1):
-        d = F.when(count == r, F.lit(v)).otherwise(d)
-    return d * count
+    def discounted(self, k: int, total: np.ndarray) -> np.ndarray:
+        return np.array([1.0, *self.ratios[k - 1], 1.0])[np.minimum(total, K + 1)] * total
 
+    def occurrences(self, k: int, total: np.ndarray) -> np.ndarray:
+        """How often a history before n-grams of order ``k`` counts: once more where none of its followers need have a discount."""
+        sure = next((r for r, d in enumerate(self.ratios[k - 1]) if d == 1), K)
+        return np.maximum(total + (total > sure), 1).astype(np.float64)
 
-def _known(blocks: DataFrame, words: DataFrame, name: str, *columns: str) -> DataFrame:
-    """``columns`` of the words of each block beside their places in it; a block's vocabulary is bounded by the block."""
-    places = blocks.select("block", F.posexplode("words").alias("at", "word")).join(words.select("word", *columns), "word")
-    out = written(places.groupBy("block").agg(F.collect_list(F.struct("at", *columns)).alias("known")), name)
-    free_shuffles(blocks.sparkSession)
-    return out
-
+    def words(self, total: np.ndarray) -> np.ndarray:
+        """Probabilities of seen words."""
+        return self.discounted(1, total) / (self.mass or 1.0) * (1 - self.unknown)
 
-def _answers(replies: DataFrame, *columns: str) -> DataFrame:
-    return replies.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", *columns))).alias("answers"))
+    def seen(self, block: Block, k: int) -> np.ndarray:
+        """Probabilities of the block's n-grams of order ``k``, right where they were seen."""
+        level = block.levels[k - 1]
+        if k == 1:
+            return self.words(level.total)
+        return self.discounted(k, level.total) / self.occurrences(k, _history_totals(block, k)[level.history])
 
 
-def _in_key_order(parts: list[np.ndarray], hashes: np.ndarray, keys: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
-    """What the buckets answered, in the order of a block's keys."""
-    bucket = _bucket(hashes[keys >> 32], hashes[keys & 0xFFFFFFFF], hot, buckets)
-    found = np.concatenate(parts)
-    out = np.empty(len(keys), found.dtype)
-    out[np.argsort(bucket, kind="stable")] = found
-    return out
+def _history_totals(block: Block, k: int) -> np.ndarray:
+    """Training counts of the histories of order ``k``; every text's start is followed once, as its end is reached once."""
+    total = block.levels[k - 2].total
+    return np.append(total, total[0]) if k == 2 else total
 
 
-def _totals(answers) -> list[np.ndarray]:
-    return [np.frombuffer(zlib.decompress(t.as_py()), "<u4").astype(np.int64) for t in answers.field("totals")]
-
+def model_of(tallies: list[list[int]]) -> Model:
+    ratios = [discounts(t[: K + 1]) for t in tallies]
+    *counts, distinct, n = tallies[0]
+    mass = float(n) - sum(r * counts[r - 1] * (1 - d) for r, d in enumerate(ratios[0], 1))
+    unknown = (n - mass + 1.0) / (n + 1.0) if n else 1.0  # what the discounts leave, and one more
+    return Model(ratios, n, distinct, mass, unknown)
 
-MASSES = T.StructType([T.StructField("h", T.LongType()), T.StructField("seen", T.DoubleType()), T.StructField("lower", T.DoubleType())])
 
+MASS = T.StructType(
+    [T.StructField("order", T.IntegerType()), *ASKED.fields[:3], T.StructField("seen", T.BinaryType()), T.StructField("lower", T.BinaryType()), T.StructField("asks", T.BinaryType())]
+)
+WEIGHTS = T.StructType([T.StructField("order", T.IntegerType()), *ASKED.fields[:2], T.StructField("seen", T.BinaryType()), T.StructField("lower", T.BinaryType())])
+
+
+def _unseen(block: Block, k: int) -> np.ndarray:
+    """Histories of order ``k`` whose weight the block needs: seen in training, and before a token here that never followed them."""
+    level = block.levels[k - 1]
+    asked = np.unique(level.history[level.total == 0])
+    return asked[_history_totals(block, k)[asked] > 0]
+
+
+def _masses(block: Block, k: int, model: Model, buckets: int) -> list[dict]:
+    """Discounted counts and lower probabilities of the followers that the block owns, of histories that a held-out text has."""
+    level, below = block.levels[k - 1], block.levels[k - 2]
+    n = len(_history_totals(block, k))
+    held = np.append(below.held, True) if k == 2 else below.held
+    mine = np.flatnonzero(level.owned & (level.total > 0) & held[level.history])
+    h = level.history[mine]
+    seen = np.bincount(h, model.discounted(k, level.total[mine]), minlength=n)
+    lower = np.bincount(h, model.seen(block, k - 1)[level.suffix[mine]], minlength=n)
+    asks = np.zeros(n, bool)
+    asks[_unseen(block, k)] = True
+    lanes = block.history_lanes(k)
+    at, ends = _by_bucket(lanes(0), np.flatnonzero(asks | (seen > 0)), buckets)
+    keys, seen, lower, asks = _keys(lanes, at, ends), seen[at], lower[at], asks[at]
+    rows = []
+    for b in np.flatnonzero(np.diff(ends)).tolist():
+        mine = slice(ends[b], ends[b + 1])
+        packed = {"seen": _pack(seen[mine]), "lower": _pack(lower[mine]), "asks": _pack(np.packbits(asks[mine]))}
+        rows.append({"order": k, "bucket": b, "block": block.row["block"], "keys": keys[b], **packed})
+    return rows
+
+
+def _weighed(masses: DataFrame, buckets: int) -> DataFrame:
+    """The masses of every history that a block asked for, in the order of its keys."""
+    schema = arrow(WEIGHTS)
 
-def _masses(blocks: DataFrame, known: DataFrame, replies: DataFrame, model: Model, hot: np.ndarray, buckets: int, least: int) -> DataFrame:
-    """Per history, the discounted counts of its kept bigrams and the probabilities of their words, from the blocks that own them."""
-    joined = blocks.select("block", "lengths", "tokens", "words").join(known, "block").join(_answers(replies, "totals", "owned"), "block")
+    def add(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["block"])
+        order, first = _grouped(rows)
+        times = np.diff(np.append(first, len(order)))
+        sums = {}
+        for name in ("seen", "lower"):
+            sums[name] = np.empty(len(order))
+            sums[name][order] = np.repeat(np.add.reduceat(np.concatenate([_unpack(r[name], np.float64) for r in rows])[order], first), times)
+        found, start = [], 0
+        for r in rows:
+            n = len(r["keys"]) // KEY
+            asks = np.unpackbits(_unpack(r["asks"], np.uint8), count=n).astype(bool)
+            if asks.any():
+                found.append({c: r[c] for c in ("order", "bucket", "block")} | {c: _pack(s[start : start + n][asks]) for c, s in sums.items()})
+            start += n
+        return pa.Table.from_pylist(found, schema=schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow(MASSES)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                known, answers = batch.column("known")[i].values, batch.column("answers")[i].values
-                row = batch.slice(i, 1).drop_columns(["known", "answers"]).to_pylist()[0]
-                _, _, keys, _ = _bigrams(row)
-                hashes = np.append(_hashes(row["words"]), np.uint64(START_HASH))
-                totals = _totals(answers)
-                owned = [np.unpackbits(np.frombuffer(zlib.decompress(o.as_py()), np.uint8), count=len(t)).astype(bool) for o, t in zip(answers.field("owned"), totals, strict=True)]
-                total, own = (_in_key_order(x, hashes, keys, hot, buckets) for x in (totals, owned))
-                kept = own & (total >= least)
-                p = np.zeros(len(row["words"]))
-                count = known.field("c").to_numpy(zero_copy_only=False)
-                p[known.field("at").to_numpy(zero_copy_only=False)] = _ratios(count, model.word_discounts) * count / model.word_mass * (1 - model.unknown)
-                h, w, total = keys[kept] >> 32, keys[kept] & 0xFFFFFFFF, total[kept]
-                seen, lower = (np.bincount(h, x, minlength=len(hashes)) for x in (_ratios(total, model.gram_discounts) * total, p[w]))
-                at = np.unique(h)
-                yield record_batch(schema, [hashes[at].view(np.int64), seen[at], lower[at]])
-
-    return joined.mapInArrow(run, MASSES).groupBy("h").agg(F.sum("seen").alias("seen"), F.sum("lower").alias("lower"))
-
-
-def train(blocks: DataFrame, least: int = LEAST) -> tuple[Model, DataFrame, DataFrame]:
-    """The model over ``blocks``; words (word, c, log_weight, bare), and totals for each block."""
-    spark = blocks.sparkSession
-    listed = blocks.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select("x.words", "x.counts").where("counts > 0")
-    counted = written(listed.groupBy(F.col("words").alias("word")).agg(F.sum("counts").alias("c")), "katz-word-counts")
-    sums = counted.agg(F.sum("c").alias("n"), F.count("*").alias("v"), *[F.sum((F.col("c") == r).cast("long")).alias(f"n{r}") for r in range(1, K + 2)]).first()
-    n, v = sums["n"] or 0, sums["v"]
-    texts = counted.where(F.col("word") == F.lit(END)).agg(F.sum("c")).first()[0] or 0
-
-    # histories above a quarter of a bucket's share: at most 4 * buckets of them
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    frequent = [bytes(r.word) for r in counted.where(F.col("c") * 4 * buckets > n).select("word").collect()]
-    hot = np.append(_hashes(frequent), np.uint64(START_HASH)) if frequent else np.array([START_HASH], np.uint64)
-    added = written(_added(_asked(blocks, hot, buckets)), "katz-bigrams")
-    free_shuffles(spark)
-    tally = added.agg(*[F.sum(F.element_at("tally", r)).alias(f"n{r}") for r in range(1, K + 2)]).first()
-
-    word_d = discounts([sums[f"n{r}"] or 0 for r in range(1, K + 2)])
-    gram_d = discounts([t or 0 for t in tally])
-    mass = counted.agg(F.sum(_discounted(F.col("c"), word_d))).first()[0] or 0.0
-    unknown = (n - mass + 1.0) / (n + 1.0) if n else 1.0  # what the discounts leave, and one more
-    hashed = F.pandas_udf(lambda s: s.map(lambda x: np.uint64(xxhash.xxh64_intdigest(x)).astype(np.int64)), "long")
-    words = written(counted.select("word", "c", hashed("word").alias("hash")), "katz-words")
-    remove(spark, counted)
-
-    model = Model(n, v, word_d, mass, unknown, gram_d, float(texts), 1.0)
-    known = _known(blocks, words, "katz-known-counts", "c")
-    left = written(_masses(blocks, known, added, model, hot, buckets, least), "katz-histories")
-    free_shuffles(spark)
-    remove(spark, known)
-    bare = F.coalesce("seen", F.lit(0.0)) >= F.col("c")  # nothing left: one more occurrence
-    hc = F.when(bare, F.col("c") + 1.0).otherwise(F.col("c").cast("double"))
-    weight = (1 - F.coalesce("seen", F.lit(0.0)) / F.col("hc")) / (1 - F.coalesce("lower", F.lit(0.0)))
-    finished = words.join(left, words["hash"] == left["h"], "left").withColumn("hc", hc).select("word", "c", F.log10(weight).alias("log_weight"), (F.col("hc") > F.col("c")).alias("bare"))
-    finished = written(finished, "katz-weights")
-    free_shuffles(spark)
-    start = left.where(F.col("h") == F.lit(int(np.uint64(START_HASH).astype(np.int64)))).first()
-    seen, lower = (start.seen, start.lower) if start else (0.0, 0.0)
-    for table in (words, left):
-        remove(spark, table)
-    model.start_count = texts + 1.0 if seen >= texts else float(texts)
-    model.start_weight = (1 - seen / model.start_count) / (1 - lower)
-    return model, finished, added.select("block", "bucket", "totals")
+    return masses.repartition(buckets, "bucket").groupBy("order", "bucket").applyInArrow(add, WEIGHTS)
 
 
 SCORES = T.StructType(
@@ -328,61 +452,117 @@ SCORES = T.StructType(
 )
 
 
-def score(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """Base and model log10 probability of every row's text; bigrams seen fewer than ``least`` times count as not seen."""
-    spark = docs.sparkSession
-    blocks = written(_blocks(docs), "katz-blocks")
-    model, words, replies = train(blocks, least)
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lists = _known(blocks, words, "katz-known", "c", "log_weight", "bare")
-    joined = blocks.drop("counts").join(lists, "block", "left").join(_answers(replies, "totals"), "block", "left")
-    frequent = words.where(F.col("c") * 4 * buckets > model.train_tokens).select("word")
-    hot = np.append(_hashes([bytes(r.word) for r in frequent.collect()]), np.uint64(START_HASH))
+def _scored(block: Block, order: int, model: Model, weights: list[dict], buckets: int) -> list:
+    """The columns of ``SCORES``: every token by its longest n-gram, from words upwards."""
+    words = block.levels[0].total
+    value = np.log10(np.where(words > 0, model.words(words), model.unknown))
+    tokens = block.levels[0].which
+    score = value[tokens]
+    for k in range(2, order + 1):
+        level = block.levels[k - 1]
+        log_weight = np.zeros(len(_history_totals(block, k)))
+        asked = _unseen(block, k)
+        if len(asked):
+            at, _ = _by_bucket(block.history_lanes(k)(0), asked, buckets)
+            rows = sorted((w for w in weights if w["order"] == k), key=lambda w: w["bucket"])
+            seen, lower = (np.concatenate([_unpack(w[c], np.float64) for w in rows]) for c in ("seen", "lower"))
+            hc = model.occurrences(k, _history_totals(block, k)[at])
+            log_weight[at] = np.log10((1 - seen / hc) / np.maximum(1 - lower, 1e-15))
+        found = level.total > 0
+        value = np.where(found, np.log10(np.where(found, model.seen(block, k), 1.0)), log_weight[level.history] + value[level.suffix])
+        score = np.where(level.which >= 0, value[level.which] if len(value) else 0.0, score)
+    base = np.log10((words + 0.5) / (model.train_tokens + 0.5 * (model.distinct + 1)))
+    sums = [np.add.reduceat(x, block.starts) for x in ((words > 0)[tokens].astype(np.int64), base[tokens], score)]
+    return [block.row["doc_ids"], block.row["held_out"], block.lengths, sums[0], np.full(len(block.lengths), model.train_tokens), *sums[1:]]
+
+
+def _answered(row: dict, order: int, buckets: int, replies: list[dict]) -> Block:
+    """A block of levels up to ``order`` with the totals that came for them."""
+    block = Block(row, order)
+    for k in range(1, order + 1):
+        if any(r["k"] == k for r in replies):
+            block.answer(k, buckets, [r for r in replies if r["k"] == k])
+    return block
+
+
+def _with_replies(blocks: DataFrame, replies: DataFrame, schema: T.StructType, make) -> DataFrame:
+    """``make(row, replies)`` for every block, as rows of ``schema``."""
+
+    def run(block: pa.Table, told: pa.Table) -> pa.Table:
+        out = [b for row in block.to_pylist() for b in make(row, told.to_pylist())]
+        return pa.Table.from_batches(out, schema=arrow(schema))
+
+    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, schema)
+
+
+def _totals(tables: dict[int, DataFrame]) -> DataFrame:
+    out = None
+    for k, t in tables.items():
+        one = t.drop("tally").withColumn("k", F.lit(k))
+        out = one if out is None else out.unionByName(one)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow(SCORES)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                known = batch.column("known")[i].values
-                answers = batch.column("answers")[i].values
-                row = batch.slice(i, 1).drop_columns(["known", "answers"]).to_pylist()[0]
-                n, base, full, held = _score_block(row, known, answers, model, hot, buckets, least)
-                yield record_batch(schema, [row["doc_ids"], row["held_out"], row["lengths"], n, [model.train_tokens] * len(n), base, full])
-
-    return joined.mapInArrow(run, SCORES)
-
-
-def _ratios(count: np.ndarray, discounts: list[float]) -> np.ndarray:
-    return np.array([1.0, *discounts, 1.0])[np.minimum(count, K + 1)]
-
-
-def _score_block(row: dict, known, answers, model: Model, hot: np.ndarray, buckets: int, least: int):
-    v = len(row["words"])
-    c, log_p = np.zeros(v), np.full(v, math.log10(model.unknown))
-    log_weight, hc = np.zeros(v + 1), np.ones(v + 1)
-    if known is not None and len(known):
-        at = known.field("at").to_numpy(zero_copy_only=False)
-        c[at] = count = known.field("c").to_numpy(zero_copy_only=False)
-        log_p[at] = np.log10(_ratios(count, model.word_discounts) * count / model.word_mass * (1 - model.unknown))
-        log_weight[at] = known.field("log_weight").to_numpy(zero_copy_only=False)
-        hc[at] = count + known.field("bare").to_numpy(zero_copy_only=False)
-    log_weight[v], hc[v] = math.log10(model.start_weight), model.start_count
-    tokens, history, keys, which = _bigrams(row)
-    hashes = np.append(_hashes(row["words"]), np.uint64(START_HASH))
-    total = _in_key_order(_totals(answers), hashes, keys, hot, buckets)
-    h, w = keys >> 32, keys & 0xFFFFFFFF
-    kept = total >= least
-    discounted = _ratios(total, model.gram_discounts) * total
-    value = np.where(kept, np.log10(np.where(kept, discounted, 1.0) / hc[h]), log_weight[h] + log_p[w])
-    starts = np.concatenate(([0], np.cumsum(row["lengths"])[:-1])).astype(np.int64)
-    base = np.log10((c + 0.5) / (model.train_tokens + 0.5 * (model.distinct + 1)))
-    return (
-        np.add.reduceat((c > 0)[tokens].astype(np.int64), starts),
-        np.add.reduceat(base[tokens], starts),
-        np.add.reduceat(value[which], starts),
-        row["held_out"],
-    )
+
+def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """Base and model log10 probability of every row's text, by a model of n-grams up to ``order`` words."""
+    spark = docs.sparkSession
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    first = written(_blocks(docs), "katz-texts")
+    n = first.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    buckets = max(shuffles, -(-n // BUCKET_GRAMS))
+    # the blocks meet the replies of every order: dealt out once, and read by bucket from then on
+    name = f"katz_blocks_{uuid.uuid4().hex}"
+    dealt = max(shuffles, -(-n // BLOCK_TOKENS))
+    with brief_shuffles(spark):
+        first.repartition(dealt, "block").write.format("parquet").option("compression", "zstd").option("path", new_path(spark, "katz-blocks")).bucketBy(dealt, "block").saveAsTable(name)
+    blocks = spark.table(name)
+    remove(spark, first)
+
+    def asked(make, *columns: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    yield pa.RecordBatch.from_pylist(make(row), schema=arrow(ASKED))
+
+        return blocks.select(*columns).mapInArrow(run, ASKED)
+
+    totals: dict[int, DataFrame] = {}
+    for k in range(1, min(order, 2) + 1):
+        totals[k] = written(_added(asked(lambda row, k=k: _ask(Block(row, k), k, buckets), *[c for c in blocks.columns if c != "doc_ids"]), buckets), f"katz-totals-{k}")
+    for k in range(3, order + 1):
+
+        def more(row: dict, told: list[dict], k: int = k) -> list[pa.RecordBatch]:
+            block = Block(row, k)
+            for j in range(2, k):
+                block.answer(j, buckets, [r for r in told if r["k"] == j])
+            return [pa.RecordBatch.from_pylist(_ask(block, k, buckets), schema=arrow(ASKED))]
+
+        totals[k] = written(_added(_with_replies(blocks, _totals({j: totals[j] for j in range(2, k)}), ASKED, more), buckets), f"katz-totals-{k}")
+    tallies = []
+    for k in range(1, order + 1):
+        sums = totals[k].agg(*[F.coalesce(F.sum(F.element_at("tally", i)), F.lit(0)) for i in range(1, K + 4)]).first()
+        tallies.append(list(sums))
+    model = model_of(tallies)
+
+    def masses(row: dict, told: list[dict]) -> list[pa.RecordBatch]:
+        block = _answered(row, order, buckets, told)
+        return [pa.RecordBatch.from_pylist([r for k in range(2, order + 1) for r in _masses(block, k, model, buckets)], schema=arrow(MASS))]
+
+    every = _totals(totals)
+    weights = written(_weighed(_with_replies(blocks, every, MASS, masses), buckets), "katz-masses")
+
+    def scores(row: dict, told: list[dict]) -> list[pa.RecordBatch]:
+        block = _answered(row, order, buckets, told)
+        return [record_batch(arrow(SCORES), _scored(block, order, model, [r for r in told if r["k"] == 0], buckets))]
+
+    both = every.unionByName(weights.withColumn("k", F.lit(0)), allowMissingColumns=True)
+    out = written(_with_replies(blocks, both, SCORES, scores), "katz-scores")
+    remove(spark, blocks)
+    spark.sql(f"DROP TABLE {name}")
+    for table in (*totals.values(), weights):
+        remove(spark, table)
+    return out
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return score(docs, least=1)
+    return score(docs)
