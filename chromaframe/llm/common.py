@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -75,14 +73,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished steps now, not when the driver happens to collect its garbage."""
-    for _ in range(2):  # Python's references to the driver's objects go first, the objects themselves in the second turn
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def remove(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files behind a table made by ``written``, once nothing needs it any more."""
     jvm = spark.sparkContext._jvm

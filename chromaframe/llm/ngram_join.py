@@ -2,10 +2,10 @@
 
 A document's set holds its distinct shingles as 64-bit hashes. Two documents link when 100 * |intersection| >= percent * |union|.
 
-1. Screen: in hash order, two linked documents share at least ``ell`` of the first (missing + ell) shingles of the smaller prefix,
-   where ``missing`` shingles of a set may be absent from its partner. Documents with too few shared shingles in that prefix link
+1. Documents with the same words form a class; its smallest doc_id stands for it, and only that one goes on.
+2. Screen: in hash order, two linked sets share at least ``ell`` of the first (missing + ell) shingles of the smaller prefix,
+   where ``missing`` shingles of a set may be absent from its partner. Sets with too few shared shingles in that prefix link
    with nothing; they are most of a corpus, and leave here after one shuffle of prefixes.
-2. Documents with the same words form a class; its smallest doc_id stands for it.
 3. Prefixes: with document frequencies among the classes, shingles are ordered rare first. Rare ones are indexed singly; frequent
    ones in 2-combinations within hash buckets, for which the prefix is extended until no partner can escape: leaving every bucket
    with at most one common shingle must cost more than ``missing``. Buckets depend on the size class of the smaller set.
@@ -16,9 +16,13 @@ A document's set holds its distinct shingles as 64-bit hashes. Two documents lin
    rows, and no link between different components is left unchecked.
 5. Candidates are verified on whole sets.
 
+Frequencies are grouped sums, which Spark adds up before it shuffles; they return to their shingles in joins, whose large
+partitions adaptive execution splits. Somewhere in a large corpus two shingles will have one hash; that can only add candidates. The verdict
+on a pair hangs on the hashes of its own shingles alone, at most n^2 / 2^64 likely to be equal in two sets of n.
+
 Edge cases: texts without words (null, empty) have n_shingles 0 and link with nothing, each its own component. Texts of fewer words
 than a shingle are one shingle, the whole sequence. Rows whose doc_id is null link with nothing and have a null component. Rows that repeat
-a doc_id are one document with either text. Other columns are not read.
+a doc_id each have their own n_shingles; their links are those of the text whose digest is smallest. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chromaframe.llm.bpe import _Aged
-from chromaframe.llm.common import SPACE_WORDS, arrow, free_shuffles, record_batch, slices, text_bytes, written
+from chromaframe.llm.common import SPACE_WORDS, arrow, record_batch, remove, slices, text_bytes, written
 from chromaframe.llm.components import components
 
 WORDS = 5
@@ -81,10 +85,14 @@ def _ell(n: int) -> int:
     return max(1, n // 10)
 
 
-SCREEN = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("need", T.IntegerType()), T.StructField("token", T.ArrayType(T.LongType()))])
-SETS = T.StructType(
-    [T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("tokens", T.ArrayType(T.LongType()))]
+SIZES = T.StructType(
+    [T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
 )
+SETS = T.StructType([T.StructField("rep", T.LongType()), T.StructField("n", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
+
+
+def _digest(words: list[bytes]) -> bytes:
+    return blake2b(b" ".join(words), digest_size=16).digest()
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -92,43 +100,62 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, np.zeros(0, np.uint64)]).view(np.int64)))
 
 
-def _screen(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_ids that share enough prefix shingles with others to link with anything."""
+def _sizes(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Every row's set size, with the digest of its words and the prefix to screen by; null and empty without words or doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow(SCREEN)
+        schema = arrow(SIZES)
         for batch in slices(batches, "text", 4 << 20):
-            prefixes, need = [], []
-            for text in batch.column("text").to_pylist():
-                s = shingles(text.translate(SPACE_WORDS).split(), width)
-                n = len(s)
-                prefixes.append(s[: missing(n, percent) + _ell(n)])
-                need.append(_ell(-(-percent * n // 100)))
-            yield record_batch(schema, [batch.column("doc_id"), need, _lists(prefixes).cast(schema.field(2).type)])
+            sizes, digests, prefixes = [], [], []
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                words = text.translate(SPACE_WORDS).split()
+                s = shingles(words, width)
+                sizes.append(len(s))
+                known = len(words) > 0 and doc is not None
+                digests.append(_digest(words) if known else None)
+                prefixes.append(s[: missing(len(s), percent) + _ell(len(s))] if known else s[:0])
+            yield record_batch(schema, [batch.column("doc_id"), sizes, digests, _lists(prefixes).cast(schema.field(3).type)])
+
+    return texts.mapInArrow(run, SIZES)
 
-    rows = docs.mapInArrow(run, SCREEN).select("doc_id", "need", F.explode("token").alias("token"))
-    shared = rows.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
-    return shared.groupBy("doc_id", "need").count().where(F.col("count") >= F.col("need")).select("doc_id").distinct()
 
+def _frequent(tokens: DataFrame) -> DataFrame:
+    """``tokens`` that occur in more than one row, with the number ``df`` of these."""
+    return tokens.join(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "token")
 
-def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """Set sizes of all documents, with digest and shingles of the wanted ones."""
-    few = wanted.count() <= MAX_BROADCAST_IDS
-    marked = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left").select("doc_id", "text", "wanted")
+
+def _few(ids: DataFrame) -> DataFrame:
+    """``ids`` to be broadcast where they are few."""
+    return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
+
+
+def _screen(sizes: DataFrame, member: DataFrame, percent: int) -> DataFrame:
+    """Classes (rep, digest) that share enough prefix shingles with others to link with anything."""
+    copies = member.where("doc_id <> rep").select("doc_id")
+    prefixes = sizes.join(_few(copies), "doc_id", "left_anti").select(F.col("doc_id").alias("rep"), F.explode("prefix").alias("token"))
+    shared = _frequent(prefixes).groupBy("rep").count()
+    least = F.ceil(F.col("n") * percent / 100)  # of the smallest partner
+    need = sizes.groupBy(F.col("doc_id").alias("rep")).agg(F.min(F.greatest(F.lit(1), F.floor(least / 10))).alias("need"))
+    classes = member.where("doc_id = rep").select("rep", "digest")
+    return classes.join(shared, "rep").join(need, "rep").where(F.col("count") >= F.col("need")).select("rep", "digest")
+
+
+def _sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """The shingles of the wanted classes."""
+    marked = texts.join(_few(wanted), F.col("doc_id") == F.col("rep")).select("rep", "text", "digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow(SETS)
         for batch in slices(batches, "text", 4 << 20):
-            sizes, digests, tokens = [], [], []
-            for text, want in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+            reps, sets = [], []
+            for rep, text, digest in zip(*(batch.column(c).to_pylist() for c in ("rep", "text", "digest")), strict=True):
                 words = text.translate(SPACE_WORDS).split()
-                s = shingles(words, width)
-                sizes.append(len(s))
-                digests.append(blake2b(b" ".join(words), digest_size=16).digest() if want else None)
-                tokens.append(s.view(np.int64) if want else None)
-            yield record_batch(schema, [batch.column("doc_id"), sizes, digests, tokens])
+                if _digest(words) == digest:
+                    reps.append(rep)
+                    sets.append(shingles(words, width))
+            yield record_batch(schema, [reps, [len(s) for s in sets], _lists(sets).cast(schema.field(2).type)])
 
-    return marked.mapInArrow(run, SETS)
+    return marked.mapInArrow(run, SETS).dropDuplicates(["rep"])
 
 
 SIGNATURES = T.StructType(
@@ -178,7 +205,7 @@ def signatures(n: int, df: np.ndarray, tokens: np.ndarray, percent: int = PERCEN
 
 
 def _signature_rows(classes: DataFrame, percent: int) -> DataFrame:
-    tokens = classes.select("rep", "n", F.explode("tokens").alias("token")).withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
+    tokens = _frequent(classes.select("rep", "n", F.explode("tokens").alias("token")))
     own = tokens.groupBy("rep", "n").agg(F.collect_list("token").alias("tokens"), F.collect_list("df").alias("df"))  # bounded by a document
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +306,9 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     of = labels.withColumnRenamed("component", "c")
     edges = links.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     merged = components(edges).toDF("component", "into")
-    return written(labels.join(merged, "component", "left").select("rep", F.coalesce("into", "component").alias("component")), "ngram-labels")
+    out = written(labels.join(merged, "component", "left").select("rep", F.coalesce("into", "component").alias("component")), "ngram-labels")
+    remove(labels.sparkSession, merged)
+    return out
 
 
 def _open(placed: DataFrame, *order) -> DataFrame:
@@ -311,7 +340,6 @@ def linked_classes(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFra
         tested, links = tested.unionByName(new), links.unionByName(more)
         if not more.isEmpty():
             labels = _joined(labels, more)
-    free_shuffles(rows.sparkSession)
     placed = written(rows.join(labels, "rep"), "ngram-placed")
     last = written(_across(placed, _open(placed, F.xxhash64("rep")), classes, percent), "ngram-links")
     return (labels if last.isEmpty() else _joined(labels, last)), links.unionByName(last)
@@ -322,29 +350,30 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
 
     The links hold every pair compared and found similar; pairs inside a component that a leader already joined are not listed.
     """
+    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    wanted = written(_screen(texts.where("doc_id is not null"), width, percent).withColumn("wanted", F.lit(True)), "ngram-wanted")
-    free_shuffles(docs.sparkSession)
-    sets = written(_sets(texts, wanted, width), "ngram-sets")
-    chosen = sets.where("tokens is not null")
-    reps = chosen.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    classes = written(
-        chosen.join(reps.select("digest", "rep"), "digest").where("doc_id = rep").select("rep", "n", "tokens").dropDuplicates(["rep"]), "ngram-classes"
-    )
-    free_shuffles(docs.sparkSession)
+    sizes = written(_sizes(texts, width, percent), "ngram-sizes")
+    one = sizes.where("digest is not null").groupBy("doc_id").agg(F.min("digest").alias("digest"))
+    reps = written(one.groupBy("digest").agg(F.min("doc_id").alias("rep")), "ngram-reps")  # so that a join can split a digest of many rows
+    member = written(one.join(reps, "digest").select("doc_id", "digest", "rep"), "ngram-members")
+    wanted = written(_screen(sizes, member, percent), "ngram-wanted")
+    counted = written(sizes.select("doc_id", F.col("n").alias("n_shingles")), "ngram-counts")
+    remove(spark, sizes)
+    classes = written(_sets(texts, wanted, width), "ngram-classes")
     merged, links = linked_classes(classes, percent)
-    member = chosen.select("doc_id", "digest").join(reps, "digest").select("doc_id", "rep")
-    member = member.join(merged, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
-    out = sets.select("doc_id", F.col("n").alias("n_shingles")).join(member, "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")), links
+    component = member.select("doc_id", "rep").join(merged, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
+    out = counted.join(component, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    found = written(out, "ngram-components")
+    for table in (reps, member, wanted, counted, classes, merged):
+        remove(spark, table)
+    return found, links
 
 
 def deduplicate(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each component, the smallest doc_id; rows without a doc_id stay, all columns stay."""
     found, _ = near_duplicates(docs, width, percent)
     drop = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "ngram-dropped")
-    small = drop.count() <= MAX_BROADCAST_IDS
-    return docs.join(F.broadcast(drop) if small else drop, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(_few(drop), "doc_id", "left_anti").select(*docs.columns)
 
 
 def query(docs: DataFrame) -> DataFrame:
