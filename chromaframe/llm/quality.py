@@ -1,11 +1,12 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
-Statistics of every text are computed in one pass; rows that have a label and may be learned from are fitted on the driver, at most
-``MAX_TRAIN`` of them, taken in the order of a hash of doc_id (the one bounded sample here). Trees are complete and flattened into
-arrays, so scoring is a few numpy look-ups per level for a whole batch. labels, lang, source and doc_id are never inputs of a score.
+Of the labels that may be learned from, at most ``MAX_TRAIN`` are taken in the order of a hash of doc_id (the one bounded sample here);
+the statistics of their texts go to the driver, where the trees are fitted. Trees are complete and flattened into arrays, so
+scoring is a few numpy look-ups per level for a whole batch. Then every text is read once: its statistics are computed and scored in the
+same pass. labels, lang, source and doc_id are never inputs of a score.
 
 Edge cases: null text counts as empty and is scored. Labels that are null, or whose doc_id is null or unknown, are ignored;
-repeated labels of a doc_id count once each. Without usable labels, or with one class only, every score is that class's share
+repeated labels of a doc_id count once each, and once per row where the doc_id repeats. Without usable labels, or with one class only, every score is that class's share
 (0.5 without any). Repeated documents get equal scores. Other columns are kept by ``filter_quality`` and not read.
 """
 
@@ -133,59 +134,73 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
     return Trees(np.array(features), np.array(thresholds), np.array(values), base)
 
 
-STATISTICS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("x", T.ArrayType(T.FloatType()))])
+STATISTICS = T.StructType([T.StructField("y", T.DoubleType()), T.StructField("x", T.ArrayType(T.FloatType()))])
 
 
-def document_statistics(docs: DataFrame) -> DataFrame:
+def _statistics(texts: list[bytes]) -> np.ndarray:
+    return np.array([statistics(t) for t in texts], np.float32).reshape(-1, N_FEATURES)
+
+
+def training_labels(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
+    """Labels (doc_id, y) of rows of ``docs`` whose crc32 of doc_id is not 0 modulo ``HELD_OUT_MOD``: the first ``max_train`` by hash."""
+    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).dropna()
+    usable = usable.where(crc_remainder("doc_id", HELD_OUT_MOD) != 0).withColumn("h", F.xxhash64("doc_id"))
+    usable = written(usable.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi"), "quality-labels")
+    n = usable.count()
+    if n > max_train:  # a bound on the hash leaves little more than is taken, so no task sorts more than that
+        bound = -(2**63) + int(2**64 * min(1.0, 1.1 * max_train / n + 100 / n))
+        usable = usable.where(F.col("h") < F.lit(min(bound, 2**63 - 1)))
+    return usable.orderBy("h", "doc_id", "y").limit(max_train).select("doc_id", "y")
+
+
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Trees:
+    """Trees from the texts of at most ``max_train`` labels."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow(STATISTICS)
         for batch in slices(batches, "text"):
-            x = np.array([statistics(t) for t in batch.column("text").to_pylist()], np.float32).reshape(-1)
+            x = _statistics(batch.column("text").to_pylist()).ravel()
             lists = pa.ListArray.from_arrays(np.arange(0, len(x) + 1, N_FEATURES, dtype=np.int32), pa.array(x))
-            yield record_batch(schema, [batch.column("doc_id"), lists.cast(schema.field(1).type)])
-
-    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(run, STATISTICS)
+            yield record_batch(schema, [batch.column("y"), lists.cast(schema.field(1).type)])
 
-
-def train(stats: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Trees:
-    """Trees from the statistics of labelled rows whose crc32 of doc_id is not 0 modulo ``HELD_OUT_MOD``."""
-    usable = labels.select("doc_id", F.col("quality").cast("double").alias("y")).dropna().where(crc_remainder("doc_id", HELD_OUT_MOD) != 0)
-    # the statistics carry up to max_train rows to the driver: about 12 MB
-    rows = stats.join(usable, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_train).select("x", "y").toArrow()
+    chosen = F.broadcast(training_labels(docs, labels, max_train))  # max_train rows of two numbers
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).join(chosen, "doc_id").select("y", "text")
+    rows = texts.mapInArrow(run, STATISTICS).toArrow()  # about 12 MB at 40,000 rows
     x = np.array(rows.column("x").to_pylist(), np.float64).reshape(-1, N_FEATURES)
-    return fit(x, np.array(rows.column("y").to_pylist(), np.float64))
+    y = np.array(rows.column("y").to_pylist(), np.float64)
+    order = np.lexsort((*x.T, y))  # the same trees in whatever order the rows came
+    return fit(x[order], y[order])
 
 
 SCORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())])
 
 
-def score(stats: DataFrame, model: Trees) -> DataFrame:
-    trees = stats.sparkSession.sparkContext.broadcast(model)  # a few hundred kB by its depth and number of trees
+def score(docs: DataFrame, model: Trees) -> DataFrame:
+    """doc_id and score of every row."""
+    trees = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred kB by its depth and number of trees
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow(SCORED)
-        for batch in batches:
-            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, N_FEATURES)
+        for batch in slices(batches, "text"):
+            x = _statistics(batch.column("text").to_pylist()).astype(np.float64)
             yield record_batch(schema, [batch.column("doc_id"), trees.value.score(x)])
 
-    return stats.mapInArrow(run, SCORED)
+    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(run, SCORED)
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_train: int = MAX_TRAIN) -> DataFrame:
     """``docs`` without the rows scored under ``threshold``; all columns stay."""
-    stats = written(document_statistics(docs), "quality-statistics")
-    trees = docs.sparkSession.sparkContext.broadcast(train(stats, labels, max_train))
+    trees = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_train))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            x = np.array([statistics((t or "").encode()) for t in batch.column("text").to_pylist()], np.float32).astype(np.float64)
-            yield batch.filter(pa.array(trees.value.score(x.reshape(-1, N_FEATURES)) >= threshold))
+            x = _statistics([(t or "").encode() for t in batch.column("text").to_pylist()]).astype(np.float64)
+            yield batch.filter(pa.array(trees.value.score(x) >= threshold))
 
     return docs.mapInArrow(keep, docs.schema)
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    stats = written(document_statistics(docs), "quality-statistics")
-    scored = score(stats, train(stats, labels))
     held_out = F.coalesce(crc_remainder("doc_id", HELD_OUT_MOD) == 0, F.lit(False))
+    scored = score(docs, train(docs, labels))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
