@@ -2,24 +2,29 @@
 
 Every text is reduced to its SHA-256. A structured stream reads (digest, doc_id, locator) and keeps, without expiry, one state row
 per digest in the RocksDB state store: how many rows, and the row that stays (largest doc_id) with the locator of its content (file
-and row in it). The state lives in the checkpoint folder, so later runs with the same ``state`` path go on from it. Rows whose
-digest was seen more than once are hits: their full bytes are compared with the bytes of the row that stays. Should bytes ever
-differ under one digest, those digests are grouped again by the text itself.
+and row in it). The state lives in the shared folder, so later runs with the same ``state`` path go on from it; the
+digests of all rows lie beside it. Rows whose digest was seen more than once are hits: their full bytes are compared with the bytes of the row that stays, which are read by its
+locator where an earlier run kept it. Should bytes ever differ under one digest, those digests are grouped again by the text itself,
+among the rows of this run and the one kept before.
 
 Hot groups: state updates are summed before the shuffle; full texts of hits meet the row that stays in sort-merge joins, whose
 large partitions adaptive execution splits.
 
 Edge cases: a null text counts as empty, and equals an empty one. Of rows with equal text the largest doc_id stays, null ids being
-smallest; of rows that tie in that, the largest locator. An empty table gives an empty result. Other columns are not read; ``deduplicate``
+smallest; of rows that tie in that, the largest locator. With a ``state`` of earlier runs, groups count their rows too, and a row stays
+only where no earlier one of its text had a larger doc_id. An empty table gives an empty result. Other columns are not read; ``deduplicate``
 keeps them all.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from chromaframe.llm.common import new_path, written
@@ -33,6 +38,10 @@ STATE_STORE = {
 }
 
 
+def _place() -> list[Column]:
+    return [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+
+
 def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
@@ -41,18 +50,17 @@ def located(docs: DataFrame) -> DataFrame:
     """``docs`` read from files, with ``_file`` and ``_row``; other frames are first written to the shared folder."""
     if {"_file", "_row"} <= set(docs.columns):
         return docs
-    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
     try:
-        return docs.select("*", *place)
+        return docs.select("*", *_place())
     except AnalysisException:
-        return written(docs, "dedup-docs").select("*", *place)
+        return written(docs, "dedup-docs").select("*", *_place())
 
 
 def _stream_state(spark: SparkSession, rows: DataFrame, path: str, state: str) -> DataFrame:
     """Run the keyed state over the files of ``rows`` at ``path``; the latest state row of each digest in them."""
     out = new_path(spark, "dedup-state-rows")
     keyed = (
-        spark.readStream.schema(rows.schema)
+        spark.readStream.schema(T.StructType([*rows.schema.fields, T.StructField("run", T.StringType())]))
         .parquet(path)
         .groupBy("digest")
         .agg(F.count(F.lit(1)).alias("group_size"), F.max(_order()).alias("keep"))
@@ -94,24 +102,42 @@ def decisions(docs: DataFrame, state: str | None = None, digest: Callable[[Colum
     full = located(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "_file", "_row")
     full = full.withColumn("digest", digest(F.col("text")))
     slim = full.drop("text")
-    path = new_path(spark, "dedup-digests")
-    slim.write.option("compression", "zstd").parquet(path)
-    rows = spark.read.schema(slim.schema).parquet(path)
-    kept = _stream_state(spark, rows, path, state or new_path(spark, "dedup-state"))
+    at = (state or new_path(spark, "dedup-state")).rstrip("/")
+    path = f"{at}-rows"  # every run of a state adds its rows to what the stream has read
+    one = f"{path}/run={uuid.uuid4().hex}"
+    slim.write.option("compression", "zstd").parquet(one)
+    rows = spark.read.schema(slim.schema).parquet(one)
+    kept = _stream_state(spark, rows, path, at)
     result = _decided(rows, kept, "digest")
 
     # full bytes of every hit against the bytes of the row that stays
     hits = written(full.join(kept.where("group_size > 1").select("digest", "keep"), "digest"), "dedup-hits")
-    stays = hits.where(_is_kept()).select("digest", F.col("text").alias("kept_text"))
-    differ = hits.join(stays, "digest").where("text <> kept_text").select("digest").distinct()
+    stays = hits.where(_is_kept())
+    earlier = _kept_before(hits, stays) if state else None
+    if earlier is not None:
+        stays = stays.unionByName(earlier)
+    differ = hits.join(stays.select("digest", F.col("text").alias("kept_text")), "digest").where("text <> kept_text").select("digest").distinct()
     if differ.isEmpty():
         return result
     differ = written(differ, "dedup-collisions")
     clashing = hits.join(differ, "digest", "left_semi").drop("keep")
-    by_text = clashing.groupBy("digest", "text").agg(F.count(F.lit(1)).alias("group_size"), F.max(_order()).alias("keep"))
+    every = clashing if earlier is None else clashing.unionByName(earlier.join(differ, "digest", "left_semi").drop("keep"))
+    by_text = every.groupBy("digest", "text").agg(F.count(F.lit(1)).alias("group_size"), F.max(_order()).alias("keep"))
     return result.join(differ, "digest", "left_anti").unionByName(_decided(clashing, by_text, "digest", "text"))
 
 
+def _kept_before(hits: DataFrame, stays: DataFrame) -> DataFrame | None:
+    """The rows that an earlier run kept and hits of this one equal by digest, read from their files; None without any."""
+    lost = hits.join(stays.select("digest"), "digest", "left_anti").groupBy("digest").agg(F.first("keep").alias("keep"))
+    lost = written(lost, "dedup-earlier")
+    files = [unquote(r[0]) for r in lost.select("keep._file").distinct().collect()]  # names of files, not rows
+    if not files:
+        return None
+    texts = hits.sparkSession.read.parquet(*files).select(F.coalesce("text", F.lit("")).alias("text"), *_place())
+    found = lost.join(texts, (F.col("keep._file") == F.col("_file")) & (F.col("keep._row") == F.col("_row")))
+    return written(found.select("digest", F.col("keep.doc_id").alias("doc_id"), "text", "_file", "_row", "keep"), "dedup-earlier-texts")
+
+
 def _is_kept() -> Column:
     return (F.col("_file") == F.col("keep._file")) & (F.col("_row") == F.col("keep._row"))
 
