@@ -4,8 +4,13 @@ Texts become one line of lower-case words, in which the automaton finds every ph
 identifier tag are looked at once more as raw text: what follows the tag up to the line's end is an expression of licence ids, AND,
 OR, WITH and parentheses. Its ids become labels, unless it cannot be parsed.
 
-Edge cases: a null or empty text has no words, no places, null first and last word, empty labels and score 0. Repeated rows are
-reported once per row. Other columns are not read.
+The verdict says whether the text may be used under permissive terms alone: "permissive" where every parsed expression can be met by
+``PERMISSIVE`` ids (of an OR, one side is enough) and every phrase names a permissive licence, "restricted" where not, null without
+labels. A phrase whose licence an expression names is left to that expression. The score is 1 less the product of the doubts that the distinct
+pieces of evidence leave: ``WORD_DOUBT`` per word of a phrase, ``TAG_DOUBT`` of a parsed expression, ``BROKEN_DOUBT`` of another tag.
+
+Edge cases: a null or empty text has no words, no places, null first and last word, empty labels, a null verdict and score 0. Repeated
+rows are reported once per row. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -46,8 +51,24 @@ NOTICES = {
     "isc license": "isc",
     "released into the public domain": "public-domain",
     "all rights reserved": "all-rights-reserved",
+    "the software is provided as is without warranty of any kind": "mit",
+    "neither the name of the copyright holder nor the names of its contributors": "bsd",
+    "licensed under the apache license": "apache-2.0",
+    "you may not use this file except in compliance with the license": "apache-2.0",
+    "under the terms of the gnu general public license": "gpl",
+    "under the terms of the gnu lesser general public license": "lgpl",
+    "subject to the terms of the mozilla public license": "mpl",
+    "permission to use copy modify and or distribute this software for any purpose": "isc",
+    "to the extent possible under law": "cc0",
+    "this is free and unencumbered software released into the public domain": "public-domain",
 }
 
+#: Labels whose terms ask for no more than notices.
+PERMISSIVE = frozenset(
+    "mit mit-0 apache-2 apache-2.0 bsd 0bsd bsd-2-clause bsd-3-clause isc zlib bsl bsl-1.0 cc0 cc0-1.0 cc-by cc-by-3.0 cc-by-4.0 unlicense public-domain".split()
+)
+WORD_DOUBT, TAG_DOUBT, BROKEN_DOUBT = 0.85, 0.05, 0.8
+
 TAG = "spdx license identifier"
 _RAW_TAG = re.compile(r"SPDX-License-Identifier\s*:([^\r\n]*)", re.IGNORECASE)
 _TOKEN = re.compile(r"\s*(\(|\)|[A-Za-z0-9.+:-]+)")
@@ -136,38 +157,49 @@ def _automaton() -> ahocorasick.Automaton:
     return automaton
 
 
-def scan_text(raw: bytes) -> tuple[int, int, int | None, int | None, list[str], list[str], float, list[str]]:
-    """n_words, n_base, first and last word of base places, base labels, all labels, score, expressions."""
+def verdict(expressions: list[list[tuple[str, str]]], phrases: set[str]) -> str | None:
+    """Whether all that a text names can be met by permissive licences."""
+    if not expressions and not phrases:
+        return None
+    named = {i for e in expressions for i in expression_ids(e)}
+    loose = {p for p in phrases if not any(i == p or i.startswith(p + "-") for i in named)}
+    return "permissive" if loose <= PERMISSIVE and all(evaluate(e, PERMISSIVE) for e in expressions) else "restricted"
+
+
+def scan_text(raw: bytes) -> tuple:
+    """n_words, n_base, first and last word of base places, base labels, all labels, score, expressions, verdict."""
     words = raw.translate(ALNUM_WORDS).split()
     line = b" %b " % b" ".join(words)
     n_base, first, last = 0, None, None
-    base, labels, expressions = set(), set(), []
+    base, labels, parsed, expressions = set(), set(), [], []
+    evidence: set[tuple[str, int]] = set()
     tagged = False
-    weight = 0.0
     spaces = seen = 0
     for end, what in _automaton().iter(line.decode("latin-1")):
         spaces += line.count(b" ", seen, end)
         seen = end
         for kind, label, length in what:
+            if kind == "tag":
+                tagged = True
+                continue
+            labels.add(label)
+            evidence.add((kind + label, length))
             if kind == "base":
                 word = spaces - length
                 first, last = word if first is None else min(first, word), word if last is None else max(last, word)
                 n_base += 1
                 base.add(label)
-                weight = max(weight, 0.8)
-            elif kind == "notice":
-                labels.add(label)
-                weight = max(weight, 0.6)
-            else:
-                tagged = True
+    doubt = WORD_DOUBT ** sum(length for _, length in evidence)
+    phrases = set(labels)
     if tagged:
-        for m in _RAW_TAG.finditer(raw.decode("utf-8", "replace")):
-            postfix = parse_expression(m[1])
+        for tail in sorted({m[1].strip() for m in _RAW_TAG.finditer(raw.decode("utf-8", "replace"))}):
+            postfix = parse_expression(tail)
+            doubt *= BROKEN_DOUBT if postfix is None else TAG_DOUBT
             if postfix is not None:
-                expressions.append(m[1].strip())
+                parsed.append(postfix)
+                expressions.append(tail)
                 labels.update(expression_ids(postfix))
-                weight = 1.0
-    return len(words), n_base, first, last, sorted(base), sorted(base | labels), weight, expressions
+    return len(words), n_base, first, last, sorted(base), sorted(labels), 1.0 - doubt, expressions, verdict(parsed, phrases)
 
 
 SCANNED = T.StructType(
@@ -181,6 +213,7 @@ SCANNED = T.StructType(
         T.StructField("labels", T.ArrayType(T.StringType())),
         T.StructField("score", T.DoubleType()),
         T.StructField("expressions", T.ArrayType(T.StringType())),
+        T.StructField("verdict", T.StringType()),
     ]
 )
 
@@ -192,7 +225,7 @@ def scan(docs: DataFrame) -> DataFrame:
         schema = arrow(SCANNED)
         for batch in slices(batches, "text"):
             found = [scan_text(t) for t in batch.column("text").to_pylist()]
-            yield record_batch(schema, [batch.column("doc_id"), *([f[k] for f in found] for k in range(8))])
+            yield record_batch(schema, [batch.column("doc_id"), *([f[k] for f in found] for k in range(9))])
 
     return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(run, SCANNED)
 
@@ -200,5 +233,5 @@ def scan(docs: DataFrame) -> DataFrame:
 def query(docs: DataFrame) -> DataFrame:
     return scan(docs).select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",
-        F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score",
+        F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score", "verdict",
     )
