@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 
 from chromaframe.llm.common import ALNUM_WORDS, arrow, ascii_lower, slices, text_bytes, written
 
-#: A window takes at most about 300 bytes on the driver and in each worker, so the set stays under about 300 MB.
-MAX_BROADCAST_WINDOWS = 1_000_000
+#: A window takes at most about 300 bytes on the driver and in each worker, so the set stays under about 60 MB.
+MAX_BROADCAST_WINDOWS = 200_000
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _RAW_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
