@@ -1,12 +1,14 @@
 """Personal data by weak supervision: labelers vote on candidate spans, expectation-maximisation weighs them, a classifier decides.
 
-One pass over the texts finds candidates: the four base kinds by their exact definitions, and looser shapes (see ``LOOSE``). Every
-candidate carries the votes of ``LABELERS`` (pattern and checksum, gazetteer, context words, neighbourhood, digit variety) in -1, 0, 1
-and two coarse shape features. Votes are counted over all documents by (kind, votes, shape): at most a few thousand distinct rows,
-whatever the input. On those, expectation-maximisation estimates each labeler's reliability per class without any true label, and
-its posteriors train a logistic span classifier. Base spans always stay; other candidates stay where the classifier says so.
-
-Edge cases: a null or empty text has no spans; base_sha256 is then the digest of the empty string. Digit runs of any length are
+One pass over the texts finds candidates: the four base kinds by their exact definitions, looser shapes (see ``LOOSE``), and near misses
+that show what personal data is not: digit runs of a card's length without its checksum, dotted numbers out of range, addresses without a
+domain, long codes without a keyword. Every candidate carries the votes of ``LABELERS`` (pattern and checksum, gazetteer, context words,
+neighbourhood, digit variety) in -1, 0, 1 and a coarse shape. Votes are counted over all documents by (kind, votes, shape): at most a few
+thousand distinct rows, whatever the input. On those, expectation-maximisation estimates each labeler's reliability per class without any
+true label, and its posteriors train a logistic span classifier. Base spans always stay; other candidates stay where the classifier says so.
+
+``redact`` numbers the rows itself, so null and repeated doc_ids and columns of any name are no matter. Edge cases: a null or empty text
+has no spans; base_sha256 is then the digest of the empty string. Digit runs of any length are
 handled without conversion to numbers. All patterns run in time linear in the text. Repeated rows are reported once per row; other
 columns are not read.
 """
@@ -14,6 +16,7 @@ columns are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,6 +38,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
+_BARE_EMAIL = re.compile(r"@[A-Za-z0-9-]+(?![A-Za-z0-9-]|\.[A-Za-z0-9-])")
+_CODE = re.compile(r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z_/+=-]*[0-9])(?=[0-9_/+=-]*[A-Za-z])[A-Za-z0-9_/+=-]{32,}")
+
 #: Looser shapes, by kind.
 LOOSE = {
     "email": re.compile(r"\b[A-Za-z0-9._%+-]{1,64} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}(?: ?[\[(] ?dot ?[\])] ?[A-Za-z0-9-]{1,63}){1,4}"),
@@ -49,11 +55,15 @@ TOP_DOMAINS = frozenset("com org net edu gov io co info biz de fr es it uk us ca
 COUNTRIES = frozenset("AD AT BE CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IT LI LT LU LV MC MT NL NO PL PT RO SE SI SK SM".split())
 CONTEXT = {
     "email": ("mail", "contact", "write to", "from:", "to:"), "ip": ("ip", "address", "host", "server", "login"), "card": ("card", "visa", "credit", "payment"),
-    "phone": ("phone", "tel", "call", "mobile", "fax"), "iban": ("iban", "bank", "account"), "ssn": ("ssn", "social", "security"), "secret": ("token", "key", "secret", "pass"),
+    "phone": ("phone", "tel", "call", "mobile", "fax"), "iban": ("iban", "bank", "account"), "ssn": ("ssn", "social", "security"), "secret": ("token", "key", "secret", "passw"),
 }
-COUNTER_CONTEXT = ("version", "v.", "isbn", "order", "invoice", "figure", "fig.", "chapter", "section", "page", "test", "dummy")
+COUNTER_CONTEXT = ("version", "v.", "isbn", "order", "invoice", "figure", "fig.", "chapter", "section", "page", "test", "dummy", "commit", "sha", "checksum", "serial")
+SECRET_PREFIXES = ("ghp_", "gho_", "sk-", "sk_live_", "AKIA", "xoxb-", "xoxp-", "glpat-", "AIza")
 
 LABELERS = ["pattern", "gazetteer", "context", "neighbours", "variety"]
+#: What their votes count before anything is estimated, and how much better than chance they are held to be where little is seen; the
+#: last two mostly agree with every candidate.
+FIRST_WEIGHTS = np.array([2, 1, 1, 0.5, 0.5])
 
 
 def luhn(digits: str) -> bool:
@@ -68,9 +78,10 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
-def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(kind, start, end) of the base definitions: leftmost non-overlapping per kind, then failing matches dropped."""
+def base_spans(text: str, missed: list[tuple[int, int, int]] | None = None) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of the base definitions: leftmost non-overlapping per kind, then failing matches dropped, into ``missed`` if given."""
     out = []
+    missed = [] if missed is None else missed
     if "@" in text:
         last = 0
         for m in _DOMAIN.finditer(text):
@@ -85,14 +96,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     for m in _IP.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split(".")):
             out.append((1, *m.span()))
+        else:
+            missed.append((1, *m.span()))
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "") if m.end() - m.start() < 64 else ""
         if 16 <= len(digits) <= 19 and luhn(digits):
             out.append((2, *m.span()))
+        elif 13 <= len(digits) <= 19:
+            missed.append((2, *m.span()))
     if "+" in text:
         for m in _PHONE.finditer(text):
             if 8 <= len(_digits(m[0])) <= 15:
                 out.append((3, *m.span()))
+            else:
+                missed.append((3, *m.span()))
     return out
 
 
@@ -112,11 +129,45 @@ def loose_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def near_misses(text: str, missed: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """What only looks like a kind: ``missed`` base matches, addresses without a domain, long codes."""
+    out = list(missed)
+    if "@" in text:
+        for m in _BARE_EMAIL.finditer(text):
+            start = m.start()
+            while start and m.start() - start < 64 and text[start - 1] in _LOCAL:
+                start -= 1
+            if start < m.start():
+                out.append((0, start, m.end()))
+    if _HAS_DIGIT.search(text):
+        out += [(KINDS.index("secret"), *m.span()) for m in _CODE.finditer(text)]
+    return out
+
+
+def text_candidates(text: str) -> list[tuple[int, int, int, bool]]:
+    """(kind, start, end, base) of all candidates; others leave room to base spans, and near misses to looser ones."""
+    missed: list[tuple[int, int, int]] = []
+    taken = base_spans(text, missed)
+    out = [(*c, True) for c in taken]
+    loose = [c for c in loose_spans(text) if not any(b[0] == c[0] and b[1] < c[2] and c[1] < b[2] for b in taken)]
+    taken = sorted((c[1], c[2]) for c in taken + loose)
+    reach, ends = 0, []
+    for _, end in taken:
+        reach = max(reach, end)
+        ends.append(reach)
+    starts = [a for a, _ in taken]
+    for c in near_misses(text, missed):
+        at = bisect_left(starts, c[2])  # those that start before its end
+        if not at or ends[at - 1] <= c[1]:
+            loose.append(c)
+    return out + [(*c, False) for c in loose]
+
+
 def votes(text: str, kind: int, start: int, end: int, base: bool) -> list[int]:
     """What each labeler says about a candidate: 1 personal data, -1 not, 0 no opinion."""
     name, found = KINDS[kind], text[start:end]
     digits = _digits(found)
-    pattern = 1 if base else 0
+    pattern = 1
     if name == "iban":
         plain = found.replace(" ", "")
         turned = plain[4:] + plain[:4]
@@ -124,21 +175,31 @@ def votes(text: str, kind: int, start: int, end: int, base: bool) -> list[int]:
     elif name == "ssn":
         pattern = -1 if digits[:3] in ("000", "666") or digits[0] == "9" or digits[3:5] == "00" or digits[5:] == "0000" else 1
     elif name == "secret":
-        value = re.split(r"[:=]", found, maxsplit=1)[1].strip(" \"'")
-        pattern = 1 if any(c.isdigit() for c in value) and any(c.isalpha() for c in value) else -1
-    elif name == "phone" and not base:
-        pattern = 1 if digits[0] not in "01" else -1
+        value = re.split(r"[:=]", found, maxsplit=1)[-1]
+        pattern = 1 if LOOSE["secret"].match(found) and any(c.isdigit() for c in value) and any(c.isalpha() for c in value) else -1
+    elif not base:
+        if name == "email":
+            pattern = 0 if any(c in found for c in "[(") else -1
+        elif name == "phone":
+            pattern = -1 if found[0] == "+" or digits[0] in "01" else 1
+        else:
+            pattern = 1 if name == "card" and luhn(digits) else -1
     gazetteer = 0
     if name == "email":
-        gazetteer = 1 if re.split(r"[. )\]]", found.lower())[-1] in TOP_DOMAINS else -1
+        gazetteer = 1 if re.split(r"[. )\]@]", found.lower())[-1] in TOP_DOMAINS else -1
     elif name == "iban":
         gazetteer = 1 if found[:2] in COUNTRIES else -1
     elif name == "ip":
-        gazetteer = -1 if found.split(".")[0] in ("0", "127", "255") else 0
+        gazetteer = -1 if not base or found.split(".")[0] in ("0", "127", "255") else 0
     elif name == "card":
-        gazetteer = 1 if digits[0] in "3456" else 0
+        gazetteer = 1 if digits[0] in "3456" else -1
+    elif name == "phone":
+        gazetteer = -1 if digits[0] == "0" else 0
+    elif name == "secret":
+        gazetteer = 1 if any(p in found for p in SECRET_PREFIXES) else 0
     near = text[max(0, start - 40) : start].lower()
-    context = 1 if any(w in near for w in CONTEXT[name]) else -1 if any(w in near for w in COUNTER_CONTEXT) else 0
+    own = name == "secret" and LOOSE["secret"].match(found) is not None  # the keyword is in the span
+    context = 1 if own or any(w in near for w in CONTEXT[name]) else -1 if name == "secret" or any(w in near for w in COUNTER_CONTEXT) else 0
     before, after = text[start - 1 : start], text[end : end + 1]
     neighbours = -1 if before.isalnum() or after.isalnum() else 1
     variety = 0 if not digits else -1 if len(set(digits)) <= 2 and len(digits) > 6 else 1
@@ -177,15 +238,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, "text"):
             out = []
             for text in batch.column("text").to_pylist():
-                base = base_spans(text)
-                rest = [c for c in loose_spans(text) if not any(b[0] == c[0] and b[1] < c[2] and c[1] < b[2] for b in base)]
-                out.append(
-                    [
-                        {"kind": k, "start": a, "end": b, "base": own, "key": _key(k, votes(text, k, a, b, own), b - a)}
-                        for own, spans in ((True, base), (False, rest))
-                        for k, a, b in spans
-                    ]
-                )
+                out.append([{"kind": k, "start": a, "end": b, "base": own, "key": _key(k, votes(text, k, a, b, own), b - a)} for k, a, b, own in text_candidates(text)])
             yield record_batch(schema, [batch.column("doc_id"), out])
 
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, FOUND)
@@ -199,6 +252,12 @@ class Model:
     prior: float
     probability: dict[int, float]
 
+    def reliabilities(self) -> dict[str, tuple[float, float]]:
+        """Per labeler, how often a vote for or against is right, by the classes' own estimate."""
+        yes, no = self.prior, 1 - self.prior
+        r = self.reliability
+        return {n: (float(yes * r[j, 1, 2] / (yes * r[j, 1, 2] + no * r[j, 0, 2])), float(no * r[j, 0, 0] / (no * r[j, 0, 0] + yes * r[j, 1, 0]))) for j, n in enumerate(LABELERS)}
+
 
 def fit(counted: list[tuple[int, int]], rounds: int = 50) -> Model:
     """From (key, count): reliabilities by expectation-maximisation, then a logistic classifier on its posteriors."""
@@ -207,13 +266,13 @@ def fit(counted: list[tuple[int, int]], rounds: int = 50) -> Model:
     parts = [_unkey(k) for k, _ in counted]
     weight = np.array([n for _, n in counted], np.float64)
     said = np.array([p[1] for p in parts]) + 1
-    post = np.clip(0.5 + 0.15 * (said - 1).sum(axis=1), 0.05, 0.95)  # majority to begin with
+    post = np.clip(0.5 + 0.15 * (said - 1) @ FIRST_WEIGHTS, 0.05, 0.95)  # a weighted majority to begin with
     for _ in range(rounds):
-        prior = float(np.clip((post * weight).sum() / weight.sum(), 0.01, 0.99))
+        prior = float(((post * weight).sum() + 2) / (weight.sum() + 4))
         reliability = np.empty((len(LABELERS), 2, 3))
         for j in range(len(LABELERS)):
             for y, p in ((0, 1 - post), (1, post)):
-                tally = np.bincount(said[:, j], p * weight, 3) + 1.0
+                tally = np.bincount(said[:, j], p * weight, 3) + 2.0 ** (FIRST_WEIGHTS[j] * (2 * y - 1) * np.arange(-1, 2))
                 reliability[j, y] = tally / tally.sum()
         log = np.log(reliability)
         yes = np.log(prior) + sum(log[j, 1, said[:, j]] for j in range(len(LABELERS)))
@@ -244,8 +303,11 @@ def _features(parts: list[tuple[int, list[int], int]]) -> np.ndarray:
 
 
 def detect(docs: DataFrame, threshold: float = 0.5) -> tuple[DataFrame, Model]:
-    """Per row doc_id and ``spans`` (kind, start, end, base, probability), by kind as in ``KINDS``, then start; and the model."""
-    found = written(candidates(docs), "pii-candidates")
+    """Per row doc_id, ``spans`` (kind, start, end, base, probability) by kind as in ``KINDS``, then start, and ``rejected`` ones; and the model."""
+    return _detected(written(candidates(docs), "pii-candidates"), threshold)
+
+
+def _detected(found: DataFrame, threshold: float) -> tuple[DataFrame, Model]:
     # distinct keys are bounded by kinds x 3^labelers x shapes, far fewer in practice
     counted = [(r.key, r["count"]) for r in found.select(F.explode("found.key").alias("key")).groupBy("key").count().orderBy("key").collect()]
     model = fit(counted)
@@ -257,8 +319,11 @@ def detect(docs: DataFrame, threshold: float = 0.5) -> tuple[DataFrame, Model]:
     def spans(c: Column) -> Column:
         return F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"), F.element_at(known, c["key"]).alias("probability"))
 
-    kept = F.filter(F.transform("found", spans), lambda c: c["base"] | (c["probability"] >= threshold))
-    return found.select("doc_id", F.array_sort(kept).alias("spans")), model
+    def kept(c: Column) -> Column:
+        return c["base"] | (c["probability"] >= threshold)
+
+    every = F.transform("found", spans)
+    return found.select("doc_id", F.array_sort(F.filter(every, kept)).alias("spans"), F.array_sort(F.filter(every, lambda c: ~kept(c))).alias("rejected")), model
 
 
 def _written_spans(spans: Column) -> Column:
@@ -267,25 +332,26 @@ def _written_spans(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, mark: str = "<{kind}>") -> DataFrame:
-    """``docs`` with each span's text replaced; overlapping spans are taken together. doc_id must name one text."""
-    spans, _ = detect(docs)
+    """``docs`` with each span's text replaced; overlapping spans are taken together."""
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("all")), "pii-rows")  # numbers must not change
+    spans, _ = detect(rows.select(F.col("row").alias("doc_id"), F.col("all.text").alias("text")))
+    schema = T.StructType([rows.schema["all"], T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
             new = []
-            for text, found in zip(columns["text"].to_pylist(), columns["_spans"].to_pylist(), strict=True):
+            for text, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 at, out = 0, []
                 for c in sorted(found or [], key=lambda c: (c["start"], -c["end"])):
                     if c["start"] >= at:
                         out += [text[at : c["start"]], mark.format(kind=KINDS[c["kind"]])]
                     at = max(at, c["end"])
                 new.append(None if text is None else "".join([*out, text[at:]]))
-            columns["text"] = pa.array(new, columns["text"].type)
-            columns.pop("_spans")
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            yield pa.RecordBatch.from_arrays([batch.column("all"), pa.array(new, arrow(schema).field(1).type)], schema=pa.schema([batch.schema.field("all"), arrow(schema).field(1)]))
 
-    return docs.join(spans.where(F.size("spans") > 0).dropDuplicates(["doc_id"]).withColumnRenamed("spans", "_spans"), "doc_id", "left").select(*docs.columns, "_spans").mapInArrow(run, docs.schema)
+    some = spans.where(F.size("spans") > 0).select(F.col("doc_id").alias("row"), "spans")
+    joined = rows.join(some, "row", "left").select("all", F.col("all.text").alias("text"), "spans")
+    return joined.mapInArrow(run, schema).select(*[F.col("text") if c == "text" else F.col("all")[c].alias(c) for c in docs.columns])
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -300,4 +366,5 @@ def query(docs: DataFrame) -> DataFrame:
         *[of_kind(k).alias(f"n_{name}") for k, name in enumerate(KINDS[:4])],
         F.sha2(_written_spans(base), 256).alias("base_sha256"),
         _written_spans(F.col("spans")).alias("spans"),
+        F.size("rejected").cast("long").alias("n_rejected"),
     )

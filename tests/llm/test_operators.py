@@ -245,6 +245,21 @@ def test_exact_dedup_with_colliding_digests(docs):
     assert sizes == want
 
 
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_dedup_goes_on_from_state(spark, tmp_path, weak):
+    """A second run compares bytes with rows that the first one kept, under full digests and under ones that collide."""
+    digest = (lambda text: exact_dedup.sha256(F.length(text).cast("string"))) if weak else exact_dedup.sha256
+    runs = [[(1, "one"), (2, "two"), (9, "same"), (3, "four")], [(4, "one"), (5, "new"), (6, "same"), (7, "same"), (8, "diff")]]
+    got = []
+    for i, data in enumerate(runs):
+        spark.createDataFrame(data, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / f"run {i}"))
+        found = exact_dedup.decisions(spark.read.parquet(str(tmp_path / f"run {i}")), state=str(tmp_path / "state"), digest=digest)
+        got.append({r.doc_id: (r.keep_id, r.kept) for r in found.collect()})
+    assert got[0] == {1: (1, True), 2: (2, True), 3: (3, True), 9: (9, True)}
+    assert got[1][6] == got[1][7] == (9, False) and got[1][4] == (4, True)
+    assert got[1][5] == (5, True) and got[1][8] == (8, True)
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randint(0, 60), r.randint(0, 60)) for _ in range(30)] + [(1000 + i, 1001 + i) for i in range(20)] + [(7, 7)]
@@ -358,6 +373,68 @@ def test_pii(docs, empty):
     assert clean[11].startswith("mail <email> or <phone>, ip 10.0.0.256 <ip> card <card>") and clean[0] is None
 
 
+def planted_spans(r):
+    """A text with personal data of every kind and with things that only look like it; the true spans (kind, start, end)."""
+
+    def digits(n):
+        return "".join(r.choices("0123456789", k=n))
+
+    def card(n, right=True):
+        while pii.luhn(d := r.choice("3456") + digits(n - 1)) != right:
+            pass
+        return d
+
+    def iban():
+        body = digits(16)
+        return f"DE{98 - int(body + '131400') % 97:02d}{body}"
+
+    yes = [
+        ("email", lambda: f"{r.choice(['ann', 'bob.x', 'eve_1'])}@mail{digits(1)}.example.{r.choice(['com', 'org', 'de'])}"), ("ip", lambda: ".".join(str(r.randint(1, 255)) for _ in range(4))),
+        ("card", lambda: card(16)), ("card", lambda: card(15)), ("phone", lambda: f"+1 ({r.randint(200, 999)}) 555-{digits(4)}"), ("phone", lambda: f"{r.randint(200, 999)}-{r.randint(200, 999)}-{digits(4)}"),
+        ("iban", iban), ("ssn", lambda: f"{r.randint(100, 600)}-{r.randint(10, 99)}-{r.randint(1000, 9999)}"), ("secret", lambda: f'api_key = "{r.randbytes(20).hex()}'),
+    ]
+    lead = {"iban": "iban", "ssn": "ssn", "phone": "call", "card": "card"}
+    no = [lambda: card(16, False), lambda: card(14, False), lambda: f"version {r.randint(256, 900)}.1.{digits(1)}.2", lambda: f"commit {r.randbytes(20).hex()}", lambda: f"order 0{digits(2)}-{r.randint(200, 999)}-{digits(4)}", lambda: f"@{r.choice(['ann', 'bob'])}x@host "]
+    text, spans = "some words", []
+    for _ in range(r.randint(0, 5)):
+        if r.random() < 0.55:
+            kind, make = r.choice(yes)
+            text += f" {lead[kind]} " if kind in lead and r.random() < 0.6 else " about "
+            found = make()
+            spans.append((kind, len(text), len(text) + len(found)))
+            text += found
+        else:
+            text += " with " + r.choice(no)()
+    return text + " end", spans
+
+
+def test_pii_spans_of_planted_kinds(spark):
+    r = random.Random(8)
+    planted = [planted_spans(r) for _ in range(1500)]
+    found, model = pii.detect(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(planted)], "doc_id long, text string").repartition(3))
+    want = {(i, *s) for i, (_, spans) in enumerate(planted) for s in spans}
+    rows_ = found.collect()
+    got = {(d.doc_id, pii.KINDS[c.kind], c.start, c.end) for d in rows_ for c in d.spans}
+    rejected = {(d.doc_id, pii.KINDS[c.kind], c.start, c.end) for d in rows_ for c in d.rejected}
+    assert len(want & got) >= 0.9 * len(want) and len(want & got) >= 0.9 * len(got), (len(want), len(got), len(want & got))
+    for kind in pii.KINDS:
+        mine = {w for w in want if w[1] == kind}
+        assert len(mine & got) >= 0.9 * len(mine), (kind, len(mine), len(mine & got))
+    # without the classifier all candidates would stay, and many of them are wrong
+    assert len(rejected) > 500 and len(want & rejected) < 0.1 * len(rejected) and len(want & (got | rejected)) < 0.8 * len(got | rejected)
+    right = model.reliabilities()
+    assert right["pattern"][0] > 0.8 and right["pattern"][1] > 0.8, right
+
+
+def test_redact_of_awkward_rows(spark):
+    data = [(None, "mail a.b@x.org", "x"), (1, "ip 1.2.3.4 a", "y"), (1, "a clean text", "z"), (2, None, None)]
+    frame = spark.createDataFrame(data, "doc_id long, text string, spans string")
+    got = pii.redact(frame)
+    assert got.schema == frame.schema
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, [(None, "mail <email>", "x"), (1, "ip <ip> a", "y"), (1, "a clean text", "z"), (2, None, None)]))
+    assert pii.redact(frame.where("false")).isEmpty()
+
+
 def test_pii_secret_spans_the_whole_value():
     for n in (16, 256, 257, 5000):
         text = f"see api_key={'a1B2' * n}"[: 12 + n] + " end"
@@ -393,6 +470,58 @@ def test_licenses(docs, empty):
     assert got.where("score < 0 or score > 1").isEmpty() and licenses.query(empty).isEmpty()
 
 
+def brute_license(text):
+    """Labels, score and verdict by looking for every phrase at every word, and Python's own evaluation of tag expressions."""
+    w, labels, doubt, kinds = alnum_words(text), set(), 1.0, set()
+    for kind, phrases in (("base", licenses.BASE_PHRASES), ("notice", licenses.NOTICES)):
+        for phrase, label in phrases.items():
+            p = phrase.split()
+            if any(w[i : i + len(p)] == p for i in range(len(w))):
+                labels.add(label)
+                kinds.add((kind, label, len(p)))
+    for _, _, n in kinds:
+        doubt *= licenses.WORD_DOUBT**n
+    named, fits = set(), True
+    for tail in sorted({t.strip() for t in re.findall(r"(?i)SPDX-License-Identifier\s*:([^\r\n]*)", text)}):
+        tokens = re.findall(r"[()]|[^\s()]+", tail)
+        code, ids, skip = [], [], False
+        for t in tokens:
+            if t.upper() == "WITH":
+                skip = True
+            elif t in "()" or t.upper() in ("AND", "OR"):
+                code.append(t.lower())
+            elif skip:
+                skip = False
+            else:
+                ids.append(t.lower())
+                code.append(str(t.lower() in licenses.PERMISSIVE))
+        try:
+            fits &= eval(" ".join(code))  # noqa: S307
+        except SyntaxError:
+            doubt *= licenses.BROKEN_DOUBT
+            continue
+        named |= set(ids)
+        doubt *= licenses.TAG_DOUBT
+    loose = {p for p in labels if not any(i == p or i.startswith(p + "-") for i in named)}
+    told = None if not labels | named else "permissive" if fits and loose <= licenses.PERMISSIVE else "restricted"
+    return ",".join(sorted(labels | named)), round(1 - doubt, 9), told
+
+
+def test_license_labels_scores_and_verdicts(spark):
+    r = random.Random(6)
+    phrases = [*licenses.BASE_PHRASES, *licenses.NOTICES]
+    tags = ["MIT", "GPL-2.0 OR MIT", "(MIT AND GPL-3.0-only) OR Apache-2.0", "LGPL-2.1 WITH x-exception AND MIT", "MIT AND", "", "BSD-3-Clause", "(ISC"]
+    texts = ["", "no licence here", "under the mit licensed", "SPDX-License-Identifier: GPL-2.0 OR MIT\nGNU General Public License"]
+    for _ in range(400):
+        parts = [r.choice(phrases).upper().replace(" ", r.choice([" ", "  ", ", "])) for _ in range(r.randint(0, 3))]
+        parts += [f"\nSPDX-License-Identifier: {r.choice(tags)}\n" for _ in range(r.choice([0, 0, 1, 2]))]
+        r.shuffle(parts)
+        texts.append(" some ".join(["a", *parts, "b"]))
+    got = licenses.query(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {x.doc_id: (x.labels, round(x.score, 9), x.verdict) for x in got.collect()} == {i: brute_license(t) for i, t in enumerate(texts)}
+    assert {x.verdict for x in got.collect()} == {None, "permissive", "restricted"}
+
+
 @pytest.mark.parametrize(
     "text, allowed, expected",
     [("MIT", {"mit"}, True), ("MIT AND (X OR Apache-2.0)", {"mit", "apache-2.0"}, True), ("A OR B AND C", {"b"}, False), ("A OR B AND C", {"a"}, True), ("GPL-2.0 WITH exc", {"gpl-2.0"}, True)],
@@ -431,6 +560,29 @@ def test_quality(spark, docs, empty):
     assert quality.filter_quality(docs, labels).schema == docs.schema
 
 
+def test_flat_trees_by_a_plain_walk():
+    r = np.random.default_rng(3)
+    x = r.normal(size=(400, 6)).round(1)
+    model = quality.fit(x, (x[:, 0] * x[:, 1] + x[:, 2] > 0).astype(float), trees=12, depth=3)
+    for row, score in zip(x, model.score(x), strict=True):
+        margin = model.base
+        for feature, threshold, value in zip(model.feature, model.threshold, model.value, strict=True):
+            node = 0
+            while node < 7:
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            margin += value[node - 7]
+        assert math.isclose(score, 1 / (1 + math.exp(-margin)), rel_tol=1e-12)
+
+
+def test_training_labels(spark, docs):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20, 60)] + [(21, 1, 0), (21, 1, 0), (None, 1, 0), (25, None, 0), (999, 1, 0)], "doc_id long, quality int, toxic int")
+    every = Counter((r.doc_id, r.y) for r in quality.training_labels(docs, labels).collect())
+    usable = [i for i in range(20, 60) if zlib.crc32(str(i).encode()) % 5 != 0]
+    assert every == Counter([(i, i % 2) for i in usable if i != 25] + [(21, 1), (21, 1)] * (21 in usable) + [(25, 1)] * (25 in usable))
+    some = [(r.doc_id, r.y) for r in quality.training_labels(docs, labels, max_train=7).collect()]
+    assert len(some) == 7 and not Counter(some) - every
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     found = quality.query(docs, labels).join(labels, "doc_id").where("held_out").collect()
@@ -439,98 +591,87 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean([g > b for g in good for b in bad]) > 0.95
 
 
-def brute_katz(data):
+def brute_katz(data, order):
+    """Scores of all texts by a Katz model of n-grams up to ``order``, and the model's discounts; every n-gram is kept."""
     end, begin = object(), object()
     docs = [(d, [*space_words(t), end]) for d, t in data]
     held = [d is not None and zlib.crc32(str(d).encode()) % 5 == 1 for d, _ in docs]
-    words, grams, histories = Counter(), Counter(), Counter()
+    counts = [Counter() for _ in range(order + 1)]
     for (_, w), out in zip(docs, held):
         if not out:
-            words.update(w)
-            for h, x in zip([begin, *w], w):
-                grams[h, x] += 1
-                histories[h] += 1
-    n, v = sum(words.values()), len(words)
-    word_d, gram_d = (katz.discounts([sum(c == r for c in t.values()) for r in range(1, 7)]) for t in (words, grams))
+            counts[1].update((x,) for x in w)
+            for k in range(2, order + 1):
+                x = [begin, *w]
+                counts[k].update(tuple(x[i : i + k]) for i in range(len(x) - k + 1))
+    n, v = sum(counts[1].values()), len(counts[1])
+    ratios = [None, *(katz.discounts([sum(c == r for c in t.values()) for r in range(1, 7)]) for t in counts[1:])]
 
-    def cut(c, d):
-        return c * (d[c - 1] if c <= 5 else 1)
+    def cut(c, k):
+        return c * (ratios[k][c - 1] if c <= 5 else 1)
 
-    mass = sum(cut(c, word_d) for c in words.values())
+    mass = sum(cut(c, 1) for c in counts[1].values())
     unknown = (n - mass + 1) / (n + 1)
-    p = {w: cut(c, word_d) / mass * (1 - unknown) for w, c in words.items()}
-    seen, low = Counter(), Counter()
-    for (h, w), c in grams.items():
-        if c >= 2:
-            seen[h] += cut(c, gram_d)
-            low[h] += p[w]
-    hc = {h: c + 1.0 if seen[h] >= c else float(c) for h, c in histories.items()}
-    alpha = {h: (1 - seen[h] / hc[h]) / (1 - low[h]) for h in histories}
+    followers = defaultdict(list)
+    for k in range(2, order + 1):
+        for g in counts[k]:
+            followers[g[:-1]].append(g[-1])
 
-    def prob(h, w):
-        c = grams.get((h, w), 0)
-        return cut(c, gram_d) / hc[h] if c >= 2 else alpha.get(h, 1.0) * p.get(w, unknown)
+    def occurs(h):
+        c = counts[1][(end,)] if h == (begin,) else counts[len(h)][h]
+        return c + any(d == 1 for d in ratios[len(h) + 1][: min(c, 5)]) if c <= 5 else c + 1
+
+    weights = {}
+
+    def weight(h):
+        if h not in weights:
+            some = followers.get(h, [])
+            gone = sum(cut(counts[len(h) + 1][(*h, w)], len(h) + 1) for w in some) / occurs(h) if some else 0
+            weights[h] = (1 - gone) / (1 - sum(prob(h[1:], w) for w in some))
+        return weights[h]
 
-    for h in list(histories)[:20]:
-        assert math.isclose(sum(prob(h, w) for w in words) + alpha[h] * unknown, 1, rel_tol=1e-9)
+    def prob(h, w):
+        k = len(h) + 1
+        if k == 1:
+            return cut(counts[1][(w,)], 1) / mass * (1 - unknown) if (w,) in counts[1] else unknown
+        if (*h, w) in counts[k]:
+            return cut(counts[k][(*h, w)], k) / occurs(h)
+        return weight(h) * prob(h[1:], w)
+
+    words = [w for (w,) in counts[1]]
+    for h in [h for k in range(1, order) for h in list(f for f in followers if len(f) == k)[:15]]:
+        assert math.isclose(sum(prob(h, w) for w in words) + prob(h, object()), 1, rel_tol=1e-9)
     out = []
     for (d, w), o in zip(docs, held):
-        base = sum(math.log10((words.get(x, 0) + 0.5) / (n + 0.5 * (v + 1))) for x in w)
-        out.append((d, o, len(w), sum(x in words for x in w), n, base, sum(math.log10(prob(h, x)) for h, x in zip([begin, *w], w))))
-    return out
+        base = sum(math.log10((counts[1].get((x,), 0) + 0.5) / (n + 0.5 * (v + 1))) for x in w)
+        x = [begin, *w]
+        score = sum(math.log10(prob(tuple(x[max(0, i - order + 1) : i]), x[i])) for i in range(1, len(x)))
+        out.append((d, o, len(w), sum((x,) in counts[1] for x in w), n, base, score))
+    return ratios, out
 
 
-def test_katz(docs, empty):
-    want = sorted(brute_katz([(r[0], r[1]) for r in rows()]), key=lambda r: (r[0] is None, r[0] or 0, r[2]))
-    got = sorted(map(tuple, katz.score(docs).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[2]))
+def same_scores(got, want):
+    key = lambda r: (r[0] is None, r[0] or 0, r[2], r[5])
+    got, want = sorted(map(tuple, got), key=key), sorted(want, key=key)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert all(math.isclose(a, b, rel_tol=1e-9) for g, w in zip(got, want) for a, b in zip(g[5:], w[5:]))
-    assert katz.score(empty).isEmpty()
 
 
-def brute_katz_of_all(data):
-    """Scores by a Katz model that keeps every bigram, those seen once too."""
-    end, begin = object(), object()
-    docs = [(d, [*space_words(t), end]) for d, t in data]
-    words, grams = Counter(), Counter()
-    for d, w in docs:
-        if d is None or zlib.crc32(str(d).encode()) % 5 != 1:
-            words.update(w)
-            grams.update(zip([begin, *w], w))
-    n = sum(words.values())
-    word_d, gram_d = (katz.discounts([sum(c == r for c in t.values()) for r in range(1, 7)]) for t in (words, grams))
-
-    def cut(c, d):
-        return c * (d[c - 1] if c <= 5 else 1)
-
-    mass = sum(cut(c, word_d) for c in words.values())
-    unknown = (n - mass + 1) / (n + 1)
-    p = {w: cut(c, word_d) / mass * (1 - unknown) for w, c in words.items()}
-    count, seen, low = Counter(), Counter(), Counter()
-    for (h, w), c in grams.items():
-        count[h] += c
-        seen[h] += cut(c, gram_d)
-        low[h] += p[w]
-    hc = {h: c + 1.0 if seen[h] >= c else float(c) for h, c in count.items()}
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz(docs, order):
+    same_scores(katz.score(docs, order).collect(), brute_katz([(r[0], r[1]) for r in rows()], order)[1])
 
-    def prob(h, w):
-        if (h, w) in grams:
-            return cut(grams[h, w], gram_d) / hc[h]
-        return (1 - seen[h] / hc[h]) / (1 - low[h]) * p.get(w, unknown) if h in hc else p.get(w, unknown)
 
-    for h in list(hc)[:20]:
-        assert math.isclose(sum(prob(h, w) for w in [*words, object()]), 1, rel_tol=1e-9)
-    return gram_d, [(d, len(w), sum(math.log10(prob(h, x)) for h, x in zip([begin, *w], w))) for d, w in docs]
+def test_katz_without_rows(spark, docs, empty):
+    assert katz.score(empty).isEmpty()
+    assert all(r.score == 0 for r in katz.score(docs.where("doc_id in (6, 12)")).collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 1)
 
 
-def test_katz_query_keeps_bigrams_seen_once(spark):
+def test_katz_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", 300)
+    monkeypatch.setattr(katz, "BUCKET_GRAMS", 700)
     rng = np.random.default_rng(4)
-    data = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.3, 60) if x < 400)) for i in range(90)] + [(None, "w1 w2 once"), (7, "")]
-    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
-    gram_d, want = brute_katz_of_all(data)
-    assert gram_d[0] < 1  # the discount of the count 1 is used
-    got = [(r.doc_id, r.n_tokens, r.score) for r in katz.query(docs).collect()]
-    key = lambda r: (r[0] is None, r[0] or 0, r[1])
-    got, want = sorted(got, key=key), sorted(want, key=key)
-    assert [g[:2] for g in got] == [w[:2] for w in want]
-    assert all(math.isclose(g[2], w[2], rel_tol=1e-9) for g, w in zip(got, want))
+    data = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.3, 60) if x < 400)) for i in range(120)] + [(None, "w1 w2 once"), (7, ""), (3, "w1 w1 w1")]
+    data += [(1000 + i, data[i][1]) for i in range(0, 120, 7)]
+    ratios, want = brute_katz(data, 3)
+    assert ratios[2][0] < 1 and ratios[3][0] < 1, ratios  # the discount of the count 1 is used
+    same_scores(katz.query(spark.createDataFrame(data, "doc_id long, text string").repartition(5)).collect(), want)
