@@ -58,6 +58,9 @@ def _hue_coverage(lab: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     return np.where(np.hypot(lab[:, 1], lab[:, 2]) <= 0.02, 0.2, out)
 
 
+TIE = 1e-6
+
+
 def choose_seeds(lab: np.ndarray, weight: np.ndarray, k: int, spread: float = 0.0, l_weight: float = 0.3) -> np.ndarray:
     """Indexes of up to k seeds: the heaviest first, then far and heavy ones; ties by weight, L, a, b, all descending."""
     order = np.lexsort((-lab[:, 2], -lab[:, 1], -lab[:, 0], -np.round(weight, 9)))
@@ -69,9 +72,12 @@ def choose_seeds(lab: np.ndarray, weight: np.ndarray, k: int, spread: float = 0.
         nearest = np.minimum(nearest, (((lab - lab[chosen[-1]]) * scale) ** 2).sum(axis=1))
         heavy = 0.35 + 0.65 * np.sqrt(weight / weight.max())
         score = nearest * ((1 - spread) * heavy + (spread * _hue_coverage(lab, lab[chosen]) if spread else 0))
-        score = np.where(np.round(nearest, 9) > 1e-6, np.round(score, 9), -1)
-        best = int(score.argmax())
-        if score[best] < 0:
+        score = np.where(np.round(nearest, 9) > 1e-6, score, -1)
+        best, top = None, -0.5
+        for i in np.flatnonzero(score > np.concatenate(([-0.5], np.maximum.accumulate(score)[:-1]))).tolist():
+            if best is None or score[i] > top + TIE:  # scores nearer than that are equal, and the order decides
+                best, top = i, score[i]
+        if best is None:
             break
         chosen.append(best)
     return order[chosen]

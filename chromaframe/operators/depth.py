@@ -81,6 +81,33 @@ def normalized(pixels: DataFrame, invert: bool = False, least: int = 32) -> Data
     return joined.select("image_id", "idx", F.when(F.col("depth") > 0, C.to_byte(F.round(v, 9))).otherwise(0).alias("depth"))
 
 
+def finite(samples: DataFrame) -> DataFrame:
+    """Samples (image_id, idx, v) with a finite value above 0."""
+    return samples.where(F.col("v").isNotNull() & ~F.isnan("v") & (F.col("v") > 0) & (F.col("v") < float("inf")))
+
+
+def float_range(samples: DataFrame) -> DataFrame:
+    """Smallest, largest and mean finite value of each image."""
+    return samples.where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf"))).groupBy("image_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean"))
+
+
+def normalized_floats(samples: DataFrame, disparity: bool = False, least: int = 32) -> DataFrame:
+    """Depth bytes of float samples (image_id, idx, v) over the 0.5 to 99.8 percentile window of the valid ones, to the power 0.92.
+
+    Disparity is turned round; invalid samples are 0; images with at most ``least`` valid ones have no depth.
+    """
+    valid = finite(samples)
+    counts = valid.groupBy("image_id", F.col("v").alias("depth")).agg(F.count(F.lit(1)).alias("n"))
+    window = percentiles(counts, [0.005, 0.998]).groupBy("image_id").agg(F.min("depth").alias("lo"), F.max("depth").alias("hi"))
+    enough = counts.groupBy("image_id").agg(F.sum("n").alias("valid")).where(F.col("valid") > least)
+    joined = samples.join(window.join(enough, "image_id"), "image_id")
+    t = C.clamp((F.col("v") - F.col("lo")) / (F.greatest(F.col("hi"), F.col("lo") + 1e-8) - F.col("lo")))
+    curved = F.pow(t, C.num(0.92))
+    mapped = 1.0 - curved if disparity else curved
+    ok = F.col("v").isNotNull() & ~F.isnan("v") & (F.col("v") > 0) & (F.col("v") < float("inf"))
+    return joined.select("image_id", "idx", F.when(ok, C.to_byte(F.round(mapped, 9))).otherwise(0).alias("depth"))
+
+
 def cutoffs(ranges: DataFrame) -> DataFrame:
     """Foreground and background cutoffs at the thirds of the range."""
     span = F.greatest(F.col("hi") - F.col("lo"), C.num(1 / 255))

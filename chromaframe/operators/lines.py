@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -58,9 +60,20 @@ def _cut(t: Column, a: Column, b: Column) -> Column:
     return F.when(F.abs(b - a) > 1e-12, C.clamp((t - a) / (b - a))).otherwise(C.num(0.5))
 
 
-#: Edges that a case joins, one letter each; the two saddles depend on the mean of the corners.
-CASE_EDGES = {1: "LB", 2: "BR", 3: "LR", 4: "TR", 6: "TB", 7: "TL", 8: "TL", 9: "TB", 11: "TR", 12: "LR", 13: "BR", 14: "LB"}
-SADDLES = {5: (("TR", "LB"), ("TL", "BR")), 10: (("TL", "BR"), ("TR", "LB"))}
+#: Bits of a case by corner, each named by the two edges that meet there, and the corners at the ends of each edge.
+CORNERS = {"TL": 8, "TR": 4, "BR": 2, "LB": 1}
+ENDS = {"T": (8, 4), "L": (8, 1), "B": (1, 2), "R": (4, 2)}
+
+
+def crossings(case: int) -> tuple[list[str], list[str]]:
+    """Pairs of edges that a case joins, where the mean of the corners is below the level and where it is not.
+
+    An edge is crossed where its ends differ. Where all four are, lines cut off the corners on the mean's side of the level.
+    """
+    edges = [e for e, (p, q) in ENDS.items() if bool(case & p) != bool(case & q)]
+    if len(edges) == 2:
+        return ["".join(edges)], ["".join(edges)]
+    return [c for c, bit in CORNERS.items() if case & bit], [c for c, bit in CORNERS.items() if not case & bit]
 
 
 def contour_segments(cells: DataFrame, width: int, height: int) -> DataFrame:
@@ -78,10 +91,9 @@ def contour_segments(cells: DataFrame, width: int, height: int) -> DataFrame:
 
     case = F.col("case_index")
     low = (tl + tr + bl + br) / 4.0 < t
-    out = None
-    for k, edges in CASE_EDGES.items():
-        out = F.when(case == k, pairs(edges)) if out is None else out.when(case == k, pairs(edges))
-    for k, (below, above) in SADDLES.items():
+    out = F.when(F.lit(False), pairs("TL"))
+    for k in range(1, 15):
+        below, above = crossings(k)
         out = out.when((case == k) & low, pairs(*below)).when(case == k, pairs(*above))
     rows = cells.select("image_id", "level", "x", "y", F.explode(out).alias("s"))
     segs = rows.select(
@@ -128,44 +140,141 @@ def catmull_rom(points: DataFrame, steps: int = 6) -> DataFrame:
 
 
 def contour_chains(segments: DataFrame) -> DataFrame:
-    """Segments of each image and level joined at equal end points (to 1/10000) into chains of points."""
+    """Segments of each image and level joined at equal end points (to 1/10000) into chains of points; a closed one names its first point once."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["cell_y", "cell_x", "seg"])
-        ends = np.rint(group[["x0", "y0", "x1", "y1"]].to_numpy() * 10000).astype(np.int64)
-        at: dict[tuple, list[int]] = {}
-        for s, (a, b, c, d) in enumerate(ends.tolist()):
-            at.setdefault((a, b), []).append(s)
-            at.setdefault((c, d), []).append(s)
-        used = np.zeros(len(ends), bool)
-
-        def walk(chain: list, forward: bool) -> None:
-            while True:
-                tip = chain[-1] if forward else chain[0]
-                follow = next((s for s in at[tip] if not used[s]), None)
-                if follow is None:
-                    return
-                used[follow] = True
-                a, b, c, d = ends[follow].tolist()
-                other = (c, d) if (a, b) == tip else (a, b)
-                chain.append(other) if forward else chain.insert(0, other)
+        ends = [((a, b), (c, d)) for a, b, c, d in np.rint(group[["x0", "y0", "x1", "y1"]].to_numpy() * 10000).astype(np.int64).tolist()]
+        at: dict[tuple, deque[int]] = {}
+        for s, pair in enumerate(ends):
+            for p in pair:
+                at.setdefault(p, deque()).append(s)
+        used = [False] * len(ends)
+
+        def onward(tip: tuple) -> tuple | None:
+            """The other end of the first unused segment at ``tip``; used ones are forgotten on the way."""
+            waiting = at[tip]
+            while waiting:
+                s = waiting.popleft()
+                if not used[s]:
+                    used[s] = True
+                    return ends[s][1] if ends[s][0] == tip else ends[s][0]
+            return None
 
         rows = []
         number = 0
-        for s in range(len(ends)):
+        for s, (a, b) in enumerate(ends):
             if used[s]:
                 continue
             used[s] = True
-            a, b, c, d = ends[s].tolist()
-            chain = [(a, b), (c, d)]
-            walk(chain, True)
-            walk(chain, False)
-            chain = [p for i, p in enumerate(chain) if not i or p != chain[i - 1]]
-            rows += [(number, i, x / 10000, y / 10000) for i, (x, y) in enumerate(chain)]
+            chain = deque((a, b))
+            while (p := onward(chain[-1])) is not None:
+                chain.append(p)
+            while (p := onward(chain[0])) is not None:
+                chain.appendleft(p)
+            closed = chain[0] == chain[-1]
+            if closed:
+                chain.pop()
+            points = [p for p, before in zip(chain, [None, *chain], strict=False) if p != before]
+            rows += [(number, i, x / 10000, y / 10000, closed) for i, (x, y) in enumerate(points)]
             number += 1
-        out = pd.DataFrame(rows, columns=["chain", "i", "px", "py"])
+        out = pd.DataFrame(rows, columns=["chain", "i", "px", "py", "closed"])
         out.insert(0, "level", group["level"].iloc[0])
         out.insert(0, "image_id", group["image_id"].iloc[0])
         return out
 
-    return segments.groupBy("image_id", "level").applyInPandas(run, "image_id bigint, level int, chain int, i int, px double, py double")
+    return segments.groupBy("image_id", "level").applyInPandas(run, "image_id bigint, level int, chain int, i int, px double, py double, closed boolean")
+
+
+def smoothed(chains: DataFrame, steps: int = 6, *keys: str) -> DataFrame:
+    """Chains (``keys``, chain, i, px, py, closed) with ``steps`` spline points after each point but the last of an open one.
+
+    Open ends are reflected, closed chains go round. Chains of two points stay as they are.
+    """
+    keys = (*(keys or ("image_id", "level")), "chain")
+    whole = Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    along = Window.partitionBy(*keys).orderBy("i")
+    rows = chains.withColumns({"n": F.count(F.lit(1)).over(whole), "rank": F.row_number().over(along)})
+    for c in ("px", "py"):
+        first, last, second = F.first(c).over(whole), F.last(c).over(whole), F.nth_value(c, 2).over(whole)
+        here, after = F.col(c), F.coalesce(F.lead(c).over(along), F.when(F.col("closed"), first))
+        before = F.coalesce(F.lag(c).over(along), F.when(F.col("closed"), last).otherwise(2.0 * here - after))
+        turn = F.when(F.col("rank") == F.col("n"), second).otherwise(first)
+        further = F.coalesce(F.lead(c, 2).over(along), F.when(F.col("closed"), turn).otherwise(2.0 * after - here))
+        rows = rows.withColumns({f"{c}0": before, f"{c}2": after, f"{c}3": further})
+    curve = F.col("px2").isNotNull() & (F.col("n") > 2)
+    each = rows.withColumn("step", F.explode(F.sequence(F.lit(0), F.when(curve, F.lit(steps - 1)).otherwise(F.lit(0)))))
+    t = F.col("step") / float(steps)
+
+    def value(c: str) -> Column:
+        p0, p1, p2, p3 = (F.col(f"{c}{k}") for k in ("0", "", "2", "3"))
+        bent = 0.5 * (2.0 * p1 + (p2 - p0) * t + (2.0 * p0 - 5.0 * p1 + 4.0 * p2 - p3) * t * t + (3.0 * p1 - p0 - 3.0 * p2 + p3) * t * t * t)
+        return C.clamp(F.when(F.col("step") == 0, p1).otherwise(bent))
+
+    return each.select(*keys, "i", "step", C.rounded(value("px")).alias("px"), C.rounded(value("py")).alias("py"), "closed")
+
+
+def resampled(field: DataFrame, width: int = 201, height: int = 201) -> DataFrame:
+    """A field (image_id, x, y, v) at ``width`` x ``height`` points that span it, linear between its own points."""
+    size = field.groupBy("image_id").agg(F.max("x").alias("wide"), F.max("y").alias("high"))
+    points = size.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
+
+    def corners(at: str, last: str, n: int) -> Column:
+        """Neighbours along one axis with their weights."""
+        place = F.round(F.col(at) * F.col(last) / float(max(1, n - 1)), 9)
+        low = F.least(F.floor(place), F.greatest(F.col(last) - 1, F.lit(0))).cast("int")
+        share = place - low
+        return F.array(F.struct(low.alias("at"), (1.0 - share).alias("w")), F.struct(F.least(low + 1, F.col(last)).alias("at"), share.alias("w")))
+
+    each = points.withColumn("cx", F.explode(corners("x", "wide", width))).withColumn("cy", F.explode(corners("y", "high", height)))
+    each = each.select("image_id", "x", "y", (F.col("cx.w") * F.col("cy.w")).alias("w"), F.col("cx.at").alias("fx"), F.col("cy.at").alias("fy"))
+    own = field.select("image_id", F.col("x").alias("fx"), F.col("y").alias("fy"), "v")
+    return each.where("w > 0").join(own, ["image_id", "fx", "fy"]).groupBy("image_id", "x", "y").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
+
+
+def line_colors(segments: DataFrame, pixels: DataFrame, style: str = "auto", custom: str = "#000000FF") -> DataFrame:
+    """Segments (image_id, kind, i, j, x0, y0, x1, y1) with a colour; in the style "auto" cut where the contrasting tone changes.
+
+    "auto" looks at chunks of at most 48 pixels: the mean luminance of 3 x 3 pixels at points 8 pixels apart along the chunk.
+    """
+    if style != "auto":
+        return segments.withColumn("color", F.lit({"black": "#000000FF", "white": "#FFFFFFFF", "custom": custom}[style]))
+    size = pixels.groupBy("image_id").agg(F.max("x").alias("mx"), F.max("y").alias("my"))
+    key = ["image_id", "kind", "i", "j"]
+    px, py = (F.col("x1") - F.col("x0")) * F.col("mx"), (F.col("y1") - F.col("y0")) * F.col("my")
+    rows = segments.join(size, "image_id").withColumn("length", F.round(F.sqrt(px * px + py * py), 9))
+    longest = F.least(C.num(48), F.greatest(C.num(1), F.least("mx", "my") + 1.0))
+    rows = rows.withColumn("chunks", F.greatest(F.lit(1), F.ceil(F.col("length") / longest)).cast("int"))
+    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("span", F.col("length") / F.col("chunks"))
+    rows = rows.withColumn("samples", F.greatest(F.lit(1), F.ceil(F.round(F.col("span") / 8.0, 9))).cast("int"))
+    rows = rows.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("samples") - 1)))
+    along = (F.col("chunk") + (F.col("s") + 0.5) / F.col("samples")) / F.col("chunks")
+    near = F.when(F.col("span") < 3, F.array(F.lit(0))).otherwise(F.array(F.lit(-1), F.lit(0), F.lit(1)))
+    rows = rows.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near))
+
+    def at(c: str) -> Column:
+        place = (F.col(f"{c}0") + (F.col(f"{c}1") - F.col(f"{c}0")) * along) * F.col(f"m{c}")
+        return F.greatest(F.lit(0), F.least(F.col(f"m{c}"), F.floor(F.round(place + 0.5, 9)).cast("int") + F.col(f"d{c}")))
+
+    light = C.dot((0.2126, 0.7152, 0.0722), C.linear_rgb(F.col("r"), F.col("g"), F.col("b")))
+    looked = pixels.select("image_id", F.col("x").alias("sx"), F.col("y").alias("sy"), light.alias("light"))
+    rows = rows.select(*key, "x0", "y0", "x1", "y1", "chunk", "chunks", at("x").alias("sx"), at("y").alias("sy")).join(looked, ["image_id", "sx", "sy"])
+    means = rows.groupBy(*key, "x0", "y0", "x1", "y1", "chunk", "chunks").agg(F.round(F.avg("light"), 9).alias("luminance"))
+    order = Window.partitionBy(*key).orderBy("chunk")
+    toned = means.withColumn("tone", tone(F.col("luminance")))
+    toned = toned.withColumn("run", F.sum(F.coalesce((F.col("tone") != F.lag("tone").over(order)).cast("int"), F.lit(1))).over(order).cast("int"))
+    cut = toned.groupBy(*key, "x0", "y0", "x1", "y1", "chunks", "run", "tone").agg(F.min("chunk").alias("a"), (F.max("chunk") + 1).alias("b"))
+
+    def end(c: str, which: str) -> Column:
+        return C.rounded(F.col(f"{c}0") + (F.col(f"{c}1") - F.col(f"{c}0")) * F.col(which) / F.col("chunks"))
+
+    color = F.when(F.col("tone") == "black", "#000000FF").otherwise("#FFFFFFFF").alias("color")
+    return cut.select(*key, "run", end("x", "a").alias("x0"), end("y", "a").alias("y0"), end("x", "b").alias("x1"), end("y", "b").alias("y1"), color)
+
+
+def average_luminance(pixels: DataFrame, most: int = 4096) -> DataFrame:
+    """Mean luminance of each image over a grid of about ``most`` pixels: every k-th of every k-th row."""
+    step = F.greatest(F.lit(1), F.floor(F.sqrt(F.col("mx") * F.col("my") / float(most)))).cast("int")
+    size = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("mx"), (F.max("y") + 1).alias("my")).select("image_id", step.alias("step"))
+    light = C.dot((0.2126, 0.7152, 0.0722), C.linear_rgb(F.col("r"), F.col("g"), F.col("b")))
+    return pixels.join(size, "image_id").where("x % step = 0 and y % step = 0").groupBy("image_id").agg(F.avg(light).alias("luminance"))

@@ -1,17 +1,18 @@
 """Palettes of recipes: assignment, merging, pruning and the end-to-end builder.
 
 A ``recipe`` row is (image_id, recipe_id, components array of (pid, concentration), ok_l, ok_a, ok_b, cnt, importance). ``build`` makes
-at most 48 recipes an image; the greedy steps, whose outcome depends on their order, run as one group per image.
+at most 48 recipes an image; the greedy steps, whose outcome depends on their order, run as one group per image. Distances are Euclidean
+in Oklab unless a lightness weight is named.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chromaframe.functions import color as C
@@ -19,6 +20,12 @@ from chromaframe.operators import cluster, spectral
 from chromaframe.sources.store import fixed
 
 LAB = list(C.LAB)
+#: Colours under this chroma are neutral; hues of anchors lie so far apart; loss at which pruning ends; squared move that
+#: calls for a new recipe.
+NEUTRAL = 0.04
+HUE_GAP = 0.55
+LEAST_LOSS = 0.005
+MOVED = 1e-4
 RECIPE = "image_id bigint, recipe_id int, components array<struct<pid:int,concentration:double>>, ok_l double, ok_a double, ok_b double, cnt bigint, importance double"
 
 
@@ -41,14 +48,14 @@ def nearest_recipe(colors: DataFrame, recipes: DataFrame, l_weight: float = 0.3)
 
 
 def value_anchors(recipes: DataFrame) -> DataFrame:
-    """Darkest, lightest and most neutral recipe of each image, among those with more than 1 % of its pixels."""
+    """Darkest, lightest and most neutral recipe of each image, among those with more than 1 % of its pixels; only a neutral one is most neutral."""
     total = recipes.groupBy("image_id").agg(F.sum("cnt").alias("total"))
     rows = recipes.join(total, "image_id").where(F.col("cnt") > F.col("total") * 0.01)
     light, c = F.round("ok_l", 9), F.round(C.chroma(F.col("ok_a"), F.col("ok_b")), 9)
     return rows.groupBy("image_id").agg(
         F.min(F.struct(light, "recipe_id"))["recipe_id"].alias("darkest"),
         F.min(F.struct(-light, F.col("recipe_id").alias("recipe_id")))["recipe_id"].alias("lightest"),
-        F.min(F.struct(c, F.col("recipe_id").alias("recipe_id")))["recipe_id"].alias("most_neutral"),
+        F.min(F.when(c < NEUTRAL, F.struct(c, F.col("recipe_id").alias("recipe_id"))))["recipe_id"].alias("most_neutral"),
     )
 
 
@@ -95,7 +102,7 @@ def palette_report(labelled: DataFrame, recipes: DataFrame) -> DataFrame:
     return rows.select("image_id", "recipe_id", "hex", F.coalesce("n_pixels", F.lit(0)).cast("long").alias("n_pixels"), C.rounded(F.coalesce("n_pixels", F.lit(0)) / F.col("total")).alias("share"))
 
 
-@dataclass
+@dataclass(eq=False)
 class Recipe:
     """A recipe inside a group kernel; ``members`` are the ids merged into it."""
 
@@ -142,68 +149,78 @@ def merge(recipes: list[Recipe], color: float = 0.015, concentration: float = 0.
     return kept
 
 
-def anchors(recipes: list[Recipe], most: int) -> set[int]:
-    """Ids that pruning keeps: extreme values, extremes of a and b, then hues at least 0.55 rad apart."""
-    total = sum(r.cnt for r in recipes)
-    found: list[int] = []
+def _chroma(r: Recipe) -> float:
+    return math.hypot(r.lab[1], r.lab[2])
 
-    def add(r: Recipe) -> None:
-        if r.id not in found and len(found) < most:
-            found.append(r.id)
 
-    heavy = [r for r in recipes if r.cnt > total * 0.01]
-    for key in (lambda r: (r.lab[0], r.id), lambda r: (-r.lab[0], r.id), lambda r: (math.hypot(*r.lab[1:]), r.id)):
-        if heavy:
-            add(min(heavy, key=key))
-    colored = [r for r in recipes if r.cnt > total * 0.002 and r.id not in found and math.hypot(*r.lab[1:]) >= 0.04]
-    score = {r.id: max(0.0, r.importance) * (1 + min(math.hypot(*r.lab[1:]) / 0.2, 1)) for r in colored}
+def _hue_gap(a: float, b: float) -> float:
+    return min(abs(a - b), 2 * math.pi - abs(a - b))
+
+
+def anchors(recipes: list[Recipe], shades: int) -> set[int]:
+    """Ids that pruning keeps, at most max(2, ``shades``): extreme values and the most neutral, extremes of a and b, then hues apart."""
+    most = min(len(recipes), max(2, shades))
+    total = max(1, sum(r.cnt for r in recipes))
+    found: list[Recipe] = []
+
+    def add(some: list[Recipe], key) -> None:
+        if some and len(found) < most and (best := min(some, key=key)) not in found:
+            found.append(best)
+
+    heavy = [r for r in recipes if r.cnt > max(1, total // 100)]
+    add(heavy, lambda r: (r.lab[0], r.id))
+    add(heavy, lambda r: (-r.lab[0], r.id))
+    add([r for r in heavy if _chroma(r) < NEUTRAL], lambda r: (_chroma(r), r.id))
+    colored = [r for r in recipes if r.cnt > max(1, total // 500) and r not in found and _chroma(r) >= NEUTRAL]
+    score = {r.id: max(0.0, r.importance) * (1 + min(_chroma(r) / 0.2, 1)) for r in colored}
     for axis in (1, 2):
         for sign in (1, -1):
-            if colored:
-                add(min(colored, key=lambda r: (sign * r.lab[axis], sign * score[r.id], r.id)))
-    hue = {r.id: math.atan2(r.lab[2], r.lab[1]) for r in recipes}
-    taken = [hue[i] for i in found if any(r.id == i for r in colored)]
-    for r in sorted(colored, key=lambda r: (-score[r.id], -math.hypot(*r.lab[1:]), r.id)):
-        gap = [min(d, 2 * math.pi - d) for d in (abs(hue[r.id] - t) for t in taken)]
-        if r.id not in found and all(g >= 0.55 for g in gap):
-            add(r)
-            taken.append(hue[r.id])
-    return set(found)
-
-
-def _drop(recipes: list[Recipe], r: Recipe) -> list[Recipe]:
-    rest = [k for k in recipes if k is not r]
-    near = min(rest, key=lambda k: (round(_distance(k, r), 9), k.id))
-    near.members.extend(r.members)
-    near.cnt += r.cnt
-    near.importance += r.importance
-    return rest
-
-
-def adaptive_prune(recipes: list[Recipe], shades: int, keep: set[int], bound: float = 0.005) -> list[Recipe]:
-    """Drop the recipe whose loss matters least, while it matters less than the bound."""
-    recipes = list(recipes)
-    while len(recipes) > max(2, shades):
-        total = sum(r.importance for r in recipes) or 1.0
-        loss = {r.id: r.importance * min(_distance(r, k) for k in recipes if k is not r) / total for r in recipes if r.id not in keep}
-        if not loss:
+            add(colored, lambda r, axis=axis, sign=sign: (sign * r.lab[axis], sign * score[r.id], r.id))
+    hues = [math.atan2(r.lab[2], r.lab[1]) for r in found if _chroma(r) >= NEUTRAL]
+    for r in sorted(colored, key=lambda r: (-score[r.id], -_chroma(r), r.id)):
+        hue = math.atan2(r.lab[2], r.lab[1])
+        if r not in found and len(found) < most and all(_hue_gap(hue, h) >= HUE_GAP for h in hues):
+            found.append(r)
+            hues.append(hue)
+    return {r.id for r in found}
+
+
+def _survivors(recipes: list[Recipe], left: list[Recipe]) -> list[Recipe]:
+    """``left`` with what was dropped from ``recipes`` added to the nearest of them."""
+    out = {r.id: replace(r, members=list(r.members)) for r in left}
+    for r in recipes:
+        if r.id not in out:
+            near = out[min(left, key=lambda k: (round(_distance(k, r), 9), k.id)).id]
+            near.members.extend(r.members)
+            near.cnt += r.cnt
+            near.importance += r.importance
+    return list(out.values())
+
+
+def adaptive_prune(recipes: list[Recipe], shades: int, keep: set[int], bound: float = LEAST_LOSS) -> list[Recipe]:
+    """Drop the least important recipe that is not kept, while its share of importance times its distance to the next stays under the bound."""
+    total = max(1.0, sum(r.importance for r in recipes))
+    left = list(recipes)
+    while len(left) > max(2, shades):
+        loose = [r for r in left if r.id not in keep]
+        if not loose:
             break
-        weakest = min(loss, key=lambda i: (round(loss[i], 12), i))
-        if loss[weakest] >= bound:
+        weakest = min(loose, key=lambda r: (round(r.importance, 9), r.id))
+        near = min(_distance(weakest, r) for r in left if r is not weakest)
+        if weakest.importance * near / total >= bound:
             break
-        recipes = _drop(recipes, next(r for r in recipes if r.id == weakest))
-    return recipes
+        left.remove(weakest)
+    return _survivors(recipes, left)
 
 
-def prune_to(recipes: list[Recipe], shades: int, keep: set[int]) -> list[Recipe]:
-    """Drop the least important until so many remain; anchors stay."""
-    recipes = list(recipes)
-    while len(recipes) > shades:
-        loose = [r for r in recipes if r.id not in keep]
-        if not loose:
-            break
-        recipes = _drop(recipes, min(loose, key=lambda r: (round(r.importance, 9), r.id)))
-    return recipes
+def prune_to(recipes: list[Recipe], shades: int) -> list[Recipe]:
+    """Drop the least important until so many remain; anchors, found anew, stay."""
+    if len(recipes) <= shades or shades <= 1:
+        return recipes
+    keep = anchors(recipes, shades)
+    loose = sorted((r for r in recipes if r.id not in keep), key=lambda r: (round(r.importance, 9), r.id))
+    gone = {r.id for r in loose[: len(recipes) - shades]}
+    return _survivors(recipes, [r for r in recipes if r.id not in gone])
 
 
 def _frame(image_id: int, recipes: list[Recipe]) -> pd.DataFrame:
@@ -225,43 +242,82 @@ def merged(recipes: DataFrame) -> DataFrame:
     return _grouped(recipes, merge)
 
 
-def pruned(recipes: DataFrame, shades: int) -> DataFrame:
-    """Merging, anchors, adaptive pruning and pruning to ``shades``."""
+def merge_and_prune(recipes: list[Recipe], shades: int) -> list[Recipe]:
+    recipes = merge(recipes)
+    return prune_to(adaptive_prune(recipes, shades, anchors(recipes, shades)), shades)
 
-    def make(rows: list[Recipe]) -> list[Recipe]:
-        rows = merge(rows)
-        keep = anchors(rows, max(2, shades))
-        return prune_to(adaptive_prune(rows, shades, keep), shades, keep)
 
-    return _grouped(recipes, make)
+def pruned(recipes: DataFrame, shades: int) -> DataFrame:
+    """Merging, anchors, adaptive pruning and pruning to ``shades``."""
+    return _grouped(recipes, lambda rows: merge_and_prune(rows, shades))
+
+
+def _nearest(colors: np.ndarray, recipes: np.ndarray, l_weight: float) -> np.ndarray:
+    """Place of the nearest recipe of every colour, the first on ties."""
+    d = (colors[:, None] - recipes[None]) * np.array([l_weight, 1, 1])
+    return np.round((d**2).sum(axis=2), 9).argmin(axis=1)
+
+
+def _means(lab: np.ndarray, cnt: np.ndarray, target: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    total = np.bincount(target, cnt, n)
+    sums = np.stack([np.bincount(target, cnt * lab[:, i], n) for i in range(3)], axis=1)
+    return sums / np.maximum(total, 1)[:, None], total
+
+
+def image_palette(clusters: pd.DataFrame, table: spectral.Mixes, shades: int) -> pd.DataFrame:
+    """Recipes of one image from its clusters (k, lab, cnt, salience): decompose, snap twice, merge, prune, refit, deduplicate."""
+    clusters = clusters.sort_values("k")
+    lab, cnt = clusters[LAB].to_numpy(float), clusters["cnt"].to_numpy(float)
+    weight = 1.0 if np.hypot(lab[:, 1], lab[:, 2]).max() < 0.01 else 0.3
+    mixes = [table.nearest(c) for c in lab]
+    for _ in range(2):  # a recipe moves only where the colours that it stands for have moved
+        now = np.array([m.lab for m in mixes])
+        means, total = _means(lab, cnt, _nearest(lab, now, weight), len(mixes))
+        moved = (total > 0) & (((means - now) ** 2).sum(axis=1) > MOVED)
+        mixes = [table.nearest(c) if m else old for c, m, old in zip(means, moved, mixes, strict=True)]
+    target = _nearest(lab, np.array([m.lab for m in mixes]), weight)
+    loads = np.bincount(target, cnt, len(mixes))
+    importance = np.bincount(target, cnt * np.maximum(0.1, clusters["salience"].to_numpy(float)), len(mixes))
+    rows = [Recipe(i, m.parts, np.array(m.lab), int(loads[i]), float(importance[i]), [i]) for i, m in enumerate(mixes)]
+    kept = [r for r in merge_and_prune(rows, shades) if r.cnt > 0]
+    final: dict[tuple, spectral.Mix] = {}
+    place: list[int] = []
+    for r in kept:
+        means, _ = _means(lab, cnt, np.where(np.isin(target, r.members), 0, 1), 2)
+        mix = table.nearest(means[0])
+        sign = tuple(sorted((p, math.floor(c * 8 + 0.5)) for p, c in mix.parts.items()))
+        place.append(list(final).index(sign) if sign in final else len(final))
+        final.setdefault(sign, mix)
+        r.lab = np.array(mix.lab)
+    # colours go to the refit recipes, of which equal ones are one
+    label = np.array(place)[_nearest(lab, np.array([r.lab for r in kept]), weight)]
+    out = []
+    for i, mix in enumerate(final.values()):
+        mine = label == i
+        parts = [{"pid": p, "concentration": c} for p, c in sorted(mix.parts.items())]
+        out.append((int(clusters["image_id"].iloc[0]), i, parts, *map(float, mix.lab), int(cnt[mine].sum()), mix.delta_e, mix.delta_e > 0.05, clusters["k"].to_numpy()[mine].tolist()))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in PALETTE.split(", ")])
+
+
+PALETTE = "image_id bigint, recipe_id int, components array<struct<pid:int,concentration:double>>, ok_l double, ok_a double, ok_b double, cnt bigint, delta_e double, clipped boolean, labels array<int>"
 
 
 def build(pixels_lab: DataFrame, mixes: DataFrame, shades: int = 8, paints: int = 3, spread: float = 0.0) -> tuple[DataFrame, DataFrame]:
-    """Recipes of every image and the recipe of every pixel: over-cluster, decompose, snap twice, merge, prune, refit, project.
+    """Recipes of every image and the recipe of every pixel: over-cluster, then ``image_palette``, then project its labels.
 
-    Pixels take part only in the histogram, one assignment and the last projection.
+    Pixels take part only in the histogram, one assignment and the last projection. An image's clusters, at most 48 rows, are one group;
+    the mixes go to the workers once, as arrays whose size is checked.
     """
     k = min(2 * max(2, shades), 48)
     centers = fixed(cluster.centers(cluster.histogram(pixels_lab), k, spread))
     labelled = cluster.assign(pixels_lab, centers)
-    clusters = fixed(cluster.salience(cluster.cluster_table(labelled, k)).where("cnt > 0"))
-    mixes = fixed(mixes)
-    targets = clusters.select("image_id", "k", *LAB)
-    found = fixed(spectral.nearest_mix(targets, mixes, paints))
-    for _ in range(2):
-        recipes = found.withColumnRenamed("k", "recipe_id")
-        placed = nearest_recipe(clusters, recipes).withColumnRenamed("recipe_id", "target")
-        means = cluster.weighted_centroids(placed).select("image_id", F.col("target").alias("k"), *LAB)
-        found = fixed(spectral.nearest_mix(means, mixes, paints))
-    rows = nearest_recipe(clusters, found.withColumnRenamed("k", "recipe_id")).withColumnRenamed("recipe_id", "target")
-    weight = cluster.importances(rows).join(rows.groupBy("image_id", "target").agg(F.sum("cnt").alias("cnt")), ["image_id", "target"])
-    parts = spectral.components(found).withColumn("components", spectral.pruned(F.col("components")))
-    recipes = parts.withColumnRenamed("k", "recipe_id").join(weight.withColumnRenamed("target", "recipe_id"), ["image_id", "recipe_id"])
-    kept = pruned(recipes.select("image_id", "recipe_id", "components", *LAB, "cnt", "importance"), shades)
-    compact = kept.withColumn("new_id", (F.row_number().over(Window.partitionBy("image_id").orderBy("recipe_id")) - 1).cast("int"))
-    final = fixed(compact.select("image_id", F.col("new_id").alias("recipe_id"), "components", *LAB, "importance"))
-    mapping = nearest_recipe(clusters, final).select("image_id", F.col("k").alias("label"), F.col("recipe_id").alias("target"))
-    projected = cluster.project_labels(labelled, mapping)
-    counts = projected.groupBy("image_id", F.col("label").alias("recipe_id")).agg(F.count(F.lit(1)).alias("cnt"))
-    return final.join(counts, ["image_id", "recipe_id"]), projected
+    clusters = cluster.salience(cluster.cluster_table(labelled, k)).where("cnt > 0")
+    table = pixels_lab.sparkSession.sparkContext.broadcast(spectral.Mixes.of(mixes, paints))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        return image_palette(group, table.value, shades)
 
+    schema = PALETTE
+    final = fixed(clusters.select("image_id", "k", *LAB, "cnt", "salience").groupBy("image_id").applyInPandas(run, schema))
+    mapping = final.select("image_id", F.explode("labels").alias("label"), F.col("recipe_id").alias("target"))
+    return final.drop("labels"), cluster.project_labels(labelled, mapping)

@@ -101,6 +101,11 @@ def pigment_names(ids: DataFrame, pigments: DataFrame) -> DataFrame:
     return ids.join(pigments.select("id", "name"), "id", "left").withColumn("name", F.coalesce("name", "id"))
 
 
+def palette_members(pigments: DataFrame, name: str) -> DataFrame:
+    """The pigments of a named palette, by id; "All" is every essential one."""
+    return pigments.where(F.col("essential") if name == "All" else F.col("id").isin(PALETTES[name]))
+
+
 def pigment_list(named: DataFrame) -> DataFrame:
     """``Name [id], …`` in the order of names."""
     text = F.concat("name", F.lit(" ["), "id", F.lit("]"))

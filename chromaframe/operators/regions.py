@@ -42,13 +42,11 @@ def clean(labels: np.ndarray, width: int, factor: float) -> np.ndarray:
     for start in range(n):
         if seen[start]:
             continue
-        region, stack = [], [start]
+        region = [start]  # first in, first out: of labels equally frequent around a region the one met first wins
         seen[start] = True
         own = labels[start]
         around: dict[int, int] = {}
-        while stack:
-            i = stack.pop()
-            region.append(i)
+        for i in region:
             x = i % width
             for j, there in ((i - 1, x > 0), (i + 1, x < width - 1), (i - width, i >= width), (i + width, i + width < n)):
                 if not there or j >= n:
@@ -57,7 +55,7 @@ def clean(labels: np.ndarray, width: int, factor: float) -> np.ndarray:
                     around[int(labels[j])] = around.get(int(labels[j]), 0) + 1
                 elif not seen[j]:
                     seen[j] = True
-                    stack.append(j)
+                    region.append(j)
         if len(region) < least and around:
             labels[region] = max(around, key=around.get)
     return labels

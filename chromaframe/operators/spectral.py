@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -38,11 +40,11 @@ def xyz_weights() -> list[list[float]]:
     return [[v / norm for v in curve] for curve in curves]
 
 
-def pigments_of_embeddings(embeddings: DataFrame, n: int = 12) -> DataFrame:
-    """Synthetic pigments for the sample tables: the first ``n`` vectors as absorption-to-scattering spectra."""
+def pigments_of_embeddings(embeddings: DataFrame) -> DataFrame:
+    """Synthetic pigments for the sample tables: the vectors as absorption-to-scattering spectra, a number for each wavelength."""
     ks = F.transform(F.slice("embedding", 1, len(WAVELENGTHS)), lambda z: 0.02 + 4.0 * F.abs(z.cast("double")))
     pid = F.col("vec_id").cast("int")
-    return embeddings.where(F.col("vec_id") < n).select(
+    return embeddings.select(
         pid.alias("pid"), F.concat(F.lit("p"), pid.cast("string")).alias("id"), F.concat(F.lit("Pigment "), pid.cast("string")).alias("name"), (pid % 3 != 2).alias("essential"), ks.alias("k_over_s")
     )
 
@@ -61,11 +63,21 @@ SPECTRAL_SCHEMA = """metadata map<string,string>, wavelengths array<int>, illumi
   pigments array<struct<id:string,name:string,productNumber:int,essential:boolean,cielab:struct<l:double,a:double,b:double>,reflectance:array<double>,kOverS:array<double>>>"""
 
 
+def file_weights() -> Column:
+    """The weights of X, Y and Z from a light's power and matching curves, so that a perfect white has Y = 1; all 0 where it has no power."""
+
+    def lit(curve: str) -> Column:
+        return F.zip_with("illuminant", curve, lambda p, v: p * v)
+
+    norm = F.aggregate(lit("cmf_y"), C.num(0), lambda a, v: a + v)
+    return F.array(*[F.transform(lit(f"cmf_{c}"), lambda v: F.when(norm > 0, v / norm).otherwise(C.num(0))) for c in "xyz"])
+
+
 def read_pigments(spark: SparkSession, path: str) -> DataFrame:
-    """Pigments of a spectral JSON file, with their place in it; a file without pigments is an error."""
+    """Pigments of a spectral JSON file, with their place in it and the file's own ``xyz_weights``; a file without pigments is an error."""
     rows = spark.read.schema(SPECTRAL_SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    return rows.select(F.posexplode("pigments").alias("pid", "p")).select(
-        "pid", "p.id", "p.name", F.col("p.productNumber").alias("product_number"), "p.essential", "p.cielab", "p.reflectance", F.col("p.kOverS").alias("k_over_s")
+    return rows.select(F.posexplode("pigments").alias("pid", "p"), file_weights().alias("xyz_weights")).select(
+        "pid", "p.id", "p.name", F.col("p.productNumber").alias("product_number"), "p.essential", "p.cielab", "p.reflectance", F.col("p.kOverS").alias("k_over_s"), "xyz_weights"
     )
 
 
@@ -91,12 +103,10 @@ def _plus(out: Column, spectrum: Column, c: Column) -> Column:
     return F.zip_with(out, spectrum, lambda x, k: x + k * c)
 
 
-def xyz(spectrum: Column) -> list[Column]:
-    out = []
-    for weights in xyz_weights():
-        literal = F.array(*[C.num(w) for w in weights])
-        out.append(F.aggregate(F.zip_with(spectrum, literal, lambda r, w: r * w), C.num(0), lambda acc, v: acc + v))
-    return out
+def xyz(spectrum: Column, weights: Column | None = None) -> list[Column]:
+    """X, Y and Z of a reflectance spectrum, by ``weights`` or under an equal-energy light."""
+    fixed = [F.array(*[C.num(w) for w in curve]) for curve in xyz_weights()] if weights is None else [weights[i] for i in range(3)]
+    return [F.aggregate(F.zip_with(spectrum, w, lambda r, v: r * v), C.num(0), lambda acc, v: acc + v) for w in fixed]
 
 
 def oklab_of_spectrum(ks: Column) -> list[Column]:
@@ -106,7 +116,9 @@ def oklab_of_spectrum(ks: Column) -> list[Column]:
 
 
 def with_colors(df: DataFrame, ks: str = "k_over_s") -> DataFrame:
-    lit = df.withColumn("_xyz", F.array(*xyz(F.transform(ks, reflectance))))  # once, not per use
+    """``df`` with the colours of its spectra, by its own ``xyz_weights`` where it has them."""
+    weights = F.col("xyz_weights") if "xyz_weights" in df.columns else None
+    lit = df.withColumn("_xyz", F.array(*xyz(F.transform(ks, reflectance), weights)))  # once, not per use
     linear = [F.greatest(C.num(0), C.dot(m, [F.col("_xyz")[i] for i in range(3)])) for m in FROM_XYZ]
     return lit.withColumns(dict(zip(C.LAB, C.oklab_of_linear(linear), strict=True))).drop("_xyz")
 
@@ -132,17 +144,19 @@ def mix_table(pigments: DataFrame, paints: int = 3, edges: bool = True) -> DataF
     """
     spark = pigments.sparkSession
     p = pigments.select("pid", "k_over_s")
-    one, two, three = (p.toDF(f"i{i}", f"s{i}") for i in range(3))
+    own = ["xyz_weights"] if "xyz_weights" in pigments.columns else []  # the same for all pigments of a file
+    one = pigments.select(F.col("pid").alias("i0"), F.col("k_over_s").alias("s0"), *own)
+    two, three = (p.toDF(f"i{i}", f"s{i}") for i in (1, 2))
     pairs = one.join(two, F.col("i0") < F.col("i1"))
     flat = F.array_repeat(C.num(0), len(WAVELENGTHS))
-    pair_rows = pairs.crossJoin(F.broadcast(_steps(spark, 2, edges))).select("i0", "i1", F.lit(-1).alias("i2"), "a0", "a1", "a2", "s0", "s1", flat.alias("s2"))
+    pair_rows = pairs.crossJoin(F.broadcast(_steps(spark, 2, edges))).select("i0", "i1", F.lit(-1).alias("i2"), "a0", "a1", "a2", "s0", "s1", flat.alias("s2"), *own)
     rows = pair_rows
     if paints >= 3:
         triples = pairs.join(three, F.col("i1") < F.col("i2"))
-        rows = rows.unionByName(triples.crossJoin(F.broadcast(_steps(spark, 3, edges))).select("i0", "i1", "i2", "a0", "a1", "a2", "s0", "s1", "s2"))
+        rows = rows.unionByName(triples.crossJoin(F.broadcast(_steps(spark, 3, edges))).select("i0", "i1", "i2", "a0", "a1", "a2", "s0", "s1", "s2", *own))
     ks = mix_k_over_s([(F.col(f"a{i}") / 8.0, F.col(f"s{i}")) for i in range(3)])
     count = sum(((F.col(f"a{i}") > 0).cast("int") for i in range(1, 3)), (F.col("a0") > 0).cast("int"))
-    return with_colors(rows.select("i0", "i1", "i2", "a0", "a1", "a2", ks.alias("k_over_s"))).select("i0", "i1", "i2", "a0", "a1", "a2", *C.LAB, count.alias("n_paints"))
+    return with_colors(rows.select("i0", "i1", "i2", "a0", "a1", "a2", ks.alias("k_over_s"), *own)).select("i0", "i1", "i2", "a0", "a1", "a2", *C.LAB, count.alias("n_paints"))
 
 
 def decode_packed(packed: Column) -> list[Column]:
@@ -152,37 +166,102 @@ def decode_packed(packed: Column) -> list[Column]:
 
 
 NEAREST = "image_id bigint, k int, i0 int, i1 int, i2 int, a0 int, a1 int, a2 int, n_paints int, ok_l double, ok_a double, ok_b double, delta_e double"
+ORDER = ["n_paints", "i0", "i1", "i2", "a0", "a1", "a2"]
 
-#: All mixes of 78 pigments in eighths; each takes 60 bytes in a worker.
+#: Mixes compared at once, 33 bytes each in a worker: all of 78 pigments in eighths fit.
 MAX_MIXES = 3_500_000
+#: Mixes that one broadcast may hold, about 400 MB: those of 118 pigments.
+MAX_TABLE = 12_000_000
+
+
+@dataclass
+class Mix:
+    """A mix near a colour, its amounts pruned of traces."""
+
+    parts: dict[int, float]
+    lab: tuple[float, float, float]
+    delta_e: float
+
+
+@dataclass
+class Mixes:
+    """A mix table as arrays, in the order that settles ties."""
 
+    keys: dict[str, np.ndarray]
+    lab: np.ndarray
 
-def nearest_mix(targets: DataFrame, mixes: DataFrame, most: int = 3) -> DataFrame:
+    @classmethod
+    def of(cls, mixes: DataFrame, most: int, bound: int = MAX_TABLE) -> Mixes:
+        """The mixes of at most ``most`` paints; their number hangs on that of the pigments alone and is checked."""
+        allowed = mixes.where(F.col("n_paints") <= most).select(*[F.col(c).cast("short") for c in ORDER], *C.LAB)
+        rows = allowed.limit(bound + 1).toArrow()
+        if rows.num_rows > bound:
+            raise ValueError(f"more than {bound} mixes of at most {most} paints")
+        keys = {c: rows.column(c).to_numpy() for c in ORDER}
+        order = np.lexsort([keys[c] for c in reversed(ORDER)])
+        return cls({c: v[order] for c, v in keys.items()}, np.stack([rows.column(c).to_numpy() for c in C.LAB], axis=1)[order])
+
+    def search(self, color: np.ndarray) -> tuple[int, float]:
+        """Place of the nearest mix, the first on ties, and its weighted distance."""
+        chroma = math.hypot(color[1], color[2])
+        w = 0.08 if chroma < 0.01 else min(32.0, 6 + 180 * chroma)
+        diff = self.lab - color
+        d = np.round(diff[:, 0] ** 2 + w * (diff[:, 1] ** 2 + diff[:, 2] ** 2), 9)
+        best = int(d.argmin())
+        return best, math.sqrt(d[best])
+
+    def nearest(self, color: np.ndarray, least: float = 0.02) -> Mix:
+        at, distance = self.search(color)
+        amounts = {int(self.keys[f"i{i}"][at]): int(self.keys[f"a{i}"][at]) / 8.0 for i in range(3) if self.keys[f"a{i}"][at] > 0}
+        return Mix(pruned_parts(amounts, least), tuple(self.lab[at].tolist()), distance)
+
+
+def pruned_parts(parts: dict[int, float], least: float) -> dict[int, float]:
+    """``pruned`` of one recipe."""
+    order = sorted(parts.items(), key=lambda p: (-p[1], p[0]))
+    kept = [p for p in order if p[1] >= least] or order[:1]
+    total = sum(c for _, c in kept)
+    return {p: c / total for p, c in kept}
+
+
+def only(mixes: DataFrame, pigments: list[int]) -> DataFrame:
+    """The mixes whose paints are all among ``pigments``, by pid."""
+    return mixes.where(reduce(lambda x, i: x & ((F.col(f"a{i}") == 0) | F.col(f"i{i}").isin(pigments)), range(3), F.lit(True)))
+
+
+def nearest_mix(targets: DataFrame, mixes: DataFrame, most: int = 3, at_once: int = MAX_MIXES) -> DataFrame:
     """For each target (image_id, k, ok_l, ok_a, ok_b) the mix of at most ``most`` paints with the smallest weighted distance.
 
-    The mix table depends on the number of pigments only; its size is checked, then its arrays are broadcast and each batch of
-    targets is compared in numpy, so targets never multiply. Ties: fewer paints, then lower indexes and amounts.
+    The mix table depends on the number of pigments only. It is broadcast as arrays, at most ``at_once`` mixes at a time, and each batch
+    of targets is compared in numpy, so targets never multiply; of several parts the best is taken. Ties: fewer paints, then lower
+    indexes and amounts.
     """
-    order = ["n_paints", "i0", "i1", "i2", "a0", "a1", "a2"]
-    allowed = mixes.where(F.col("n_paints") <= most)
-    if allowed.limit(MAX_MIXES + 1).count() > MAX_MIXES:
-        raise ValueError(f"more than {MAX_MIXES} mixes")
-    table = allowed.select(*order, *C.LAB).toPandas().sort_values(order, ignore_index=True)
-    shared = targets.sparkSession.sparkContext.broadcast(table)
+    n = mixes.where(F.col("n_paints") <= most).count()
+    parts = -(-n // at_once) or 1
+    part = F.pmod(F.xxhash64("i0", "i1", "i2", "a0", "a1", "a2"), F.lit(parts))
+    found = [_nearest_of(targets, Mixes.of(mixes.where(part == i), most)) for i in range(parts)]
+    if parts == 1:
+        return found[0]
+    every = reduce(DataFrame.unionByName, found)
+    best = every.groupBy("image_id", "k").agg(F.min(F.struct("delta_e", *ORDER, *C.LAB)).alias("m"))
+    return best.select("image_id", "k", "m.*").select(*[c.split()[0] for c in NEAREST.split(", ")])
+
+
+def _nearest_of(targets: DataFrame, mixes: Mixes) -> DataFrame:
+    shared = targets.sparkSession.sparkContext.broadcast(mixes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        lab = m[list(C.LAB)].to_numpy()
         for batch in batches:
-            best, dist = [], []
-            for light, a, b in batch[list(C.LAB)].to_numpy():
-                c = math.hypot(a, b)
-                w = 0.08 if c < 0.01 else min(32.0, 6 + 180 * c)
-                d = np.round((lab[:, 0] - light) ** 2 + w * ((lab[:, 1] - a) ** 2 + (lab[:, 2] - b) ** 2), 9)
-                best.append(int(d.argmin()))
-                dist.append(math.sqrt(d[best[-1]]))
-            found = m.iloc[best].reset_index(drop=True)
-            yield pd.concat([batch[["image_id", "k"]].reset_index(drop=True), found[["i0", "i1", "i2", "a0", "a1", "a2", "n_paints", *C.LAB]], pd.Series(dist, name="delta_e")], axis=1)
+            found = [m.search(c) for c in batch[list(C.LAB)].to_numpy()] if len(m.lab) else []
+            at = np.array([f[0] for f in found], np.int64)
+            out = batch[["image_id", "k"]].iloc[: len(at)].reset_index(drop=True)
+            for c in ("i0", "i1", "i2", "a0", "a1", "a2", "n_paints"):
+                out[c] = m.keys[c][at].astype(np.int32)
+            for i, c in enumerate(C.LAB):
+                out[c] = m.lab[at, i]
+            out["delta_e"] = [f[1] for f in found]
+            yield out
 
     return targets.select("image_id", "k", *C.LAB).mapInPandas(run, NEAREST)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 PIXEL = """pixel AS (SELECT image_id, idx, x, y, CAST(x * 5 + cust % 8 AS INT) AS r, CAST(y * 8 + cust % 16 AS INT) AS g,
   CAST(((x // 10) * 51 + (y // 10) * 17 + k % 5) % 256 AS INT) AS b, 255 AS alpha, CAST(least(255, x * 5 + cust % 6) AS INT) AS depth
   FROM (SELECT o_orderkey // 1500 AS image_id, CAST(o_orderkey % 1500 AS INT) AS idx, CAST((o_orderkey % 1500) % 50 AS INT) AS x,
@@ -104,10 +106,6 @@ def seeding(k: int) -> str:
     return ", ".join(steps)
 
 
-def classes(e: str, steps: list[tuple[float, str]], last: str) -> str:
-    return "CASE " + " ".join(f"WHEN {e} < {b} THEN '{n}'" for b, n in steps) + f" ELSE '{last}' END"
-
-
 DEPTH = "dc AS (SELECT image_id, depth, count(*) AS n FROM pixel GROUP BY ALL)"
 RANGE = """dr AS (SELECT image_id, CASE WHEN hi - lo < 1 / 255.0 THEN greatest(0.0, (lo + hi) * 0.5 - 0.5 / 255.0) ELSE lo END AS lo,
   CASE WHEN hi - lo < 1 / 255.0 THEN least(1.0, (lo + hi) * 0.5 + 0.5 / 255.0) ELSE hi END AS hi
@@ -127,7 +125,21 @@ def reflect(k: str) -> str:
     return f"CASE WHEN {k} <= 0 THEN 1.0 ELSE 1.0 + {k} - sqrt({k} * {k} + 2.0 * {k}) END"
 
 
-def spectral_lab(weights: list[list[float]], source: str, keys: str) -> str:
+def _bump(w: float, at: float, left: float, right: float) -> float:
+    return math.exp(-(((w - at) * (left if w < at else right)) ** 2) / 2)
+
+
+#: The published fit of the colour-matching functions as (height, mean, inverse widths left and right), at 400, 410 ... 700 nm.
+_FIT = [
+    [(0.362, 442.0, 0.0624, 0.0374), (1.056, 599.8, 0.0264, 0.0323), (-0.065, 501.1, 0.0490, 0.0382)],
+    [(0.821, 568.8, 0.0213, 0.0247), (0.286, 530.9, 0.0613, 0.0322)],
+    [(1.217, 437.0, 0.0845, 0.0278), (0.681, 459.0, 0.0385, 0.0725)],
+]
+_MATCH = [[sum(h * _bump(w, *rest) for h, *rest in parts) for w in range(400, 701, 10)] for parts in _FIT]
+WEIGHTS = [[v / sum(_MATCH[1]) for v in curve] for curve in _MATCH]
+
+
+def spectral_lab(source: str, keys: str, weights: list[list[float]] = WEIGHTS) -> str:
     """Oklab of every ``ks`` list of ``source``."""
     sums = ", ".join(f"list_sum([({reflect('ks[i]')}) * ([{', '.join(map(repr, w))}])[i] FOR i IN range(1, 32)]) AS {n}" for n, w in zip(("vx", "vy", "vz"), weights, strict=True))
     return f"""tri AS (SELECT {keys}, {sums} FROM {source}),
@@ -139,4 +151,19 @@ tones AS (SELECT {keys}, 0.2104542553 * c1 + 0.7936177850 * c2 - 0.0040720468 *
   0.0259040371 * c1 + 0.7827717662 * c2 - 0.8086757660 * c3 AS ok_b FROM cones)"""
 
 
-PIGMENTS = "pig AS (SELECT CAST(vec_id AS INT) AS pid, [0.02 + 4.0 * abs(CAST(z AS DOUBLE)) FOR z IN embedding[1:31]] AS ks FROM embeddings WHERE vec_id < 12)"
+PIGMENTS = "pig AS (SELECT CAST(vec_id AS INT) AS pid, [0.02 + 4.0 * abs(CAST(z AS DOUBLE)) FOR z IN embedding[1:31]] AS ks FROM embeddings)"
+#: 78 pigments: 13 places of the lobe in 6 strengths and widths.
+FIXTURE = """pig AS (SELECT pid, [0.02 + 4.0 * (pid // 13 + 1) / 6 * exp(-0.5 * pow((w - 400 - 25 * (pid % 13)) / (30.0 + 15 * (pid // 13)), 2)) FOR w IN range(400, 701, 10)] AS ks
+  FROM (SELECT CAST(unnest(range(78)) AS INT) AS pid))"""
+
+#: Colour names, from the definitions.
+VALUES = "CASE WHEN l < 0.20 THEN 'Near-Black' WHEN l < 0.35 THEN 'Dark' WHEN l < 0.55 THEN 'Deep' WHEN l < 0.72 THEN 'Mid' WHEN l < 0.86 THEN 'Light' ELSE 'Pale' END"
+CHROMAS = "CASE WHEN c < 0.03 THEN 'Neutral' WHEN c < 0.06 THEN 'Dull' WHEN c < 0.10 THEN 'Muted' WHEN c < 0.16 THEN 'Soft' WHEN c < 0.24 THEN 'Clear' ELSE 'Bright' END"
+HUES = """CASE WHEN h >= 350 OR h < 20 THEN 'Red' WHEN h < 45 THEN 'Orange' WHEN h < 70 THEN 'Gold' WHEN h < 95 THEN 'Yellow' WHEN h < 140 THEN 'Green'
+  WHEN h < 185 THEN 'Teal' WHEN h < 255 THEN 'Blue' WHEN h < 315 THEN 'Violet' ELSE 'Rose' END"""
+WARMTHS = """CASE WHEN h < 10 OR h >= 20 AND h < 82.5 OR h >= 95 AND h < 117.5 OR h >= 140 AND h < 162.5 OR h >= 220 AND h < 255 OR h >= 285 AND h < 315
+  OR h >= 332.5 THEN 'Warm' ELSE 'Cool' END"""
+
+#: Edges joined in a cell by which of its corners (8 top left, 4 top right, 2 bottom right, 1 bottom left) lie below the level.
+CASES = {1: "LB", 2: "BR", 3: "LR", 4: "TR", 6: "TB", 7: "TL", 8: "TL", 9: "TB", 11: "TR", 12: "LR", 13: "BR", 14: "LB"}
+TWO_LINES = {5: (("TR", "LB"), ("TL", "BR")), 10: (("TL", "BR"), ("TR", "LB"))}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -68,7 +69,7 @@ def band_counts(s, d):
     return tonal.band_counts(tonal.value_bands(read_pixels(s, d)))
 
 
-_BIASED = [int(t * 255 + 0.5) for t in C.thresholds(5, 0.5)]
+_BIASED = [int((i / 5) ** math.sqrt(5 / 3) * 255 + 0.5) for i in (1, 2, 3, 4)]
 
 
 @query("value_bands_biased", f"WITH {O.LAB}, {O.gray('luminance')}, {O.bands(_BIASED)} SELECT image_id, band, count(*) AS cnt FROM band GROUP BY ALL")
@@ -96,7 +97,7 @@ def _(s, d):
     return _lab(s, d).select("image_id", "idx", *[v.alias(n) for n, v in zip("rgb", rgb, strict=True)])
 
 
-@query("luma_bias", f"WITH {O.LAB} SELECT image_id, idx, {O.r6(f'pow(greatest(0.0, least(1.0, ok_l)), {C.exponent(0.5)!r})')} AS ok_l FROM lab")
+@query("luma_bias", f"WITH {O.LAB} SELECT image_id, idx, {O.r6(f'pow(greatest(0.0, least(1.0, ok_l)), {math.sqrt(3 / 5)!r})')} AS ok_l FROM lab")
 def _(s, d):
     return r6(tonal.biased(_lab(s, d), 0.5).select("image_id", "idx", "ok_l"), "ok_l")
 
@@ -104,8 +105,7 @@ def _(s, d):
 _C, _H = "c", "h"
 _NAMES = f"""WITH {O.LAB}, ch AS (SELECT image_id, idx, round(ok_l, 9) AS l, round(sqrt(ok_a * ok_a + ok_b * ok_b), 9) AS c,
   round(CASE WHEN atan2(ok_b, ok_a) < 0 THEN degrees(atan2(ok_b, ok_a)) + 360 ELSE degrees(atan2(ok_b, ok_a)) END, 9) AS h FROM lab)
-SELECT image_id, idx, CASE WHEN c < 0.03 THEN {O.classes('l', *C.VALUE_CLASSES)} || ' Neutral' ELSE concat_ws(' ', {O.classes('l', *C.VALUE_CLASSES)},
-  CASE WHEN c >= 0.05 THEN {O.classes('h', *C.TEMPERATURE_CLASSES)} END, {O.classes('c', *C.CHROMA_CLASSES)}, {O.classes('h', *C.HUE_CLASSES)}) END AS name FROM ch"""
+SELECT image_id, idx, CASE WHEN c < 0.03 THEN {O.VALUES} || ' Neutral' ELSE concat_ws(' ', {O.VALUES}, CASE WHEN c >= 0.05 THEN {O.WARMTHS} END, {O.CHROMAS}, {O.HUES}) END AS name FROM ch"""
 
 
 @query("color_names", _NAMES)
@@ -191,10 +191,11 @@ def _(s, d):
     return _pigments(s, d).select("pid", "id", "name", "essential", C.rounded(F.aggregate("k_over_s", C.num(0), lambda a, v: a + v)).alias("total"))
 
 
-_WEIGHTS = spectral.xyz_weights()
+def _paints(s):
+    return spectral.pigment_fixture(s)
 
 
-@query("km_masstones", f"WITH {O.PIGMENTS}, {O.spectral_lab(_WEIGHTS, 'pig', 'pid')} SELECT pid, {O.r6('ok_l')} AS ok_l, {O.r6('ok_a')} AS ok_a, {O.r6('ok_b')} AS ok_b FROM tones")
+@query("km_masstones", f"WITH {O.PIGMENTS}, {O.spectral_lab('pig', 'pid')} SELECT pid, {O.r6('ok_l')} AS ok_l, {O.r6('ok_a')} AS ok_a, {O.r6('ok_b')} AS ok_b FROM tones")
 def _(s, d):
     return r6(spectral.masstones(_pigments(s, d)).drop("id"), *LAB)
 
@@ -207,30 +208,47 @@ _TRIPLES = """triples AS (SELECT p.pid AS i0, q.pid AS i1, o.pid AS i2, CAST(a A
 _MIX_KEYS = "i0, i1, a0, a1"
 
 
-@query("mix_pairs", f"WITH {O.PIGMENTS}, {_PAIRS}, {O.spectral_lab(_WEIGHTS, 'pairs', _MIX_KEYS)} SELECT {_MIX_KEYS}, {O.r6('ok_l')} AS ok_l, {O.r6('ok_a')} AS ok_a, {O.r6('ok_b')} AS ok_b FROM tones")
+@query("mix_pairs", f"WITH {O.FIXTURE}, {_PAIRS}, {O.spectral_lab('pairs', _MIX_KEYS)} SELECT {_MIX_KEYS}, {O.r6('ok_l')} AS ok_l, {O.r6('ok_a')} AS ok_a, {O.r6('ok_b')} AS ok_b FROM tones")
 def _(s, d):
-    return r6(spectral.mix_table(_pigments(s, d), 2).select("i0", "i1", "a0", "a1", *LAB), *LAB)
+    return r6(spectral.mix_table(_paints(s), 2).select("i0", "i1", "a0", "a1", *LAB), *LAB)
 
 
-@query("mix_triples", f"WITH {O.PIGMENTS}, {_TRIPLES}, {O.spectral_lab(_WEIGHTS, 'triples', 'i0, i1, i2, a0, a1, a2')} SELECT i0, i1, i2, a0, a1, a2, {O.r6('ok_l')} AS ok_l, {O.r6('ok_a')} AS ok_a, {O.r6('ok_b')} AS ok_b FROM tones")
+@query("mix_triples", f"""WITH {O.FIXTURE}, {_TRIPLES}, {O.spectral_lab('triples', 'i0, i1, i2, a0, a1, a2')} SELECT i0, i1, i2, count(*) AS n, {O.r6('avg(ok_l * (1 + a0 + 10 * a1))')} AS ok_l,
+  {O.r6('avg(ok_a * (1 + a0 + 10 * a1))')} AS ok_a, {O.r6('avg(ok_b * (1 + a0 + 10 * a1))')} AS ok_b FROM tones GROUP BY ALL""")
 def _(s, d):
-    mixes = spectral.mix_table(_pigments(s, d).where("pid < 12"), 3).where("i2 >= 0")
-    return r6(mixes.select("i0", "i1", "i2", "a0", "a1", "a2", *LAB), *LAB)
+    """The colours of all steps of a triple, weighted by their amounts so that each has its own share."""
+    mixes = spectral.mix_table(_paints(s), 3).where("i2 >= 0")
+    share = 1 + F.col("a0") + 10 * F.col("a1")
+    return r6(mixes.groupBy("i0", "i1", "i2").agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col(c) * share).alias(c) for c in LAB]), *LAB)
 
 
-@query("nearest_mix", f"""WITH {O.PIGMENTS}, {_PAIRS}, {O.spectral_lab(_WEIGHTS, 'pairs', _MIX_KEYS)}, {O.LAB.replace('WITH ', '').replace('cone AS', 'pcone AS').replace('FROM cone)', 'FROM pcone)').replace('linear AS', 'plinear AS').replace('FROM linear)', 'FROM plinear)')}, {O.LABELLED}, {O.CLUSTERS},
+def _nearest_sql(where: str = "true") -> str:
+    return f"""WITH {O.FIXTURE}, {_PAIRS}, {O.spectral_lab('pairs', _MIX_KEYS)}, {O.LAB.replace('WITH ', '').replace('cone AS', 'pcone AS').replace('FROM cone)', 'FROM pcone)').replace('linear AS', 'plinear AS').replace('FROM linear)', 'FROM plinear)')}, {O.LABELLED}, {O.CLUSTERS},
 cand AS (SELECT c.image_id, c.k, t.i0, t.i1, t.a0, t.a1, CAST(t.a0 > 0 AS INT) + CAST(t.a1 > 0 AS INT) AS n_paints,
   round(pow(t.ok_l - c.ok_l, 2) + (CASE WHEN sqrt(c.ok_a * c.ok_a + c.ok_b * c.ok_b) < 0.01 THEN 0.08 ELSE least(32.0, 6 + 180 * sqrt(c.ok_a * c.ok_a + c.ok_b * c.ok_b)) END)
-    * (pow(t.ok_a - c.ok_a, 2) + pow(t.ok_b - c.ok_b, 2)), 9) AS dd FROM clusters c, tones t)
+    * (pow(t.ok_a - c.ok_a, 2) + pow(t.ok_b - c.ok_b, 2)), 9) AS dd FROM clusters c, tones t WHERE {where})
 SELECT image_id, k, i0, i1, a0, a1, n_paints, {O.r6('sqrt(dd)')} AS delta_e FROM cand
-QUALIFY row_number() OVER (PARTITION BY image_id, k ORDER BY dd, n_paints, i0, i1, a0, a1) = 1""")
+QUALIFY row_number() OVER (PARTITION BY image_id, k ORDER BY dd, n_paints, i0, i1, a0, a1) = 1"""
+
+
+@query("nearest_mix", _nearest_sql())
 def _(s, d):
-    mixes = spectral.mix_table(_pigments(s, d), 2)
+    return _nearest(s, d, spectral.mix_table(_paints(s), 2))
+
+
+@query("nearest_mix_enabled", _nearest_sql("(a0 = 0 OR i0 % 3 <> 2) AND (a1 = 0 OR i1 % 3 <> 2)"))
+def _(s, d):
+    pigments = _paints(s)
+    enabled = [r.pid for r in pigments.where("essential").select("pid").collect()]  # pigments are tens
+    return _nearest(s, d, spectral.only(spectral.mix_table(pigments, 2), enabled))
+
+
+def _nearest(s, d, mixes):
     found = spectral.nearest_mix(cluster.cluster_table(_labelled(s, d), 4), mixes, 2)
     return r6(found.select("image_id", "k", "i0", "i1", "a0", "a1", "n_paints", "delta_e"), "delta_e")
 
 
-@query("recipe_prune", """WITH parts AS (SELECT o_orderkey, o_orderkey % 9 / 8.0 AS c0, (8 - o_orderkey % 9) / 8.0 AS c1 FROM orders WHERE o_orderkey < 1000000),
+@query("recipe_prune", """WITH parts AS (SELECT o_orderkey, o_orderkey % 9 / 8.0 AS c0, (8 - o_orderkey % 9) / 8.0 AS c1 FROM orders),
 kept AS (SELECT o_orderkey, CASE WHEN c0 < 0.2 AND c0 > 0 THEN 0 ELSE c0 END AS c0, CASE WHEN c1 < 0.2 AND c1 > 0 THEN 0 ELSE c1 END AS c1 FROM parts)
 SELECT o_orderkey, CAST((c0 > 0)::INT + (c1 > 0)::INT AS INT) AS n, (round(greatest(c0, c1) / (c0 + c1), 6) + 0.0) AS largest FROM kept""")
 def _(s, d):
@@ -291,7 +309,7 @@ def _recipes(s, d):
     return _salient(s, d).withColumnRenamed("k", "recipe_id")
 
 
-@query("anchors_value", f"WITH {O.LAB}, {O.LABELLED}, {O.CLUSTERS} " + _OF_ONE.format(cols="first(k ORDER BY round(ok_l, 9), k) AS darkest, first(k ORDER BY -round(ok_l, 9), k) AS lightest, first(k ORDER BY ch, k) AS most_neutral", where="cnt > total * 0.01"))
+@query("anchors_value", f"WITH {O.LAB}, {O.LABELLED}, {O.CLUSTERS} " + _OF_ONE.format(cols="first(k ORDER BY round(ok_l, 9), k) AS darkest, first(k ORDER BY -round(ok_l, 9), k) AS lightest, first(k ORDER BY ch, k) FILTER (ch < 0.04) AS most_neutral", where="cnt > total * 0.01"))
 def _(s, d):
     return palette.value_anchors(_recipes(s, d))
 
@@ -329,11 +347,9 @@ def _(s, d):
     return r6(palette.tube_scores(_order_recipes(s, d)), "score")
 
 
-@query("palette_report", f"WITH {O.LAB}, {O.LABELLED}, {O.CLUSTERS} SELECT image_id, k AS recipe_id, printf('#%02X%02X%02XFF', {_RGB[0]}, {_RGB[1]}, {_RGB[2]}) AS hex, cnt AS n_pixels, {O.r6('cnt / 1500.0')} AS share FROM clusters c WHERE image_id IN (SELECT image_id FROM pixel GROUP BY 1 HAVING count(*) = 1500)")
+@query("palette_report", f"WITH {O.LAB}, {O.LABELLED}, {O.CLUSTERS} SELECT image_id, k AS recipe_id, printf('#%02X%02X%02XFF', {_RGB[0]}, {_RGB[1]}, {_RGB[2]}) AS hex, cnt AS n_pixels, {O.r6('cnt / sum(cnt) OVER (PARTITION BY image_id)')} AS share FROM clusters c")
 def _(s, d):
-    labelled = _labelled(s, d)
-    whole = labelled.groupBy("image_id").count().where("count = 1500").select("image_id")
-    return palette.palette_report(labelled, _recipes(s, d)).join(whole, "image_id", "left_semi")
+    return palette.palette_report(_labelled(s, d), _recipes(s, d))
 
 
 def _kernel_recipes(s, d):
@@ -355,7 +371,7 @@ def _(s, d):
 
 @query("palette_full")
 def palette_full(s, d):
-    final, _ = palette.build(_lab(s, d), spectral.mix_table(spectral.pigment_fixture(s), 2), shades=6, paints=2)
+    final, _ = palette.build(_lab(s, d), spectral.mix_table(spectral.pigment_fixture(s), 2), shades=6, paints=2)  # the fixture has the reference's number of pigments
     return r6(final.select("image_id", "recipe_id", *LAB, "cnt"), *LAB)
 
 
@@ -417,6 +433,18 @@ def _(s, d):
     return depth.normalized(read_pixels(s, d))
 
 
+_FLOATS = "CASE WHEN idx % 37 = 0 THEN 'nan'::DOUBLE WHEN idx % 41 = 0 THEN -1.0 WHEN idx % 43 = 0 THEN 'inf'::DOUBLE ELSE 0.4 + depth / 100.0 + idx % 7 / 64.0 END"
+
+
+@query("depth_floats", f"""WITH {O.PIXEL}, v AS (SELECT image_id, idx, {_FLOATS} AS v FROM pixel), ok AS (SELECT image_id, v AS depth FROM v WHERE NOT isnan(v) AND v > 0 AND v < 'inf'::DOUBLE),
+w AS (SELECT image_id, {O.rank_value(0.005)} AS lo, {O.rank_value(0.998)} AS hi FROM ok GROUP BY image_id HAVING count(*) > 32)
+SELECT v.image_id, idx, CASE WHEN NOT isnan(v) AND v > 0 AND v < 'inf'::DOUBLE THEN CAST(floor(round(1 - pow(greatest(0.0, least(1.0, (v - lo) / (greatest(hi, lo + 1e-8) - lo))), 0.92), 9) * 255.0 + 0.5) AS INT) ELSE 0 END AS depth FROM v JOIN w USING (image_id)""")
+def _(s, d):
+    odd = F.when(F.col("idx") % 37 == 0, F.lit(float("nan"))).when(F.col("idx") % 41 == 0, F.lit(-1.0)).when(F.col("idx") % 43 == 0, F.lit(float("inf")))
+    samples = read_pixels(s, d).select("image_id", "idx", odd.otherwise(0.4 + F.col("depth") / 100.0 + F.col("idx") % 7 / 64.0).alias("v"))
+    return depth.normalized_floats(samples, disparity=True)
+
+
 def _blend(background: float, edge: float, to: str) -> str:
     t = O.smooth(str(background - edge), str(background + edge), "depth / 255.0")
     return ", ".join(f"CAST(floor(round({c} * (1.0 - {t}) + {to} * {t} + 0.5, 9)) AS INT) AS {c}" for c in ("r", "g", "b"))
@@ -464,7 +492,7 @@ def _(s, d):
     return r6(lines.grid_segments(images, 4), "x0", "y0", "x1", "y1")
 
 
-_LEVELS = lines.contour_levels(0.0, 1.0, 5, 0.9)
+_LEVELS = [0.15, 0.3, 0.45, 0.6, 0.75]
 _CELLS = f"""WITH {O.PIXEL}, f AS (SELECT image_id, x, y, depth / 255.0 AS v FROM pixel),
 q AS (SELECT a.image_id, a.x, a.y, a.v AS tl, b.v AS tr, c.v AS bl, e.v AS br FROM f a JOIN f b ON b.image_id = a.image_id AND b.x = a.x + 1 AND b.y = a.y
   JOIN f c ON c.image_id = a.image_id AND c.x = a.x AND c.y = a.y + 1 JOIN f e ON e.image_id = a.image_id AND e.x = a.x + 1 AND e.y = a.y + 1
@@ -475,7 +503,7 @@ cells AS (SELECT *, CAST(8 * (tl < t)::INT + 4 * (tr < t)::INT + 2 * (br < t)::I
 
 def _cells(s, d):
     field = read_pixels(s, d).select("image_id", "x", "y", (F.col("depth") / 255.0).alias("v"))
-    return lines.contour_cells(field, _LEVELS, 0.9)
+    return lines.contour_cells(field, [round(t, 9) for t in lines.contour_levels(0.0, 1.0, 5, 0.9)], 0.9)
 
 
 @query("contour_cells", _CELLS + "SELECT image_id, x, y, level, case_index FROM cells WHERE case_index BETWEEN 1 AND 14")
@@ -495,9 +523,9 @@ def _edge(name: str, axis: str) -> str:
 
 
 def _segment_sql() -> str:
-    rows = [(f"case_index = {k}", [e]) for k, e in lines.CASE_EDGES.items()]
+    rows = [(f"case_index = {k}", [e]) for k, e in O.CASES.items()]
     low = "(tl + tr + bl + br) / 4.0 < t"
-    for k, (below, above) in lines.SADDLES.items():
+    for k, (below, above) in O.TWO_LINES.items():
         rows += [(f"case_index = {k} AND {low}", below), (f"case_index = {k} AND NOT {low}", above)]
     parts = []
     for where, edges in rows:
@@ -542,6 +570,52 @@ def _(s, d):
     return lines.catmull_rom(points)
 
 
+@query("contour_smooth")
+def _(s, d):
+    return lines.smoothed(lines.contour_chains(_segments(s, d)))
+
+
+@query("depth_resampled", f"""WITH {O.PIXEL}, g AS (SELECT image_id, max(x) AS wide, max(y) AS high FROM pixel GROUP BY 1),
+pts AS (SELECT image_id, wide, high, x, y, round(x * wide / 200.0, 9) AS px, round(y * high / 200.0, 9) AS py FROM g, (SELECT unnest(range(201))::INT AS x), (SELECT unnest(range(201))::INT AS y)),
+spot AS (SELECT *, least(floor(px), greatest(wide - 1, 0))::INT AS fx, least(floor(py), greatest(high - 1, 0))::INT AS fy FROM pts)
+SELECT a.image_id, a.x, a.y, (round(sum(p.depth / 255.0 * (CASE WHEN p.x = fx THEN 1 - (px - fx) ELSE px - fx END) * (CASE WHEN p.y = fy THEN 1 - (py - fy) ELSE py - fy END)), 6) + 0.0) AS v
+FROM spot a JOIN pixel p ON p.image_id = a.image_id AND p.x BETWEEN fx AND fx + 1 AND p.y BETWEEN fy AND fy + 1 GROUP BY ALL""")
+def _(s, d):
+    whole = read_pixels(s, d).select("image_id", "x", "y", (F.col("depth") / 255.0).alias("v"))
+    return r6(lines.resampled(whole), "v")
+
+
+_AUTO = f"""WITH {O.LAB}, i AS (SELECT image_id, max(x) AS mx, max(y) AS my FROM pixel GROUP BY image_id), g AS (SELECT *, least(mx + 1, my + 1) / 4.0 AS cell FROM i),
+seg AS (SELECT image_id, 'column' AS kind, c::INT AS i, 0 AS j, least(c * cell / (mx + 1), 1.0) AS x0, 0.0 AS y0, least(c * cell / (mx + 1), 1.0) AS x1, 1.0 AS y1, mx, my FROM (SELECT *, unnest(range(ceil((mx + 1) / cell)::INT + 1)) AS c FROM g)
+  UNION ALL SELECT image_id, 'row', 0, c::INT, 0.0, least(c * cell / (my + 1), 1.0), 1.0, least(c * cell / (my + 1), 1.0), mx, my FROM (SELECT *, unnest(range(ceil((my + 1) / cell)::INT + 1)) AS c FROM g)),
+l AS (SELECT *, round(sqrt(pow((x1 - x0) * mx, 2) + pow((y1 - y0) * my, 2)), 9) AS length FROM seg),
+c AS (SELECT *, greatest(1, ceil(length / least(48.0, greatest(1.0, least(mx, my) + 1.0))))::INT AS chunks FROM l),
+k AS (SELECT *, unnest(range(chunks)) AS chunk, length / chunks AS span FROM c),
+p AS (SELECT *, greatest(1, ceil(round(span / 8.0, 9)))::INT AS samples, CASE WHEN span < 3 THEN 0 ELSE 1 END AS rad FROM k),
+t AS (SELECT *, unnest(range(samples)) AS s FROM p), u AS (SELECT *, (chunk + (s + 0.5) / samples) / chunks AS along FROM t),
+x AS (SELECT *, unnest(range(-rad, rad + 1)) AS dx FROM u), y AS (SELECT *, unnest(range(-rad, rad + 1)) AS dy FROM x),
+a AS (SELECT *, greatest(0, least(mx, floor(round((x0 + (x1 - x0) * along) * mx + 0.5, 9))::INT + dx)) AS sx, greatest(0, least(my, floor(round((y0 + (y1 - y0) * along) * my + 0.5, 9))::INT + dy)) AS sy FROM y),
+m AS (SELECT a.image_id, kind, i, j, x0, y0, x1, y1, chunk, chunks, round(avg(0.2126 * lr + 0.7152 * lg + 0.0722 * lb), 9) AS lum FROM a JOIN lab p ON p.image_id = a.image_id AND p.x = sx AND p.y = sy GROUP BY ALL),
+o AS (SELECT *, CASE WHEN lum >= abs(lum - 1) THEN 'black' ELSE 'white' END AS tone FROM m),
+n AS (SELECT *, coalesce((tone <> lag(tone) OVER w)::INT, 1) AS new FROM o WINDOW w AS (PARTITION BY image_id, kind, i, j ORDER BY chunk)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY image_id, kind, i, j ORDER BY chunk)::INT AS run FROM n),
+e AS (SELECT image_id, kind, i, j, x0, y0, x1, y1, chunks, run, tone, min(chunk) AS a, max(chunk) + 1 AS b FROM r GROUP BY ALL)
+SELECT image_id, kind, i, j, run, {O.r6('x0 + (x1 - x0) * a / chunks')} AS x0, {O.r6('y0 + (y1 - y0) * a / chunks')} AS y0, {O.r6('x0 + (x1 - x0) * b / chunks')} AS x1, {O.r6('y0 + (y1 - y0) * b / chunks')} AS y1,
+  CASE tone WHEN 'black' THEN '#000000FF' ELSE '#FFFFFFFF' END AS color FROM e"""
+
+
+@query("line_colors", _AUTO)
+def _(s, d):
+    pixels = read_pixels(s, d)
+    images = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+    return lines.line_colors(lines.grid_segments(images, 4), pixels)
+
+
+@query("average_luminance", f"WITH {O.LAB}, g AS (SELECT image_id, greatest(1, floor(sqrt((max(x) + 1) * (max(y) + 1) / 100.0)))::INT AS step FROM pixel GROUP BY 1) SELECT image_id, {O.r6('avg(0.2126 * lr + 0.7152 * lg + 0.0722 * lb)')} AS luminance FROM lab JOIN g USING (image_id) WHERE x % step = 0 AND y % step = 0 GROUP BY image_id")
+def _(s, d):
+    return r6(lines.average_luminance(read_pixels(s, d), 100), "luminance")
+
+
 # focus and regions
 
 
@@ -615,9 +689,9 @@ def _(s, d):
     return s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.array_join(F.transform(edges, lambda z: F.format_string("%.4f", z)), ",").alias("edges"))
 
 
-@query("pigment_lookup", f"WITH {O.PIGMENTS}, w AS (SELECT vec_id, 'p' || (vec_id % 20) AS id FROM embeddings) SELECT vec_id, id, coalesce('Pigment ' || pid, id) AS name FROM w LEFT JOIN pig ON 'p' || pid = id")
+@query("pigment_lookup", f"WITH {O.PIGMENTS}, w AS (SELECT vec_id, 'p' || (vec_id * 2) AS id FROM embeddings) SELECT vec_id, id, coalesce('Pigment ' || pid, id) AS name FROM w LEFT JOIN pig ON 'p' || pid = id")
 def _(s, d):
-    wanted = s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.concat(F.lit("p"), (F.col("vec_id") % 20).cast("string")).alias("id"))
+    wanted = s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.concat(F.lit("p"), (F.col("vec_id") * 2).cast("string")).alias("id"))
     return presets.pigment_names(wanted, _pigments(s, d)).select("vec_id", "id", "name")
 
 

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def fixed(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint in the shared folder that spark.checkpoint.dir names; in a local one only where none is set."""
+    """``df`` as a checkpoint in the shared folder that spark.checkpoint.dir names; in a local one only where all runs on one machine."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="chromaframe-"))
     return df.checkpoint()

@@ -1,8 +1,10 @@
 """Worked cases of the image studies."""
 
+import json
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +64,8 @@ CLEAN = [
     ([0, 0, 0, 2, 1, 2, 2, 2, 2], 3, 0.25, [0, 0, 0, 2, 2, 2, 2, 2, 2]),
     ([0, 0, 0, 1, 0, 0, 0, 2, 0, 0], 10, 0.2, [0] * 10),
     ([0, 1, 0, 1, 0], 5, 0.0, [0, 1, 0, 1, 0]),
+    # 2 and 3 lie twice each around the corner of 1; 2 is met first, right of its second pixel
+    ([1, 1, 2, 1, 3, 2, 2, 2, 2], 3, 0.45, [2] * 9),
 ]
 
 
@@ -121,11 +125,149 @@ def test_pruning_keeps_anchors_and_pixels():
     rows = [recipe(i, {i: 1.0}, (i / 10, 0.02 * (i % 3), 0.03 * (i % 2)), 100) for i in range(10)]
     keep = palette.anchors(rows, 3)
     assert len(keep) == 3
-    out = palette.prune_to(rows, 3, keep)
+    out = palette.prune_to(rows, 3)
     assert {r.id for r in out} == keep and sum(r.cnt for r in out) == 1000
     assert sorted(m for r in out for m in r.members) == list(range(10))
 
 
+def test_the_least_important_goes_first_and_ends_pruning():
+    """Not the one of least loss: recipe 1 lies beside 0 and would be lost for less, but 2 is less important and costs too much."""
+    rows = [recipe(0, {0: 1.0}, (0.1, 0, 0), 500), recipe(1, {1: 1.0}, (0.12, 0, 0), 200), recipe(2, {2: 1.0}, (0.9, 0.3, 0), 100), recipe(3, {3: 1.0}, (0.95, 0, 0), 600)]
+    assert [r.id for r in palette.adaptive_prune(rows, 2, {0, 3})] == [0, 1, 2, 3]
+    assert [r.id for r in palette.adaptive_prune(rows, 2, {0, 2, 3})] == [0, 2, 3]
+    rows[2].lab = np.array((0.93, 0, 0))
+    left = palette.adaptive_prune(rows, 2, {0, 3})
+    assert [(r.id, r.cnt, r.members) for r in left] == [(0, 700, [0, 1]), (3, 700, [3, 2])]
+    assert [r.cnt for r in rows] == [500, 200, 100, 600]
+
+
+def test_importance_stays_while_recipes_fall_away():
+    """What 1 leaves behind does not make its neighbour 2 more important before 2 is looked at."""
+    rows = [recipe(i, {i: 1.0}, (0.5 + 0.001 * i, 0, 0), c) for i, c in enumerate((900, 30, 31, 32, 800))]
+    assert [(r.id, r.cnt) for r in palette.adaptive_prune(rows, 2, {0, 4})] == [(0, 961), (4, 832)]
+
+
+def test_anchors_need_their_bounds():
+    warm = [recipe(i, {i: 1.0}, (0.3 + 0.1 * i, 0.1, 0.1 + 0.01 * i), 100) for i in range(4)]
+    assert palette.anchors(warm, 3) == {0, 1, 3}  # no neutral one among them, so an end of the a axis comes third
+    assert palette.anchors([*warm, recipe(9, {9: 1.0}, (0.5, 0.01, 0), 100)], 3) == {0, 3, 9}
+    assert palette.anchors([*warm, recipe(9, {9: 1.0}, (0.5, 0.01, 0), 4)], 3) == {0, 1, 3}  # not above a hundredth of the pixels
+
+
+def test_contour_chains_and_their_smoothing(spark):
+    """A closed ring and an open line: the ring goes round, the line's ends are reflected."""
+    ring = [(0.1, 0.1), (0.3, 0.1), (0.3, 0.3), (0.1, 0.3)]
+    line = [(0.5, 0.5), (0.6, 0.5), (0.7, 0.6)]
+    pairs = [*zip(ring, [*ring[1:], ring[0]]), *zip(line, line[1:]), ((0.8, 0.8), (0.9, 0.9))]
+    rows = [(1, 0, i, 0, 0, *a, *b) for i, (a, b) in enumerate(pairs)]
+    segments = spark.createDataFrame(rows, "image_id long, level int, cell_x int, cell_y int, seg int, x0 double, y0 double, x1 double, y1 double")
+    chains = lines.contour_chains(segments)
+    assert [(r.chain, r.closed, r.n) for r in chains.groupBy("chain", "closed").agg(F.count("*").alias("n")).orderBy("chain").collect()] == [(0, True, 4), (1, False, 3), (2, False, 2)]
+
+    def spline(p0, p1, p2, p3, t):
+        return tuple(0.5 * (2 * b + (c - a) * t + (2 * a - 5 * b + 4 * c - d) * t * t + (3 * b - a - 3 * c + d) * t**3) for a, b, c, d in zip(p0, p1, p2, p3))
+
+    got = {}
+    for r in lines.smoothed(chains).orderBy("chain", "i", "step").collect():
+        got.setdefault(r.chain, []).append((r.px, r.py))
+    round_trip = [spline(ring[i - 1], ring[i], ring[(i + 1) % 4], ring[(i + 2) % 4], t / 6) for i in range(4) for t in range(6)]
+    ends = [tuple(2 * a - b for a, b in zip(line[0], line[1])), *line, tuple(2 * a - b for a, b in zip(line[2], line[1]))]
+    open_line = [spline(*ends[i : i + 4], t / 6) for i in range(2) for t in range(6)] + [line[2]]
+    assert np.allclose(got[0], round_trip, atol=1e-6) and np.allclose(got[1], open_line, atol=1e-6) and got[2] == [(0.8, 0.8), (0.9, 0.9)]
+
+
+def test_line_styles(spark):
+    segments = spark.createDataFrame([(1, "row", 0, 0, 0.0, 0.5, 1.0, 0.5)], "image_id long, kind string, i int, j int, x0 double, y0 double, x1 double, y1 double")
+    half = image(spark, [(255, 255, 255) if i % 96 < 48 else (0, 0, 0) for i in range(96 * 3)], 96)
+    assert [(r.x0, r.x1, r.color) for r in lines.line_colors(segments, half).orderBy("run").collect()] == [(0.0, 0.5, "#000000FF"), (0.5, 1.0, "#FFFFFFFF")]
+    assert [r.color for r in lines.line_colors(segments, half, "custom", "#12345678").collect()] == ["#12345678"]
+    assert math.isclose(lines.average_luminance(half).first().luminance, 0.5)
+
+
+def test_float_depth(spark):
+    values = [float("nan"), None, -1.0, 0.0, float("inf"), *(0.5 + i / 100 for i in range(100))]
+    samples = spark.createDataFrame([(1, i, v) for i, v in enumerate(values)] + [(2, i, 1.0) for i in range(32)], "image_id long, idx int, v double")
+    near = {r.idx: r.depth for r in depth.normalized_floats(samples).collect()}
+    far = {r.idx: r.depth for r in depth.normalized_floats(samples, disparity=True).collect()}
+    assert len(near) == 105 and [near[i] for i in range(6)] == [0] * 6 and near[104] == 255 and far[5] == 255 and far[104] == 0
+    assert all(near[i] + far[i] in (255, 256) for i in range(5, 105))
+    assert depth.float_range(samples).where("image_id = 1").first()[1:3] == (-1.0, 1.49)
+
+
+def brute_palette(clusters, mixes, shades):
+    """The steps of a palette one cluster at a time, in plain Python."""
+
+    def d2(a, b, w=1.0):
+        return sum(((x - y) ** 2) * (w * w if i == 0 else 1) for i, (x, y) in enumerate(zip(a, b)))
+
+    def decompose(color):
+        c = math.hypot(*color[1:])
+        w = 0.08 if c < 0.01 else min(32.0, 6 + 180 * c)
+        return min(mixes, key=lambda m: (round((m[1][0] - color[0]) ** 2 + w * ((m[1][1] - color[1]) ** 2 + (m[1][2] - color[2]) ** 2), 9), m[0]))
+
+    w = 1.0 if max(math.hypot(*c[1][1:]) for c in clusters) < 0.01 else 0.3
+
+    def nearest(color, labs, w=1.0):
+        return min(range(len(labs)), key=lambda i: (round(d2(color, labs[i], w), 9), i))
+
+    def mean(members):
+        total = sum(c[2] for c in members)
+        return [sum(c[2] * c[1][i] for c in members) / total for i in range(3)]
+
+    found = [decompose(c[1]) for c in clusters]
+    for _ in range(2):
+        labs = [m[1] for m in found]
+        goes = [nearest(c[1], labs, w) for c in clusters]
+        for i in range(len(found)):
+            members = [c for c, g in zip(clusters, goes) if g == i]
+            if members and d2(mean(members), labs[i]) > 1e-4:
+                found[i] = decompose(mean(members))
+    goes = [nearest(c[1], [m[1] for m in found], w) for c in clusters]
+    rows = []
+    for i, m in enumerate(found):
+        mine = [c for c, g in zip(clusters, goes) if g == i]
+        rows.append(recipe(i, dict(m[2]), m[1], sum(c[2] for c in mine), sum(c[2] * max(0.1, c[3]) for c in mine)))
+    kept = [r for r in palette.merge_and_prune(rows, shades) if r.cnt]
+    refit = [decompose(mean([c for c, g in zip(clusters, goes) if g in r.members])) for r in kept]
+    labels = [nearest(c[1], [m[1] for m in refit], w) for c in clusters]
+    signs = [tuple(sorted(m[2])) for m in refit]
+    order = list(dict.fromkeys(signs))
+    return sorted((c[0], order.index(signs[g])) for c, g in zip(clusters, labels)), [refit[signs.index(s)] for s in order]
+
+
+@pytest.mark.parametrize("gray", [False, True])
+def test_palette_of_one_image_by_brute_force(spark, gray):
+    rng = np.random.default_rng(5)
+    pigments = spark.createDataFrame([(i, [float(v) for v in rng.uniform(0.02, 6, 31)]) for i in range(6)], "pid int, k_over_s array<double>")
+    table = spectral.mix_table(pigments, 2)
+    plain = []
+    for m in table.collect():
+        parts = sorted(((m.i0, m.a0 / 8), (m.i1, m.a1 / 8)))
+        plain.append(((m.n_paints, m.i0, m.i1, m.i2, m.a0, m.a1, m.a2), (m.ok_l, m.ok_a, m.ok_b), [p for p in parts if p[1] > 0]))
+    for shades in (2, 3, 6):
+        lab = rng.uniform((0.2, -0.12, -0.12), (0.95, 0.12, 0.12), (12, 3)) * (1, 0 if gray else 1, 0 if gray else 1)
+        clusters = [(i, tuple(lab[i]), int(rng.integers(1, 400)), float(rng.uniform(0.05, 2))) for i in range(12)]
+        frame = pd.DataFrame([(7, k, *c, n, s) for k, c, n, s in clusters], columns=["image_id", "k", *C.LAB, "cnt", "salience"])
+        got = palette.image_palette(frame, spectral.Mixes.of(table, 2), shades)
+        labels, mixes = brute_palette(clusters, plain, shades)
+        assert sorted((k, r.recipe_id) for r in got.itertuples() for k in r.labels) == labels
+        assert [[(c["pid"], c["concentration"]) for c in r.components] for r in got.itertuples()] == [m[2] for m in mixes]
+        assert sum(got["cnt"]) == sum(c[2] for c in clusters) and (got["clipped"] == (got["delta_e"] > 0.05)).all()
+
+
+def test_nearest_mix_in_parts(spark):
+    pigments = spark.createDataFrame([(i, [0.1 + i * j % 7 for j in range(31)]) for i in range(5)], "pid int, k_over_s array<double>")
+    mixes = spectral.mix_table(pigments, 3)
+    targets = spark.createDataFrame([(1, i, 0.1 * i, 0.02 * i - 0.1, 0.05) for i in range(10)], "image_id long, k int, ok_l double, ok_a double, ok_b double")
+    whole, parts = (sorted(map(tuple, spectral.nearest_mix(targets, mixes, at_once=n).collect())) for n in (10**6, 100))
+    assert whole == parts and len(whole) == 10
+    some = spectral.only(mixes, [0, 2, 4])
+    assert some.where("a0 > 0 and i0 % 2 = 1 or a1 > 0 and i1 % 2 = 1 or a2 > 0 and i2 % 2 = 1").isEmpty() and not some.isEmpty()
+    assert spectral.nearest_mix(targets, mixes.where("false")).isEmpty()
+    with pytest.raises(ValueError):
+        spectral.Mixes.of(mixes, 3, bound=100)
+
+
 def test_projection_of_labels(spark):
     labels = spark.createDataFrame([(1, i, v) for i, v in enumerate([0, 1, 2, 0, 1])], "image_id long, idx int, label int")
     mapping = spark.createDataFrame([(1, i, t) for i, t in enumerate([1, 0, 1])], "image_id long, label int, target int")
@@ -256,3 +398,28 @@ def test_spectral_json(spark, tmp_path):
     path = tmp_path / "s.json"
     path.write_text('{"metadata":{"a":"b"},"wavelengths":[400],"pigments":[{"id":"x","name":"X","productNumber":3,"essential":true,"cielab":{"l":1,"a":0,"b":0},"reflectance":[0.5],"kOverS":[0.25]}]}')
     assert spectral.read_pigments(spark, str(path)).select("pid", "id", "essential").first()[:] == (0, "x", True)
+
+
+def test_colours_by_the_light_of_the_file(spark, tmp_path):
+    """Masstones and mixes take the file's own illuminant and matching curves; without any power all is black."""
+    rng = np.random.default_rng(2)
+    curves = {c: rng.uniform(0, 2, 31) for c in ("cmf_x", "cmf_y", "cmf_z")}
+    ks = rng.uniform(0.05, 3, (2, 31))
+    for power in (rng.uniform(0.2, 1, 31), np.zeros(31)):
+        file = {"wavelengths": spectral.WAVELENGTHS, "illuminant": power.tolist(), **{c: v.tolist() for c, v in curves.items()}}
+        file["pigments"] = [{"id": f"p{i}", "name": "x", "productNumber": i, "essential": True, "kOverS": k.tolist()} for i, k in enumerate(ks)]
+        path = tmp_path / f"s{power.any()}.json"
+        path.write_text(json.dumps(file))
+        pigments = spectral.read_pigments(spark, str(path))
+
+        def lab(k):
+            norm = (power * curves["cmf_y"]).sum()
+            r = 1 + k - np.sqrt(k * k + 2 * k)
+            x = np.array([(r * power * curves[f"cmf_{c}"]).sum() / norm if norm > 0 else 0 for c in "xyz"])
+            lms = np.cbrt(np.array([(0.4122214708, 0.5363325363, 0.0514459929), (0.2119034982, 0.6806995451, 0.1073969566), (0.0883024619, 0.2817188376, 0.6299787005)]) @ np.maximum(0, np.array([(3.2404542, -1.5371385, -0.4985314), (-0.9692660, 1.8760108, 0.0415560), (0.0556434, -0.2040259, 1.0572252)]) @ x))
+            return np.array([(0.2104542553, 0.7936177850, -0.0040720468), (1.9779984951, -2.4285922050, 0.4505937099), (0.0259040371, 0.7827717662, -0.8086757660)]) @ lms
+
+        for r in spectral.masstones(pigments).collect():
+            assert np.allclose([r.ok_l, r.ok_a, r.ok_b], lab(ks[r.pid]), atol=1e-9)
+        for r in spectral.mix_table(pigments, 2).collect():
+            assert np.allclose([r.ok_l, r.ok_a, r.ok_b], lab(ks[0] * r.a0 / 8 + ks[1] * r.a1 / 8), atol=1e-9)
