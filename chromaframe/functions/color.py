@@ -95,6 +95,16 @@ def thresholds(levels: int, bias: float = 0.0) -> list[float]:
 DISTRIBUTIONS = {"even": 0.0, "shadows": 1.0, "lights": -1.0, "custom": 0.0}
 
 
+def distribution_thresholds(name: str, levels: int, bias: float = 0.0) -> list[float]:
+    """Band edges of a named distribution; "custom" takes a bias of its own."""
+    return thresholds(levels, bias if name == "custom" and bias else DISTRIBUTIONS[name])
+
+
+def abstraction_factor(strength: float, longest: int) -> float:
+    """How much smaller an image is made before abstraction."""
+    return max(1.0, (2 + 10 * strength) * longest / 1600)
+
+
 def bias_name(bias: float) -> str:
     return "even" if abs(bias) < 0.04 else "shadows" if bias > 0 else "lights"
 

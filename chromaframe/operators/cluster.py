@@ -46,6 +46,59 @@ def histogram(lab: DataFrame, least: int | None = None) -> DataFrame:
     return good.unionByName(bare).withColumn("weight", F.when(F.col("bin") < 0, F.col("n").cast("double")).otherwise(F.col("n") * (1.0 + 2.0 * C.chroma(F.col("ok_a"), F.col("ok_b")))))
 
 
+def coarse_histogram(lab: DataFrame) -> DataFrame:
+    """Candidates by sums of whole bytes: L over 0..1, a and b over their range, each rounded to 0..255 before it is added; no least count."""
+
+    def as_byte(c: str, lo: float, hi: float) -> Column:
+        t = F.greatest(C.num(0), F.least(C.num(1), (F.col(c) - lo) / (hi - lo)))
+        return F.floor(F.round(t * 255.0, 9) + 0.5).cast("long")
+
+    ranges = {"ok_l": (0.0, 1.0), "ok_a": (-0.45, 0.45), "ok_b": (-0.45, 0.45)}
+    sums = lab.groupBy("image_id", bin_index(*[F.col(c) for c in LAB]).alias("bin")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(as_byte(c, *r)).alias(c) for c, r in ranges.items()])
+    means = sums.withColumns({c: lo + F.col(c) / F.col("n") / 255.0 * (hi - lo) for c, (lo, hi) in ranges.items()})
+    return means.withColumn("weight", F.col("n") * (1.0 + 2.0 * C.chroma(F.col("ok_a"), F.col("ok_b"))))
+
+
+def first_points(lab: np.ndarray, k: int, l_weight: float, rng: np.random.Generator, spread_out: bool) -> np.ndarray:
+    """Centres to begin with: k different points at random, or each next one with a chance by its squared distance from those before."""
+    if not spread_out:
+        return lab[rng.choice(len(lab), size=k, replace=False)]
+    scale = np.array([l_weight, 1, 1])
+    chosen = [int(rng.integers(len(lab)))]
+    near = np.full(len(lab), np.inf)
+    while len(chosen) < k:
+        near = np.minimum(near, (((lab - lab[chosen[-1]]) * scale) ** 2).sum(axis=1))
+        total = near.sum()
+        chosen.append(int(np.searchsorted(np.cumsum(near), rng.random() * total)) if total > 0 else int(rng.integers(len(lab))))
+    return lab[np.minimum(chosen, len(lab) - 1)]
+
+
+def plain_kmeans(lab: np.ndarray, k: int, l_weight: float = 0.1, rounds: int = 8, seed: int = 0, spread_out: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Centres and labels of points by plain k-means; it ends when no label changes or no centre moves by a squared 0.001."""
+    k = min(k, len(lab))
+    if k <= 0:
+        return np.zeros((0, 3)), np.zeros(0, np.int64)
+    centers = first_points(lab, k, l_weight, np.random.default_rng(seed), spread_out)
+    labels = np.zeros(len(lab), np.int64)
+    scale = np.array([l_weight, 1, 1])
+    for _ in range(rounds):
+        now = np.argmin(np.stack([(((lab - c) * scale) ** 2).sum(axis=1) for c in centers], axis=1), axis=1)
+        changed, labels = (now != labels).any(), now
+        count = np.bincount(labels, minlength=k)
+        means = np.stack([np.bincount(labels, lab[:, i], k) for i in range(3)], axis=1) / np.maximum(count, 1)[:, None]
+        new = np.where(count[:, None] > 0, means, centers)
+        moved = ((new - centers) ** 2).sum(axis=1).max()
+        centers = new
+        if not changed or moved < 0.001:
+            break
+    return centers, labels
+
+
+def kmeans_of_bins(candidates: DataFrame, k: int, seed: int = 0, spread_out: bool = False) -> DataFrame:
+    """Plain k-means on the bins of each image: a bin is one point."""
+    return _per_image(candidates, lambda lab, w: plain_kmeans(lab, k, seed=seed, spread_out=spread_out)[0])
+
+
 def _hue_coverage(lab: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """How well a candidate adds a hue: colourfulness, times its distance from the nearest colourful seed's hue."""
     strength = np.minimum(1, np.hypot(lab[:, 1], lab[:, 2]) / 0.14)

@@ -154,6 +154,53 @@ def threshold_preview(pixels: DataFrame, background: float) -> DataFrame:
     return pixels.withColumns({c: F.floor(F.round(C.mix(F.col(c).cast("double"), F.col("depth").cast("double"), t) + 0.5, 9)).cast("int") for c in ("r", "g", "b")})
 
 
+def hard_preview(pixels: DataFrame, background: float) -> DataFrame:
+    """The preview without a soft edge: depth as gray from the cutoff's byte on."""
+    far = F.col("depth") >= max(0, min(255, int(background * 255 + 0.5)))
+    return pixels.withColumns({c: F.when(far, F.col("depth")).otherwise(F.col(c)) for c in ("r", "g", "b")})
+
+
+def simple_effect(pixels: DataFrame, foreground: float, background: float, intensity: float, remove: bool = False) -> DataFrame:
+    """The depth effect in plain RGB: nearer pixels gain saturation and warmth, farther ones lose them or fade to white; bytes are cut off."""
+    d = F.col("depth") / 255.0
+    t = F.least((d - background) / max(0.05, 1.0 - background), C.num(1))
+    far = d > background
+    stage = pixels.withColumns({c: F.col(c) / 255.0 for c in ("r", "g", "b")})
+    if remove:
+        blend = t * intensity
+        stage = stage.withColumns({c: F.when(far, F.col(c) * (1.0 - blend) + blend).otherwise(F.col(c)) for c in ("r", "g", "b")})
+    stage = stage.withColumn("lum", C.dot((0.2126, 0.7152, 0.0722), [F.col(c) for c in ("r", "g", "b")]))
+    near = (1.0 - d / max(foreground, 0.001)) * (intensity * 0.3)
+    away = t * (intensity * 0.3)
+    warm, cool = {"r": 0.02, "g": 0.0, "b": -0.02}, {"r": -0.02, "g": 0.0, "b": 0.03}
+
+    def moved(c: str) -> Column:
+        v, lum = F.col(c), F.col("lum")
+        out = F.when(d < foreground, lum + (v - lum) * (1.0 + near) + near * warm[c])
+        return out.otherwise(v) if remove else out.when(far, lum + (v - lum) * (1.0 - away) + away * cool[c]).otherwise(v)
+
+    bytes_ = {c: F.greatest(C.num(0), F.least(C.num(255), F.round(moved(c) * 255.0, 9))).cast("int") for c in ("r", "g", "b")}
+    return stage.withColumns({f"_{c}": v for c, v in bytes_.items()}).withColumns({c: F.col(f"_{c}") for c in bytes_}).drop("lum", *[f"_{c}" for c in bytes_])
+
+
+def effect(pixels: DataFrame, mode: str, foreground: float, background: float, intensity: float) -> DataFrame:
+    """Pixels after a depth effect: "none" leaves them; "blur" and "remove" treat the background first; all others end in ``painterly``."""
+    if mode == "none":
+        return pixels
+    if mode == "blur":
+        for axis in ("x", "y"):
+            soft = blurred(pixels, background, intensity, axis)
+            pixels = pixels.drop("r", "g", "b").join(soft, ["image_id", "idx"]).withColumns({c: F.floor(F.col(c) + 0.5).cast("int") for c in ("r", "g", "b")})
+    elif mode == "remove":
+        pixels = remove_background(pixels, background, intensity)
+    elif mode != "compress":
+        raise ValueError(f"unknown mode {mode!r}")
+    lab = painterly(pixels, foreground, background, intensity, compress=mode == "compress")
+    rgb = C.rgb_bytes([F.col(c) for c in C.LAB])
+    new = lab.select("image_id", "idx", *[v.alias(c) for c, v in zip("rgb", rgb, strict=True)])
+    return pixels.drop("r", "g", "b").join(new, ["image_id", "idx"]).select(*pixels.columns)
+
+
 BLUR = 12
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chromaframe.functions import color as C
-from chromaframe.operators import cluster, spectral
+from chromaframe.operators import cluster, presets, spectral
 from chromaframe.sources.store import fixed
 
 LAB = list(C.LAB)
@@ -102,6 +102,90 @@ def palette_report(labelled: DataFrame, recipes: DataFrame) -> DataFrame:
     return rows.select("image_id", "recipe_id", "hex", F.coalesce("n_pixels", F.lit(0)).cast("long").alias("n_pixels"), C.rounded(F.coalesce("n_pixels", F.lit(0)) / F.col("total")).alias("share"))
 
 
+def select_tubes(scores: DataFrame, tones: DataFrame, most: int) -> DataFrame:
+    """Per image the pigments of the largest scores, at most ``most``, with their ``place``: of two neighbours in the order within a tenth, the one whose masstone lies farther from those taken goes first."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["score", "pid"], ascending=[False, True]).reset_index(drop=True)
+        score, lab, pid = group["score"].tolist(), group[LAB].to_numpy(float), group["pid"].tolist()
+        order = list(range(len(score)))
+        taken: list[int] = []
+
+        def gap(i: int) -> float:
+            return min((((lab[i] - lab[t]) ** 2).sum() for t in taken), default=0.0)
+
+        for at in range(min(most, len(order))):
+            if at + 1 < len(order) and score[order[at + 1]] >= score[order[at]] * 0.9 and gap(order[at + 1]) > gap(order[at]):
+                order[at], order[at + 1] = order[at + 1], order[at]
+            taken.append(order[at])
+        return pd.DataFrame({"image_id": group["image_id"].iloc[0], "pid": [pid[t] for t in taken], "place": range(len(taken))})
+
+    rows = scores.where("score > 0").join(tones.select("pid", *LAB), "pid").select("image_id", "pid", "score", *LAB)
+    return rows.groupBy("image_id").applyInPandas(run, "image_id bigint, pid int, place int")
+
+
+def unselected(pigments: DataFrame, tubes: DataFrame) -> DataFrame:
+    """Per image the pigments that its tubes leave."""
+    return tubes.select("image_id").distinct().join(pigments.select("pid"), F.lit(True)).join(tubes.select("image_id", "pid"), ["image_id", "pid"], "left_anti")
+
+
+def tube_error(table: spectral.Mixes, colors: np.ndarray, weights: np.ndarray) -> float:
+    """Weighted distances of colours to their nearest mixes."""
+    return float(sum(w * table.search(c)[1] for c, w in zip(colors, weights, strict=True)))
+
+
+def improve_tubes(tubes: list[int], pigments: list[int], table: spectral.Mixes, colors: np.ndarray, weights: np.ndarray) -> list[int]:
+    """Swap one tube for one left out while that lowers the error by more than 0.001: the best swap each time, at most twice as often as there are tubes."""
+    tubes = list(tubes)
+    for _ in range(max(3, 2 * len(tubes))):
+        best, least = None, tube_error(table.only(tubes), colors, weights)
+        for other in (p for p in pigments if p not in tubes):
+            for i in range(len(tubes)):
+                trial = [*tubes[:i], other, *tubes[i + 1 :]]
+                error = tube_error(table.only(trial), colors, weights)
+                if error < least - 0.001:
+                    best, least = trial, error
+        if best is None:
+            break
+        tubes = best
+    return tubes
+
+
+def improved_tubes(tubes: DataFrame, clusters: DataFrame, pigments: DataFrame, mixes: DataFrame, paints: int = 3) -> DataFrame:
+    """``select_tubes`` of every image after ``improve_tubes`` for its clusters (k, lab, cnt, salience)."""
+    every = sorted(r.pid for r in pigments.select("pid").collect())  # pigments are tens
+    table = tubes.sparkSession.sparkContext.broadcast(spectral.Mixes.of(mixes, paints))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.assign(w=right["cnt"] * right["salience"]).sort_values(["w", "k"], ascending=[False, True])
+        seed = left.sort_values("place")["pid"].astype(int).tolist()
+        found = improve_tubes(seed, every, table.value, right[LAB].to_numpy(float), right["w"].to_numpy(float)) if seed and len(right) else seed
+        return pd.DataFrame({"image_id": (left if len(left) else right)["image_id"].iloc[0], "pid": found, "place": range(len(found))})
+
+    return tubes.groupBy("image_id").cogroup(clusters.select("image_id", "k", *LAB, "cnt", "salience").groupBy("image_id")).applyInPandas(run, "image_id bigint, pid int, place int")
+
+
+def palette_lines(report: DataFrame) -> DataFrame:
+    """One line of text per palette entry (image_id, recipe_id, hex, n_pixels, share, mix, delta_e, clipped); entries without a mix are short."""
+
+    def scalar(c: Column) -> Column:
+        return presets.scalar_text(c, 3)
+
+    mix = F.array_join(F.transform("mix", lambda c: F.concat_ws(" ", c["name"], F.concat(scalar(c["concentration"] * 100), F.lit("%")))), " + ")
+    parts = [
+        F.concat(F.lit("Swatch "), (F.col("recipe_id") + 1).cast("string")), F.col("hex"),
+        F.concat(scalar(F.col("share") * 100), F.lit("% ("), F.col("n_pixels").cast("string"), F.lit(" px)")),
+        F.when(F.size("mix") > 0, mix), F.when(F.size("mix") > 0, F.concat(F.lit("Delta E "), scalar(F.col("delta_e")))), F.when((F.size("mix") > 0) & F.col("clipped"), F.lit("Clipped")),
+    ]
+    return report.select("image_id", "recipe_id", F.concat_ws(" | ", *parts).alias("line"))
+
+
+def band_recipes(sections: DataFrame, recipes: DataFrame) -> DataFrame:
+    """The recipe of each band: that of the first palette index in it (image_id, idx, band)."""
+    first = sections.where("band >= 0").groupBy("image_id", "band").agg(F.min("idx").alias("recipe_id"))
+    return first.join(recipes, ["image_id", "recipe_id"], "left")
+
+
 @dataclass(eq=False)
 class Recipe:
     """A recipe inside a group kernel; ``members`` are the ids merged into it."""

@@ -20,6 +20,30 @@ METHODS = ("apisr", "realesrgan", "none")
 DEFAULT_METHOD = "apisr"
 
 
+#: The settings of a fresh start.
+DEFAULT = {"mode": "original", "levels": 3, "bias": 0.0, "thresholds": [1 / 3, 2 / 3], "bands": [], "method": "apisr", "strength": 0.5, "grid": False}
+
+
+def default_snapshot() -> Column:
+    """The settings of a fresh start as a snapshot."""
+    literal = {k: F.array(*map(F.lit, v)) if v else F.array().cast("array<int>") for k, v in DEFAULT.items() if isinstance(v, list)}
+    return F.struct(*[(literal[k] if k in literal else F.lit(v)).alias(k) for k, v in DEFAULT.items()]).cast(f"struct<{', '.join(':'.join(f.split()) for f in SNAPSHOT.split(', '))}>")
+
+
+def canonical_selection(states: DataFrame, saved: DataFrame) -> DataFrame:
+    """What each state (state_id, snapshot, has_previous) is shown as: the first saved preset of equal settings, the default, or the previous settings."""
+    same = states.select("state_id", F.to_json("snapshot").alias("key")).join(saved.select("name", "position", F.to_json("snapshot").alias("key")), "key")
+    first = same.groupBy("state_id").agg(F.min(F.struct("position", "name"))["name"].alias("name"))
+    fresh = F.to_json("snapshot") == F.to_json(default_snapshot())
+    shown = F.when(F.col("name").isNotNull(), F.concat(F.lit("saved:"), "name")).when(fresh | ~F.col("has_previous"), "default").otherwise("previous")
+    return states.join(first, "state_id", "left").select("state_id", shown.alias("selection"))
+
+
+def presets_in_order(store: DataFrame) -> DataFrame:
+    """Presets by name, without regard to case."""
+    return store.withColumn("position", F.row_number().over(Window.orderBy(F.lower("name"), "name")))
+
+
 def stored_key(name: Column) -> Column:
     """A preset's name as the store compares it: lower case without white space."""
     return F.regexp_replace(F.lower(name), r"\s+", "")
@@ -122,6 +146,15 @@ def scalar_text(v: Column, places: int = 2, signed: bool = False) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "") if places else text
 
 
+def full_report(sections: DataFrame) -> DataFrame:
+    """The report of an export (image_id, section, place, label, value): sections and their lines in order, a blank line between sections."""
+    line = F.concat_ws(": ", "label", "value")
+    block = sections.groupBy("image_id", "section").agg(F.min("place").alias("first"), F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("lines"))
+    text = F.concat_ws("\n", F.col("section"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"))
+    every = block.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("first", text.alias("text")))).alias("blocks"))
+    return every.select("image_id", F.array_join(F.transform("blocks", lambda b: b["text"]), "\n\n").alias("report"))
+
+
 def settings_report(settings: DataFrame) -> DataFrame:
     """The settings of a study as lines of text, in a fixed order."""
     lines = F.concat_ws(

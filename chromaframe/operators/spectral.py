@@ -59,18 +59,18 @@ def pigment_fixture(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "pid int, id string, name string, essential boolean, k_over_s array<double>")
 
 
-SPECTRAL_SCHEMA = """metadata map<string,string>, wavelengths array<int>, illuminant array<double>, cmf_x array<double>, cmf_y array<double>, cmf_z array<double>,
-  pigments array<struct<id:string,name:string,productNumber:int,essential:boolean,cielab:struct<l:double,a:double,b:double>,reflectance:array<double>,kOverS:array<double>>>"""
+SPECTRAL_SCHEMA = """metadata map<string,string>, wavelengths array<int>, illuminantSpd array<double>, cmfX array<double>, cmfY array<double>, cmfZ array<double>,
+  pigments array<struct<id:string,name:string,productNumber:int,essential:boolean,cielab:struct<L:double,a:double,b:double>,reflectance:array<double>,kOverS:array<double>>>"""
 
 
 def file_weights() -> Column:
     """The weights of X, Y and Z from a light's power and matching curves, so that a perfect white has Y = 1; all 0 where it has no power."""
 
     def lit(curve: str) -> Column:
-        return F.zip_with("illuminant", curve, lambda p, v: p * v)
+        return F.zip_with("illuminantSpd", curve, lambda p, v: p * v)
 
-    norm = F.aggregate(lit("cmf_y"), C.num(0), lambda a, v: a + v)
-    return F.array(*[F.transform(lit(f"cmf_{c}"), lambda v: F.when(norm > 0, v / norm).otherwise(C.num(0))) for c in "xyz"])
+    norm = F.aggregate(lit("cmfY"), C.num(0), lambda a, v: a + v)
+    return F.array(*[F.transform(lit(f"cmf{c}"), lambda v: F.when(norm > 0, v / norm).otherwise(C.num(0))) for c in "XYZ"])
 
 
 def read_pigments(spark: SparkSession, path: str) -> DataFrame:
@@ -201,6 +201,13 @@ class Mixes:
         order = np.lexsort([keys[c] for c in reversed(ORDER)])
         return cls({c: v[order] for c, v in keys.items()}, np.stack([rows.column(c).to_numpy() for c in C.LAB], axis=1)[order])
 
+    def only(self, pigments: list[int]) -> Mixes:
+        """The mixes whose paints are all among ``pigments``."""
+        ok = np.ones(len(self.lab), bool)
+        for i in range(3):
+            ok &= (self.keys[f"a{i}"] == 0) | np.isin(self.keys[f"i{i}"], pigments)
+        return Mixes({c: v[ok] for c, v in self.keys.items()}, self.lab[ok])
+
     def search(self, color: np.ndarray) -> tuple[int, float]:
         """Place of the nearest mix, the first on ties, and its weighted distance."""
         chroma = math.hypot(color[1], color[2])

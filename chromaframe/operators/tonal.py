@@ -49,3 +49,26 @@ def lab_bands(lab: DataFrame, edges: list[float]) -> DataFrame:
 
 def composite_label(family: str, value: str, values: int):
     return F.col(family) * values + F.col(value)
+
+
+def with_gray_table(pixels: DataFrame, conversion: str = "average") -> DataFrame:
+    """Gray bytes by tables: bytes to linear light by 256 entries, and back by 4097."""
+    from_byte = F.array(*[C.num(v) for v in _linear_table()])
+    to_byte = F.array(*[F.lit(v) for v in _byte_table()])
+    lin = [F.element_at(from_byte, F.col(c) + 1) for c in RGB]
+    mixed = (F.greatest(*lin) + F.least(*lin)) / 2.0 if conversion == "lightness" else (lin[0] + lin[1] + lin[2]) / 3.0
+    return pixels.withColumn("gray", F.element_at(to_byte, F.floor(F.round(mixed * 4096, 9) + 0.5).cast("int") + 1))
+
+
+def _linear_table() -> list[float]:
+    return [v / 12.92 if v <= 0.04045 else ((v + 0.055) / 1.055) ** 2.4 for v in (i / 255 for i in range(256))]
+
+
+def _byte_table() -> list[int]:
+    return [int((v * 12.92 if v <= 0.0031308 else 1.055 * v ** (1 / 2.4) - 0.055) * 255 + 0.5) for v in (i / 4096 for i in range(4097))]
+
+
+def as_clusters(bands: DataFrame, levels: int = 4) -> DataFrame:
+    """Bands as clusters of equal salience: (image_id, k, gray, cnt, salience)."""
+    counts = band_counts(bands, levels)
+    return counts.select("image_id", F.col("band").alias("k"), C.band_gray(F.col("band"), levels).alias("gray"), "cnt", C.num(1).alias("salience"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chromaframe.functions import color as C
-from chromaframe.operators import cluster, depth, isolate, lines, palette, presets, regions, spectral, tonal
+from chromaframe.operators import cluster, depth, isolate, lines, palette, presets, regions, spectral, tiles, tonal
 from chromaframe.plans import oracle as O
 from chromaframe.sources.raster import HEIGHT, WIDTH, downscale, encode, read_pixels
 from chromaframe.streaming import taps
@@ -59,6 +59,19 @@ for _kind, _name in (("luminance", "tonal_luminance"), ("average", "gray_average
         return tonal.grayscale(read_pixels(s, d), kind).select("image_id", "idx", "gray")
 
 
+for _kind in ("average", "lightness"):
+    _m = O.GRAY[_kind]
+
+    @query(f"gray_table_{_kind}", f"WITH {O.LAB}, m AS (SELECT image_id, idx, floor(round({_m} * 4096, 9) + 0.5) / 4096.0 AS m FROM lab) SELECT image_id, idx, {O.byte(O.delin('m'))} AS gray FROM m")
+    def _(s, d, kind=_kind):
+        return tonal.with_gray_table(read_pixels(s, d), kind).select("image_id", "idx", "gray")
+
+
+@query("value_clusters", f"WITH {O.LAB}, {O.gray('luminance')}, {O.bands([64, 128, 191])} SELECT image_id, band AS k, CAST(floor(band / 3.0 * 255.0 + 0.5) AS INT) AS gray, count(*) AS cnt, CAST(1 AS DOUBLE) AS salience FROM band GROUP BY ALL")
+def _(s, d):
+    return tonal.as_clusters(tonal.value_bands(read_pixels(s, d)))
+
+
 @query("value_bands", f"WITH {O.LAB}, {O.gray('luminance')}, {O.bands([64, 128, 191])} SELECT image_id, idx, gray, band, CAST(floor(band / 3.0 * 255.0 + 0.5) AS INT) AS band_gray FROM band")
 def _(s, d):
     return tonal.value_bands(read_pixels(s, d)).select("image_id", "idx", "gray", "band", "band_gray")
@@ -126,6 +139,23 @@ def _(s, d):
     return r6(cluster.histogram(_lab(s, d)), *LAB, "weight")
 
 
+def _bytes_of(c: str, lo: float, hi: float) -> str:
+    return f"CAST(floor(round(greatest(0.0, least(1.0, ({c} - ({lo})) / {hi - lo})) * 255.0, 9) + 0.5) AS BIGINT)"
+
+
+@query("coarse_histogram", f"""WITH {O.LAB}, q AS (SELECT image_id, ({O.bin_of("ok_l", 0.0, 1.0, 12)} * 24 + {O.bin_of("ok_a", -0.45, 0.45, 24)}) * 24 + {O.bin_of("ok_b", -0.45, 0.45, 24)} AS bin,
+  count(*) AS n, sum({_bytes_of("ok_l", 0.0, 1.0)}) AS l, sum({_bytes_of("ok_a", -0.45, 0.45)}) AS a, sum({_bytes_of("ok_b", -0.45, 0.45)}) AS b FROM lab GROUP BY ALL),
+m AS (SELECT image_id, bin, n, l / n / 255.0 AS ok_l, -0.45 + a / n / 255.0 * 0.9 AS ok_a, -0.45 + b / n / 255.0 * 0.9 AS ok_b FROM q)
+SELECT image_id, CAST(bin AS INT) AS bin, n, {O.r6('ok_l')} AS ok_l, {O.r6('ok_a')} AS ok_a, {O.r6('ok_b')} AS ok_b, {O.r6('n * (1 + 2 * sqrt(ok_a * ok_a + ok_b * ok_b))')} AS weight FROM m""")
+def _(s, d):
+    return r6(cluster.coarse_histogram(_lab(s, d)), *LAB, "weight")
+
+
+@query("kmeans_bins")
+def _(s, d):
+    return r6(cluster.kmeans_of_bins(cluster.histogram(_lab(s, d)), 6), *LAB)
+
+
 def _labelled(s, d, inside=True):
     return cluster.assign_fixed(_lab(s, d), O.PALETTE, 0.3, inside)
 
@@ -352,6 +382,47 @@ def _(s, d):
     return palette.palette_report(_labelled(s, d), _recipes(s, d))
 
 
+@query("selected_tubes")
+def _(s, d):
+    return palette.select_tubes(palette.tube_scores(_order_recipes(s, d)), spectral.masstones(_paints(s)), 4)
+
+
+@query("improved_tubes")
+def _(s, d):
+    scores = palette.tube_scores(_order_recipes(s, d))
+    tubes = palette.select_tubes(scores, spectral.masstones(_paints(s)), 2)
+    few = _paints(s).join(scores.select("pid").distinct(), "pid", "left_semi")  # the pigments that any recipe holds
+    return palette.improved_tubes(tubes, _salient(s, d), few, spectral.mix_table(few, 2), 2)
+
+
+@query("unselected_tubes", """WITH t AS (SELECT DISTINCT o_orderkey // 1500 AS image_id, CAST(o_orderkey % 5 AS INT) AS pid FROM orders WHERE o_custkey % 7 = 0)
+SELECT image_id, pid FROM (SELECT image_id, pid FROM (SELECT DISTINCT image_id FROM t), (SELECT unnest(range(78))::INT AS pid)) ANTI JOIN t USING (image_id, pid)""")
+def _(s, d):
+    tubes = s.read.parquet(f"{d}/orders.parquet").where("o_custkey % 7 = 0").select(F.expr("o_orderkey div 1500").alias("image_id"), (F.col("o_orderkey") % 5).cast("int").alias("pid")).distinct()
+    return palette.unselected(_paints(s), tubes)
+
+
+@query("palette_lines", """SELECT o_orderkey // 1500 AS image_id, CAST(o_orderkey % 1500 AS INT) AS recipe_id, 'Swatch ' || (o_orderkey % 1500 + 1) || ' | #0A0B0CFF | ' || (o_custkey % 4 * 25) || '% (' || o_custkey || ' px)' ||
+  CASE WHEN o_custkey % 3 = 0 THEN '' ELSE ' | Red ' || CASE o_orderkey % 2 WHEN 0 THEN '25' ELSE '37.5' END || '% + Blue ' || CASE o_orderkey % 2 WHEN 0 THEN '75' ELSE '62.5' END || '% | Delta E 0.0' || (o_custkey % 9 + 1) ||
+  CASE WHEN o_custkey % 9 + 1 > 5 THEN ' | Clipped' ELSE '' END END AS line FROM orders""")
+def _(s, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    part = F.when(k % 2 == 0, C.num(0.25)).otherwise(C.num(0.375))
+    both = F.array(F.struct(F.lit("Red").alias("name"), part.alias("concentration")), F.struct(F.lit("Blue").alias("name"), (1.0 - part).alias("concentration")))
+    rows = s.read.parquet(f"{d}/orders.parquet").select(
+        F.expr("o_orderkey div 1500").alias("image_id"), (k % 1500).cast("int").alias("recipe_id"), F.lit("#0A0B0CFF").alias("hex"), c.alias("n_pixels"), (c % 4 / 4.0).alias("share"),
+        F.when(c % 3 == 0, F.slice(both, 1, 0)).otherwise(both).alias("mix"), ((c % 9 + 1) / 100.0).alias("delta_e"), (c % 9 + 1 > 5).alias("clipped"),
+    )
+    return palette.palette_lines(rows)
+
+
+@query("band_recipes", _PALETTE + """, i AS (SELECT image_id, k AS idx, target AS band FROM mapped), f AS (SELECT image_id, band, min(idx) AS recipe_id FROM i GROUP BY ALL)
+SELECT f.image_id, f.band, f.recipe_id, s.cnt FROM f JOIN salient s ON s.image_id = f.image_id AND s.k = f.recipe_id""")
+def _(s, d):
+    sections = _mapped(s, d).select("image_id", F.col("k").alias("idx"), F.col("target").alias("band"))
+    return palette.band_recipes(sections, _recipes(s, d)).select("image_id", "band", "recipe_id", "cnt")
+
+
 def _kernel_recipes(s, d):
     """All recipes of the orders with colour, count and importance, for the greedy steps."""
     rows = _order_recipes(s, d)
@@ -460,6 +531,26 @@ def _(s, d):
     return depth.threshold_preview(read_pixels(s, d), 0.6).select("image_id", "idx", "r", "g", "b")
 
 
+@query("depth_hard_preview", f"WITH {O.PIXEL} SELECT image_id, idx, " + ", ".join(f"CASE WHEN depth >= 153 THEN depth ELSE {c} END AS {c}" for c in "rgb") + " FROM pixel")
+def _(s, d):
+    return depth.hard_preview(read_pixels(s, d), 0.6).select("image_id", "idx", "r", "g", "b")
+
+
+_SIMPLE = f"""WITH {O.PIXEL}, z AS (SELECT image_id, idx, depth / 255.0 AS d, r / 255.0 AS r, g / 255.0 AS g, b / 255.0 AS b, 0.2126 * (r / 255.0) + 0.7152 * (g / 255.0) + 0.0722 * (b / 255.0) AS lum FROM pixel),
+t AS (SELECT *, CASE WHEN d < 0.35 THEN (1 - d / 0.35) * 0.24 WHEN d > 0.65 THEN -(least((d - 0.65) / 0.35, 1.0)) * 0.24 ELSE 0 END AS k FROM z)
+SELECT image_id, idx, """ + ", ".join(f"greatest(0, least(255, floor(round((lum + ({c} - lum) * (1 + k) + CASE WHEN k > 0 THEN k * {w} WHEN k < 0 THEN -k * {q} ELSE 0 END) * 255, 9))))::INT AS {c}" for c, w, q in (("r", 0.02, -0.02), ("g", 0.0, 0.0), ("b", -0.02, 0.03))) + " FROM t"
+
+
+@query("depth_simple_effect", _SIMPLE)
+def _(s, d):
+    return depth.simple_effect(read_pixels(s, d), 0.35, 0.65, 0.8).select("image_id", "idx", "r", "g", "b")
+
+
+@query("depth_blur_effect")
+def _(s, d):
+    return depth.effect(read_pixels(s, d), "blur", 0.35, 0.65, 0.8).select("image_id", "idx", "r", "g", "b")
+
+
 @query("depth_effect", f"""WITH {O.LAB}, z AS (SELECT *, 1.0 - {O.smooth('0.0', '0.35', 'depth / 255.0')} AS f, {O.smooth('0.65', '1.0', 'depth / 255.0')} AS t FROM lab),
 near AS (SELECT image_id, idx, t, ok_l * (1.0 - f) + (0.5 + (ok_l - 0.5) * (1.0 + 0.4 * f * 0.8)) * f AS l, ok_a * (1.0 - f + (1.0 + 0.3 * f * 0.8) * f) + 0.005 * f * 0.8 AS a,
   ok_b * (1.0 - f + (1.0 + 0.3 * f * 0.8) * f) + 0.015 * f * 0.8 AS b FROM z),
@@ -658,6 +749,37 @@ def _(s, d):
     return regions.cleaned(labelled, regions.FACTORS["large"], WIDTH)
 
 
+_FOLD = "(CASE WHEN {s} <= 1 THEN 0 ELSE least((({a}) % (2 * ({s} - 1)) + 2 * ({s} - 1)) % (2 * ({s} - 1)), 2 * ({s} - 1) - (({a}) % (2 * ({s} - 1)) + 2 * ({s} - 1)) % (2 * ({s} - 1))) END)"
+
+
+def _source(t: str, p: str, s: str) -> str:
+    inner = f"(ceil(({s} + 10) / 32.0)::INT * 32)"
+    return _FOLD.format(a=_FOLD.format(a=f"{t} * 32 + {p} - 3", s=inner) + " - 5", s=s)
+
+
+@query("image_tiles", f"""WITH {O.PIXEL}, z AS (SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h FROM pixel GROUP BY 1),
+a AS (SELECT *, unnest(range(ceil((w + 10) / 32.0)::INT))::INT AS tx FROM z), b AS (SELECT *, unnest(range(ceil((h + 10) / 32.0)::INT))::INT AS ty FROM a),
+c AS (SELECT *, u::INT AS u, v::INT AS v FROM b, (SELECT unnest(range(38)) AS u), (SELECT unnest(range(38)) AS v)),
+e AS (SELECT image_id, tx, ty, u, v, {_source('tx', 'u', 'w')} AS sx, {_source('ty', 'v', 'h')} AS sy FROM c)
+SELECT e.image_id, tx, ty, u, v, r, g, b FROM e JOIN pixel p ON p.image_id = e.image_id AND p.x = sx AND p.y = sy""")
+def _(s, d):
+    return tiles.tiles(read_pixels(s, d), 32, 3, 5)
+
+
+@query("tiled_transform", f"WITH {O.PIXEL} SELECT p.image_id, ((y * 2 + j) * 100 + x * 2 + i)::INT AS idx, (x * 2 + i)::INT AS x, (y * 2 + j)::INT AS y, 255 - r AS r, 255 - g AS g, 255 - b AS b FROM pixel p, (SELECT unnest(range(2)) AS i), (SELECT unnest(range(2)) AS j) WHERE image_id IN (SELECT image_id FROM pixel GROUP BY 1 HAVING max(x) = 49)")
+def _(s, d):
+    """A negative of twice the size stands for a model."""
+    pixels = read_pixels(s, d)
+    return tiles.transformed(pixels, lambda t: 1 - t.repeat(2, axis=1).repeat(2, axis=2), 2, 32, 3, 5)
+
+
+@query("grid_drawn")
+def _(s, d):
+    pixels = read_pixels(s, d)
+    images = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+    return tiles.drawn(pixels, lines.line_colors(lines.grid_segments(images, 4), pixels))
+
+
 # presets and text
 
 
@@ -689,6 +811,24 @@ def _(s, d):
     return s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.array_join(F.transform(edges, lambda z: F.format_string("%.4f", z)), ",").alias("edges"))
 
 
+@query("canonical_selection", """SELECT o_orderkey AS state_id, CASE WHEN o_custkey % 5 IN (1, 2) THEN 'saved:' || CASE o_custkey % 5 WHEN 1 THEN 'Alpha' ELSE 'beta' END
+  WHEN o_custkey % 5 = 0 OR o_orderkey % 2 = 0 THEN 'default' ELSE 'previous' END AS selection FROM orders""")
+def _(s, d):
+    plain = presets.default_snapshot()
+    k = (F.col("o_custkey") % 5).cast("int")
+    states = s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("state_id"), plain.withField("levels", 3 + k).alias("snapshot"), (F.col("o_orderkey") % 2 == 1).alias("has_previous"))
+    store = s.createDataFrame([("beta", 5), ("Alpha", 4), ("gamma", 5)], "name string, levels int")
+    saved = presets.presets_in_order(store).withColumn("snapshot", plain.withField("levels", F.col("levels")))
+    return presets.canonical_selection(states, saved)
+
+
+@query("full_report", r"""SELECT o_custkey AS image_id, 'Image' || chr(10) || string_agg('Key: ' || o_orderkey, chr(10) ORDER BY o_orderkey) || chr(10) || chr(10) || 'Prices' || chr(10) || string_agg('Day: ' || (o_orderkey % 31), chr(10) ORDER BY o_orderkey) AS report FROM orders GROUP BY ALL""")
+def _(s, d):
+    o = s.read.parquet(f"{d}/orders.parquet")
+    rows = [o.select(F.col("o_custkey").alias("image_id"), F.lit(section).alias("section"), (F.col("o_orderkey") + offset).alias("place"), F.lit(label).alias("label"), value.cast("string").alias("value")) for section, offset, label, value in (("Image", 0, "Key", F.col("o_orderkey")), ("Prices", 2**40, "Day", F.col("o_orderkey") % 31))]
+    return presets.full_report(rows[0].unionByName(rows[1]))
+
+
 @query("pigment_lookup", f"WITH {O.PIGMENTS}, w AS (SELECT vec_id, 'p' || (vec_id * 2) AS id FROM embeddings) SELECT vec_id, id, coalesce('Pigment ' || pid, id) AS name FROM w LEFT JOIN pig ON 'p' || pid = id")
 def _(s, d):
     wanted = s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.concat(F.lit("p"), (F.col("vec_id") * 2).cast("string")).alias("id"))

@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from chromaframe.functions import color as C
-from chromaframe.operators import cluster, depth, isolate, lines, palette, presets, regions, spectral, tonal
-from chromaframe.sources import raster
+from chromaframe.operators import cluster, depth, isolate, lines, palette, presets, regions, spectral, tiles, tonal
+from chromaframe.sources import mixfile, raster
 
 PIXEL = raster.PIXEL
 
@@ -43,6 +43,7 @@ def test_weight_inside_the_square(spark):
     assert (row.d, row.o) == (0.25, 0.5)
 
 
+#: Colours with the names that they must have.
 @pytest.mark.parametrize(
     "lab, name",
     [((0.18, 0, 0), "Near-Black Neutral"), ((0.70, 0.0346, 0.02), "Mid Dull Orange"), ((0.63, 0.03, 0.10), "Mid Warm Soft Yellow"), ((0.50, -0.1691, -0.0616), "Deep Cool Clear Blue")],
@@ -57,6 +58,7 @@ def test_thresholds():
     assert (C.bias_name(0.03), C.bias_name(0.5), C.bias_name(-0.5)) == ("even", "shadows", "lights")
 
 
+#: Label rasters with what their cleanup must give.
 CLEAN = [
     ([0] * 16, 4, 0.2, [0] * 16),
     ([0] * 9 + [1], 10, 0.2, [0] * 10),
@@ -403,19 +405,19 @@ def test_spectral_json(spark, tmp_path):
 def test_colours_by_the_light_of_the_file(spark, tmp_path):
     """Masstones and mixes take the file's own illuminant and matching curves; without any power all is black."""
     rng = np.random.default_rng(2)
-    curves = {c: rng.uniform(0, 2, 31) for c in ("cmf_x", "cmf_y", "cmf_z")}
+    curves = {c: rng.uniform(0, 2, 31) for c in ("cmfX", "cmfY", "cmfZ")}
     ks = rng.uniform(0.05, 3, (2, 31))
     for power in (rng.uniform(0.2, 1, 31), np.zeros(31)):
-        file = {"wavelengths": spectral.WAVELENGTHS, "illuminant": power.tolist(), **{c: v.tolist() for c, v in curves.items()}}
+        file = {"wavelengths": spectral.WAVELENGTHS, "illuminantSpd": power.tolist(), **{c: v.tolist() for c, v in curves.items()}}
         file["pigments"] = [{"id": f"p{i}", "name": "x", "productNumber": i, "essential": True, "kOverS": k.tolist()} for i, k in enumerate(ks)]
         path = tmp_path / f"s{power.any()}.json"
         path.write_text(json.dumps(file))
         pigments = spectral.read_pigments(spark, str(path))
 
         def lab(k):
-            norm = (power * curves["cmf_y"]).sum()
+            norm = (power * curves["cmfY"]).sum()
             r = 1 + k - np.sqrt(k * k + 2 * k)
-            x = np.array([(r * power * curves[f"cmf_{c}"]).sum() / norm if norm > 0 else 0 for c in "xyz"])
+            x = np.array([(r * power * curves[f"cmf{c}"]).sum() / norm if norm > 0 else 0 for c in "XYZ"])
             lms = np.cbrt(np.array([(0.4122214708, 0.5363325363, 0.0514459929), (0.2119034982, 0.6806995451, 0.1073969566), (0.0883024619, 0.2817188376, 0.6299787005)]) @ np.maximum(0, np.array([(3.2404542, -1.5371385, -0.4985314), (-0.9692660, 1.8760108, 0.0415560), (0.0556434, -0.2040259, 1.0572252)]) @ x))
             return np.array([(0.2104542553, 0.7936177850, -0.0040720468), (1.9779984951, -2.4285922050, 0.4505937099), (0.0259040371, 0.7827717662, -0.8086757660)]) @ lms
 
@@ -423,3 +425,76 @@ def test_colours_by_the_light_of_the_file(spark, tmp_path):
             assert np.allclose([r.ok_l, r.ok_a, r.ok_b], lab(ks[r.pid]), atol=1e-9)
         for r in spectral.mix_table(pigments, 2).collect():
             assert np.allclose([r.ok_l, r.ok_a, r.ok_b], lab(ks[0] * r.a0 / 8 + ks[1] * r.a1 / 8), atol=1e-9)
+
+
+def test_mix_file_round_trip(spark, tmp_path):
+    pigments = spark.createDataFrame([(i, [0.1 + (3 * i + j) % 11 / 3 for j in range(31)]) for i in range(5)], "pid int, k_over_s array<double>")
+    mixes = spectral.mix_table(pigments, 3)
+    data = mixfile.encode(mixes, 5)
+    assert len(data) == 24 + 10 * (10 * 9 + 10 * 45) and data[:8] == b"KMLT\x01\x05\x08\x00"
+    (tmp_path / "t.bin").write_bytes(data)
+    key = ["i0", "i1", "i2", "a0", "a1", "a2", "n_paints"]
+    back, want = (df.select(*key, *C.LAB).toPandas().sort_values(key, ignore_index=True) for df in (mixfile.read(spark, str(tmp_path)), mixes))
+    assert (back[key] == want[key]).all(axis=None) and np.allclose(back[list(C.LAB)], want[list(C.LAB)], atol=1e-3)
+    assert mixfile.entry(data, 3)[:4] == (0, 1, 0, 3 << 4 | 5)
+    assert mixfile.entry(data, 90)[:4] == (0, 1, 2, 0)  # the first triple: none of the first two
+    for wrong in (b"", b"XXXX" + data[4:], data[:-1]):
+        with pytest.raises(ValueError):
+            mixfile.decode(wrong)
+    with pytest.raises(ValueError):
+        mixfile.encode(mixes.where("i2 < 0"), 5)
+
+
+def test_plain_kmeans():
+    rng = np.random.default_rng(1)
+    blobs = np.concatenate([rng.normal(m, 0.01, (50, 3)) for m in ((0.2, 0, 0), (0.5, 0.2, 0), (0.8, -0.2, 0.2))])
+    for spread_out in (False, True):
+        best = min((cluster.plain_kmeans(blobs, 3, seed=s, spread_out=spread_out) for s in range(8)), key=lambda r: ((blobs - r[0][r[1]]) ** 2).sum())
+        assert sorted(np.bincount(best[1]).tolist()) == [50, 50, 50]
+    same = np.full((4, 3), 0.5)
+    assert len(cluster.plain_kmeans(same, 9, spread_out=True)[0]) == 4 and len(cluster.plain_kmeans(same[:0], 2)[0]) == 0
+    a, b = (cluster.plain_kmeans(blobs, 3, seed=5)[1] for _ in range(2))
+    assert (a == b).all()
+
+
+def test_tubes(spark):
+    scores = spark.createDataFrame([(1, p, s) for p, s in enumerate([100.0, 60.0, 58.0, 10.0, 0.0])], "image_id long, pid int, score double")
+    tones = spark.createDataFrame([(0, 0.5, 0.0, 0.0), (1, 0.5, 0.01, 0.0), (2, 0.9, 0.2, 0.0), (3, 0.1, 0.0, 0.0), (4, 0.2, 0.0, 0.0)], "pid int, ok_l double, ok_a double, ok_b double")
+    picked = [r.pid for r in palette.select_tubes(scores, tones, 3).orderBy("place").collect()]
+    assert picked == [0, 2, 1]  # 2 has nearly the score of 1 and lies farther off
+    pigments = spark.createDataFrame([(i, [v] * 31) for i, v in enumerate([0.01, 0.5, 3.0, 20.0])], "pid int, k_over_s array<double>")
+    table = spectral.Mixes.of(spectral.mix_table(pigments, 2), 2)
+    dark = np.array([[0.25, 0.0, 0.0]])
+    better = palette.improve_tubes([0, 1], [0, 1, 2, 3], table, dark, np.ones(1))
+    assert palette.tube_error(table.only(better), dark, np.ones(1)) < palette.tube_error(table.only([0, 1]), dark, np.ones(1)) and 3 in better
+
+
+def test_depth_effects_by_mode(spark):
+    pixels = image(spark, [(200, 100, 50)] * 40, 20, depths=[255 if i % 20 > 9 else 0 for i in range(40)])
+    assert depth.effect(pixels, "none", 0.3, 0.6, 1.0) is pixels
+    gone = {r.idx: (r.r, r.g, r.b) for r in depth.effect(pixels, "remove", 0.3, 0.6, 1.0).collect()}
+    assert gone[15] == (255, 255, 255) and gone[3] != (255, 255, 255)
+    soft = {r.idx: r for r in depth.effect(pixels, "blur", 0.3, 0.6, 1.0).collect()}
+    assert len(soft) == 40 and (soft[15].r, soft[15].g, soft[15].b) == (200, 100, 50)  # a flat image stays flat where nothing is near
+    with pytest.raises(ValueError):
+        depth.effect(pixels, "x", 0.3, 0.6, 1.0)
+
+
+def test_lines_are_drawn_over_pixels(spark):
+    pixels = image(spark, [(100, 100, 100)] * 100, 10)
+    segments = spark.createDataFrame([(1, 0.0, 0.5, 1.0, 0.5, "#FF0000FF")], "image_id long, x0 double, y0 double, x1 double, y1 double, color string")
+    got = {(r.x, r.y): (r.r, r.g, r.b) for r in tiles.drawn(pixels, segments, 0.5).collect()}
+    assert len(got) == 100 and {y for (x, y), c in got.items() if c == (178, 50, 50)} == {4, 5} and got[0, 3] == (100, 100, 100)
+
+
+def test_folding_at_borders(spark):
+    at = [r[0] for r in spark.range(-7, 12).select(tiles.folded(F.col("id"), F.lit(4))).collect()]
+    assert at == [1, 0, 1, 2, 3, 2, 1, 0, 1, 2, 3, 2, 1, 0, 1, 2, 3, 2, 1]
+    assert spark.range(-2, 3).select(tiles.folded(F.col("id"), F.lit(1)).alias("v")).where("v <> 0").isEmpty()
+
+
+def test_small_rules():
+    assert C.distribution_thresholds("even", 4) == [0.25, 0.5, 0.75] and C.distribution_thresholds("custom", 2, 1.0) == C.distribution_thresholds("shadows", 2)
+    assert C.abstraction_factor(0.0, 400) == 1.0 and C.abstraction_factor(1.0, 1600) == 12.0
+    t = np.random.default_rng(0).integers(0, 256, (4, 5, 3)).astype(np.uint8)
+    assert (tiles.to_image(tiles.to_tensor(t)) == t).all()
