@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chromaframe.functions import color as C
+from chromaframe.sources.store import fixed
 
 BINS = (12, 24, 24)
 RANGE_AB = 0.45
@@ -186,15 +187,31 @@ def assign_fixed(lab: DataFrame, palette: list[tuple[float, float, float]], l_we
     return lab.withColumn("label", best["i"])
 
 
+#: Images whose centres are broadcast together: at most 48 of 40 bytes each, about 40 MB.
+MAX_BROADCAST_IMAGES = 20_000
+#: Up to so many centres are compared one by one in generated code.
+UNROLLED = 16
+
+
 def assign(lab: DataFrame, centers: DataFrame, l_weight: float = 0.3, inside: bool = True) -> DataFrame:
-    """Label of the nearest centre of the pixel's own image. Centres travel as one array row per image, so pixels never multiply."""
-    packed = centers.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("k", *LAB))).alias("centers"))  # at most 48 an image
+    """Label of the nearest centre of the pixel's own image, the first on ties.
+
+    Centres travel as one array row per image, so pixels never multiply; where the images are few, the pixels stay where they are.
+    """
+    packed = fixed(centers.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("k", *LAB))).alias("centers")))  # at most 48 an image
+    size = packed.agg(F.count(F.lit(1)).alias("images"), F.coalesce(F.max(F.size("centers")), F.lit(0)).alias("most")).first()
     p = [F.col(c) for c in LAB]
 
     def option(c: Column) -> Column:
         return F.struct(F.round(C.distance2(p, [c[n] for n in LAB], l_weight, inside), 9).alias("d"), c["k"].alias("k"))
 
-    return lab.join(packed, "image_id").withColumn("label", F.array_min(F.transform("centers", option))["k"]).drop("centers")
+    if 2 <= size.most <= UNROLLED:
+        each = [F.get("centers", F.lit(i)) for i in range(size.most)]
+        best = F.least(*[F.when(c.isNotNull(), option(c)) for c in each])
+    else:
+        best = F.array_min(F.transform("centers", option))
+    joined = lab.join(F.broadcast(packed) if size.images <= MAX_BROADCAST_IMAGES else packed, "image_id")
+    return joined.withColumn("label", best["k"]).drop("centers")
 
 
 def cluster_table(labelled: DataFrame, k: int) -> DataFrame:

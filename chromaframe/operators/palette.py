@@ -393,8 +393,7 @@ def build(pixels_lab: DataFrame, mixes: DataFrame, shades: int = 8, paints: int
     the mixes go to the workers once, as arrays whose size is checked.
     """
     k = min(2 * max(2, shades), 48)
-    centers = fixed(cluster.centers(cluster.histogram(pixels_lab), k, spread))
-    labelled = cluster.assign(pixels_lab, centers)
+    labelled = cluster.assign(pixels_lab, cluster.centers(cluster.histogram(pixels_lab), k, spread))
     clusters = cluster.salience(cluster.cluster_table(labelled, k)).where("cnt > 0")
     table = pixels_lab.sparkSession.sparkContext.broadcast(spectral.Mixes.of(mixes, paints))
 
