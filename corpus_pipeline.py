@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and returns a DataFrame that ``run`` writes as Parquet
 to the shared folder and reads again. All but the last return the columns of ``documents``.
+
+Edge cases, in every stage: a null text counts as empty; an empty table gives an empty table with the stage's columns; columns beyond
+doc_id and text, whatever their names, are carried along and never read; rows may repeat, also under one doc_id or under none.
 """
 
 from __future__ import annotations
@@ -12,31 +15,31 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from chromaframe.llm import decontamination, exact_dedup, ngram_join, packing, quality
-from chromaframe.llm.common import table, written
+from chromaframe.llm.common import remove, table, written
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
+    """Documents that the classifier accepts; without labels every score is 0.5 and all stay. Copies are accepted alike."""
     return quality.filter_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the largest doc_id."""
+    """Of equal texts the largest doc_id, a null one being smallest; of rows that tie in that, one. Null and empty texts are equal."""
     return exact_dedup.deduplicate(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked documents the smallest doc_id."""
+    """Of linked documents the smallest doc_id. Texts without words and rows without a doc_id link with nothing and stay."""
     return ngram_join.deduplicate(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Rows without a passage of the benchmark, each by its own text; items without words count for nothing."""
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents in sequences of at most 4096 tokens."""
+    """Pieces of the remaining documents in sequences of at most 4096 tokens; an empty text is its end token. Other columns end here."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -53,9 +56,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = before = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if name != STAGES[0][0]:
+            remove(spark, before)  # what the stage before wrote
+        before = docs
     return docs
 
 
