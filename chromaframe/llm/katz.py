@@ -28,6 +28,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -76,31 +77,33 @@ def _blocks(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow(BLOCKS)
         number = TaskContext.get().partitionId() << 24
-        ids, lengths, held = [], [], []
-        tokens: list[np.ndarray] = []
-        vocabulary: dict[bytes, int] = {END: 0}
+        held: list[tuple] = []
         total = 0
 
         def block() -> pa.RecordBatch:
-            every = np.concatenate(tokens)
-            words = b" ".join(list(vocabulary)[1:])
-            return record_batch(schema, [[number], [ids], [lengths], [held], [_pack(every)], [words]])
-
-        for batch in slices(batches, "text", 4 << 20):
-            for doc, out, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text")), strict=True):
-                words = text.translate(SPACE_WORDS).split()
-                words.append(END)
-                add = vocabulary.setdefault
-                tokens.append(np.array([add(w, len(vocabulary)) for w in words], "<u4"))
-                ids.append(doc)
-                lengths.append(len(words))
-                held.append(out)
-                total += len(words)
-                if total >= BLOCK_TOKENS:
-                    yield block()
-                    number += 1
-                    ids, lengths, held, tokens, vocabulary, total = [], [], [], [], {END: 0}, 0
-        if ids:
+            ids, out, lengths, words = zip(*held, strict=True)
+            codes = pa.concat_arrays(words).dictionary_encode()
+            lengths = np.concatenate(lengths)
+            tokens = np.zeros(int(lengths.sum()), "<u4")  # the end is number 0
+            inside = np.ones(len(tokens), bool)
+            inside[np.cumsum(lengths) - 1] = False
+            tokens[inside] = codes.indices.to_numpy() + 1
+            return record_batch(schema, [[number], [[i for some in ids for i in some]], [lengths], [np.concatenate(out)], [_pack(tokens)], [b" ".join(codes.dictionary.to_pylist())]])
+
+        for batch in slices(batches, "text", BLOCK_TOKENS // 2):
+            texts = pa.array([t.translate(SPACE_WORDS) for t in batch.column("text").to_pylist()], pa.binary())
+            cut = pc.split_pattern(texts, b" ")
+            words = cut.flatten()
+            some = pc.greater(pc.binary_length(words), 0)
+            upto = np.concatenate(([0], np.cumsum(some.to_numpy(zero_copy_only=False))))
+            lengths = np.diff(upto[cut.offsets.to_numpy() - cut.offsets[0].as_py()]) + 1
+            held.append((batch.column("doc_id").to_pylist(), batch.column("held_out").to_numpy(zero_copy_only=False), lengths, words.filter(some)))
+            total += int(lengths.sum())
+            if total >= BLOCK_TOKENS:
+                yield block()
+                number += 1
+                held, total = [], 0
+        if held:
             yield block()
 
     held_out = F.coalesce(crc_remainder("doc_id", HELD_OUT_MOD) == HELD_OUT, F.lit(False))
