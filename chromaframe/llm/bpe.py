@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 
 #: Chunks kept at once; the older half is given up beyond it, so a worker's memory is bounded. A chunk is kept when it comes a second
 #: time, told by a table of marks.
-CACHED_CHUNKS = 1_400_000
+CACHED_CHUNKS = 700_000
 MARKS = 1 << 22
 CACHED_PIECES = 100_000
 
@@ -111,7 +111,7 @@ class _Chunks(dict):
 class Encoder:
     """``ids(text)`` and ``count(text)`` for a byte-level or a word-level BPE file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = CACHED_CHUNKS):
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.words = self.model.end_of_word_suffix is not None and self.model.end_of_word_suffix != ""
@@ -126,10 +126,12 @@ class Encoder:
         self.odd_spaces = [c for c in spaces if self.library.normalizer.normalize_str(f"a{c}a") != "a a"]
         assert all(s.startswith(self.mark) for s in self.special)
         self.pieces = _Aged(self.merge, CACHED_PIECES)
-        self.chunks = _Chunks(self, self.merge, CACHED_CHUNKS)
+        self.chunks = _Chunks(self, self.merge, kept)
 
     def tokens(self, piece: str) -> list:
         """The library's merges on one piece."""
+        if piece.isascii() and piece.isprintable():  # of these only the space has another letter
+            return self.model.tokenize(piece.replace(" ", self.letters[32]))
         return self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
 
     def merge(self, piece: str) -> bytes:
@@ -212,6 +214,6 @@ class Encoder:
 
 
 @cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, kept: int = CACHED_CHUNKS) -> Encoder:
     """One per worker process and file."""
-    return Encoder(path)
+    return Encoder(path, kept)

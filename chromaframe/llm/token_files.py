@@ -32,6 +32,8 @@ BITS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 PART = 1 << 16
 BLOCK_IDS = 1 << 17
 END_ID = 2
+#: Chunks that a worker keeps, about 350 MB: nothing else runs beside this operator's tasks.
+KEPT_CHUNKS = 1_400_000
 
 
 #: Bits of every number under 2^16; a word has no more than ``COUNTS[1]`` ids.
@@ -155,7 +157,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> N
     ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, enc = arrow(BLOCKS), encoder(tokenizer)
+        schema, enc = arrow(BLOCKS), encoder(tokenizer, KEPT_CHUNKS)
         end = np.array([end_id], enc.dtype).tobytes()
         shard, first = TaskContext.get().partitionId(), 0
         names: list[int | None] = []
