@@ -204,6 +204,20 @@ def test_packing(docs, empty):
     assert packing.pack(empty, WORD).isEmpty()
 
 
+def test_windows_are_nearly_full_and_nearly_equal(spark):
+    """Over a whole run: little padding beyond the last group of a partition, and windows of one group of nearly equal length."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").coalesce(1)
+    windows = Counter()
+    for p in packing.pack(docs, WORD, group=16).select("sequence_id", "length").collect():
+        windows[p.sequence_id] += p.length
+    lengths = [windows[s] for s in sorted(windows)]
+    assert max(lengths) <= 4096 and len(lengths) > 40
+    padding = sum(4096 - n for n in lengths)
+    assert padding <= 0.01 * 4096 * len(lengths) + 4096, padding / (4096 * len(lengths))
+    short = sum(n < 0.97 * 4096 for n in lengths)
+    assert short <= 16, short  # the last group has what is left, shared out evenly
+
+
 def test_differencing_levels_windows():
     r = random.Random(1)
     sizes = [r.randint(1, 900) for _ in range(300)]

@@ -29,6 +29,36 @@ def test_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] and exact_dedup and packing and quality and public_tokenizers
 
 
+SCHEMA = "doc_id bigint, text string, lang string, y double, token bigint, digest string, rep bigint, n bigint"
+
+
+def test_stages_on_awkward_rows(spark):
+    """Nulls, empty texts, repeated ids and rows, and columns named like those the stages use inside."""
+    leak = spark.read.parquet(f"{DIR}/benchmark.parquet").first().text
+    words = " ".join(f"w{i}" for i in range(60))
+    texts = [(None, None), (1, None), (2, ""), (3, "  "), (4, words), (4, words), (4, f"{words} and more"), (5, f"{words} and"), (None, "no id"), (6, leak), (6, "another text of six"), (7, "x" * 40_000)]
+    docs = spark.createDataFrame([(i, t, "en", 0.5, 1, "d", 2, 3) for i, t in texts], SCHEMA).repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    accepted = written(stages["quality_classifier"](spark, docs, DIR), "test")
+    assert accepted.schema == docs.schema and accepted.exceptAll(docs).isEmpty()
+    single = written(stages["exact_dedup"](spark, docs, DIR), "test")
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in single.collect()))) == sorted(map(repr, [(2, ""), *{(i, t) for i, t in texts if t}]))
+    apart = written(stages["near_dedup"](spark, single, DIR), "test")
+    assert sorted(r.doc_id for r in apart.collect() if r.doc_id) == [2, 3, 4, 4, 6, 6, 7] and apart.where("doc_id is null").count() == 1
+    clean = written(stages["decontamination"](spark, apart, DIR), "test")
+    assert [r.text for r in clean.where("doc_id = 6").collect()] == ["another text of six"] and clean.count() == apart.count() - 1
+    assert single.schema == apart.schema == clean.schema == docs.schema
+    pieces = stages["packing"](spark, clean, DIR).collect()
+    assert sum(p.start == 0 for p in pieces) == clean.count()
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = spark.createDataFrame([], SCHEMA)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, DIR)
+        assert out.isEmpty() and (name == "packing" or out.schema == docs.schema), name
+
+
 def test_good_documents_stay(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     kept = quality.filter_quality(docs, labels)
