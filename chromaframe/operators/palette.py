@@ -284,17 +284,16 @@ def _survivors(recipes: list[Recipe], left: list[Recipe]) -> list[Recipe]:
 def adaptive_prune(recipes: list[Recipe], shades: int, keep: set[int], bound: float = LEAST_LOSS) -> list[Recipe]:
     """Drop the least important recipe that is not kept, while its share of importance times its distance to the next stays under the bound."""
     total = max(1.0, sum(r.importance for r in recipes))
-    left = list(recipes)
-    while len(left) > max(2, shades):
-        loose = [r for r in left if r.id not in keep]
-        if not loose:
+    lab = np.array([r.lab for r in recipes]).reshape(-1, 3)
+    left = np.ones(len(recipes), bool)
+    loose = sorted((i for i, r in enumerate(recipes) if r.id not in keep), key=lambda i: (round(recipes[i].importance, 9), recipes[i].id))
+    for i in loose[: max(0, len(recipes) - max(2, shades))]:
+        left[i] = False
+        near = np.sqrt(((lab[left] - lab[i]) ** 2).sum(axis=1)).min()
+        if recipes[i].importance * near / total >= bound:
+            left[i] = True
             break
-        weakest = min(loose, key=lambda r: (round(r.importance, 9), r.id))
-        near = min(_distance(weakest, r) for r in left if r is not weakest)
-        if weakest.importance * near / total >= bound:
-            break
-        left.remove(weakest)
-    return _survivors(recipes, left)
+    return _survivors(recipes, [r for r, stays in zip(recipes, left, strict=True) if stays])
 
 
 def prune_to(recipes: list[Recipe], shades: int) -> list[Recipe]:

@@ -856,7 +856,10 @@ def _(s, d):
     return taps.debounced(s.read.parquet(f"{d}/events.parquet"), 3_600_000).select("event_id", "user_id")
 
 
-@query("double_taps")
+@query("double_taps", """WITH t AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS seconds, CAST(length(event_type) % 3 AS VARCHAR) AS band FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+l AS (SELECT *, row_number() OVER w AS n, coalesce(lag(band) OVER w = band AND seconds - lag(seconds) OVER w <= 36000.0, false) AS linked FROM t WINDOW w AS (PARTITION BY user_id ORDER BY seconds, event_id)),
+f AS (SELECT *, n - max(CASE WHEN NOT linked THEN n END) OVER (PARTITION BY user_id ORDER BY seconds, event_id ROWS UNBOUNDED PRECEDING) AS place FROM l)
+SELECT user_id, event_id, CASE WHEN place % 2 = 1 AND band = '' THEN 'reset' WHEN place % 2 = 1 THEN 'focus' ELSE 'inspect' END AS action FROM f""")
 def _(s, d):
     events = s.read.parquet(f"{d}/events.parquet").withColumn("band", F.length("event_type") % 3)
     return taps.double_taps(events, 36_000.0)
