@@ -81,6 +81,12 @@ def remove(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def columns(df: DataFrame, within: str = "") -> list[Column]:
+    """All columns of ``df`` under their own names, dots and back quotes in them included; fields of struct ``within`` if one is named."""
+    names = ["`" + c.replace("`", "``") + "`" for c in df.columns]
+    return [F.col(f"{within}.{n}" if within else n).alias(c) for n, c in zip(names, df.columns, strict=True)]
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; other letters stay as they are."""
     return F.translate(text, UPPER, LOWER)

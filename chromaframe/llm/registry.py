@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chromaframe.llm import decontamination, exact_dedup, katz, licenses, ngram_join, packing, pii, quality, token_counts, token_files
+from chromaframe.llm import decontamination, exact_dedup, katz, licenses, ngram_join, packing, periodic, pii, quality, resampling, simhash, token_counts, token_files
 from chromaframe.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +26,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licenses": lambda s, d: licenses.query(table(s, d, "documents")),
         "op9_quality": lambda s, d: quality.query(table(s, d, "documents"), table(s, d, "labels")),
         "op10_katz": lambda s, d: katz.query(table(s, d, "documents")),
+        "op11_resampling": lambda s, d: resampling.query(table(s, d, "documents"), table(s, d, "benchmark")),
+        "op12_periodic": lambda s, d: periodic.query(table(s, d, "documents")),
+        "op13_simhash": lambda s, d: simhash.query(table(s, d, "documents")),
     }
 
 
@@ -34,4 +37,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_decontamination": decontamination.SQL,
         "op3_ngram_join": ngram_join.SQL,
         "op6_exact_dedup": exact_dedup.SQL,
+        "op11_resampling": resampling.SQL,
+        "op12_periodic": periodic.SQL,
     }
