@@ -7,17 +7,19 @@ in Oklab unless a lightness weight is named.
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chromaframe.functions import color as C
-from chromaframe.operators import cluster, presets, spectral
-from chromaframe.sources.store import fixed
+from chromaframe.operators import cluster, mixsearch, presets, spectral
+from chromaframe.sources.store import stored
 
 LAB = list(C.LAB)
 #: Colours under this chroma are neutral; hues of anchors lie so far apart; loss at which pruning ends; squared move that
@@ -129,37 +131,81 @@ def unselected(pigments: DataFrame, tubes: DataFrame) -> DataFrame:
     return tubes.select("image_id").distinct().join(pigments.select("pid"), F.lit(True)).join(tubes.select("image_id", "pid"), ["image_id", "pid"], "left_anti")
 
 
-def tube_error(table: spectral.Mixes, colors: np.ndarray, weights: np.ndarray) -> float:
-    """Weighted distances of colours to their nearest mixes."""
-    return float(sum(w * table.search(c)[1] for c, w in zip(colors, weights, strict=True)))
+class SubsetMinima:
+    """Per colour the distance of the best mix of every set of one to ``paints`` pigments, each set's worked out when it is first asked for.
 
+    The nearest mix of some tubes is the nearest among the sets of them, so the error of any tubes is a minimum over sets; a trial swap asks for the
+    sets with the new tube alone, and no mix is ever looked at twice.
+    """
 
-def improve_tubes(tubes: list[int], pigments: list[int], table: spectral.Mixes, colors: np.ndarray, weights: np.ndarray) -> list[int]:
-    """Swap one tube for one left out while that lowers the error by more than 0.001: the best swap each time, at most twice as often as there are tubes."""
+    def __init__(self, pigments: spectral.Pigments, colors: np.ndarray, paints: int = 3):
+        self.pigments, self.colors, self.paints = pigments, colors, paints
+        self.place = {int(p): i for i, p in enumerate(pigments.pid)}
+        self.best: dict[tuple[int, ...], np.ndarray] = {}
+        inner = [spectral.steps(n, False) for n in (2, 3)]
+        self.amounts = [np.array([(8,)]), inner[0][:, :2], inner[1]]
+
+    def sets(self, tubes: Iterable[int]) -> list[tuple[int, ...]]:
+        """All sets of at most ``paints`` of some tubes."""
+        tubes = sorted(p for p in tubes if p in self.place)
+        return [c for n in range(1, self.paints + 1) for c in itertools.combinations(tubes, n)]
+
+    def look(self, sets: list[tuple[int, ...]]) -> np.ndarray:
+        """The distances (set, colour) of the best mixes of sets."""
+        for n, amounts in enumerate(self.amounts, 1):
+            new = [c for c in dict.fromkeys(sets) if len(c) == n and c not in self.best]
+            for first in range(0, len(new), 2048):
+                some = new[first : first + 2048]
+                places = np.array([[self.place[p] for p in c] for c in some])
+                lab = self.pigments.mixes(np.repeat(places, len(amounts), axis=0), np.tile(amounts, (len(some), 1)))
+                d = np.empty((len(some), len(self.colors)))
+                for i, c in enumerate(self.colors):
+                    diff = (lab - c) ** 2
+                    d[:, i] = (diff[:, 0] + spectral.chroma_weight(c) * (diff[:, 1] + diff[:, 2])).reshape(len(some), -1).min(axis=1)
+                self.best.update(zip(some, np.sqrt(np.round(d, 9)), strict=True))
+        return np.array([self.best[c] for c in sets]).reshape(len(sets), len(self.colors))
+
+
+def tube_error(minima: SubsetMinima, tubes: Iterable[int], weights: np.ndarray) -> float:
+    """Weighted distances of colours to their nearest mixes of some tubes."""
+    found = minima.look(minima.sets(tubes))
+    return float(found.min(axis=0, initial=np.inf) @ weights)
+
+
+def improve_tubes(tubes: list[int], pigments: list[int], minima: SubsetMinima, weights: np.ndarray) -> list[int]:
+    """Swap one tube for one left out while that lowers the error by more than 0.001: the best swap each time, at most twice as often as there are tubes.
+
+    What the tubes without one of them reach is one minimum a tube; a swap adds the sets that hold the new tube.
+    """
     tubes = list(tubes)
     for _ in range(max(3, 2 * len(tubes))):
-        best, least = None, tube_error(table.only(tubes), colors, weights)
-        for other in (p for p in pigments if p not in tubes):
-            for i in range(len(tubes)):
-                trial = [*tubes[:i], other, *tubes[i + 1 :]]
-                error = tube_error(table.only(trial), colors, weights)
+        least, best = tube_error(minima, tubes, weights), None
+        others = [p for p in pigments if p not in tubes]
+        added = {p: [c for c in minima.sets([*tubes, p]) if p in c] for p in others}
+        minima.look([c for sets in added.values() for c in sets])
+        for p in others:
+            new = minima.look(added[p])
+            for i, gone in enumerate(tubes):
+                left = minima.look(minima.sets(tubes[:i] + tubes[i + 1 :])).min(axis=0, initial=np.inf)
+                mine = new[[gone not in c for c in added[p]]].min(axis=0, initial=np.inf)
+                error = float(np.minimum(left, mine) @ weights)
                 if error < least - 0.001:
-                    best, least = trial, error
+                    best, least = [*tubes[:i], p, *tubes[i + 1 :]], error
         if best is None:
             break
         tubes = best
     return tubes
 
 
-def improved_tubes(tubes: DataFrame, clusters: DataFrame, pigments: DataFrame, mixes: DataFrame, paints: int = 3) -> DataFrame:
-    """``select_tubes`` of every image after ``improve_tubes`` for its clusters (k, lab, cnt, salience)."""
-    every = sorted(r.pid for r in pigments.select("pid").collect())  # pigments are tens
-    table = tubes.sparkSession.sparkContext.broadcast(spectral.Mixes.of(mixes, paints))
+def improved_tubes(tubes: DataFrame, clusters: DataFrame, pigments: DataFrame, paints: int = 3) -> DataFrame:
+    """``select_tubes`` of every image after ``improve_tubes`` for its clusters (k, lab, cnt, salience), among all ``pigments``."""
+    shared = tubes.sparkSession.sparkContext.broadcast(spectral.Pigments.of(pigments))  # at most 255 rows
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.assign(w=right["cnt"] * right["salience"]).sort_values(["w", "k"], ascending=[False, True])
-        seed = left.sort_values("place")["pid"].astype(int).tolist()
-        found = improve_tubes(seed, every, table.value, right[LAB].to_numpy(float), right["w"].to_numpy(float)) if seed and len(right) else seed
+        found = left.sort_values("place")["pid"].astype(int).tolist()
+        if found and len(right):
+            found = improve_tubes(found, shared.value.pid.tolist(), SubsetMinima(shared.value, right[LAB].to_numpy(float), paints), right["w"].to_numpy(float))
         return pd.DataFrame({"image_id": (left if len(left) else right)["image_id"].iloc[0], "pid": found, "place": range(len(found))})
 
     return tubes.groupBy("image_id").cogroup(clusters.select("image_id", "k", *LAB, "cnt", "salience").groupBy("image_id")).applyInPandas(run, "image_id bigint, pid int, place int")
@@ -347,59 +393,111 @@ def _means(lab: np.ndarray, cnt: np.ndarray, target: np.ndarray, n: int) -> tupl
     return sums / np.maximum(total, 1)[:, None], total
 
 
-def image_palette(clusters: pd.DataFrame, table: spectral.Mixes, shades: int) -> pd.DataFrame:
+class Unanswered(Exception):
+    """Colours whose nearest mixes aren't known yet."""
+
+    def __init__(self, colors: np.ndarray):
+        super().__init__()
+        self.colors = colors
+
+
+class Answers:
+    """The nearest mixes of the colours asked for so far."""
+
+    def __init__(self, known: dict[tuple[float, float, float], spectral.Mix]):
+        self.known = known
+
+    def nearest_all(self, colors: np.ndarray) -> list[spectral.Mix]:
+        keys = [tuple(c) for c in np.asarray(colors, float).reshape(-1, 3).tolist()]
+        if open_ := [k for k in dict.fromkeys(keys) if k not in self.known]:
+            raise Unanswered(np.array(open_))
+        return [self.known[k] for k in keys]
+
+
+def image_palette(clusters: pd.DataFrame, table: spectral.Mixes | Answers, shades: int) -> pd.DataFrame:
     """Recipes of one image from its clusters (k, lab, cnt, salience): decompose, snap twice, merge, prune, refit, deduplicate."""
     clusters = clusters.sort_values("k")
     lab, cnt = clusters[LAB].to_numpy(float), clusters["cnt"].to_numpy(float)
     weight = 1.0 if np.hypot(lab[:, 1], lab[:, 2]).max() < 0.01 else 0.3
-    mixes = [table.nearest(c) for c in lab]
+    mixes = table.nearest_all(lab)
     for _ in range(2):  # a recipe moves only where the colours that it stands for have moved
         now = np.array([m.lab for m in mixes])
         means, total = _means(lab, cnt, _nearest(lab, now, weight), len(mixes))
         moved = (total > 0) & (((means - now) ** 2).sum(axis=1) > MOVED)
-        mixes = [table.nearest(c) if m else old for c, m, old in zip(means, moved, mixes, strict=True)]
+        again = iter(table.nearest_all(means[moved]))
+        mixes = [next(again) if m else old for m, old in zip(moved, mixes, strict=True)]
     target = _nearest(lab, np.array([m.lab for m in mixes]), weight)
     loads = np.bincount(target, cnt, len(mixes))
     importance = np.bincount(target, cnt * np.maximum(0.1, clusters["salience"].to_numpy(float)), len(mixes))
     rows = [Recipe(i, m.parts, np.array(m.lab), int(loads[i]), float(importance[i]), [i]) for i, m in enumerate(mixes)]
     kept = [r for r in merge_and_prune(rows, shades) if r.cnt > 0]
+    refit = table.nearest_all(np.array([_means(lab, cnt, np.where(np.isin(target, r.members), 0, 1), 2)[0][0] for r in kept]))
     final: dict[tuple, spectral.Mix] = {}
     place: list[int] = []
-    for r in kept:
-        means, _ = _means(lab, cnt, np.where(np.isin(target, r.members), 0, 1), 2)
-        mix = table.nearest(means[0])
+    for mix in refit:
         sign = tuple(sorted((p, math.floor(c * 8 + 0.5)) for p, c in mix.parts.items()))
         place.append(list(final).index(sign) if sign in final else len(final))
         final.setdefault(sign, mix)
-        r.lab = np.array(mix.lab)
     # colours go to the refit recipes, of which equal ones are one
-    label = np.array(place)[_nearest(lab, np.array([r.lab for r in kept]), weight)]
+    label = np.array(place)[_nearest(lab, np.array([m.lab for m in refit]), weight)]
     out = []
     for i, mix in enumerate(final.values()):
         mine = label == i
         parts = [{"pid": p, "concentration": c} for p, c in sorted(mix.parts.items())]
         out.append((int(clusters["image_id"].iloc[0]), i, parts, *map(float, mix.lab), int(cnt[mine].sum()), mix.delta_e, mix.delta_e > 0.05, clusters["k"].to_numpy()[mine].tolist()))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in PALETTE.split(", ")])
+    return pd.DataFrame(out, columns=_PALETTE_NAMES)
 
 
 PALETTE = "image_id bigint, recipe_id int, components array<struct<pid:int,concentration:double>>, ok_l double, ok_a double, ok_b double, cnt bigint, delta_e double, clipped boolean, labels array<int>"
+_PALETTE_NAMES = [c.split()[0] for c in PALETTE.split(", ")]
+#: Times that an image asks for mixes: its clusters, two snaps, the refit.
+ASKS = 4
 
 
-def build(pixels_lab: DataFrame, mixes: DataFrame, shades: int = 8, paints: int = 3, spread: float = 0.0) -> tuple[DataFrame, DataFrame]:
-    """Recipes of every image and the recipe of every pixel: over-cluster, then ``image_palette``, then project its labels.
+def _known(found: pd.DataFrame) -> dict[tuple[float, float, float], spectral.Mix]:
+    out = {}
+    for r in found.itertuples():
+        amounts = {int(p): a / 8.0 for p, a in ((r.i0, r.a0), (r.i1, r.a1), (r.i2, r.a2)) if a > 0}
+        out[r.ask_l, r.ask_a, r.ask_b] = spectral.Mix(spectral.pruned_parts(amounts, 0.02), (r.ok_l, r.ok_a, r.ok_b), r.delta_e)
+    return out
+
+
+def palettes(clusters: DataFrame, mixes: mixsearch.Index, shades: int) -> DataFrame:
+    """``image_palette`` of every image, with ``labels``.
 
-    Pixels take part only in the histogram, one assignment and the last projection. An image's clusters, at most 48 rows, are one group;
-    the mixes go to the workers once, as arrays whose size is checked.
+    An image's clusters, at most 48 rows, are one group, and never see the mix table: a group runs as far as it has answers and gives back the colours
+    that it asks for next; these are searched in the index, all images at once, and the groups run again. Images are done after ``ASKS`` rounds.
     """
-    k = min(2 * max(2, shades), 48)
-    labelled = cluster.assign(pixels_lab, cluster.centers(cluster.histogram(pixels_lab), k, spread))
-    clusters = cluster.salience(cluster.cluster_table(labelled, k)).where("cnt > 0")
-    table = pixels_lab.sparkSession.sparkContext.broadcast(spectral.Mixes.of(mixes, paints))
+    asks = [f"ask_{c[-1]}" for c in LAB]
+
+    def run(group: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return image_palette(group, Answers(_known(found)), shades).assign(**{c: None for c in asks})
+        except Unanswered as e:
+            out = pd.DataFrame(e.colors, columns=asks).assign(image_id=int(group["image_id"].iloc[0]))
+            return out.reindex(columns=[*_PALETTE_NAMES, *asks]).astype({c: object for c in _PALETTE_NAMES[1:]}).replace({np.nan: None})
+
+    groups = clusters.select("image_id", "k", *LAB, "cnt", "salience").groupBy("image_id")
+    answers = clusters.sparkSession.createDataFrame([], mixsearch.NEAREST + ", " + ", ".join(f"{c} double" for c in asks))
+    for _ in range(ASKS + 1):
+        rows = stored(groups.cogroup(answers.groupBy("image_id")).applyInPandas(run, PALETTE + ", " + ", ".join(f"{c} double" for c in asks)), "palettes")
+        asked = rows.where(F.col(asks[0]).isNotNull()).select("image_id", *[F.col(a).alias(c) for a, c in zip(asks, LAB, strict=True)])
+        asked = asked.withColumn("k", F.row_number().over(Window.partitionBy("image_id").orderBy(*LAB)).cast("int"))
+        if asked.isEmpty():
+            return rows.drop(*asks)
+        own = asked.select("image_id", "k", *[F.col(c).alias(a) for a, c in zip(asks, LAB, strict=True)])
+        answers = stored(answers.unionByName(mixsearch.nearest(asked, mixes).join(own, ["image_id", "k"])), "palette-answers")
+    raise RuntimeError("an image asked for mixes that the index does not hold")
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return image_palette(group, table.value, shades)
 
-    schema = PALETTE
-    final = fixed(clusters.select("image_id", "k", *LAB, "cnt", "salience").groupBy("image_id").applyInPandas(run, schema))
+def build(pixels_lab: DataFrame, mixes: DataFrame, shades: int = 8, paints: int = 3, spread: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Recipes of every image and the recipe of every pixel: over-cluster, then ``palettes``, then project its labels.
+
+    Pixels take part only in the histogram, one assignment, which is written once, and the last projection.
+    """
+    k = min(2 * max(2, shades), 48)
+    labelled = stored(cluster.assign(pixels_lab, cluster.centers(cluster.histogram(pixels_lab), k, spread)), "palette-pixels")
+    clusters = stored(cluster.salience(cluster.cluster_table(labelled, k)).where("cnt > 0"), "palette-clusters")
+    final = palettes(clusters, mixsearch.index(mixes, paints), shades)
     mapping = final.select("image_id", F.explode("labels").alias("label"), F.col("recipe_id").alias("target"))
     return final.drop("labels"), cluster.project_labels(labelled, mapping)

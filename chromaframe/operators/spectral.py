@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +49,13 @@ def pigments_of_embeddings(embeddings: DataFrame) -> DataFrame:
     )
 
 
+def pigments_of_nations(nations: DataFrame) -> DataFrame:
+    """A synthetic pigment of every nation: an absorption lobe at a place by its key, of a strength and width by its region."""
+    key, region = F.col("n_nationkey"), F.col("n_regionkey").cast("double")
+    lobes = [0.02 + 1.3 * (region + 1) * F.exp(-0.5 * F.pow((C.num(w - 400) - 12.5 * key) / (30.0 + 15 * region), C.num(2))) for w in WAVELENGTHS]
+    return nations.select(key.alias("pid"), F.concat(F.lit("p"), key.cast("string")).alias("id"), F.col("n_name").alias("name"), (key % 3 != 2).alias("essential"), F.array(*lobes).alias("k_over_s"))
+
+
 def pigment_fixture(spark: SparkSession) -> DataFrame:
     """A table of 78 synthetic pigments, the number of the reference: absorption lobes at 13 wavelengths in 6 strengths and widths."""
     rows = []
@@ -127,36 +134,87 @@ def masstones(pigments: DataFrame) -> DataFrame:
     return with_colors(pigments).select("pid", "id", *C.LAB)
 
 
-def _steps(spark: SparkSession, n: int, edges: bool) -> DataFrame:
-    """Amounts of ``n`` paints in eighths that sum to 8; without ``edges`` none is 0."""
+def steps(n: int, edges: bool = True) -> np.ndarray:
+    """Amounts of ``n`` paints, 2 or 3, in eighths that sum to 8; without ``edges`` none is 0."""
     lo = 0 if edges else 1
     if n == 2:
-        rows = [(a, 8 - a, 0) for a in range(lo, 9 - lo)]
-    else:
-        rows = [(a, b, 8 - a - b) for a in range(lo, 9) for b in range(lo, 9 - a) if 8 - a - b >= lo]
-    return spark.createDataFrame(rows, "a0 int, a1 int, a2 int")
+        return np.array([(a, 8 - a, 0) for a in range(lo, 9 - lo)])
+    return np.array([(a, b, 8 - a - b) for a in range(lo, 9) for b in range(lo, 9 - a) if 8 - a - b >= lo])
+
+
+def lab_of_spectra(ks: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Oklab of absorption-to-scattering spectra, one a row, by the weights of X, Y and Z."""
+    r = np.where(ks <= 0, 1.0, 1.0 + ks - np.sqrt(ks * ks + 2.0 * ks))
+    linear = np.maximum(0.0, r @ weights.T @ np.array(FROM_XYZ).T)
+    return np.cbrt(linear @ np.array(C.TO_CONE).T) @ np.array(C.TO_LAB).T
+
+
+@dataclass
+class Pigments:
+    """A pigment table as arrays, in the order of its numbers."""
+
+    pid: np.ndarray
+    ks: np.ndarray
+    weights: np.ndarray
+
+    @classmethod
+    def of(cls, pigments: DataFrame, most: int = 255) -> Pigments:
+        """Tens of pigments; ``most`` is what one byte of a mix file can number."""
+        own = ["xyz_weights"] if "xyz_weights" in pigments.columns else []  # the same for all pigments of a file
+        rows = pigments.select("pid", "k_over_s", *own).limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"more than {most} pigments")
+        rows.sort(key=lambda r: r.pid)
+        light = np.array(rows[0].xyz_weights if own and rows else xyz_weights(), float)
+        return cls(np.array([r.pid for r in rows], np.int32), np.array([r.k_over_s for r in rows], float).reshape(len(rows), len(rows[0].k_over_s) if rows else len(WAVELENGTHS)), light)
+
+    def mixes(self, places: np.ndarray, amounts: np.ndarray) -> np.ndarray:
+        """Oklab of mixes by the places of their paints in the table and their amounts in eighths; both (mix, paint)."""
+        return lab_of_spectra((self.ks[places] * (amounts / 8.0)[:, :, None]).sum(axis=1), self.weights)
+
+
+MIXES = "i0 int, i1 int, i2 int, a0 int, a1 int, a2 int, ok_l double, ok_a double, ok_b double, n_paints int"
+#: Mixes that a task makes at once.
+AT_ONCE = 1 << 17
 
 
 def mix_table(pigments: DataFrame, paints: int = 3, edges: bool = True) -> DataFrame:
     """All mixes of pairs, and triples if asked, of a pigment table: (i0, i1, i2, a0, a1, a2, ok_l, ok_a, ok_b, n_paints).
 
-    The table is small by nature (tens of pigments); inequality joins on pid enumerate each subset once.
+    The pigments, tens of rows, go to the tasks as arrays; a task takes a range of pairs and makes the pairs' mixes and those of all triples that
+    begin with them, so every subset is made once and no row is joined.
     """
     spark = pigments.sparkSession
-    p = pigments.select("pid", "k_over_s")
-    own = ["xyz_weights"] if "xyz_weights" in pigments.columns else []  # the same for all pigments of a file
-    one = pigments.select(F.col("pid").alias("i0"), F.col("k_over_s").alias("s0"), *own)
-    two, three = (p.toDF(f"i{i}", f"s{i}") for i in (1, 2))
-    pairs = one.join(two, F.col("i0") < F.col("i1"))
-    flat = F.array_repeat(C.num(0), len(WAVELENGTHS))
-    pair_rows = pairs.crossJoin(F.broadcast(_steps(spark, 2, edges))).select("i0", "i1", F.lit(-1).alias("i2"), "a0", "a1", "a2", "s0", "s1", flat.alias("s2"), *own)
-    rows = pair_rows
-    if paints >= 3:
-        triples = pairs.join(three, F.col("i1") < F.col("i2"))
-        rows = rows.unionByName(triples.crossJoin(F.broadcast(_steps(spark, 3, edges))).select("i0", "i1", "i2", "a0", "a1", "a2", "s0", "s1", "s2", *own))
-    ks = mix_k_over_s([(F.col(f"a{i}") / 8.0, F.col(f"s{i}")) for i in range(3)])
-    count = sum(((F.col(f"a{i}") > 0).cast("int") for i in range(1, 3)), (F.col("a0") > 0).cast("int"))
-    return with_colors(rows.select("i0", "i1", "i2", "a0", "a1", "a2", ks.alias("k_over_s"), *own)).select("i0", "i1", "i2", "a0", "a1", "a2", *C.LAB, count.alias("n_paints"))
+    table = Pigments.of(pigments)
+    n = len(table.pid)
+    first, second = np.triu_indices(n, 1)
+    two, three = steps(2, edges), steps(3, edges)
+    total = len(first) * len(two) + (n * (n - 1) * (n - 2) // 6 * len(three) if paints >= 3 else 0)
+
+    def made(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        pairs = np.stack([first[at], second[at], np.full(len(at), -1)], axis=1)
+        sets, amounts = [np.repeat(pairs, len(two), axis=0)], [np.tile(two, (len(at), 1))]
+        if paints >= 3:
+            more = n - 1 - second[at]
+            third = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + np.repeat(second[at] + 1, more)
+            triples = np.column_stack([np.repeat(pairs[:, :2], more, axis=0), third])
+            sets.append(np.repeat(triples, len(three), axis=0))
+            amounts.append(np.tile(three, (len(triples), 1)))
+        return np.concatenate(sets), np.concatenate(amounts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            rows = len(two) + (n - 1 - second[ids]) * (len(three) if paints >= 3 else 0)
+            for at in np.split(ids, np.flatnonzero(np.diff(np.cumsum(rows) // AT_ONCE)) + 1):
+                places, amounts = made(at)
+                lab = table.mixes(places, amounts)
+                keys = np.where(places >= 0, table.pid[places], -1)
+                columns = [keys[:, 0], keys[:, 1], keys[:, 2], *amounts.T.astype(np.int32), *lab.T, (amounts > 0).sum(axis=1).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=[c.split()[0] for c in MIXES.split(", ")])
+
+    tasks = max(1, min(len(first), -(-total // AT_ONCE)))
+    return spark.range(0, len(first), 1, tasks).mapInArrow(run, MIXES)
 
 
 def decode_packed(packed: Column) -> list[Column]:
@@ -165,13 +223,13 @@ def decode_packed(packed: Column) -> list[Column]:
     return [a0, a1, 8 - a0 - a1]
 
 
-NEAREST = "image_id bigint, k int, i0 int, i1 int, i2 int, a0 int, a1 int, a2 int, n_paints int, ok_l double, ok_a double, ok_b double, delta_e double"
 ORDER = ["n_paints", "i0", "i1", "i2", "a0", "a1", "a2"]
 
-#: Mixes compared at once, 33 bytes each in a worker: all of 78 pigments in eighths fit.
-MAX_MIXES = 3_500_000
-#: Mixes that one broadcast may hold, about 400 MB: those of 118 pigments.
-MAX_TABLE = 12_000_000
+
+def chroma_weight(color: np.ndarray) -> np.ndarray:
+    """Weight of the squared chroma difference to a target, for colours along the last axis."""
+    chroma = np.hypot(color[..., 1], color[..., 2])
+    return np.where(chroma < 0.01, 0.08, np.minimum(32.0, 6 + 180 * chroma))
 
 
 @dataclass
@@ -183,6 +241,10 @@ class Mix:
     delta_e: float
 
 
+#: Mixes that a table in memory may hold, about 60 MB.
+MAX_TABLE = 2_000_000
+
+
 @dataclass
 class Mixes:
     """A mix table as arrays, in the order that settles ties."""
@@ -192,7 +254,7 @@ class Mixes:
 
     @classmethod
     def of(cls, mixes: DataFrame, most: int, bound: int = MAX_TABLE) -> Mixes:
-        """The mixes of at most ``most`` paints; their number hangs on that of the pigments alone and is checked."""
+        """The mixes of at most ``most`` paints, for tables that fit in memory; their number hangs on that of the pigments alone and is checked."""
         allowed = mixes.where(F.col("n_paints") <= most).select(*[F.col(c).cast("short") for c in ORDER], *C.LAB)
         rows = allowed.limit(bound + 1).toArrow()
         if rows.num_rows > bound:
@@ -210,8 +272,7 @@ class Mixes:
 
     def search(self, color: np.ndarray) -> tuple[int, float]:
         """Place of the nearest mix, the first on ties, and its weighted distance."""
-        chroma = math.hypot(color[1], color[2])
-        w = 0.08 if chroma < 0.01 else min(32.0, 6 + 180 * chroma)
+        w = chroma_weight(color)
         diff = self.lab - color
         d = np.round(diff[:, 0] ** 2 + w * (diff[:, 1] ** 2 + diff[:, 2] ** 2), 9)
         best = int(d.argmin())
@@ -222,6 +283,9 @@ class Mixes:
         amounts = {int(self.keys[f"i{i}"][at]): int(self.keys[f"a{i}"][at]) / 8.0 for i in range(3) if self.keys[f"a{i}"][at] > 0}
         return Mix(pruned_parts(amounts, least), tuple(self.lab[at].tolist()), distance)
 
+    def nearest_all(self, colors: np.ndarray) -> list[Mix]:
+        return [self.nearest(c) for c in colors]
+
 
 def pruned_parts(parts: dict[int, float], least: float) -> dict[int, float]:
     """``pruned`` of one recipe."""
@@ -236,43 +300,6 @@ def only(mixes: DataFrame, pigments: list[int]) -> DataFrame:
     return mixes.where(reduce(lambda x, i: x & ((F.col(f"a{i}") == 0) | F.col(f"i{i}").isin(pigments)), range(3), F.lit(True)))
 
 
-def nearest_mix(targets: DataFrame, mixes: DataFrame, most: int = 3, at_once: int = MAX_MIXES) -> DataFrame:
-    """For each target (image_id, k, ok_l, ok_a, ok_b) the mix of at most ``most`` paints with the smallest weighted distance.
-
-    The mix table depends on the number of pigments only. It is broadcast as arrays, at most ``at_once`` mixes at a time, and each batch
-    of targets is compared in numpy, so targets never multiply; of several parts the best is taken. Ties: fewer paints, then lower
-    indexes and amounts.
-    """
-    n = mixes.where(F.col("n_paints") <= most).count()
-    parts = -(-n // at_once) or 1
-    part = F.pmod(F.xxhash64("i0", "i1", "i2", "a0", "a1", "a2"), F.lit(parts))
-    found = [_nearest_of(targets, Mixes.of(mixes.where(part == i), most)) for i in range(parts)]
-    if parts == 1:
-        return found[0]
-    every = reduce(DataFrame.unionByName, found)
-    best = every.groupBy("image_id", "k").agg(F.min(F.struct("delta_e", *ORDER, *C.LAB)).alias("m"))
-    return best.select("image_id", "k", "m.*").select(*[c.split()[0] for c in NEAREST.split(", ")])
-
-
-def _nearest_of(targets: DataFrame, mixes: Mixes) -> DataFrame:
-    shared = targets.sparkSession.sparkContext.broadcast(mixes)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        for batch in batches:
-            found = [m.search(c) for c in batch[list(C.LAB)].to_numpy()] if len(m.lab) else []
-            at = np.array([f[0] for f in found], np.int64)
-            out = batch[["image_id", "k"]].iloc[: len(at)].reset_index(drop=True)
-            for c in ("i0", "i1", "i2", "a0", "a1", "a2", "n_paints"):
-                out[c] = m.keys[c][at].astype(np.int32)
-            for i, c in enumerate(C.LAB):
-                out[c] = m.lab[at, i]
-            out["delta_e"] = [f[1] for f in found]
-            yield out
-
-    return targets.select("image_id", "k", *C.LAB).mapInPandas(run, NEAREST)
-
-
 def components(mixes: DataFrame) -> DataFrame:
     """Mixes with ``components``: pigments with their concentrations, zero amounts left out."""
     parts = F.array(*[F.struct(F.col(f"i{i}").alias("pid"), (F.col(f"a{i}") / 8.0).alias("concentration")) for i in range(3)])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chromaframe.functions import color as C
-from chromaframe.operators import cluster, depth, isolate, lines, palette, presets, regions, spectral, tiles, tonal
+from chromaframe.operators import cluster, depth, isolate, lines, mixsearch, palette, presets, regions, spectral, tiles, tonal
 from chromaframe.plans import oracle as O
 from chromaframe.sources.raster import HEIGHT, WIDTH, downscale, encode, read_pixels
 from chromaframe.streaming import taps
@@ -225,6 +225,10 @@ def _paints(s):
     return spectral.pigment_fixture(s)
 
 
+def _nation_paints(s, d):
+    return spectral.pigments_of_nations(s.read.parquet(f"{d}/nation.parquet"))
+
+
 @query("km_masstones", f"WITH {O.PIGMENTS}, {O.spectral_lab('pig', 'pid')} SELECT pid, {O.r6('ok_l')} AS ok_l, {O.r6('ok_a')} AS ok_a, {O.r6('ok_b')} AS ok_b FROM tones")
 def _(s, d):
     return r6(spectral.masstones(_pigments(s, d)).drop("id"), *LAB)
@@ -238,44 +242,63 @@ _TRIPLES = """triples AS (SELECT p.pid AS i0, q.pid AS i1, o.pid AS i2, CAST(a A
 _MIX_KEYS = "i0, i1, a0, a1"
 
 
-@query("mix_pairs", f"WITH {O.FIXTURE}, {_PAIRS}, {O.spectral_lab('pairs', _MIX_KEYS)} SELECT {_MIX_KEYS}, {O.r6('ok_l')} AS ok_l, {O.r6('ok_a')} AS ok_a, {O.r6('ok_b')} AS ok_b FROM tones")
+@query("mix_pairs", f"WITH {O.NATIONS}, {_PAIRS}, {O.spectral_lab('pairs', _MIX_KEYS)} SELECT {_MIX_KEYS}, {O.r6('ok_l')} AS ok_l, {O.r6('ok_a')} AS ok_a, {O.r6('ok_b')} AS ok_b FROM tones")
 def _(s, d):
-    return r6(spectral.mix_table(_paints(s), 2).select("i0", "i1", "a0", "a1", *LAB), *LAB)
+    return r6(spectral.mix_table(_nation_paints(s, d), 2).select("i0", "i1", "a0", "a1", *LAB), *LAB)
 
 
-@query("mix_triples", f"""WITH {O.FIXTURE}, {_TRIPLES}, {O.spectral_lab('triples', 'i0, i1, i2, a0, a1, a2')} SELECT i0, i1, i2, count(*) AS n, {O.r6('avg(ok_l * (1 + a0 + 10 * a1))')} AS ok_l,
+@query("mix_triples", f"""WITH {O.NATIONS}, {_TRIPLES}, {O.spectral_lab('triples', 'i0, i1, i2, a0, a1, a2')} SELECT i0, i1, i2, count(*) AS n, {O.r6('avg(ok_l * (1 + a0 + 10 * a1))')} AS ok_l,
   {O.r6('avg(ok_a * (1 + a0 + 10 * a1))')} AS ok_a, {O.r6('avg(ok_b * (1 + a0 + 10 * a1))')} AS ok_b FROM tones GROUP BY ALL""")
 def _(s, d):
     """The colours of all steps of a triple, weighted by their amounts so that each has its own share."""
-    mixes = spectral.mix_table(_paints(s), 3).where("i2 >= 0")
+    mixes = spectral.mix_table(_nation_paints(s, d), 3).where("i2 >= 0")
     share = 1 + F.col("a0") + 10 * F.col("a1")
     return r6(mixes.groupBy("i0", "i1", "i2").agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col(c) * share).alias(c) for c in LAB]), *LAB)
 
 
-def _nearest_sql(where: str = "true") -> str:
-    return f"""WITH {O.FIXTURE}, {_PAIRS}, {O.spectral_lab('pairs', _MIX_KEYS)}, {O.LAB.replace('WITH ', '').replace('cone AS', 'pcone AS').replace('FROM cone)', 'FROM pcone)').replace('linear AS', 'plinear AS').replace('FROM linear)', 'FROM plinear)')}, {O.LABELLED}, {O.CLUSTERS},
-cand AS (SELECT c.image_id, c.k, t.i0, t.i1, t.a0, t.a1, CAST(t.a0 > 0 AS INT) + CAST(t.a1 > 0 AS INT) AS n_paints,
+_ANY = """mixes AS (SELECT i0, i1, -1 AS i2, a0, a1, 0 AS a2, ks FROM pairs UNION ALL SELECT i0, i1, i2, a0, a1, a2, ks FROM triples)"""
+_ALL_KEYS = "i0, i1, i2, a0, a1, a2"
+
+
+def _nearest_sql(pigments: str, where: str = "true") -> str:
+    """By comparing every cluster with every mix."""
+    clusters = O.LAB.replace("cone AS", "pcone AS").replace("FROM cone)", "FROM pcone)").replace("linear AS", "plinear AS").replace("FROM linear)", "FROM plinear)")
+    return f"""WITH {pigments}, {_PAIRS}, {_TRIPLES}, {_ANY}, {O.spectral_lab('mixes', _ALL_KEYS)}, {clusters}, {O.LABELLED}, {O.CLUSTERS},
+cand AS (SELECT c.image_id, c.k, {_ALL_KEYS}, CAST((a0 > 0)::INT + (a1 > 0)::INT + (a2 > 0)::INT AS INT) AS n_paints,
   round(pow(t.ok_l - c.ok_l, 2) + (CASE WHEN sqrt(c.ok_a * c.ok_a + c.ok_b * c.ok_b) < 0.01 THEN 0.08 ELSE least(32.0, 6 + 180 * sqrt(c.ok_a * c.ok_a + c.ok_b * c.ok_b)) END)
-    * (pow(t.ok_a - c.ok_a, 2) + pow(t.ok_b - c.ok_b, 2)), 9) AS dd FROM clusters c, tones t WHERE {where})
-SELECT image_id, k, i0, i1, a0, a1, n_paints, {O.r6('sqrt(dd)')} AS delta_e FROM cand
-QUALIFY row_number() OVER (PARTITION BY image_id, k ORDER BY dd, n_paints, i0, i1, a0, a1) = 1"""
+    * (pow(t.ok_a - c.ok_a, 2) + pow(t.ok_b - c.ok_b, 2)), 9) AS dd FROM clusters c, tones t WHERE {where}),
+best AS (SELECT image_id, k, min(dd) AS dd FROM cand GROUP BY ALL)
+SELECT image_id, k, {_ALL_KEYS}, n_paints, {O.r6('sqrt(dd)')} AS delta_e FROM cand JOIN best USING (image_id, k, dd)
+QUALIFY row_number() OVER (PARTITION BY image_id, k ORDER BY n_paints, {_ALL_KEYS}) = 1"""
 
 
-@query("nearest_mix", _nearest_sql())
+@query("nearest_mix", _nearest_sql(O.NATIONS))
 def _(s, d):
-    return _nearest(s, d, spectral.mix_table(_paints(s), 2))
+    return _nearest(s, d, spectral.mix_table(_nation_paints(s, d), 3))
 
 
-@query("nearest_mix_enabled", _nearest_sql("(a0 = 0 OR i0 % 3 <> 2) AND (a1 = 0 OR i1 % 3 <> 2)"))
+@query("nearest_mix_enabled", _nearest_sql(O.NATIONS, "(a0 = 0 OR i0 % 3 <> 2) AND (a1 = 0 OR i1 % 3 <> 2) AND (a2 = 0 OR i2 % 3 <> 2)"))
 def _(s, d):
-    pigments = _paints(s)
+    pigments = _nation_paints(s, d)
     enabled = [r.pid for r in pigments.where("essential").select("pid").collect()]  # pigments are tens
-    return _nearest(s, d, spectral.only(spectral.mix_table(pigments, 2), enabled))
+    return _nearest(s, d, spectral.only(spectral.mix_table(pigments, 3), enabled))
+
+
+@query("nearest_mix_inner", _nearest_sql(O.NATIONS, "a0 > 0 AND a1 > 0 AND (a2 > 0 OR i2 < 0)"))
+def _(s, d):
+    """Among mixes in which every paint has an amount."""
+    return _nearest(s, d, spectral.mix_table(_nation_paints(s, d), 3, edges=False))
+
+
+@query("nearest_mix_full")
+def _(s, d):
+    """Among all mixes of two or three of 78 pigments, 3.5 million."""
+    return _nearest(s, d, spectral.mix_table(_paints(s), 3))
 
 
 def _nearest(s, d, mixes):
-    found = spectral.nearest_mix(cluster.cluster_table(_labelled(s, d), 4), mixes, 2)
-    return r6(found.select("image_id", "k", "i0", "i1", "a0", "a1", "n_paints", "delta_e"), "delta_e")
+    found = mixsearch.nearest_mix(cluster.cluster_table(_labelled(s, d), 4), mixes, 3)
+    return r6(found.select("image_id", "k", "i0", "i1", "i2", "a0", "a1", "a2", "n_paints", "delta_e"), "delta_e")
 
 
 @query("recipe_prune", """WITH parts AS (SELECT o_orderkey, o_orderkey % 9 / 8.0 AS c0, (8 - o_orderkey % 9) / 8.0 AS c1 FROM orders),
@@ -390,9 +413,8 @@ def _(s, d):
 @query("improved_tubes")
 def _(s, d):
     scores = palette.tube_scores(_order_recipes(s, d))
-    tubes = palette.select_tubes(scores, spectral.masstones(_paints(s)), 2)
-    few = _paints(s).join(scores.select("pid").distinct(), "pid", "left_semi")  # the pigments that any recipe holds
-    return palette.improved_tubes(tubes, _salient(s, d), few, spectral.mix_table(few, 2), 2)
+    tubes = palette.select_tubes(scores, spectral.masstones(_paints(s)), 4)
+    return palette.improved_tubes(tubes, _salient(s, d), _paints(s), 3)
 
 
 @query("unselected_tubes", """WITH t AS (SELECT DISTINCT o_orderkey // 1500 AS image_id, CAST(o_orderkey % 5 AS INT) AS pid FROM orders WHERE o_custkey % 7 = 0)
@@ -442,7 +464,7 @@ def _(s, d):
 
 @query("palette_full")
 def palette_full(s, d):
-    final, _ = palette.build(_lab(s, d), spectral.mix_table(spectral.pigment_fixture(s), 2), shades=6, paints=2)  # the fixture has the reference's number of pigments
+    final, _ = palette.build(_lab(s, d), spectral.mix_table(_paints(s), 3), shades=6, paints=3)
     return r6(final.select("image_id", "recipe_id", *LAB, "cnt"), *LAB)
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chromaframe.functions import color as C
-from chromaframe.operators import cluster, depth, isolate, lines, palette, presets, regions, spectral, tiles, tonal
+from chromaframe.operators import cluster, depth, isolate, lines, mixsearch, palette, presets, regions, spectral, tiles, tonal
 from chromaframe.sources import mixfile, raster
 
 PIXEL = raster.PIXEL
@@ -71,9 +71,71 @@ CLEAN = [
 ]
 
 
+def label_rows(images):
+    return [(i, j, int(v)) for i, labels in images.items() for j, v in enumerate(labels)]
+
+
+LABELS = "image_id long, idx int, label int"
+
+
 @pytest.mark.parametrize("labels, width, factor, expected", CLEAN)
-def test_region_cleanup(labels, width, factor, expected):
-    assert regions.clean(np.array(labels), width, factor).tolist() == expected
+def test_region_cleanup(spark, labels, width, factor, expected):
+    assert column(regions.cleaned(spark.createDataFrame(label_rows({1: labels}), LABELS), factor, width, 4), "label") == expected
+    assert brute_clean(labels, width, factor) == expected
+
+
+def brute_clean(labels, width, factor):
+    """Pixel by pixel, in place."""
+    labels, n = list(labels), len(labels)
+    seen = [False] * n
+    for start in range(n):
+        region = [] if seen[start] else [start]
+        seen[start], around = True, {}
+        for i in region:
+            for j, there in ((i - 1, i % width > 0), (i + 1, i % width < width - 1), (i - width, True), (i + width, True)):
+                if not there or not 0 <= j < n:
+                    continue
+                if labels[j] != labels[start]:
+                    around[labels[j]] = around.get(labels[j], 0) + 1
+                elif not seen[j]:
+                    seen[j] = True
+                    region.append(j)
+        if around and len(region) < int(n * factor):
+            most = max(around, key=around.get)
+            for i in region:
+                labels[i] = most
+    return labels
+
+
+def brute_regions(labels, width):
+    found = list(range(len(labels)))
+    for start in range(len(labels)):
+        todo = [start] if found[start] == start else []
+        while todo:
+            i = todo.pop()
+            for j in [i - 1] * (i % width > 0) + [i + 1] * (i % width < width - 1) + [i - width, i + width]:
+                if 0 <= j < len(labels) and labels[j] == labels[i] and found[j] > start:
+                    found[j] = start
+                    todo.append(j)
+    return found
+
+
+@pytest.mark.parametrize("tile", [3, 8, 256])
+def test_regions_over_tiles_by_brute_force(spark, tile):
+    rng = np.random.default_rng(tile)
+    width, images = 21, {}
+    for i, (n, k) in enumerate([(21 * 17, 2), (21 * 9 + 4, 3), (5, 2), (21 * 30, 2), (21 * 12, 7)]):
+        images[i] = rng.integers(0, k, n)
+    y, x = np.divmod(np.arange(21 * 25), 21)
+    images[9] = np.where((y % 2 == 0) | (x == np.where(y % 4 == 1, 20, 0)), 0, 1)  # one snake through all tiles
+    images[10] = np.repeat(rng.integers(0, 4, (9, 7)), 3, axis=1).repeat(3, axis=0).ravel()
+    df = spark.createDataFrame(label_rows(images), LABELS).repartition(5)
+    got = {(r.image_id, r.idx): r.region for r in regions.regions(df, width, tile).collect()}
+    assert got == {(i, j): v for i, labels in images.items() for j, v in enumerate(brute_regions(labels.tolist(), width))}
+    for factor in (0.02, 0.3):
+        got = {(r.image_id, r.idx): r.label for r in regions.cleaned(df, factor, width, tile).collect()}
+        assert got == {(i, j): v for i, labels in images.items() for j, v in enumerate(brute_clean(labels.tolist(), width, factor))}
+    assert regions.cleaned(df.where("false"), 0.1, width, tile).isEmpty() and regions.regions(df.where("false"), width, tile).isEmpty()
 
 
 def test_regions_are_numbered_by_smallest_index(spark):
@@ -257,17 +319,75 @@ def test_palette_of_one_image_by_brute_force(spark, gray):
         assert sum(got["cnt"]) == sum(c[2] for c in clusters) and (got["clipped"] == (got["delta_e"] > 0.05)).all()
 
 
-def test_nearest_mix_in_parts(spark):
+def plain_nearest(color, mixes):
+    w = 0.08 if math.hypot(*color[1:]) < 0.01 else min(32.0, 6 + 180 * math.hypot(*color[1:]))
+
+    def rank(m):
+        return round((m.ok_l - color[0]) ** 2 + w * ((m.ok_a - color[1]) ** 2 + (m.ok_b - color[2]) ** 2), 9), m.n_paints, m.i0, m.i1, m.i2, m.a0, m.a1, m.a2
+
+    return min(mixes, key=rank), math.sqrt(min(map(rank, mixes))[0])
+
+
+@pytest.mark.parametrize(("leaf", "targets_at_once"), [(2048, 20_000), (16, 7), (1, 20_000)])
+def test_nearest_mix_by_brute_force(spark, monkeypatch, leaf, targets_at_once):
+    monkeypatch.setattr(mixsearch, "TARGETS", targets_at_once)
+    rng = np.random.default_rng(3)
+    pigments = spark.createDataFrame([(3 * i + 1, [float(v) for v in rng.uniform(0.02, 6, 31)]) for i in range(5)] + [(40, [9.0] * 31), (41, [9.0] * 31)], "pid int, k_over_s array<double>")
+    mixes = spectral.mix_table(pigments, 3)
+    plain = mixes.collect()
+    colors = [tuple(map(float, c)) for c in rng.uniform((-0.2, -0.3, -0.3), (1.2, 0.3, 0.3), (30, 3))] + [(0.4, 0.0, 0.0), (0.4, 0.005, 0.0), (9.0, 2.0, -3.0)] + [(m.ok_l, m.ok_a, m.ok_b) for m in plain[:400:40]]
+    rows = [(1, i, *c) for i, c in enumerate(colors)] + [(2, i, *c) for i, c in enumerate(colors[:3])] + [(2, 9, None, 0.0, 0.0), (None, 1, *colors[0])]
+    targets = spark.createDataFrame(rows, "image_id long, k int, ok_l double, ok_a double, ok_b double")
+    for most in (1, 2, 3):
+        some = [m for m in plain if m.n_paints <= most]
+        want = {}
+        for image_id, k, *color in rows:
+            if None not in color:
+                m, delta = plain_nearest(color, some)
+                want[image_id, k] = (m.i0, m.i1, m.i2, m.a0, m.a1, m.a2, m.n_paints, delta)
+        got = mixsearch.nearest_mix(targets, mixes, most, leaf).collect()
+        assert {(r.image_id, r.k): (*r[2:9], r.delta_e) for r in got} == want and len(got) == len(rows) - 1
+
+
+def test_nearest_mix_without_mixes(spark):
     pigments = spark.createDataFrame([(i, [0.1 + i * j % 7 for j in range(31)]) for i in range(5)], "pid int, k_over_s array<double>")
     mixes = spectral.mix_table(pigments, 3)
-    targets = spark.createDataFrame([(1, i, 0.1 * i, 0.02 * i - 0.1, 0.05) for i in range(10)], "image_id long, k int, ok_l double, ok_a double, ok_b double")
-    whole, parts = (sorted(map(tuple, spectral.nearest_mix(targets, mixes, at_once=n).collect())) for n in (10**6, 100))
-    assert whole == parts and len(whole) == 10
+    targets = spark.createDataFrame([(1, 0, 0.1, 0.0, 0.05)], "image_id long, k int, ok_l double, ok_a double, ok_b double")
     some = spectral.only(mixes, [0, 2, 4])
     assert some.where("a0 > 0 and i0 % 2 = 1 or a1 > 0 and i1 % 2 = 1 or a2 > 0 and i2 % 2 = 1").isEmpty() and not some.isEmpty()
-    assert spectral.nearest_mix(targets, mixes.where("false")).isEmpty()
+    assert mixsearch.nearest_mix(targets, mixes.where("false")).isEmpty()
+    assert mixsearch.nearest_mix(targets.where("false"), mixes).isEmpty()
+    assert spectral.mix_table(pigments.where("pid < 1")).isEmpty() and spectral.mix_table(pigments.where("false")).isEmpty()
     with pytest.raises(ValueError):
         spectral.Mixes.of(mixes, 3, bound=100)
+    with pytest.raises(ValueError):
+        spectral.mix_table(spark.range(256).selectExpr("cast(id as int) AS pid", "array_repeat(1d, 31) AS k_over_s"))
+
+
+def test_mixes_without_edges(spark):
+    pigments = spark.createDataFrame([(i, [0.1 + i * j % 7 for j in range(31)]) for i in range(4)], "pid int, k_over_s array<double>")
+    inner = spectral.mix_table(pigments, 3, edges=False)
+    want = spectral.mix_table(pigments, 3).where("a0 > 0 and a1 > 0 and (i2 < 0 or a2 > 0)")
+    key = ["i0", "i1", "i2", "a0", "a1", "a2"]
+    assert inner.count() == want.count() == 6 * 7 + 4 * 21 == inner.join(want, key).count()
+
+
+def test_palettes_by_index_as_by_table(spark):
+    """Groups that ask the index in rounds come out as those that hold the whole table."""
+    rng = np.random.default_rng(8)
+    pigments = spark.createDataFrame([(i, [float(v) for v in rng.uniform(0.02, 6, 31)]) for i in range(5)], "pid int, k_over_s array<double>")
+    mixes = spectral.mix_table(pigments, 3)
+    table = spectral.Mixes.of(mixes, 3)
+    rows = [(i, k, *map(float, rng.uniform((0.2, -0.12, -0.12), (0.95, 0.12, 0.12))), int(rng.integers(1, 400)), float(rng.uniform(0.05, 2))) for i in range(5) for k in range(3 + 2 * i)]
+    clusters = spark.createDataFrame(rows, "image_id long, k int, ok_l double, ok_a double, ok_b double, cnt long, salience double")
+    got = palette.palettes(clusters, mixsearch.index(mixes, 3, leaf=64), 4)
+    want = pd.concat([palette.image_palette(g, table, 4) for _, g in clusters.toPandas().groupby("image_id")])
+
+    def plain(frame):
+        return sorted((r.image_id, r.recipe_id, [(c["pid"], c["concentration"]) for c in r.components], r.ok_l, r.cnt, bool(r.clipped), sorted(r.labels)) for r in frame.itertuples())
+
+    assert plain(got.toPandas()) == plain(want)
+    assert palette.palettes(clusters.where("false"), mixsearch.index(mixes, 3), 4).isEmpty()
 
 
 def test_projection_of_labels(spark):
@@ -463,10 +583,36 @@ def test_tubes(spark):
     picked = [r.pid for r in palette.select_tubes(scores, tones, 3).orderBy("place").collect()]
     assert picked == [0, 2, 1]  # 2 has nearly the score of 1 and lies farther off
     pigments = spark.createDataFrame([(i, [v] * 31) for i, v in enumerate([0.01, 0.5, 3.0, 20.0])], "pid int, k_over_s array<double>")
-    table = spectral.Mixes.of(spectral.mix_table(pigments, 2), 2)
     dark = np.array([[0.25, 0.0, 0.0]])
-    better = palette.improve_tubes([0, 1], [0, 1, 2, 3], table, dark, np.ones(1))
-    assert palette.tube_error(table.only(better), dark, np.ones(1)) < palette.tube_error(table.only([0, 1]), dark, np.ones(1)) and 3 in better
+    minima = palette.SubsetMinima(spectral.Pigments.of(pigments), dark, 2)
+    better = palette.improve_tubes([0, 1], [0, 1, 2, 3], minima, np.ones(1))
+    assert palette.tube_error(minima, better, np.ones(1)) < palette.tube_error(minima, [0, 1], np.ones(1)) and 3 in better
+
+
+@pytest.mark.parametrize("paints", [1, 2, 3])
+def test_tube_swaps_by_brute_force(spark, paints):
+    """Every trial of every swap compares every colour with every mix of its tubes."""
+    rng = np.random.default_rng(paints)
+    pigments = spark.createDataFrame([(5 * i, [float(v) for v in rng.uniform(0.02, 6, 31)]) for i in range(7)], "pid int, k_over_s array<double>")
+    mixes = [m for m in spectral.mix_table(pigments, 3).collect() if m.n_paints <= paints]
+    colors, weights = rng.uniform((0.2, -0.2, -0.2), (0.9, 0.2, 0.2), (6, 3)), rng.uniform(0.5, 30, 6)
+
+    def error(tubes):
+        some = [m for m in mixes if all(p in tubes for p, a in ((m.i0, m.a0), (m.i1, m.a1), (m.i2, m.a2)) if a)]
+        return sum(w * plain_nearest(c, some)[1] for c, w in zip(colors, weights))
+
+    for size in (1, 2, 4):
+        tubes = [5 * i for i in range(size)]
+        minima = palette.SubsetMinima(spectral.Pigments.of(pigments), colors, paints)
+        got = palette.improve_tubes(tubes, list(range(0, 35, 5)), minima, weights)
+        for _ in range(max(3, 2 * size)):
+            trials = [[*tubes[:i], p, *tubes[i + 1 :]] for p in range(0, 35, 5) if p not in tubes for i in range(size)]
+            if error(best := min(trials, key=error)) >= error(tubes) - 0.001:
+                break
+            tubes = best
+        assert got == tubes and math.isclose(palette.tube_error(minima, got, weights), error(got))
+    whole = [5 * i for i in range(7)]
+    assert palette.improve_tubes(whole, whole, minima, weights) == whole
 
 
 def test_depth_effects_by_mode(spark):
