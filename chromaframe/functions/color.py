@@ -25,6 +25,11 @@ def rounded(c: Column, places: int = 6) -> Column:
     return F.round(c, places) + num(0)
 
 
+def nanos(c: Column) -> Column:
+    """A value in whole 10^-9, for comparisons that noise in the last digits must not decide; far cheaper than rounding a double."""
+    return F.floor(c * 1e9 + 0.5)
+
+
 def clamp(c: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
     return F.greatest(num(lo), F.least(num(hi), c))
 

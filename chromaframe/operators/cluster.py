@@ -182,7 +182,7 @@ def centers(candidates: DataFrame, k: int, spread: float = 0.0, l_weight: float
 def assign_fixed(lab: DataFrame, palette: list[tuple[float, float, float]], l_weight: float = 0.3, inside: bool = True) -> DataFrame:
     """Label of the nearest colour of a fixed palette, ties to the first; a projection of literals."""
     p = [F.col(c) for c in LAB]
-    options = [F.struct(F.round(C.distance2(p, [C.num(v) for v in q], l_weight, inside), 9).alias("d"), F.lit(i).alias("i")) for i, q in enumerate(palette)]
+    options = [F.struct(C.nanos(C.distance2(p, [C.num(v) for v in q], l_weight, inside)).alias("d"), F.lit(i).alias("i")) for i, q in enumerate(palette)]
     best = F.least(*options) if len(options) > 1 else options[0]
     return lab.withColumn("label", best["i"])
 
@@ -203,7 +203,7 @@ def assign(lab: DataFrame, centers: DataFrame, l_weight: float = 0.3, inside: bo
     p = [F.col(c) for c in LAB]
 
     def option(c: Column) -> Column:
-        return F.struct(F.round(C.distance2(p, [c[n] for n in LAB], l_weight, inside), 9).alias("d"), c["k"].alias("k"))
+        return F.struct(C.nanos(C.distance2(p, [c[n] for n in LAB], l_weight, inside)).alias("d"), c["k"].alias("k"))
 
     if 2 <= size.most <= UNROLLED:
         each = [F.get("centers", F.lit(i)) for i in range(size.most)]

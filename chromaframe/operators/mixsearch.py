@@ -6,23 +6,26 @@ to the shared folder and keeps the bounds of the boxes, at most some 10^5 rows w
 bound: every target is compared with the mixes of the box that bounds it best, and then with those of all boxes whose bound lies
 under what it found. Targets and mixes meet by box in groups of at most ``TARGETS`` targets; neither side is ever whole in one place.
 
+Where all mixes of a pigment table are at most ``HELD``, ``Held`` does the same within a task: it makes the mixes from the pigments, which are all
+that is sent, and keeps its boxes as arrays. Results are the same.
+
 Ties in distance, to nine places, go to fewer paints, then lower indexes and amounts. Equal colours are searched once. Colours with a null have no mix;
 without mixes there is no result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chromaframe.functions import color as C
-from chromaframe.operators.spectral import ORDER, chroma_weight
+from chromaframe.operators.spectral import ORDER, Mix, Pigments, chroma_weight, pruned_parts
 from chromaframe.sources.store import stored
 
 LAB = list(C.LAB)
@@ -36,6 +39,9 @@ TARGETS = 20_000
 #: Distances are rounded to nine places, so a bound may lie this much above what it bounds.
 SLACK = 2e-9
 
+#: Mixes that a task may hold, 32 bytes each with their keys: those of 83 pigments in threes. Mixes of a box there.
+HELD, HELD_LEAF = 4_200_000, 256
+
 FOUND = "ok_l double, ok_a double, ok_b double, dd double, n_paints int, i0 int, i1 int, i2 int, a0 int, a1 int, a2 int, mix_l double, mix_a double, mix_b double"
 NEAREST = "image_id bigint, k int, i0 int, i1 int, i2 int, a0 int, a1 int, a2 int, n_paints int, ok_l double, ok_a double, ok_b double, delta_e double"
 
@@ -49,14 +55,12 @@ class Index:
     low: np.ndarray
     high: np.ndarray
 
-    def bounds(self, colors: np.ndarray) -> np.ndarray:
-        """Least weighted squared distance of each colour to each box."""
-        out = np.zeros((len(colors), len(self.box)))
+    def bounds(self, colors: np.ndarray, boxes: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Least weighted squared distance of each colour to each box, or to some."""
         w = chroma_weight(colors)[:, None]
-        for i in range(3):
-            gap = np.maximum(0.0, np.maximum(self.low[None, :, i] - colors[:, i, None], colors[:, i, None] - self.high[None, :, i]))
-            out += gap * gap if i == 0 else w * gap * gap
-        return out
+        low, high = self.low[boxes], self.high[boxes]
+        gap = [np.maximum(0.0, np.maximum(low[None, :, i] - colors[:, i, None], colors[:, i, None] - high[None, :, i])) for i in range(3)]
+        return gap[0] * gap[0] + w * (gap[1] * gap[1] + gap[2] * gap[2])
 
 
 def cell() -> Column:
@@ -70,6 +74,68 @@ def cell() -> Column:
     return out
 
 
+class Held:
+    """All mixes of at most ``most`` paints of a pigment table in boxes along the Z-curve, as arrays."""
+
+    def __init__(self, pigments: Pigments, most: int = 3, leaf: int = HELD_LEAF):
+        labs, keys = [], []
+        for places, amounts in pigments.sets(most):
+            paints = (amounts > 0).sum(axis=1)
+            fit = paints <= most
+            places, amounts, paints = places[fit], amounts[fit], paints[fit]
+            labs.append(pigments.mixes(places, amounts))
+            key = paints.astype(np.int64)  # with paints and amounts behind it, in the order that settles ties
+            for column, bits in ((places, 9), (amounts, 4)):
+                for i in range(3):
+                    key = key << bits | (column[:, i] + (bits == 9))
+            keys.append(key)
+        self.pid = pigments.pid
+        self.lab = np.concatenate([*labs, np.zeros((0, 3))])
+        self.key = np.concatenate([*keys, np.zeros(0, np.int64)])
+        at = ((self.lab - LOW) / np.subtract(HIGH, LOW) * (1 << GRID_BITS)).clip(0, (1 << GRID_BITS) - 1).astype(np.int32)
+        curve = np.zeros(len(at), np.int32)
+        for bit in range(GRID_BITS):
+            for axis in range(3):
+                curve |= (at[:, axis] >> bit & 1) << 3 * bit + axis
+        order = np.argsort(curve, kind="stable")
+        self.lab, self.key = self.lab[order], self.key[order]
+        self.start = np.arange(0, len(order), leaf)
+        self.end = np.append(self.start[1:], len(order))
+        ends = [f.reduceat(self.lab, self.start, axis=0) if len(order) else self.lab for f in (np.minimum, np.maximum)]
+        self.boxes = Index(None, self.start, *ends)
+        self.wide = math.isqrt(len(self.start)) + 1  # boxes of a group, which bounds them all
+        first = np.arange(0, len(self.start), self.wide)
+        self.groups = Index(None, first, *[f.reduceat(e, first, axis=0) if len(first) else e for f, e in zip((np.minimum, np.maximum), ends, strict=True)])
+
+    def nearest(self, color: np.ndarray, least: float = 0.02) -> Mix:
+        color, w = np.asarray(color, float), chroma_weight(np.asarray(color, float))
+        best = (np.inf, 0, 0)
+        groups = self.groups.bounds(color[None])[0]
+        for group in np.argsort(groups).tolist():
+            if groups[group] > best[0] + SLACK:
+                break
+            boxes = np.arange(group * self.wide, min((group + 1) * self.wide, len(self.start)))
+            bound = self.boxes.bounds(color[None], boxes)[0]
+            for box in np.argsort(bound).tolist():
+                if bound[box] > best[0] + SLACK:
+                    break
+                at = slice(self.start[boxes[box]], self.end[boxes[box]])
+                diff = self.lab[at] - color
+                diff *= diff
+                d = np.round(diff[:, 0] + w * (diff[:, 1] + diff[:, 2]), 9)
+                least_d = float(d.min())
+                if least_d <= best[0]:
+                    same = np.flatnonzero(d == least_d) + at.start
+                    one = int(same[self.key[same].argmin()])
+                    best = min(best, (least_d, int(self.key[one]), one))
+        d, key, one = best
+        amounts = {int(self.pid[(key >> 12 + 9 * (2 - i) & 511) - 1]): (key >> 4 * (2 - i) & 15) / 8.0 for i in range(3) if key >> 4 * (2 - i) & 15}
+        return Mix(pruned_parts(amounts, least), tuple(self.lab[one].tolist()), math.sqrt(d))
+
+    def nearest_all(self, colors: np.ndarray) -> list[Mix]:
+        return [self.nearest(c) for c in colors]
+
+
 def index(mixes: DataFrame, most: int = 3, leaf: int = LEAF) -> Index:
     """The index of all mixes of at most ``most`` paints."""
     spark = mixes.sparkSession

@@ -414,7 +414,7 @@ class Answers:
         return [self.known[k] for k in keys]
 
 
-def image_palette(clusters: pd.DataFrame, table: spectral.Mixes | Answers, shades: int) -> pd.DataFrame:
+def image_palette(clusters: pd.DataFrame, table: spectral.Mixes | mixsearch.Held | Answers, shades: int) -> pd.DataFrame:
     """Recipes of one image from its clusters (k, lab, cnt, salience): decompose, snap twice, merge, prune, refit, deduplicate."""
     clusters = clusters.sort_values("k")
     lab, cnt = clusters[LAB].to_numpy(float), clusters["cnt"].to_numpy(float)
@@ -462,13 +462,38 @@ def _known(found: pd.DataFrame) -> dict[tuple[float, float, float], spectral.Mix
     return out
 
 
+ASK = ", ".join(f"ask_{c[-1]} double" for c in LAB)
+
+
+def _palettes_held(clusters: DataFrame, pigments: spectral.Pigments, paints: int, shades: int) -> DataFrame:
+    """``palettes`` by tasks that each hold all mixes of the pigments."""
+    shared = clusters.sparkSession.sparkContext.broadcast(_Once(pigments, paints))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        return image_palette(group, shared.value.held(), shades)
+
+    return stored(clusters.groupBy("image_id").applyInPandas(run, PALETTE), "palettes")
+
+
+class _Once:
+    """Pigments whose mixes a worker makes when it first needs them."""
+
+    def __init__(self, pigments: spectral.Pigments, paints: int):
+        self.pigments, self.paints, self.made = pigments, paints, None
+
+    def held(self) -> mixsearch.Held:
+        if self.made is None:
+            self.made = mixsearch.Held(self.pigments, self.paints)
+        return self.made
+
+
 def palettes(clusters: DataFrame, mixes: mixsearch.Index, shades: int) -> DataFrame:
     """``image_palette`` of every image, with ``labels``.
 
     An image's clusters, at most 48 rows, are one group, and never see the mix table: a group runs as far as it has answers and gives back the colours
     that it asks for next; these are searched in the index, all images at once, and the groups run again. Images are done after ``ASKS`` rounds.
     """
-    asks = [f"ask_{c[-1]}" for c in LAB]
+    asks = [c.split()[0] for c in ASK.split(", ")]
 
     def run(group: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         try:
@@ -477,27 +502,32 @@ def palettes(clusters: DataFrame, mixes: mixsearch.Index, shades: int) -> DataFr
             out = pd.DataFrame(e.colors, columns=asks).assign(image_id=int(group["image_id"].iloc[0]))
             return out.reindex(columns=[*_PALETTE_NAMES, *asks]).astype({c: object for c in _PALETTE_NAMES[1:]}).replace({np.nan: None})
 
-    groups = clusters.select("image_id", "k", *LAB, "cnt", "salience").groupBy("image_id")
-    answers = clusters.sparkSession.createDataFrame([], mixsearch.NEAREST + ", " + ", ".join(f"{c} double" for c in asks))
+    groups = clusters.groupBy("image_id")
+    answers = clusters.sparkSession.createDataFrame([], f"{mixsearch.NEAREST}, {ASK}")
     for _ in range(ASKS + 1):
-        rows = stored(groups.cogroup(answers.groupBy("image_id")).applyInPandas(run, PALETTE + ", " + ", ".join(f"{c} double" for c in asks)), "palettes")
-        asked = rows.where(F.col(asks[0]).isNotNull()).select("image_id", *[F.col(a).alias(c) for a, c in zip(asks, LAB, strict=True)])
-        asked = asked.withColumn("k", F.row_number().over(Window.partitionBy("image_id").orderBy(*LAB)).cast("int"))
+        rows = stored(groups.cogroup(answers.groupBy("image_id")).applyInPandas(run, f"{PALETTE}, {ASK}"), "palettes")
+        asked = rows.where(F.col(asks[0]).isNotNull()).select("image_id", *asks)
         if asked.isEmpty():
             return rows.drop(*asks)
-        own = asked.select("image_id", "k", *[F.col(c).alias(a) for a, c in zip(asks, LAB, strict=True)])
-        answers = stored(answers.unionByName(mixsearch.nearest(asked, mixes).join(own, ["image_id", "k"])), "palette-answers")
+        asked = asked.withColumn("k", F.row_number().over(Window.partitionBy("image_id").orderBy(*asks)).cast("int"))
+        found = mixsearch.nearest(asked.select("image_id", "k", *[F.col(a).alias(c) for a, c in zip(asks, LAB, strict=True)]), mixes)
+        answers = stored(answers.unionByName(found.join(asked, ["image_id", "k"])), "palette-answers")
     raise RuntimeError("an image asked for mixes that the index does not hold")
 
 
-def build(pixels_lab: DataFrame, mixes: DataFrame, shades: int = 8, paints: int = 3, spread: float = 0.0) -> tuple[DataFrame, DataFrame]:
-    """Recipes of every image and the recipe of every pixel: over-cluster, then ``palettes``, then project its labels.
+def build(pixels_lab: DataFrame, pigments: DataFrame, shades: int = 8, paints: int = 3, spread: float = 0.0, held: int = mixsearch.HELD) -> tuple[DataFrame, DataFrame]:
+    """Recipes of every image and the recipe of every pixel: over-cluster, decompose into mixes of at most ``paints`` pigments, then project.
 
-    Pixels take part only in the histogram, one assignment, which is written once, and the last projection.
+    Pixels take part only in the histogram, one assignment, which is written once, and the last projection. Up to ``held`` mixes are held by tasks, more
+    are searched in an index that Spark holds.
     """
     k = min(2 * max(2, shades), 48)
     labelled = stored(cluster.assign(pixels_lab, cluster.centers(cluster.histogram(pixels_lab), k, spread)), "palette-pixels")
-    clusters = stored(cluster.salience(cluster.cluster_table(labelled, k)).where("cnt > 0"), "palette-clusters")
-    final = palettes(clusters, mixsearch.index(mixes, paints), shades)
+    clusters = stored(cluster.salience(cluster.cluster_table(labelled, k)).where("cnt > 0").select("image_id", "k", *LAB, "cnt", "salience"), "palette-clusters")
+    table = spectral.Pigments.of(pigments)
+    if table.count(paints) <= held:
+        final = _palettes_held(clusters, table, paints, shades)
+    else:
+        final = palettes(clusters, mixsearch.index(spectral.mix_table(pigments, paints), paints), shades)
     mapping = final.select("image_id", F.explode("labels").alias("label"), F.col("recipe_id").alias("target"))
     return final.drop("labels"), cluster.project_labels(labelled, mapping)

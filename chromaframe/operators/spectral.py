@@ -144,7 +144,7 @@ def steps(n: int, edges: bool = True) -> np.ndarray:
 
 def lab_of_spectra(ks: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Oklab of absorption-to-scattering spectra, one a row, by the weights of X, Y and Z."""
-    r = np.where(ks <= 0, 1.0, 1.0 + ks - np.sqrt(ks * ks + 2.0 * ks))
+    r = 1.0 + ks - np.sqrt(ks * (ks + 2.0)) if (ks > 0).all() else np.where(ks <= 0, 1.0, 1.0 + ks - np.sqrt(np.maximum(0.0, ks * (ks + 2.0))))
     linear = np.maximum(0.0, r @ weights.T @ np.array(FROM_XYZ).T)
     return np.cbrt(linear @ np.array(C.TO_CONE).T) @ np.array(C.TO_LAB).T
 
@@ -170,7 +170,33 @@ class Pigments:
 
     def mixes(self, places: np.ndarray, amounts: np.ndarray) -> np.ndarray:
         """Oklab of mixes by the places of their paints in the table and their amounts in eighths; both (mix, paint)."""
-        return lab_of_spectra((self.ks[places] * (amounts / 8.0)[:, :, None]).sum(axis=1), self.weights)
+        ks = np.zeros((len(places), self.ks.shape[1]))
+        for i in range(places.shape[1]):
+            ks += self.ks[places[:, i]] * (amounts[:, i] / 8.0)[:, None]
+        return lab_of_spectra(ks, self.weights)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.triu_indices(len(self.pid), 1)
+
+    def count(self, paints: int = 3, edges: bool = True) -> int:
+        """How many mixes there are."""
+        n = len(self.pid)
+        return n * (n - 1) // 2 * len(steps(2, edges)) + (n * (n - 1) * (n - 2) // 6 * len(steps(3, edges)) if paints >= 3 else 0)
+
+    def sets(self, paints: int = 3, edges: bool = True, of: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places (-1: none) and amounts of the mixes that begin with each pair, or with some by their number, about ``AT_ONCE`` at a time."""
+        first, second = self.pairs()
+        two, three = steps(2, edges), steps(3, edges)
+        ids = np.arange(len(first)) if of is None else of
+        more = len(self.pid) - 1 - second if paints >= 3 else np.zeros(len(first), np.int64)
+        rows = np.cumsum(len(two) + more[ids] * len(three))
+        for at in np.split(ids, np.flatnonzero(np.diff(rows // AT_ONCE)) + 1):
+            both = np.stack([first[at], second[at], np.full(len(at), -1)], axis=1)
+            k = more[at]
+            third = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(second[at] + 1, k)
+            triples = np.column_stack([np.repeat(both[:, :2], k, axis=0), third])
+            sets = np.concatenate([np.repeat(both, len(two), axis=0), np.repeat(triples, len(three), axis=0)])
+            yield sets, np.concatenate([np.tile(two, (len(at), 1)), np.tile(three, (len(triples), 1))])
 
 
 MIXES = "i0 int, i1 int, i2 int, a0 int, a1 int, a2 int, ok_l double, ok_a double, ok_b double, n_paints int"
@@ -184,37 +210,18 @@ def mix_table(pigments: DataFrame, paints: int = 3, edges: bool = True) -> DataF
     The pigments, tens of rows, go to the tasks as arrays; a task takes a range of pairs and makes the pairs' mixes and those of all triples that
     begin with them, so every subset is made once and no row is joined.
     """
-    spark = pigments.sparkSession
     table = Pigments.of(pigments)
-    n = len(table.pid)
-    first, second = np.triu_indices(n, 1)
-    two, three = steps(2, edges), steps(3, edges)
-    total = len(first) * len(two) + (n * (n - 1) * (n - 2) // 6 * len(three) if paints >= 3 else 0)
-
-    def made(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        pairs = np.stack([first[at], second[at], np.full(len(at), -1)], axis=1)
-        sets, amounts = [np.repeat(pairs, len(two), axis=0)], [np.tile(two, (len(at), 1))]
-        if paints >= 3:
-            more = n - 1 - second[at]
-            third = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + np.repeat(second[at] + 1, more)
-            triples = np.column_stack([np.repeat(pairs[:, :2], more, axis=0), third])
-            sets.append(np.repeat(triples, len(three), axis=0))
-            amounts.append(np.tile(three, (len(triples), 1)))
-        return np.concatenate(sets), np.concatenate(amounts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("id").to_numpy()
-            rows = len(two) + (n - 1 - second[ids]) * (len(three) if paints >= 3 else 0)
-            for at in np.split(ids, np.flatnonzero(np.diff(np.cumsum(rows) // AT_ONCE)) + 1):
-                places, amounts = made(at)
-                lab = table.mixes(places, amounts)
+            for places, amounts in table.sets(paints, edges, batch.column("id").to_numpy()):
                 keys = np.where(places >= 0, table.pid[places], -1)
-                columns = [keys[:, 0], keys[:, 1], keys[:, 2], *amounts.T.astype(np.int32), *lab.T, (amounts > 0).sum(axis=1).astype(np.int32)]
+                columns = [*keys.T, *amounts.T.astype(np.int32), *table.mixes(places, amounts).T, (amounts > 0).sum(axis=1).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=[c.split()[0] for c in MIXES.split(", ")])
 
-    tasks = max(1, min(len(first), -(-total // AT_ONCE)))
-    return spark.range(0, len(first), 1, tasks).mapInArrow(run, MIXES)
+    n = len(table.pairs()[0])
+    tasks = max(1, min(n, -(-table.count(paints, edges) // AT_ONCE)))
+    return pigments.sparkSession.range(0, n, 1, tasks).mapInArrow(run, MIXES)
 
 
 def decode_packed(packed: Column) -> list[Column]:

@@ -464,7 +464,7 @@ def _(s, d):
 
 @query("palette_full")
 def palette_full(s, d):
-    final, _ = palette.build(_lab(s, d), spectral.mix_table(_paints(s), 3), shades=6, paints=3)
+    final, _ = palette.build(_lab(s, d), _paints(s), shades=6, paints=3)
     return r6(final.select("image_id", "recipe_id", *LAB, "cnt"), *LAB)
 
 

@@ -349,6 +349,20 @@ def test_nearest_mix_by_brute_force(spark, monkeypatch, leaf, targets_at_once):
         assert {(r.image_id, r.k): (*r[2:9], r.delta_e) for r in got} == want and len(got) == len(rows) - 1
 
 
+@pytest.mark.parametrize("leaf", [1, 64, 4096])
+def test_held_mixes_by_brute_force(spark, leaf):
+    rng = np.random.default_rng(4)
+    pigments = spark.createDataFrame([(3 * i + 1, [float(v) for v in rng.uniform(0.02, 6, 31)]) for i in range(5)] + [(40, [9.0] * 31), (41, [9.0] * 31)], "pid int, k_over_s array<double>")
+    plain = spectral.mix_table(pigments, 3).collect()
+    assert spectral.Pigments.of(pigments).count() == len(plain)
+    colors = [*rng.uniform((-0.2, -0.3, -0.3), (1.2, 0.3, 0.3), (20, 3)), *[(m.ok_l, m.ok_a, m.ok_b) for m in plain[:400:40]]]
+    for most in (1, 2, 3):
+        held = mixsearch.Held(spectral.Pigments.of(pigments), most, leaf)
+        for color, got in zip(colors, held.nearest_all(colors)):
+            m, delta = plain_nearest(color, [m for m in plain if m.n_paints <= most])
+            assert got.parts == {p: a / 8 for p, a in ((m.i0, m.a0), (m.i1, m.a1), (m.i2, m.a2)) if a} and got.delta_e == delta and got.lab == (m.ok_l, m.ok_a, m.ok_b)
+
+
 def test_nearest_mix_without_mixes(spark):
     pigments = spark.createDataFrame([(i, [0.1 + i * j % 7 for j in range(31)]) for i in range(5)], "pid int, k_over_s array<double>")
     mixes = spectral.mix_table(pigments, 3)
@@ -387,6 +401,7 @@ def test_palettes_by_index_as_by_table(spark):
         return sorted((r.image_id, r.recipe_id, [(c["pid"], c["concentration"]) for c in r.components], r.ok_l, r.cnt, bool(r.clipped), sorted(r.labels)) for r in frame.itertuples())
 
     assert plain(got.toPandas()) == plain(want)
+    assert plain(palette._palettes_held(clusters, spectral.Pigments.of(pigments), 3, 4).toPandas()) == plain(want)
     assert palette.palettes(clusters.where("false"), mixsearch.index(mixes, 3), 4).isEmpty()
 
 
