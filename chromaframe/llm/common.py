@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -115,6 +115,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
             yield batch.slice(start)
 
 
+def whole_rows(docs: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``make`` over batches of all columns of ``docs``, which it gives back changed or fewer; columns may have any names."""
+    schema = StructType([StructField("all", docs.schema, False)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in make(pa.RecordBatch.from_struct_array(b.column(0)) for b in batches):
+            yield pa.RecordBatch.from_arrays([batch.to_struct_array()], schema=arrow(schema))
+
+    return docs.select(F.struct(*columns(docs)).alias("all")).mapInArrow(run, schema).select(*columns(docs, "all"))
+
+
 def arrow(schema: StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 

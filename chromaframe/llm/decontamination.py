@@ -17,11 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chromaframe.llm.common import ALNUM_WORDS, arrow, ascii_lower, slices, text_bytes, written
+from chromaframe.llm.common import ALNUM_WORDS, arrow, ascii_lower, columns, slices, text_bytes, whole_rows, written
 
 #: A window takes at most about 300 bytes on the driver and in each worker, so the set stays under about 60 MB.
 MAX_BROADCAST_WINDOWS = 200_000
@@ -137,40 +137,31 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 10, max_windows: i
 
 
 def _contamination_by_join(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """The same report for item sets of any size: windows of the texts meet those of the items in a shuffled join."""
+    """The same report for item sets of any size: windows of the texts meet those of the items in a shuffled join.
+
+    A window leaves its text as a row of its own, and spans are merged by a window over the hits of a text, which spills; no task holds all windows or
+    all hits of a long text.
+    """
     lengths = [r[0] for r in windows.select(F.size("window")).distinct().collect()]  # at most n numbers
     rows = docs.select(F.col("doc_id").cast("long"), words_column().alias("w")).withColumn("row", F.monotonically_increasing_id())
-
-    def windows_of(k: int) -> F.Column:
-        starts = F.when(F.size("w") >= k, F.sequence(F.lit(1), F.size("w") - (k - 1))).otherwise(F.array().cast("array<int>"))
-        at = lambda i: F.struct((i - 1).cast("long").alias("start"), (i - 1 + k).cast("long").alias("end"), F.slice("w", i, F.lit(k)).alias("window"))
-        return F.transform(starts, at)
-
-    cut = [windows_of(k) for k in lengths]
     rows = written(rows, "decontam-words")  # row numbers must not change between the two reads
+    none = [F.expr(f"cast(array() as {REPORT[c].dataType.simpleString()})").alias(c) for c in ("spans", "item_ids")]
+    if not lengths:
+        return rows.select("doc_id", F.size("w").cast("long").alias("n_words"), *none)
     keyed = windows.groupBy(F.sha2(F.array_join("window", " "), 256).alias("key")).agg(F.collect_set("item_id").alias("ids"))
-    cand = rows.select("row", F.explode(F.concat(*cut) if cut else F.array()).alias("c")) if cut else None
-    if cand is None:
-        return rows.select("doc_id", F.size("w").cast("long").alias("n_words"), F.lit(None).cast(REPORT["spans"].dataType).alias("spans"), F.lit(None).cast("array<long>").alias("item_ids"))
-    hits = (
-        cand.select("row", "c.start", "c.end", F.sha2(F.array_join("c.window", " "), 256).alias("key"))
-        .join(keyed, "key")
-        .groupBy("row")
-        .agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("item_ids"))
-    )
-    merged = F.aggregate(
-        "all",
-        F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (x["start"] <= F.element_at(acc, -1)["end"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"))))),
-    )
-    return rows.join(hits, "row", "left").select(
-        "doc_id",
-        F.size("w").cast("long").alias("n_words"),
-        F.coalesce(merged, F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")).alias("spans"),
-        F.coalesce("item_ids", F.expr("cast(array() as array<bigint>)")).alias("item_ids"),
-    )
+    each = rows.select("row", "w", F.explode(F.array(*map(F.lit, sorted(lengths)))).alias("k")).where(F.size("w") >= F.col("k"))
+    starts = each.select("row", "w", "k", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("k") + 1)).alias("i"))
+    cand = starts.select("row", (F.col("i") - 1).cast("long").alias("start"), (F.col("i") - 1 + F.col("k")).cast("long").alias("end"), F.sha2(F.array_join(F.slice("w", F.col("i"), F.col("k")), " "), 256).alias("key"))
+    hits = written(cand.join(keyed, "key").select("row", "start", "end", "ids"), "decontam-hits")
+    along = Window.partitionBy("row").orderBy("start", "end")
+    reach = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))  # how far the hits before this one go
+    apart = hits.select("row", "start", "end").distinct().withColumn("new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1)))
+    island = F.sum("new").over(along).alias("island")
+    spans = apart.select("row", "start", "end", island).groupBy("row", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    found = hits.select("row", F.explode("ids").alias("id")).distinct().groupBy("row").agg(F.array_sort(F.collect_list("id")).alias("item_ids"))
+    joined = rows.join(spans, "row", "left").join(found, "row", "left")
+    return joined.select("doc_id", F.size("w").cast("long").alias("n_words"), *[F.coalesce(c, e).alias(c) for c, e in zip(("spans", "item_ids"), none, strict=True)])
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, remove: str = "documents", max_windows: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
@@ -187,7 +178,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, remove: str =
         matcher = _broadcast_matcher(docs, windows)
     finally:
         windows.unpersist()
-    schema = docs.schema
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = matcher.value.find
@@ -199,23 +189,26 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, remove: str =
                 continue
             yield _with_cuts(batch, texts, spans)
 
-    return docs.mapInArrow(clean, schema)
+    return whole_rows(docs, clean)
 
 
 def _decontaminate_by_join(docs: DataFrame, windows: DataFrame, remove: str) -> DataFrame:
-    """The same rows for item sets of any size; rows are told apart by number, as ids may be null or repeated."""
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "decontam-rows")  # numbers must not change between the two reads
-    report = _contamination_by_join(rows.select(F.col("_row").alias("doc_id"), "text"), windows)
-    hit = report.where(F.size("spans") > 0).select(F.col("doc_id").alias("_row"), F.col("spans").alias("_spans"))
+    """The same rows for item sets of any size; rows are told apart by number, as ids may be null or repeated, and carried whole, whatever their columns."""
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*columns(docs)).alias("all")), "decontam-rows")  # numbers must not change between the two reads
+    report = _contamination_by_join(rows.select(F.col("row").alias("doc_id"), F.col("all.text").alias("text")), windows)
+    hit = report.where(F.size("spans") > 0).select(F.col("doc_id").alias("row"), "spans")
     if remove == "documents":
-        return rows.join(hit, "_row", "left_anti").select(*docs.columns)
+        return rows.join(hit, "row", "left_anti").select(*columns(docs, "all"))
+    schema = T.StructType([rows.schema["all"]])
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            spans = [[(x["start"], x["end"]) for x in s or []] for s in batch.column("_spans").to_pylist()]
-            yield _with_cuts(batch.drop_columns(["_spans"]), batch.column("text").to_pylist(), spans)
+        for batch in batches:
+            spans = [[(x["start"], x["end"]) for x in s or []] for s in batch.column("spans").to_pylist()]
+            whole = pa.RecordBatch.from_struct_array(batch.column("all"))
+            cut = _with_cuts(whole, whole.column("text").to_pylist(), spans)
+            yield pa.RecordBatch.from_arrays([cut.to_struct_array()], schema=arrow(schema))
 
-    return rows.join(hit, "_row", "left").select(*docs.columns, "_spans").mapInArrow(clean, docs.schema)
+    return rows.join(hit, "row", "left").select("all", "spans").mapInArrow(clean, schema).select(*columns(docs, "all"))
 
 
 def _with_cuts(batch: pa.RecordBatch, texts: list, spans: list) -> pa.RecordBatch:

@@ -12,14 +12,15 @@ large partitions adaptive execution splits.
 
 Edge cases: a null text counts as empty, and equals an empty one. Of rows with equal text the largest doc_id stays, null ids being
 smallest; of rows that tie in that, the largest locator. With a ``state`` of earlier runs, groups count their rows too, and a row stays
-only where no earlier one of its text had a larger doc_id. An empty table gives an empty result. Other columns are not read; ``deduplicate``
-keeps them all.
+only where no earlier one of its text had a larger doc_id. An empty table gives an empty result. Other columns are not read, whatever their
+names and types, those of locators included; ``deduplicate`` keeps them all.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from chromaframe.llm.common import new_path, written
+from chromaframe.llm.common import columns, new_path, written
 
 #: State on disk, and a bound for what all state partitions of an executor hold in memory.
 STATE_STORE = {
@@ -42,18 +43,37 @@ def _place() -> list[Column]:
     return [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
 
 
+def _whole(docs: DataFrame) -> Column:
+    return F.struct(*columns(docs)).alias("row")
+
+
 def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
+def _reads_files(docs: DataFrame) -> bool:
+    """Whether every row of ``docs`` is a row of a file of its own: nothing but columns chosen and rows left out since it was read."""
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().apply(0)
+    return node.nodeName() == "LogicalRelation" and not any(c.lower() == "_metadata" for c in docs.columns)
+
+
+#: Name of tables that hold rows whole, in a column ``row``.
+OWN = "dedup-docs"
+
+
 def located(docs: DataFrame) -> DataFrame:
-    """``docs`` read from files, with ``_file`` and ``_row``; other frames are first written to the shared folder."""
-    if {"_file", "_row"} <= set(docs.columns):
-        return docs
-    try:
-        return docs.select("*", *_place())
-    except AnalysisException:
-        return written(docs, "dedup-docs").select("*", *_place())
+    """The rows of ``docs``, whole in ``row``, with the file and place that they were read from; what was not read from files is first written.
+
+    Columns of ``docs`` are never taken for locators, whatever their names.
+    """
+    if _reads_files(docs):
+        try:
+            return docs.select(_whole(docs), *_place())
+        except AnalysisException:  # a table that isn't files
+            pass
+    return written(docs.select(_whole(docs)), OWN).select("row", *_place())
 
 
 def _stream_state(spark: SparkSession, rows: DataFrame, path: str, state: str) -> DataFrame:
@@ -97,9 +117,13 @@ def _order() -> Column:
 
 
 def decisions(docs: DataFrame, state: str | None = None, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """Every row with its group: doc_id, _file, _row, digest, keep_id, group_size, kept."""
-    spark = docs.sparkSession
-    full = located(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "_file", "_row")
+    """Every row of ``docs`` with its group: doc_id, _file, _row, digest, keep_id, group_size, kept."""
+    return _decisions(located(docs), state, digest)
+
+
+def _decisions(placed: DataFrame, state: str | None, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    spark = placed.sparkSession
+    full = placed.select(F.col("row.doc_id").cast("long").alias("doc_id"), F.coalesce("row.text", F.lit("")).alias("text"), "_file", "_row")
     full = full.withColumn("digest", digest(F.col("text")))
     slim = full.drop("text")
     at = (state or new_path(spark, "dedup-state")).rstrip("/")
@@ -133,7 +157,10 @@ def _kept_before(hits: DataFrame, stays: DataFrame) -> DataFrame | None:
     files = [unquote(r[0]) for r in lost.select("keep._file").distinct().collect()]  # names of files, not rows
     if not files:
         return None
-    texts = hits.sparkSession.read.parquet(*files).select(F.coalesce("text", F.lit("")).alias("text"), *_place())
+    own = [f for f in files if f"/{OWN}-" in f]
+    read = [(F.col("text"), [f for f in files if f not in own]), (F.col("row.text"), own)]
+    some = [hits.sparkSession.read.parquet(*there).select(F.coalesce(text, F.lit("")).alias("text"), *_place()) for text, there in read if there]
+    texts = reduce(DataFrame.unionByName, some)
     found = lost.join(texts, (F.col("keep._file") == F.col("_file")) & (F.col("keep._row") == F.col("_row")))
     return written(found.select("digest", F.col("keep.doc_id").alias("doc_id"), "text", "_file", "_row", "keep"), "dedup-earlier-texts")
 
@@ -151,8 +178,8 @@ def _decided(rows: DataFrame, kept: DataFrame, *keys: str) -> DataFrame:
 def deduplicate(docs: DataFrame, state: str | None = None) -> DataFrame:
     """``docs`` with one row of each group of equal texts; all columns stay."""
     placed = located(docs)
-    dropped = decisions(placed, state).where("not kept").select("_file", "_row")
-    return placed.join(dropped, ["_file", "_row"], "left_anti").select(*docs.columns)
+    dropped = _decisions(placed, state).where("not kept").select("_file", "_row")
+    return placed.join(dropped, ["_file", "_row"], "left_anti").select(*columns(docs, "row"))
 
 
 def query(docs: DataFrame) -> DataFrame:

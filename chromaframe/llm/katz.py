@@ -42,6 +42,9 @@ ORDER = 3
 K = 5
 BLOCK_TOKENS = 3 << 19
 BUCKET_GRAMS = 1 << 20
+#: Partitions of any step at most, and buckets of the table of blocks: Spark takes no more than 100,000 of these. Beyond, a partition holds several
+#: blocks or buckets, which stay groups of the same size.
+MOST_PARTITIONS = 50_000
 #: Bytes of a hash.
 KEY = 12
 HELD_OUT_MOD, HELD_OUT = 5, 1
@@ -325,7 +328,7 @@ def _added(asked: DataFrame, buckets: int) -> DataFrame:
             start += n
         return pa.Table.from_pylist(found, schema=schema)
 
-    return asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(add, TOTALS)
+    return asked.repartition(min(buckets, MOST_PARTITIONS), "bucket").groupBy("bucket").applyInArrow(add, TOTALS)
 
 
 def discounts(tally: list[int]) -> list[float]:
@@ -439,7 +442,7 @@ def _weighed(masses: DataFrame, buckets: int) -> DataFrame:
             start += n
         return pa.Table.from_pylist(found, schema=schema)
 
-    return masses.repartition(buckets, "bucket").groupBy("order", "bucket").applyInArrow(add, WEIGHTS)
+    return masses.repartition(min(buckets, MOST_PARTITIONS), "bucket").groupBy("order", "bucket").applyInArrow(add, WEIGHTS)
 
 
 SCORES = T.StructType(
@@ -515,11 +518,19 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     buckets = max(shuffles, -(-n // BUCKET_GRAMS))
     # the blocks meet the replies of every order: dealt out once, and read by bucket from then on
     name = f"katz_blocks_{uuid.uuid4().hex}"
-    dealt = max(shuffles, -(-n // BLOCK_TOKENS))
+    dealt = min(MOST_PARTITIONS, max(shuffles, -(-n // BLOCK_TOKENS)))
     with brief_shuffles(spark):
         first.repartition(dealt, "block").write.format("parquet").option("compression", "zstd").option("path", new_path(spark, "katz-blocks")).bucketBy(dealt, "block").saveAsTable(name)
-    blocks = spark.table(name)
     remove(spark, first)
+    try:
+        return _scores_of(spark.table(name), order, buckets)
+    finally:
+        remove(spark, spark.table(name))
+        spark.sql(f"DROP TABLE {name}")
+
+
+def _scores_of(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
+    spark = blocks.sparkSession
 
     def asked(make, *columns: str) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -560,8 +571,6 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
     both = every.unionByName(weights.withColumn("k", F.lit(0)), allowMissingColumns=True)
     out = written(_with_replies(blocks, both, SCORES, scores), "katz-scores")
-    remove(spark, blocks)
-    spark.sql(f"DROP TABLE {name}")
     for table in (*totals.values(), weights):
         remove(spark, table)
     return out

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chromaframe.llm.bpe import _Aged
-from chromaframe.llm.common import SPACE_WORDS, arrow, record_batch, remove, slices, text_bytes, written
+from chromaframe.llm.common import SPACE_WORDS, arrow, columns, record_batch, remove, slices, text_bytes, written
 from chromaframe.llm.components import components
 
 WORDS = 5
@@ -373,7 +373,7 @@ def deduplicate(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) ->
     """``docs`` with one document of each component, the smallest doc_id; rows without a doc_id stay, all columns stay."""
     found, _ = near_duplicates(docs, width, percent)
     drop = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "ngram-dropped")
-    return docs.join(_few(drop), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(_few(drop), "doc_id", "left_anti").select(*columns(docs))
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chromaframe.llm.common import SPACE_WORDS, arrow, crc_remainder, record_batch, slices, text_bytes, written
+from chromaframe.llm.common import SPACE_WORDS, arrow, crc_remainder, record_batch, slices, text_bytes, whole_rows, written
 
 MAX_TRAIN = 40_000
 THRESHOLD = 0.3
@@ -134,7 +134,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
     return Trees(np.array(features), np.array(thresholds), np.array(values), base)
 
 
-STATISTICS = T.StructType([T.StructField("y", T.DoubleType()), T.StructField("x", T.ArrayType(T.FloatType()))])
+STATISTICS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("y", T.DoubleType()), T.StructField("x", T.ArrayType(T.FloatType()))])
 
 
 def _statistics(texts: list[bytes]) -> np.ndarray:
@@ -161,11 +161,12 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Tre
         for batch in slices(batches, "text"):
             x = _statistics(batch.column("text").to_pylist()).ravel()
             lists = pa.ListArray.from_arrays(np.arange(0, len(x) + 1, N_FEATURES, dtype=np.int32), pa.array(x))
-            yield record_batch(schema, [batch.column("y"), lists.cast(schema.field(1).type)])
+            yield record_batch(schema, [batch.column("doc_id"), batch.column("y"), lists.cast(schema.field(2).type)])
 
     chosen = F.broadcast(training_labels(docs, labels, max_train))  # max_train rows of two numbers
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).join(chosen, "doc_id").select("y", "text")
-    rows = texts.mapInArrow(run, STATISTICS).toArrow()  # about 12 MB at 40,000 rows
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).join(chosen, "doc_id").select("doc_id", "y", "text")
+    # of rows that repeat a doc_id, one: a row a label at most, about 12 MB at 40,000
+    rows = texts.mapInArrow(run, STATISTICS).groupBy("doc_id", "y").agg(F.min("x").alias("x")).toArrow()
     x = np.array(rows.column("x").to_pylist(), np.float64).reshape(-1, N_FEATURES)
     y = np.array(rows.column("y").to_pylist(), np.float64)
     order = np.lexsort((*x.T, y))  # the same trees in whatever order the rows came
@@ -197,7 +198,7 @@ def filter_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
             x = _statistics([(t or "").encode() for t in batch.column("text").to_pylist()]).astype(np.float64)
             yield batch.filter(pa.array(trees.value.score(x) >= threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return whole_rows(docs, keep)
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:

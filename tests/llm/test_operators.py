@@ -117,6 +117,31 @@ def test_decontaminate_by_join_as_by_broadcast(spark):
     assert not joined.where("text like '%leak%'").count()
 
 
+ODD = "doc_id long, text string, _row long, _file string, _spans string, _metadata string, row int, spans int, `all` string, `a.b` int, n_chars int"
+
+
+@pytest.mark.parametrize("max_windows", [1000, 1])
+@pytest.mark.parametrize("remove", ["documents", "spans"])
+def test_decontaminate_carries_columns_of_any_name(spark, max_windows, remove):
+    leak = " ".join(f"leak{i}" for i in range(12))
+    odd = (88, "f", "s", "m", 1, 2, "w", 3)
+    frame = spark.createDataFrame([(1, f"a {leak} b", *odd, 0), (2, "clean", *odd, 5), (None, None, *odd, None)], ODD).repartition(2)
+    out = decontamination.decontaminate(frame, spark.createDataFrame([(9, leak)], "item_id long, text string"), remove=remove, max_windows=max_windows)
+    assert out.schema == frame.schema
+    want = [(2, "clean", *odd, 5), (None, None, *odd, None)] + [(1, "a  b", *odd, 4)] * (remove == "spans")
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_join_merges_spans_of_long_texts(spark):
+    """A text that is one passage after the other, with items that overlap, by join as by broadcast."""
+    passages = [" ".join(f"p{i}w{j}" for j in range(15)) for i in range(4)]
+    text = " ".join([*passages * 40, "apart", *passages[:1], *(p[4:] for p in passages)])
+    frame = spark.createDataFrame([(1, text), (2, "none")], "doc_id long, text string")
+    items = spark.createDataFrame([(i, p) for i, p in enumerate(passages)] + [(9, "apart p0w0"), (10, None)], "item_id long, text string")
+    direct, joined = (sorted(map(repr, decontamination.contamination(frame, items, max_windows=m).collect())) for m in (1000, 1))
+    assert direct == joined
+
+
 def test_decontaminate_removes(docs, items):
     bad = {r[0] for r in rows() if brute_contamination(r[1])[-1]}
     kept = decontamination.decontaminate(docs, items)
@@ -251,6 +276,28 @@ def test_exact_dedup(docs, empty):
     assert exact_dedup.query(empty).isEmpty()
 
 
+@pytest.mark.parametrize("file", [False, True])
+def test_exact_dedup_carries_columns_of_any_name(spark, tmp_path, file):
+    """Columns named like locators are the user's, with equal values, different ones, or of other types."""
+    rows = [(2, "x y z", 1, "f"), (3, "x y z", 2, "f"), (4, "q", 1, "f"), (5, "q", 1, "f"), (6, "", 1, "g"), (7, None, 1, None)]
+    for schema in ("doc_id long, text string, _row int, _file string", "doc_id long, text string, _metadata int, _row string", "doc_id long, text string, row int, keep string", "doc_id long, text string, `a.b` int, digest string"):
+        frame = spark.createDataFrame(rows, schema)
+        if file:
+            path = str(tmp_path / str(hash(schema)))
+            frame.repartition(2).write.parquet(path)
+            frame = spark.read.parquet(path)
+        out = exact_dedup.deduplicate(frame)
+        assert out.columns == frame.columns and sorted(map(tuple, out.collect())) == [(3, "x y z", 2, "f"), (5, "q", 1, "f"), (7, None, 1, None)]
+    every = exact_dedup.deduplicate(frame.select(F.explode(F.array("doc_id", F.col("doc_id") * 10)).alias("doc_id"), "text"))
+    assert sorted(r.doc_id for r in every.collect()) == [30, 50, 70]
+
+
+def test_exact_dedup_goes_on_over_frames(spark, tmp_path):
+    runs = [[(1, "one"), (9, "same")], [(4, "one"), (6, "same"), (5, "new")]]
+    kept = [sorted(map(tuple, exact_dedup.deduplicate(spark.createDataFrame(r, "doc_id long, text string"), str(tmp_path / "state")).collect())) for r in runs]
+    assert kept == [[(1, "one"), (9, "same")], [(4, "one"), (5, "new")]]
+
+
 def test_exact_dedup_with_colliding_digests(docs):
     weak = lambda text: exact_dedup.sha256(F.length(text).cast("string"))
     groups = brute_exact()
@@ -597,6 +644,22 @@ def test_training_labels(spark, docs):
     assert len(some) == 7 and not Counter(some) - every
 
 
+def test_training_takes_one_row_of_a_label(spark):
+    many = spark.createDataFrame([(1, f"text {i % 3} of one") for i in range(300)] + [(2, "another"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    once = many.where("text is null or text like '%0%' or doc_id = 2").dropDuplicates()
+    few = [quality.score(once, quality.train(m, labels)).orderBy("doc_id").collect() for m in (many, once)]
+    assert few[0] == few[1]
+
+
+def test_katz_beyond_the_most_partitions(docs, monkeypatch):
+    want = katz.score(docs).collect()
+    monkeypatch.setattr(katz, "MOST_PARTITIONS", 2)
+    monkeypatch.setattr(katz, "BUCKET_GRAMS", 1000)
+    same_scores(katz.score(docs).collect(), want)
+    assert not [t for t in docs.sparkSession.catalog.listTables() if t.name.startswith("katz_blocks")]
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     found = quality.query(docs, labels).join(labels, "doc_id").where("held_out").collect()

@@ -52,6 +52,17 @@ def test_stages_on_awkward_rows(spark):
     assert sum(p.start == 0 for p in pieces) == clean.count()
 
 
+def test_stages_carry_columns_of_any_name(spark):
+    odd = "doc_id bigint, text string, _file int, _row string, _spans bigint, _metadata double, row int, `all` int, spans int, `a.b` string, component_id int"
+    words = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, t, 1, "r", 2, 0.5, 3, 4, 5, "x", 6) for i, t in ((1, words), (2, words), (3, f"{words} and more"), (4, None), (5, "apart"))], odd).repartition(2)
+    stages = dict(corpus_pipeline.STAGES)
+    for name, left in (("quality_classifier", None), ("exact_dedup", [2, 3, 4, 5]), ("near_dedup", [1, 4, 5]), ("decontamination", [1, 2, 3, 4, 5])):
+        out = written(stages[name](spark, docs, DIR), "test")
+        assert out.schema == docs.schema and out.exceptAll(docs).isEmpty() and (left is None or sorted(r.doc_id for r in out.collect()) == left), name
+    assert {r.doc_id for r in stages["packing"](spark, docs, DIR).collect()} == {1, 2, 3, 4, 5}
+
+
 def test_stages_on_an_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     for name, stage in corpus_pipeline.STAGES:
