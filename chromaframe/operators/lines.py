@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chromaframe.functions import color as C
+from chromaframe.operators import graph
+from chromaframe.sources.store import stored
 
 
 def grid_segments(images: DataFrame, divisions: int, diagonals: bool = False) -> DataFrame:
@@ -139,51 +141,111 @@ def catmull_rom(points: DataFrame, steps: int = 6) -> DataFrame:
     return each.select("chain", "i", "step", C.rounded(value("px")).alias("px"), C.rounded(value("py")).alias("py"))
 
 
+CHAINS = "image_id bigint, level int, first int, i int, px double, py double, closed boolean"
+
+
+def _walked(group: pd.DataFrame) -> pd.DataFrame:
+    """Chains of one connected piece with points where more than two segments meet: of several ways on, the first unused segment."""
+    group = group.sort_values("s")
+    numbers = group["s"].tolist()
+    ends = [((a, b), (c, d)) for a, b, c, d in group[["ax", "ay", "bx", "by"]].to_numpy().tolist()]
+    at: dict[tuple, deque[int]] = {}
+    for s, pair in enumerate(ends):
+        for p in pair:
+            at.setdefault(p, deque()).append(s)
+    used = [False] * len(ends)
+
+    def onward(tip: tuple) -> tuple | None:
+        """The other end of the first unused segment at ``tip``; used ones are forgotten on the way."""
+        waiting = at[tip]
+        while waiting:
+            s = waiting.popleft()
+            if not used[s]:
+                used[s] = True
+                return ends[s][1] if ends[s][0] == tip else ends[s][0]
+        return None
+
+    rows = []
+    for s, (a, b) in enumerate(ends):
+        if used[s]:
+            continue
+        used[s] = True
+        chain = deque((a, b))
+        while (p := onward(chain[-1])) is not None:
+            chain.append(p)
+        while (p := onward(chain[0])) is not None:
+            chain.appendleft(p)
+        closed = chain[0] == chain[-1]
+        if closed:
+            chain.pop()
+        points = [p for p, before in zip(chain, [None, *chain], strict=False) if p != before]
+        rows += [(numbers[s], i, x / QUANTUM, y / QUANTUM, closed) for i, (x, y) in enumerate(points)]
+    out = pd.DataFrame(rows, columns=["first", "i", "px", "py", "closed"])
+    out.insert(0, "level", group["level"].iloc[0])
+    out.insert(0, "image_id", group["image_id"].iloc[0])
+    return out
+
+
+def _ranked(segs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Chains of pieces in which no more than two segments meet at a point, by list ranking.
+
+    A segment is two darts, 2s from its first end to its second and 2s + 1 back. The dart before a dart is the one that arrives where it leaves, along the
+    other segment there. Before the two darts of a piece's first segment there is none, which cuts closed pieces open. Every round doubles the way to
+    the dart that each knows: after as many rounds as the longest chain's length has bits, all know the first dart of their way and how far it is.
+    """
+    both = nodes.where(F.size("at") == 2).select(*LEVEL, F.explode(F.array(F.struct(F.col("at")[0].alias("x"), F.col("at")[1].alias("y")), F.struct(F.col("at")[1].alias("x"), F.col("at")[0].alias("y")))).alias("p"))
+    before = both.select(*LEVEL, (2 * F.col("p.x.s") + F.col("p.x.side")).alias("dart"), (2 * F.col("p.y.s") + 1 - F.col("p.y.side")).alias("before"))
+    way = F.explode(F.array(F.struct(F.lit(0).alias("dir"), F.col("bx").alias("x"), F.col("by").alias("y")), F.struct(F.lit(1).alias("dir"), F.col("ax").alias("x"), F.col("ay").alias("y"))))
+    darts = segs.select(*LEVEL, "s", "piece", way.alias("w")).select(*LEVEL, "piece", (2 * F.col("s") + F.col("w.dir")).alias("dart"), "w.x", "w.y").join(before, [*LEVEL, "dart"], "left")
+    starts = F.col("before").isNull() | (F.floor(F.col("dart") / 2) == F.col("piece"))
+    darts = stored(darts.select(*LEVEL, "piece", "dart", "x", "y", F.when(starts, F.col("dart")).otherwise(F.col("before")).alias("root"), (~starts).cast("int").alias("far"), F.col("before").isNull().alias("tip")), "darts")
+    known = darts.select(*LEVEL, "dart", "root", "far")
+    while True:
+        step = known.toDF(*LEVEL, "root", "next", "more")
+        known = stored(known.join(step, [*LEVEL, "root"]).select(*LEVEL, "dart", F.col("next").alias("root"), (F.col("far") + F.col("more")).alias("far"), (F.col("more") > 0).alias("open")), "darts-known")
+        if known.where("open").isEmpty():
+            break
+        known = known.drop("open")
+    found = darts.drop("root", "far").join(known, [*LEVEL, "dart"])
+    piece = Window.partitionBy(*LEVEL, "piece")
+    closed = ~F.max("tip").over(piece)
+    found = found.withColumn("closed", closed).withColumn("n", F.count(F.lit(1)).over(piece) / 2)
+    on, back = F.col("root") == 2 * F.col("piece"), F.col("root") == 2 * F.col("piece") + 1
+    # the way on leads to places 1, 2 ... and, if closed, at last to the first place again; the way back to 0, -1 ...
+    placed = found.withColumn("place", F.when(on, F.col("far") + 1).when(back, -F.col("far"))).where(F.when(F.col("closed"), (on & (F.col("far") < F.col("n") - 1)) | (back & (F.col("far") == 0))).otherwise(on | back))
+    i = F.row_number().over(piece.orderBy("place")) - 1
+    return placed.select(*LEVEL, F.col("piece").cast("int").alias("first"), i.cast("int").alias("i"), (F.col("x") / QUANTUM).alias("px"), (F.col("y") / QUANTUM).alias("py"), "closed")
+
+
+LEVEL = ["image_id", "level"]
+#: End points are equal where they are so in ten-thousandths.
+QUANTUM = 10_000
+
+
 def contour_chains(segments: DataFrame) -> DataFrame:
-    """Segments of each image and level joined at equal end points (to 1/10000) into chains of points; a closed one names its first point once."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["cell_y", "cell_x", "seg"])
-        ends = [((a, b), (c, d)) for a, b, c, d in np.rint(group[["x0", "y0", "x1", "y1"]].to_numpy() * 10000).astype(np.int64).tolist()]
-        at: dict[tuple, deque[int]] = {}
-        for s, pair in enumerate(ends):
-            for p in pair:
-                at.setdefault(p, deque()).append(s)
-        used = [False] * len(ends)
-
-        def onward(tip: tuple) -> tuple | None:
-            """The other end of the first unused segment at ``tip``; used ones are forgotten on the way."""
-            waiting = at[tip]
-            while waiting:
-                s = waiting.popleft()
-                if not used[s]:
-                    used[s] = True
-                    return ends[s][1] if ends[s][0] == tip else ends[s][0]
-            return None
-
-        rows = []
-        number = 0
-        for s, (a, b) in enumerate(ends):
-            if used[s]:
-                continue
-            used[s] = True
-            chain = deque((a, b))
-            while (p := onward(chain[-1])) is not None:
-                chain.append(p)
-            while (p := onward(chain[0])) is not None:
-                chain.appendleft(p)
-            closed = chain[0] == chain[-1]
-            if closed:
-                chain.pop()
-            points = [p for p, before in zip(chain, [None, *chain], strict=False) if p != before]
-            rows += [(number, i, x / 10000, y / 10000, closed) for i, (x, y) in enumerate(points)]
-            number += 1
-        out = pd.DataFrame(rows, columns=["chain", "i", "px", "py", "closed"])
-        out.insert(0, "level", group["level"].iloc[0])
-        out.insert(0, "image_id", group["image_id"].iloc[0])
-        return out
-
-    return segments.groupBy("image_id", "level").applyInPandas(run, "image_id bigint, level int, chain int, i int, px double, py double, closed boolean")
+    """Segments of each image and level joined at equal end points (to 1/10000) into chains of points; a closed one names its first point once.
+
+    A chain starts with its first segment, by cell and place in it, goes on from its second end, then back from its first. Chains are numbered by their
+    first segments. A connected piece is ranked as a whole by joins; only one with a point of more than two segments, or a segment of no
+    length, is walked segment by segment, in a group of its own.
+    """
+    order = Window.partitionBy(*LEVEL).orderBy("cell_y", "cell_x", "seg")
+    ends = {f"{p}{c}": F.rint(F.col(f"{c}{i}") * QUANTUM).cast("long") for i, p in enumerate("ab") for c in "xy"}
+    segs = stored(segments.select(*LEVEL, (F.row_number().over(order) - 1).alias("s"), *[v.alias(k) for k, v in ends.items()]), "segments")
+    side = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(f"{p}x").alias("x"), F.col(f"{p}y").alias("y")) for i, p in enumerate("ab")]))
+    at = segs.select(*LEVEL, "s", side.alias("e")).groupBy(*LEVEL, "e.x", "e.y").agg(F.sort_array(F.collect_list(F.struct("s", "e.side"))).alias("at"))
+    nodes = stored(at, "segment-ends")
+    edges = nodes.where(F.size("at") > 1).select(*LEVEL, F.col("at")[0]["s"].alias("a"), F.explode(F.slice("at", 2, F.size("at") - 1)).alias("t"))
+    pieces = graph.components(edges.select(*LEVEL, "a", F.col("t.s").alias("b")), LEVEL)
+    segs = stored(segs.join(pieces.withColumnRenamed("node", "s"), [*LEVEL, "s"], "left").withColumn("piece", F.coalesce("component", "s")).drop("component"), "segments")
+    meet = nodes.where((F.size("at") > 2) | (F.col("at")[0]["s"] == F.get("at", F.lit(1))["s"])).select(*LEVEL, F.col("at")[0]["s"].alias("s"))
+    branched = stored(segs.join(meet, [*LEVEL, "s"]).select(*LEVEL, "piece").distinct(), "segments-meeting")
+    walked = segs.join(branched, [*LEVEL, "piece"], "left_semi").groupBy(*LEVEL, "piece").applyInPandas(_walked, CHAINS)
+    simple = segs.join(branched, [*LEVEL, "piece"], "left_anti")
+    inside = nodes.join(simple.select(*LEVEL, "s"), [F.col("at")[0]["s"] == F.col("s"), *[nodes[c] == simple[c] for c in LEVEL]], "left_semi")
+    chains = _ranked(simple, inside).unionByName(walked)
+    number = F.dense_rank().over(Window.partitionBy(*LEVEL).orderBy("first")) - 1
+    return chains.select(*LEVEL, number.cast("int").alias("chain"), "i", "px", "py", "closed")
 
 
 def smoothed(chains: DataFrame, steps: int = 6, *keys: str) -> DataFrame:

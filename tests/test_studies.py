@@ -240,6 +240,56 @@ def test_contour_chains_and_their_smoothing(spark):
     assert np.allclose(got[0], round_trip, atol=1e-6) and np.allclose(got[1], open_line, atol=1e-6) and got[2] == [(0.8, 0.8), (0.9, 0.9)]
 
 
+def brute_chains(segments):
+    """Walk from every unused segment on, then back, by the first unused segment at the tip."""
+    segments = sorted(segments, key=lambda r: (r[3], r[2], r[4]))
+    ends = [tuple((round(r[k] * 10000), round(r[k + 1] * 10000)) for k in (5, 7)) for r in segments]
+    used, out = set(), []
+
+    def onward(tip):
+        for s, pair in enumerate(ends):
+            if s not in used and tip in pair:
+                used.add(s)
+                return pair[1] if pair[0] == tip else pair[0]
+
+    for s, (a, b) in enumerate(ends):
+        if s in used:
+            continue
+        used.add(s)
+        chain = [a, b]
+        while p := onward(chain[-1]):
+            chain.append(p)
+        while p := onward(chain[0]):
+            chain.insert(0, p)
+        closed = chain[0] == chain[-1]
+        if closed:
+            chain.pop()
+        number = max((r[0] for r in out), default=-1) + 1
+        points = [p for p, before in zip(chain, [None, *chain]) if p != before]
+        out += [(number, i, x / 10000, y / 10000, closed) for i, (x, y) in enumerate(points)]
+    return out
+
+
+def test_chains_by_brute_force(spark):
+    rng = np.random.default_rng(4)
+    points = [(x / 7, y / 7) for x in range(8) for y in range(8)]
+    data = []
+    for level, (n, few) in enumerate([(40, 64), (60, 64), (12, 64), (30, 8), (1, 2), (5, 2)]):
+        for seg in range(n):
+            a, b = rng.integers(0, few, 2)
+            data.append((1, level, int(rng.integers(0, 5)), int(rng.integers(0, 5)), seg, *points[a], *points[b]))
+    for k, ring in enumerate([[(i / 50, 0.3) for i in range(41)], [(math.cos(t / 30 * math.tau) / 3 + 0.5, math.sin(t / 30 * math.tau) / 3 + 0.5) for t in range(31)], [(0.1, 0.1), (0.2, 0.2), (0.1, 0.1)]]):
+        sides = list(zip(ring, ring[1:]))
+        for j in rng.permutation(len(sides)).tolist():
+            a, b = sides[j] if rng.random() < 0.5 else sides[j][::-1]
+            data.append((2, k % 2, int(rng.integers(0, 9)), int(rng.integers(0, 9)), len(data), *a, *b))
+    frame = spark.createDataFrame(data, "image_id long, level int, cell_x int, cell_y int, seg int, x0 double, y0 double, x1 double, y1 double").repartition(4)
+    got = sorted(map(tuple, lines.contour_chains(frame).collect()))
+    want = [(i, level, *r) for i, level in sorted({r[:2] for r in data}) for r in brute_chains([r for r in data if r[:2] == (i, level)])]
+    assert got == sorted(want) and any(r[-1] for r in want) and not all(r[-1] for r in want)
+    assert lines.contour_chains(frame.where("false")).isEmpty()
+
+
 def test_line_styles(spark):
     segments = spark.createDataFrame([(1, "row", 0, 0, 0.0, 0.5, 1.0, 0.5)], "image_id long, kind string, i int, j int, x0 double, y0 double, x1 double, y1 double")
     half = image(spark, [(255, 255, 255) if i % 96 < 48 else (0, 0, 0) for i in range(96 * 3)], 96)
