@@ -2,7 +2,11 @@
 
 Texts become one line of lower-case words, in which the automaton finds every phrase on word boundaries. Documents with an
 identifier tag are looked at once more as raw text: what follows the tag up to the line's end is an expression of licence ids, AND,
-OR, WITH and parentheses. Its ids become labels, unless it cannot be parsed.
+OR, WITH and parentheses. Its ids become labels, unless it cannot be parsed or a word in it is no licence id.
+
+Of phrases that lie within each other the longest counts, base phrases aside: "creative commons attribution noncommercial" is not also "creative
+commons attribution". Phrases that licences share, as warranty clauses, are evidence without a label. "All rights reserved" is a
+label only where nothing grants any.
 
 The verdict says whether the text may be used under permissive terms alone: "permissive" where every parsed expression can be met by
 ``PERMISSIVE`` ids (of an OR, one side is enough) and every phrase names a permissive licence, "restricted" where not, null without
@@ -30,7 +34,7 @@ from chromaframe.llm.common import ALNUM_WORDS, arrow, record_batch, slices, tex
 #: Base phrases and their labels.
 BASE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Notice phrases of well-known licences, beyond the base, as words.
+#: Notice phrases of well-known licences, beyond the base, as words; those that several licences share have no label.
 NOTICES = {
     "apache license version 2 0": "apache-2.0",
     "apache org licenses license 2 0": "apache-2.0",
@@ -51,7 +55,7 @@ NOTICES = {
     "isc license": "isc",
     "released into the public domain": "public-domain",
     "all rights reserved": "all-rights-reserved",
-    "the software is provided as is without warranty of any kind": "mit",
+    "the software is provided as is without warranty of any kind": "",
     "neither the name of the copyright holder nor the names of its contributors": "bsd",
     "licensed under the apache license": "apache-2.0",
     "you may not use this file except in compliance with the license": "apache-2.0",
@@ -67,6 +71,14 @@ NOTICES = {
 PERMISSIVE = frozenset(
     "mit mit-0 apache-2 apache-2.0 bsd 0bsd bsd-2-clause bsd-3-clause isc zlib bsl bsl-1.0 cc0 cc0-1.0 cc-by cc-by-3.0 cc-by-4.0 unlicense public-domain".split()
 )
+#: First parts of the ids of the common licence list.
+FAMILIES = frozenset(
+    "0bsd adobe afl agpl apache artistic blueoak boost bsd bsl bzip2 cc0 cc cddl cecill cpl curl ecl epl eudatagrid eupl fsfap ftl gfdl gpl hpnd icu ijg "
+    "intel ipa ipl isc jasper json latex lgpl libpng libtiff lppl mit mpl mpi ms mulanpsl naist nasa ncsa nist nlpl nokia ntp ofl oldap openssl osl php "
+    "postgresql psf python qpl ruby sgi sissl sleepycat spencer tcl unicode unlicense upl vim w3c wtfpl x11 xfree86 xnet zend zlib zpl".split()
+)
+#: The phrase that keeps all rights says nothing where a licence grants some.
+RESERVED = "all-rights-reserved"
 WORD_DOUBT, TAG_DOUBT, BROKEN_DOUBT = 0.85, 0.05, 0.8
 
 TAG = "spdx license identifier"
@@ -81,7 +93,7 @@ def parse_expression(text: str) -> list[tuple[str, str]] | None:
     stack: list[str] = []
     operand_next = True
     at = 0
-    text = re.sub(r"\s*(\*/|-->)?\s*$", "", text)
+    text = re.split(r"\*/|-->", text)[0].rstrip()  # where a comment ends, so does the expression
     while at < len(text):
         m = _TOKEN.match(text, at)
         if m is None:
@@ -157,6 +169,23 @@ def _automaton() -> ahocorasick.Automaton:
     return automaton
 
 
+def known_id(name: str) -> bool:
+    """Whether a word of an expression is a licence id: of a listed family, or one of a project's own."""
+    name = name.lower().rstrip("+")
+    return name.startswith(("licenseref-", "documentref-")) or name.split("-")[0] in FAMILIES
+
+
+def _outermost(found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Phrases (start, end, kind, label) without notices that lie within a longer phrase."""
+    out, reach, last = [], -1, None
+    for one in sorted(found, key=lambda f: (f[0], -f[1])):
+        if one[1] > reach or one[2] == "base" or one[:2] == last:
+            out.append(one)
+        if one[1] > reach:
+            reach, last = one[1], one[:2]
+    return out
+
+
 def verdict(expressions: list[list[tuple[str, str]]], phrases: set[str]) -> str | None:
     """Whether all that a text names can be met by permissive licences."""
     if not expressions and not phrases:
@@ -170,9 +199,7 @@ def scan_text(raw: bytes) -> tuple:
     """n_words, n_base, first and last word of base places, base labels, all labels, score, expressions, verdict."""
     words = raw.translate(ALNUM_WORDS).split()
     line = b" %b " % b" ".join(words)
-    n_base, first, last = 0, None, None
-    base, labels, parsed, expressions = set(), set(), [], []
-    evidence: set[tuple[str, int]] = set()
+    places, found, parsed, expressions = [], [], [], []
     tagged = False
     spaces = seen = 0
     for end, what in _automaton().iter(line.decode("latin-1")):
@@ -182,24 +209,29 @@ def scan_text(raw: bytes) -> tuple:
             if kind == "tag":
                 tagged = True
                 continue
-            labels.add(label)
-            evidence.add((kind + label, length))
+            found.append((spaces - length, spaces, kind, label))
             if kind == "base":
-                word = spaces - length
-                first, last = word if first is None else min(first, word), word if last is None else max(last, word)
-                n_base += 1
-                base.add(label)
+                places.append(spaces - length)
+    base = {label for _, _, kind, label in found if kind == "base"}
+    told = _outermost(found)
+    evidence = {(kind + label, end - start) for start, end, kind, label in told}
     doubt = WORD_DOUBT ** sum(length for _, length in evidence)
-    phrases = set(labels)
+    phrases = {label for _, _, _, label in told if label}
+    labels = set(phrases)
     if tagged:
         for tail in sorted({m[1].strip() for m in _RAW_TAG.finditer(raw.decode("utf-8", "replace"))}):
             postfix = parse_expression(tail)
+            if postfix is not None and not all(map(known_id, expression_ids(postfix))):
+                postfix = None
             doubt *= BROKEN_DOUBT if postfix is None else TAG_DOUBT
             if postfix is not None:
                 parsed.append(postfix)
                 expressions.append(tail)
                 labels.update(expression_ids(postfix))
-    return len(words), n_base, first, last, sorted(base), sorted(labels), 1.0 - doubt, expressions, verdict(parsed, phrases)
+    if labels - {RESERVED}:
+        labels.discard(RESERVED)
+        phrases.discard(RESERVED)
+    return len(words), len(places), min(places, default=None), max(places, default=None), sorted(base), sorted(labels), 1.0 - doubt, expressions, verdict(parsed, phrases)
 
 
 SCANNED = T.StructType(

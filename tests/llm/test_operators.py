@@ -531,20 +531,30 @@ def test_licenses(docs, empty):
     assert got.where("score < 0 or score > 1").isEmpty() and licenses.query(empty).isEmpty()
 
 
+#: What some phrases mean.
+MEANING = {
+    "under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc", "apache license version 2 0": "apache-2.0", "gnu general public license": "gpl",
+    "under the terms of the gnu general public license": "gpl", "creative commons attribution": "cc-by", "creative commons attribution noncommercial": "cc-by-nc", "all rights reserved": "all-rights-reserved",
+    "creative commons attribution sharealike": "cc-by-sa", "redistribution and use in source and binary forms": "bsd", "the software is provided as is without warranty of any kind": "", "isc license": "isc",
+    "mozilla public license": "mpl", "released into the public domain": "public-domain", "this is free and unencumbered software released into the public domain": "public-domain",
+}
+
+
 def brute_license(text):
     """Labels, score and verdict by looking for every phrase at every word, and Python's own evaluation of tag expressions."""
-    w, labels, doubt, kinds = alnum_words(text), set(), 1.0, set()
-    for kind, phrases in (("base", licenses.BASE_PHRASES), ("notice", licenses.NOTICES)):
-        for phrase, label in phrases.items():
-            p = phrase.split()
-            if any(w[i : i + len(p)] == p for i in range(len(w))):
-                labels.add(label)
-                kinds.add((kind, label, len(p)))
-    for _, _, n in kinds:
+    w, doubt = alnum_words(text), 1.0
+    places = [(i, i + len(p.split()), p) for p in MEANING for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+    within = {(a, b, p) for a, b, p in places for c, d, _ in places if c <= a and b <= d and (a, b) != (c, d)}
+    seen = {p for a, b, p in places if (a, b, p) not in within or p in licenses.BASE_PHRASES}
+    for _, _, n in {(p in licenses.BASE_PHRASES, MEANING[p], len(p.split())) for p in seen}:
         doubt *= licenses.WORD_DOUBT**n
+    labels = {MEANING[p] for p in seen} - {""}
     named, fits = set(), True
     for tail in sorted({t.strip() for t in re.findall(r"(?i)SPDX-License-Identifier\s*:([^\r\n]*)", text)}):
         tokens = re.findall(r"[()]|[^\s()]+", tail)
+        if "foo" in tail:
+            doubt *= licenses.BROKEN_DOUBT
+            continue
         code, ids, skip = [], [], False
         for t in tokens:
             if t.upper() == "WITH":
@@ -563,6 +573,8 @@ def brute_license(text):
             continue
         named |= set(ids)
         doubt *= licenses.TAG_DOUBT
+    if labels | named != {"all-rights-reserved"}:
+        labels -= {"all-rights-reserved"}
     loose = {p for p in labels if not any(i == p or i.startswith(p + "-") for i in named)}
     told = None if not labels | named else "permissive" if fits and loose <= licenses.PERMISSIVE else "restricted"
     return ",".join(sorted(labels | named)), round(1 - doubt, 9), told
@@ -570,8 +582,8 @@ def brute_license(text):
 
 def test_license_labels_scores_and_verdicts(spark):
     r = random.Random(6)
-    phrases = [*licenses.BASE_PHRASES, *licenses.NOTICES]
-    tags = ["MIT", "GPL-2.0 OR MIT", "(MIT AND GPL-3.0-only) OR Apache-2.0", "LGPL-2.1 WITH x-exception AND MIT", "MIT AND", "", "BSD-3-Clause", "(ISC"]
+    phrases = list(MEANING)
+    tags = ["foo", "MIT OR foo-2.0", "MIT", "GPL-2.0 OR MIT", "(MIT AND GPL-3.0-only) OR Apache-2.0", "LGPL-2.1 WITH x-exception AND MIT", "MIT AND", "", "BSD-3-Clause", "(ISC"]
     texts = ["", "no licence here", "under the mit licensed", "SPDX-License-Identifier: GPL-2.0 OR MIT\nGNU General Public License"]
     for _ in range(400):
         parts = [r.choice(phrases).upper().replace(" ", r.choice([" ", "  ", ", "])) for _ in range(r.randint(0, 3))]
@@ -583,6 +595,26 @@ def test_license_labels_scores_and_verdicts(spark):
     assert {x.verdict for x in got.collect()} == {None, "permissive", "restricted"}
 
 
+#: Ordinary notices, with the labels and the verdict that they must get.
+NOTICES = [
+    ("Copyright (c) 2020, X. All rights reserved.\nRedistribution and use in source and binary forms, with or without modification, are permitted", "bsd", "permissive"),
+    ("Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc", "restricted"),
+    ('Boost Software License - Version 1.0. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED', "bsl", "permissive"),
+    ('Permission is hereby granted, free of charge, to any person obtaining a copy of this software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND', "mit", "permissive"),
+    ("// SPDX-License-Identifier: foo\n", "", None),
+    ("// SPDX-License-Identifier: LicenseRef-house\n", "licenseref-house", "restricted"),
+    ("/* SPDX-License-Identifier: GPL-2.0-or-later+ OR BSD-3-Clause */ All rights reserved", "bsd-3-clause,gpl-2.0-or-later+", "permissive"),
+    ("Copyright X. All rights reserved.", "all-rights-reserved", "restricted"),
+    ("THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND", "", None),
+]
+
+
+@pytest.mark.parametrize(("text", "labels", "told"), NOTICES)
+def test_ordinary_notices(text, labels, told):
+    found = licenses.scan_text(text.encode())
+    assert ",".join(found[5]) == labels and found[8] == told
+
+
 @pytest.mark.parametrize(
     "text, allowed, expected",
     [("MIT", {"mit"}, True), ("MIT AND (X OR Apache-2.0)", {"mit", "apache-2.0"}, True), ("A OR B AND C", {"b"}, False), ("A OR B AND C", {"a"}, True), ("GPL-2.0 WITH exc", {"gpl-2.0"}, True)],
