@@ -38,17 +38,18 @@ def grid_segments(images: DataFrame, divisions: int, diagonals: bool = False) ->
     return out.where("x0 <> x1 or y0 <> y1")
 
 
-def contour_cells(field: DataFrame, levels: list[float], cutoff: float = 1.0) -> DataFrame:
+def contour_cells(field: DataFrame, levels: list[float] | Column, cutoff: float = 1.0) -> DataFrame:
     """Cells that a level crosses, with corner values and case index (8 top left, 4 top right, 2 bottom right, 1 bottom left below it).
 
-    ``field`` is (image_id, x, y, v). Corners come from the next pixel of the row and the next row, two windows and no join.
+    ``field`` is (image_id, x, y, v), with an array of the image's own levels where ``levels`` names one. Corners come from the next pixel of the row and the next row, two windows and no join.
     """
     right = Window.partitionBy("image_id", "y").orderBy("x")
     below = Window.partitionBy("image_id", "x").orderBy("y")
     wide = field.withColumn("tr", F.lead("v").over(right))
     cells = wide.withColumns({"bl": F.lead("v").over(below), "br": F.lead("tr").over(below)}).withColumnRenamed("v", "tl").dropna(subset=["tr", "bl", "br"])
     cells = cells.where(~((F.col("tl") >= cutoff) & (F.col("tr") >= cutoff) & (F.col("bl") >= cutoff) & (F.col("br") >= cutoff)))
-    each = cells.select("image_id", "x", "y", "tl", "tr", "bl", "br", F.posexplode(F.array(*[C.num(t) for t in levels])).alias("level", "t"))
+    own = levels if isinstance(levels, Column) else F.array(*[C.num(t) for t in levels])
+    each = cells.select("image_id", "x", "y", "tl", "tr", "bl", "br", F.posexplode(own).alias("level", "t"))
     case = sum(((F.col(c) < F.col("t")).cast("int") * w for c, w in (("tr", 4), ("br", 2), ("bl", 1))), (F.col("tl") < F.col("t")).cast("int") * 8)
     return each.withColumn("case_index", case).where((F.col("case_index") > 0) & (F.col("case_index") < 15))
 
@@ -276,6 +277,16 @@ def smoothed(chains: DataFrame, steps: int = 6, *keys: str) -> DataFrame:
     return each.select(*keys, "i", "step", C.rounded(value("px")).alias("px"), C.rounded(value("py")).alias("py"), "closed")
 
 
+def chain_segments(points: DataFrame) -> DataFrame:
+    """Segments (image_id, kind, i, j, x0, y0, x1, y1) between the points of smoothed chains; a closed one also has the one back to its first point."""
+    along = Window.partitionBy(*LEVEL, "chain").orderBy("i", "step")
+    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    number = F.dense_rank().over(Window.partitionBy("image_id").orderBy("level", "chain")) - 1
+    to = {f"{c}1": F.coalesce(F.lead(f"p{c}").over(along), F.when(F.col("closed"), F.first(f"p{c}").over(whole))) for c in "xy"}
+    rows = points.withColumns(to | {"chain_": number, "j": F.row_number().over(along) - 1}).where("x1 is not null and (px <> x1 or py <> y1)")
+    return rows.select("image_id", F.lit("contour").alias("kind"), F.col("chain_").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("px").alias("x0"), F.col("py").alias("y0"), "x1", "y1")
+
+
 def resampled(field: DataFrame, width: int = 201, height: int = 201) -> DataFrame:
     """A field (image_id, x, y, v) at ``width`` x ``height`` points that span it, linear between its own points."""
     size = field.groupBy("image_id").agg(F.max("x").alias("wide"), F.max("y").alias("high"))

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chromaframe.functions import color as C
-from chromaframe.operators import cluster, depth, isolate, lines, mixsearch, palette, presets, regions, spectral, tiles, tonal
+from chromaframe.operators import cluster, depth, export, isolate, lines, mixsearch, palette, presets, regions, spectral, tiles, tonal
 from chromaframe.plans import oracle as O
-from chromaframe.sources.raster import HEIGHT, WIDTH, downscale, encode, read_pixels
+from chromaframe.sources import mixsource
+from chromaframe.sources.raster import HEIGHT, WIDTH, decode, downscale, encode, read_images, read_pixels
+from chromaframe.sources.store import shared_folder
 from chromaframe.streaming import taps
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -320,6 +323,15 @@ def _(s, d):
     return s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", *[v.cast("int").alias(f"a{i}") for i, v in enumerate(a)])
 
 
+@query("mix_file_entries", f"""WITH {O.NATIONS}, {_PAIRS}, {_TRIPLES}, every AS (SELECT 0 AS part, i0, i1, -1 AS i2, a0, a1, 0 AS a2 FROM pairs UNION ALL SELECT 1, i0, i1, i2, a0, a1, a2 FROM triples),
+numbered AS (SELECT row_number() OVER (ORDER BY part, i0, i1, i2, a0, a1) - 1 AS entry, * FROM every) SELECT entry, i0, i1, i2, a0, a1, a2 FROM numbered WHERE i0 = 3""")
+def _(s, d):
+    """The mixes that begin with one paint, read by their place from a file of all mixes of the nations' paints."""
+    path = f"{shared_folder(s)}/mix-file-{uuid.uuid4().hex}"
+    mixsource.write_mixes(spectral.mix_table(_nation_paints(s, d), 3), 25, path)
+    return mixsource.read_mixes(s, path).where("i0 = 3").select("entry", "i0", "i1", "i2", "a0", "a1", "a2")
+
+
 # palettes
 
 _TARGETS = [(0.3, 0.0, 0.0), (0.55, 0.02, 0.05)]
@@ -887,6 +899,57 @@ def _(s, d):
     return taps.double_taps(events, 36_000.0)
 
 
+@query("exported_images", f"WITH {O.LAB}, {O.gray('luminance')}, {O.bands([64, 128, 191])} SELECT image_id, idx, x, y, " + ", ".join(f"CAST(floor(band / 3.0 * 255.0 + 0.5) AS INT) AS {c}" for c in "rgb") + " FROM band")
+def _(s, d):
+    """The value study of every image, exported to files and read back from them; images are whole, of 50 x 30 pixels, or end in their last row."""
+    pixels = read_pixels(s, d)
+    study = tonal.value_bands(pixels).select("image_id", "idx", "x", "y", *[F.col("band_gray").alias(c) for c in "rgb"], "alpha", "depth")
+    path = f"{shared_folder(s)}/exported-{uuid.uuid4().hex}"
+    export.write_pngs(export.exported(pixels, study, False), path)
+    back = read_images(s, path).select(F.regexp_extract("path", r"(-?[0-9]+)\.png$", 1).cast("long").alias("image_id"), "content")
+    return decode(back).select("image_id", "idx", "x", "y", "r", "g", "b").join(pixels.select("image_id", "idx"), ["image_id", "idx"], "left_semi")
+
+
+@query("contour_lines")
+def _(s, d):
+    return export.contour_lines(read_pixels(s, d), 4, 0.9)
+
+
+def _report_settings(s, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    paints = F.array(*[F.struct(F.concat(F.lit("p"), (v % 7).cast("string")).alias("id"), F.concat(F.lit("Paint "), (v % 7).cast("string")).alias("name")) for v in (k, c)])
+    half, whole = (c % 3 - 1) / 2.0, k % 2 == 0
+    settings = {
+        "software": F.lit("Studies 1"), "mode": F.when(whole, "Value").otherwise("Color"), "background_enabled": whole, "background_mode": F.lit("blur"), "foreground_cutoff": c % 8 / 8.0, "background_cutoff": C.num(0.75),
+        "depth_intensity": C.num(0.5), "abstraction_method": F.lit("none"), "abstraction_strength": C.num(0), "grayscale": F.lit("Average"), "value_levels": c % 7 + 2, "value_bias": half, "color_limit": k % 20 + 4,
+        "color_bias": C.num(0.02), "palette_enabled": ~whole, "palette_spread": half / 4, "most_pigments": F.lit(3), "least_concentration": C.num(0.02), "pigments": paints, "contour_enabled": whole, "contour_levels": F.lit(5),
+        "contour_style": F.lit("auto"), "contour_color": F.lit("#000000FF"), "contour_opacity": C.num(0.7), "grid_enabled": ~whole, "grid_divisions": k % 5 + 2, "grid_diagonals": whole, "grid_style": F.lit("black"),
+        "grid_color": F.lit("#102030FF"), "grid_opacity": C.num(1),
+    }
+    return s.read.parquet(f"{d}/orders.parquet").select(k.alias("image_id"), *[v.alias(n) for n, v in settings.items()])
+
+
+_REPORT = r"""WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderkey % 2 = 0 AS even FROM orders), n AS (SELECT *, chr(10) AS nl, CASE WHEN even THEN 'On' ELSE 'Off' END AS yes, CASE WHEN even THEN 'Off' ELSE 'On' END AS no,
+CASE c % 8 WHEN 0 THEN '0' WHEN 1 THEN '0.125' WHEN 2 THEN '0.25' WHEN 3 THEN '0.375' WHEN 4 THEN '0.5' WHEN 5 THEN '0.625' WHEN 6 THEN '0.75' ELSE '0.875' END AS front FROM o)
+SELECT k AS image_id, 'Application' || nl || 'Studies 1' || nl || nl || 'Mode' || nl || CASE WHEN even THEN 'Value' ELSE 'Color' END || nl || nl
+|| 'Background' || nl || 'Enabled: ' || yes || nl || 'Mode: blur' || nl || 'Foreground Cutoff: ' || front || nl || 'Background Cutoff: 0.75' || nl || 'Intensity: 0.5' || nl || nl
+|| 'Simplification' || nl || 'Method: none' || nl || 'Strength: 0' || nl || nl || 'Grayscale Conversion' || nl || 'Average' || nl || nl
+|| 'Limit Colors / Values' || nl || 'Values: ' || (c % 7 + 2) || nl || 'Value Bias: ' || CASE c % 3 WHEN 0 THEN 'Light Detail (-0.5)' WHEN 1 THEN 'Even (0)' ELSE 'Shadow Detail (+0.5)' END || nl || 'Colors: ' || (k % 20 + 4) || nl || 'Color Bias: Even (+0.02)' || nl || nl
+|| 'Palette Selection' || nl || 'Enabled: ' || no || nl || 'Spread: ' || CASE c % 3 WHEN 0 THEN '-0.125' WHEN 1 THEN '0' ELSE '+0.125' END || nl || 'Max Pigments per Mix: 3' || nl || 'Min Concentration: 0.02' || nl
+|| 'Pigments (2): Paint ' || (k % 7) || ' [p' || (k % 7) || '], Paint ' || (c % 7) || ' [p' || (c % 7) || ']' || nl || nl
+|| 'Contours' || nl || 'Enabled: ' || yes || nl || 'Levels: 5' || nl || 'Line Style: auto' || nl || 'Color: #000000FF' || nl || 'Opacity: 0.7' || nl || nl
+|| 'Grid' || nl || 'Enabled: ' || no || nl || 'Divisions: ' || (k % 5 + 2) || nl || 'Diagonals: ' || yes || nl || 'Line Style: black' || nl || 'Color: #102030FF' || nl || 'Opacity: 1'
+|| CASE WHEN c % 2 = 0 THEN nl || nl || 'Generated Palette' || nl || 'Swatch 1 | #' || c || nl || 'Swatch 2 | #' || (c + 1) ELSE '' END AS report FROM n"""
+
+
+@query("export_report", _REPORT)
+def _(s, d):
+    o = s.read.parquet(f"{d}/orders.parquet").where("o_custkey % 2 = 0")
+    swatch = o.select(F.col("o_orderkey").alias("image_id"), "o_custkey", F.explode(F.array(F.lit(1), F.lit(0))).alias("recipe_id"))
+    line = F.concat(F.lit("Swatch "), (F.col("recipe_id") + 1).cast("string"), F.lit(" | #"), (F.col("o_custkey") + F.col("recipe_id")).cast("string"))
+    return export.export_report(_report_settings(s, d), swatch.select("image_id", "recipe_id", line.alias("line")))
+
+
 @query("png_images")
 def _(s, d):
     return encode(read_pixels(s, d)).select("image_id", "width", "height", F.length("content").alias("bytes"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chromaframe.functions import color as C
-from chromaframe.operators import cluster, depth, isolate, lines, mixsearch, palette, presets, regions, spectral, tiles, tonal
+from chromaframe.operators import cluster, depth, export, isolate, lines, mixsearch, palette, presets, regions, spectral, tiles, tonal
 from chromaframe.sources import mixfile, raster
 
 PIXEL = raster.PIXEL
@@ -709,3 +709,59 @@ def test_small_rules():
     assert C.abstraction_factor(0.0, 400) == 1.0 and C.abstraction_factor(1.0, 1600) == 12.0
     t = np.random.default_rng(0).integers(0, 256, (4, 5, 3)).astype(np.uint8)
     assert (tiles.to_image(tiles.to_tensor(t)) == t).all()
+
+
+def radial(spark, side=41, **images):
+    """Images whose depth grows with the distance from their middle, or by a rule of their own."""
+    rows = []
+    for image_id, rule in images.items():
+        for i in range(side * side):
+            y, x = divmod(i, side)
+            z = rule(math.hypot(x - side // 2, y - side // 2) / (side // 2))
+            rows.append((int(image_id[1:]), i, x, y, 200, 200, 200, 255, None if z is None else max(0, min(255, round(z * 255)))))
+    return spark.createDataFrame(rows, PIXEL)
+
+
+def test_contour_lines_of_rings(spark):
+    pixels = radial(spark, i1=lambda r: r * 0.7, i2=lambda r: 0.5, i3=lambda r: None, i4=lambda r: 0.1 if r < 0.5 else 0.95)
+    found = export.contour_lines(pixels, 3, 0.6, size=41).collect()
+    assert {r.image_id for r in found} == {1, 4} and {r.kind for r in found} == {"contour"} and {r.color for r in found} == {"#000000FF"}
+    rings = {}
+    for r in found:
+        rings.setdefault((r.image_id, r.i), []).append(((r.x0, r.y0), (r.x1, r.y1)))
+    assert sorted(i for image, i in rings if image == 1) == [0, 1, 2]
+    for i in range(3):
+        sides = rings[1, i]
+        radii = [2 * math.hypot(x - 0.5, y - 0.5) for p in sides for x, y in p]
+        level = 0.6 * (i + 1) / 4 / 0.7  # levels lie evenly between 0 and the cutoff
+        assert all(abs(r - level) < 0.03 for r in radii)
+        starts, ends = {p[0] for p in sides}, {p[1] for p in sides}
+        assert starts == ends  # each goes round
+    assert all(max(math.hypot(x - 0.5, y - 0.5) for p in sides for x, y in p) < 0.3 for (image, _), sides in rings.items() if image == 4)
+    plain = export.contour_lines(pixels, 3, 0.6, "custom", "#11223344", 41)
+    assert {r.color for r in plain.select("color").distinct().collect()} == {"#11223344"} and export.contour_lines(pixels.where("false")).isEmpty()
+
+
+def test_export_draws_the_grid_then_contours(spark):
+    pixels = radial(spark, 20, i7=lambda r: r)
+    shown = pixels.withColumns({c: F.lit(90) for c in "rgb"})
+    line = "image_id long, x0 double, y0 double, x1 double, y1 double, color string"
+    grid, over = (spark.createDataFrame([(7, *at, color)], line) for at, color in (((0.5, 0.0, 0.5, 1.0), "#FF0000FF"), ((0.0, 0.5, 1.0, 0.5), "#0000FFFF")))
+    assert column(export.exported(pixels, shown, True), "r") == [200] * 400 and column(export.exported(pixels, shown, False), "r") == [90] * 400
+    both = export.exported(pixels, shown, False, grid, over, 1.0, 1.0)
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, tiles.drawn(tiles.drawn(shown, grid, 1.0), over, 1.0).collect()))
+    cross = {(r.x, r.y): (r.r, r.g, r.b) for r in both.collect()}
+    assert cross[10, 3] == (255, 0, 0) and cross[3, 10] == (0, 0, 255) and cross[10, 10] == (0, 0, 255) and cross[3, 3] == (90, 90, 90)
+
+
+def test_exported_files(spark, tmp_path):
+    pixels = radial(spark, 6, i1=lambda r: r, i2=lambda r: 0.5)
+    export.write_pngs(pixels, str(tmp_path / "out"))
+    back = raster.decode(raster.read_images(spark, str(tmp_path / "out")).select(F.regexp_extract("path", "([0-9]+).png", 1).cast("long").alias("image_id"), "content"))
+    assert sorted(map(tuple, back.select("image_id", "idx", "r", "g", "b").collect())) == sorted(map(tuple, pixels.select("image_id", "idx", "r", "g", "b").collect()))
+
+
+def test_names_and_signs_of_a_report(spark):
+    values = [-0.5, -0.03, 0.0, 0.0004, 0.25, 1.0]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select(export.signed_text(F.col("v")).alias("text"), export.bias_name(F.col("v")).alias("name")).collect()
+    assert [(r.text, r.name) for r in rows] == [("-0.5", "Light Detail"), ("-0.03", "Even"), ("0", "Even"), ("0", "Even"), ("+0.25", "Shadow Detail"), ("+1", "Shadow Detail")]
