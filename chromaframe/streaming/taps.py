@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 GAP_MS = 180
 DOUBLE_S = 0.45
@@ -68,3 +69,52 @@ def double_tap_stream(taps: DataFrame, within: float = DOUBLE_S) -> DataFrame:
         yield pd.DataFrame({"user_id": group["user_id"], "event_id": group["event_id"], "action": actions})
 
     return _keyed(taps).groupBy("user_id").applyInPandasWithState(run, TAPS, "band string, at double", "append", GroupStateTimeout.NoTimeout)
+
+
+QUIET = "user_id bigint, event_id bigint, ts timestamp"
+
+
+class Quiet(StatefulProcessor):
+    """Per user, events that still wait for their quiet time to end; a timer at that end tells which were followed."""
+
+    def __init__(self, gap_ms: int):
+        self.gap_ms = gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us bigint, event_id bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = [(int(us), int(i)) for batch in rows for us, i in zip(batch["us"], batch["event_id"], strict=True)]
+        self.waiting.appendList(new)
+        for due in {us // 1000 + 1 + self.gap_ms for us, _ in new}:
+            self.handle.registerTimer(due)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(self.waiting.get())
+        gap = self.gap_ms * 1000
+        due = [k for k, (us, _) in enumerate(waiting) if us + gap < now]  # all that may follow these has come
+        quiet = [waiting[k] for k in due if k + 1 == len(waiting) or waiting[k + 1][0] - waiting[k][0] > gap]
+        left = waiting[len(due) :]
+        if left:
+            self.waiting.put(left)
+        else:
+            self.waiting.clear()
+        if quiet:
+            yield pd.DataFrame({"user_id": key[0], "event_id": [i for _, i in quiet], "ts": pd.to_datetime([us for us, _ in quiet], unit="us")})
+
+    def close(self) -> None:
+        pass
+
+
+def debounced_stream(events: DataFrame, gap_ms: int = GAP_MS, late: str = "10 seconds") -> DataFrame:
+    """``debounced`` over a stream: an event comes out once the watermark has passed the end of its quiet time, if none of its user came in it.
+
+    Events may come in any order within ``late``; later ones are left out. State holds a user's events of the last ``late`` and gap only. Rows
+    without a user, id or time are left out.
+    """
+    seen = events.where("user_id is not null and event_id is not null and ts is not null").select(F.col("user_id").cast("long").alias("user_id"), F.col("event_id").cast("long").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"))
+    keyed = seen.withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
+    return keyed.groupBy("user_id").transformWithStateInPandas(Quiet(gap_ms), QUIET, "Append", "eventTime")

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from chromaframe.streaming import taps
@@ -42,3 +43,27 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_debounce(spark):
     assert {r.event_id for r in taps.debounced(frame(spark), 180).collect()} == {1, 2, 3, 4, 6, 7, 8}
+
+
+@pytest.mark.parametrize("gap", [180, 1000])
+def test_debounced_stream_equals_batch(spark, tmp_path, gap):
+    """Events in disorder over several micro-batches, with ties, late ones and one that moves the time on at the end."""
+    r = random.Random(gap)
+    data = [(i, r.choice([1, 1, 1, 2, 3]), r.randrange(0, 60_000_000, 20_000)) for i in range(300)]
+    data += [(900, 1, 30_000_000), (901, 1, 30_000_000), (902, 4, 70_000_000)]
+    came = sorted(data, key=lambda e: e[2] + r.randrange(4_000_000))
+    parts = [came[k : k + 60] for k in range(0, len(came), 60)] + [[(950, 5, 200_000_000)], [(951, 5, 1_000_000), (None, 1, 1), (952, None, 2)]]
+    schema = "event_id long, user_id long, us long"
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, schema).withColumn("ts", F.timestamp_micros("us")).drop("us").coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = spark.readStream.schema("event_id long, user_id long, ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        q = taps.debounced_stream(stream, gap).writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).format("parquet").start(str(tmp_path / "out"))
+        q.awaitTermination()
+    finally:
+        spark.conf.unset(provider)
+    whole = spark.createDataFrame([e for p in parts[:-1] for e in p], schema).withColumn("ts", F.timestamp_micros("us"))
+    want = {(x.user_id, x.event_id, x.ts) for x in taps.debounced(whole, gap).collect() if x.event_id != 950}
+    assert {tuple(x) for x in spark.read.parquet(str(tmp_path / "out")).collect()} == want and len(want) > 20
