@@ -201,6 +201,44 @@ def effect(pixels: DataFrame, mode: str, foreground: float, background: float, i
     return pixels.drop("r", "g", "b").join(new, ["image_id", "idx"]).select(*pixels.columns)
 
 
+def resized(depths: DataFrame, pixels: DataFrame) -> DataFrame:
+    """Depth bytes (image_id, x, y, depth) at the size of the images in ``pixels``: linear between the centres of their own places, halves up."""
+
+    def size(of: DataFrame, *names: str) -> DataFrame:
+        return of.groupBy("image_id").agg(*[(F.max(c) + 1).alias(n) for c, n in zip("xy", names, strict=True)])
+
+    def corners(c: str, own: str, to: str) -> Column:
+        """The two neighbours along one axis with their weights, one of them where they are the same place."""
+        place = F.greatest(C.num(0), F.least(F.col(own) - 1.0, F.round((F.col(c) + 0.5) * F.col(own) / F.col(to) - 0.5, 9)))
+        low = F.floor(place).cast("int")
+        return F.filter(F.array(F.struct(low.alias("at"), (1.0 - (place - low)).alias("w")), F.struct((low + 1).alias("at"), (place - low).alias("w"))), lambda e: e["w"] > 0)
+
+    rows = pixels.select("image_id", "x", "y").join(size(depths, "dw", "dh").join(size(pixels, "w", "h"), "image_id"), "image_id")
+    rows = rows.withColumn("cx", F.explode(corners("x", "dw", "w"))).withColumn("cy", F.explode(corners("y", "dh", "h")))
+    rows = rows.select("image_id", "x", "y", (F.col("cx.w") * F.col("cy.w")).alias("share"), F.col("cx.at").alias("dx"), F.col("cy.at").alias("dy"))
+    own = depths.select("image_id", F.col("x").alias("dx"), F.col("y").alias("dy"), "depth")
+    mixed = F.floor(F.round(F.sum(F.col("share") * F.col("depth")), 9) + 0.5).cast("int")
+    return rows.join(own, ["image_id", "dx", "dy"]).groupBy("image_id", "x", "y").agg(mixed.alias("depth"))
+
+
+def embedded(samples: DataFrame) -> DataFrame:
+    """Depth bytes (image_id, x, y, depth) of float samples (image_id, kind, idx, x, y, v): of an image's disparity, or else of its depth.
+
+    A kind with too few valid samples is passed over; an image without any usable kind has no rows.
+    """
+    near, far = (normalized_floats(samples.where(F.col("kind") == k), k == "disparity") for k in ("disparity", "depth"))
+    each = near.withColumn("kind", F.lit("disparity")).unionByName(far.withColumn("kind", F.lit("depth")))
+    best = each.groupBy("image_id").agg(F.max("kind").alias("kind"))  # disparity comes after depth
+    places = samples.select("image_id", "kind", "idx", "x", "y")
+    return each.join(best, ["image_id", "kind"]).join(places, ["image_id", "kind", "idx"]).select("image_id", "x", "y", "depth")
+
+
+def with_embedded(pixels: DataFrame, samples: DataFrame) -> DataFrame:
+    """``pixels`` with the depth that came with their images, in their size; null where none did."""
+    own = resized(embedded(samples), pixels)
+    return pixels.drop("depth").join(own, ["image_id", "x", "y"], "left").select(*pixels.columns)
+
+
 BLUR = 12
 
 

@@ -13,7 +13,7 @@ from chromaframe.functions import color as C
 from chromaframe.operators import cluster, depth, export, isolate, lines, mixsearch, palette, presets, regions, spectral, tiles, tonal
 from chromaframe.plans import oracle as O
 from chromaframe.sources import mixsource
-from chromaframe.sources.raster import HEIGHT, WIDTH, decode, downscale, encode, read_images, read_pixels
+from chromaframe.sources.raster import HEIGHT, WIDTH, decode, downscale, embedded_depth, encode, encode_jpeg, read_images, read_pixels
 from chromaframe.sources.store import shared_folder
 from chromaframe.streaming import taps
 
@@ -950,6 +950,25 @@ def _(s, d):
     return export.export_report(_report_settings(s, d), swatch.select("image_id", "recipe_id", line.alias("line")))
 
 
+@query("jpeg_pixels", f"WITH {O.PIXEL} SELECT image_id, idx, x, y, " + ", ".join(f"({c} // 16 * 16)::INT AS {c}" for c in ("r", "g", "b", "depth")) + " FROM pixel")
+def _(s, d):
+    """Pixels and depth in steps of 16 come back from JPEG files; what rounding of coefficients adds, at most 4, is less than half a step."""
+    steps = ("r", "g", "b", "depth")
+    files = encode_jpeg(read_pixels(s, d).withColumns({c: (F.floor(F.col(c) / 16.0) * 16).cast("int") for c in steps}), depth=True)
+    depths = embedded_depth(files).select("image_id", "idx", F.col("v").alias("depth"))
+    back = decode(files).drop("alpha", "depth").join(depths, ["image_id", "idx"])
+    return back.withColumns({c: (F.floor((F.col(c) + 8) / 16.0) * 16).cast("int") for c in steps})
+
+
+@query("depth_resized", f"""WITH {O.PIXEL}, own AS (SELECT image_id, (x // 3)::INT AS dx, (y // 3)::INT AS dy, floor(avg(depth) + 0.5)::INT AS depth FROM pixel GROUP BY ALL),
+z AS (SELECT image_id, max(dx) + 1 AS dw, max(dy) + 1 AS dh FROM own GROUP BY 1), w AS (SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h FROM pixel GROUP BY 1),
+p AS (SELECT image_id, x, y, greatest(0, least(dw - 1, round((x + 0.5) * dw / w - 0.5, 9))) AS px, greatest(0, least(dh - 1, round((y + 0.5) * dh / h - 0.5, 9))) AS py FROM pixel JOIN z USING (image_id) JOIN w USING (image_id))
+SELECT p.image_id, x, y, floor(round(sum((1 - abs(px - dx)) * (1 - abs(py - dy)) * depth), 9) + 0.5)::INT AS depth FROM p JOIN own ON own.image_id = p.image_id AND abs(px - dx) < 1 AND abs(py - dy) < 1 GROUP BY ALL""")
+def _(s, d):
+    pixels = read_pixels(s, d)
+    return depth.resized(downscale(pixels, 3).select("image_id", "x", "y", "depth"), pixels)
+
+
 @query("png_images")
 def _(s, d):
     return encode(read_pixels(s, d)).select("image_id", "width", "height", F.length("content").alias("bytes"))

@@ -11,9 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chromaframe.sources import jpeg
+
 #: The raster that stands for photos in the sample tables: 50 x 30 pixels of consecutive order keys.
 WIDTH, HEIGHT = 50, 30
 
@@ -136,13 +139,33 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return files.withColumn("metadata", F.create_map(F.lit("type"), F.coalesce(F.nullif(kind, F.lit("")), F.lit("public.image")), F.lit("length"), F.col("length").cast("string")))
 
 
-def decode(images: DataFrame) -> DataFrame:
-    """Pixels of PNG ``images`` (image_id, content); alpha is forced opaque, depth is null."""
+def _picture(content: bytes) -> np.ndarray:
+    """(h, w, 4) bytes of a PNG or JPEG file, the right way up; mirrored forms count like the plain ones."""
+    if content[:2] == b"\xff\xd8":
+        rgb = jpeg.upright(jpeg.pixels(content), jpeg.orientation(content), False)
+        return np.concatenate((rgb, np.full((*rgb.shape[:2], 1), 255, np.uint8)), axis=2)
+    return rgba_of_png(content)
+
+
+#: What a damaged file raises.
+_DAMAGED = (ValueError, KeyError, IndexError, struct.error, zlib.error)
+
+
+def decode(images: DataFrame, strict: bool = True) -> DataFrame:
+    """Pixels of PNG and JPEG ``images`` (image_id, content), upright; alpha is forced opaque, depth is null (see ``with_embedded_depth``).
+
+    A file that can't be read fails, or if not ``strict`` has no pixels; ``inspected`` tells why. A null content has none either way.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for image_id, content in zip(batch["image_id"], batch["content"], strict=True):
-                rgba = rgba_of_png(bytes(content))
+                try:
+                    rgba = _picture(bytes(content))
+                except _DAMAGED as e:
+                    if strict:
+                        raise ValueError(f"image {image_id}: {e}") from e
+                    continue
                 h, w, _ = rgba.shape
                 idx = np.arange(h * w, dtype=np.int32)
                 flat = rgba.reshape(-1, 4).astype(np.int32)
@@ -150,7 +173,51 @@ def decode(images: DataFrame) -> DataFrame:
                     {"image_id": image_id, "idx": idx, "x": idx % w, "y": idx // w, "r": flat[:, 0], "g": flat[:, 1], "b": flat[:, 2], "alpha": np.int32(255), "depth": pd.array([None] * (h * w), "Int32")}
                 )
 
-    return images.select("image_id", "content").mapInPandas(run, PIXEL)
+    return images.where("content IS NOT NULL").select("image_id", "content").mapInPandas(run, PIXEL)
+
+
+def inspected(images: DataFrame) -> DataFrame:
+    """Per file of ``images`` (image_id, content): format (null if neither PNG nor JPEG), upright width and height, stored orientation, kinds of depth, and error, if any."""
+
+    def one(content: bytes | None) -> tuple:
+        kind = None if content is None else "jpeg" if content[:2] == b"\xff\xd8" else "png" if content[:8] == b"\x89PNG\r\n\x1a\n" else None
+        try:
+            if kind is None:
+                raise ValueError("no content" if content is None else "neither a PNG nor a JPEG file")
+            h, w, _ = _picture(content).shape
+            of_jpeg = (jpeg.orientation(content), [d.kind for d in jpeg.depths(content)]) if kind == "jpeg" else (1, [])
+            return kind, w, h, *of_jpeg, None
+        except _DAMAGED as e:
+            return kind, None, None, None, None, str(e)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [one(c.as_py()) for c in batch.column("content")]
+            kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.string()]
+            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column("image_id"), *columns], names=["image_id", "format", "width", "height", "orientation", "depths", "error"])
+
+    return images.select(F.col("image_id").cast("long"), "content").mapInArrow(run, "image_id bigint, format string, width int, height int, orientation int, depths array<string>, error string")
+
+
+def embedded_depth(images: DataFrame) -> DataFrame:
+    """Samples (image_id, kind, idx, x, y, v) of the depth pictures inside JPEG ``images`` (image_id, content), kind being disparity or depth.
+
+    They are turned as the picture is stored, mirrored ones mirrored. Other files, and damaged ones, have none; of two pictures of a kind the first counts.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for image_id, content in zip(batch["image_id"], batch["content"], strict=True):
+                try:
+                    found = {d.kind: d.values for d in reversed(jpeg.depths(bytes(content)))}
+                except _DAMAGED:
+                    continue
+                for kind, values in found.items():
+                    idx = np.arange(values.size, dtype=np.int32)
+                    yield pd.DataFrame({"image_id": image_id, "kind": kind, "idx": idx, "x": idx % values.shape[1], "y": idx // values.shape[1], "v": values.reshape(-1)})
+
+    return images.where("content IS NOT NULL").select("image_id", "content").mapInPandas(run, "image_id bigint, kind string, idx int, x int, y int, v double")
 
 
 def encode(pixels: DataFrame) -> DataFrame:
@@ -163,3 +230,16 @@ def encode(pixels: DataFrame) -> DataFrame:
         return pd.DataFrame({"image_id": [group["image_id"].iloc[0]], "width": [w], "height": [h], "content": [png_bytes(rgba)]})
 
     return pixels.groupBy("image_id").applyInPandas(run, "image_id bigint, width int, height int, content binary")
+
+
+def encode_jpeg(pixels: DataFrame, step: int = 1, depth: bool = False) -> DataFrame:
+    """JPEG bytes per image, coefficients in multiples of ``step``, with ``depth`` as a disparity picture of 0 to 255 inside; one image is one group."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("idx")
+        w, h = int(group["x"].max()) + 1, int(group["y"].max()) + 1
+        rgb = group[["r", "g", "b"]].to_numpy(np.uint8).reshape(h, w, 3)
+        content = jpeg.with_depth(rgb, group["depth"].to_numpy(np.uint8).reshape(h, w), "disparity", 0.0, 255.0, step=step) if depth else jpeg.encoded(rgb, step)
+        return pd.DataFrame({"image_id": [group["image_id"].iloc[0]], "width": [w], "height": [h], "content": [content]})
+
+    return pixels.groupBy("image_id").applyInPandas(run, "image_id bigint, width int, height int, content binary")
