@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,8 +191,7 @@ def effect(pixels: DataFrame, mode: str, foreground: float, background: float, i
         return pixels
     if mode == "blur":
         for axis in ("x", "y"):
-            soft = blurred(pixels, background, intensity, axis)
-            pixels = pixels.drop("r", "g", "b").join(soft, ["image_id", "idx"]).withColumns({c: F.floor(F.col(c) + 0.5).cast("int") for c in ("r", "g", "b")})
+            pixels = pixels.drop("r", "g", "b").join(blurred(pixels, background, intensity, axis, halves=True), ["image_id", "idx"])
     elif mode == "remove":
         pixels = remove_background(pixels, background, intensity)
     elif mode != "compress":
@@ -240,34 +241,46 @@ def with_embedded(pixels: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 BLUR = 12
+#: Side of the blocks that are blurred at once.
+BLOCK = 256
 
 
-def blurred(pixels: DataFrame, background: float, intensity: float, axis: str = "x") -> DataFrame:
-    """One pass of a Gaussian blur whose radius grows with depth; along a row (x) or a column (y), clamped at the edges.
+def blurred(pixels: DataFrame, background: float, intensity: float, axis: str = "x", halves: bool = False) -> DataFrame:
+    """One pass of a Gaussian blur whose radius grows with depth; along a row (x) or a column (y), clamped at the ends of the line's own pixels.
 
-    A frame of the neighbours within the largest radius holds every sample, so a pass is one window per image and line.
+    Lines are cut into blocks; a pixel within the largest radius of a border also goes to the block behind it, so each block is one group of bounded size, blurred
+    by arrays, one offset after the other. Places without a pixel have no weight. ``halves`` rounds to bytes, halves upwards.
     """
     line, along = ("y", "x") if axis == "x" else ("x", "y")
     t = C.clamp((F.col("depth") / 255.0 - background) / (1.0 - background + 1e-6))
     radius = F.floor(F.round(t * BLUR * intensity, 9)).cast("int")
-    frame = Window.partitionBy("image_id", line).orderBy(along).rowsBetween(-BLUR, BLUR)
-    ends = Window.partitionBy("image_id", line).orderBy(along).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    near = pixels.select(
-        "image_id", "idx", "x", "y", radius.alias("radius"), F.collect_list(F.struct(F.col(along).alias("at"), "r", "g", "b")).over(frame).alias("near"), F.min(along).over(ends).alias("low"), F.max(along).over(ends).alias("high")
-    )
-    sigma = F.greatest(F.col("radius") / 2.0, C.num(1e-6))
-    offsets = F.sequence(-F.col("radius"), F.col("radius"))
-
-    def total(value) -> Column:
-        return F.aggregate(offsets, C.num(0), lambda acc, o: acc + F.exp(-(o * o) / (2.0 * sigma * sigma)) * value(o))
-
-    def sample(o: Column, c: str) -> Column:
-        at = F.greatest(F.col("low"), F.least(F.col("high"), F.col(along) + o))
-        return F.element_at(F.col("near"), (at - F.col("near")[0]["at"] + 1).cast("int"))[c]
-
-    weight = total(lambda o: C.num(1))
-    return near.select("image_id", "idx", *[C.rounded(total(_sampler(sample, c)) / weight, 6).alias(c) for c in ("r", "g", "b")])
-
-
-def _sampler(sample, c: str):
-    return lambda o: sample(o, c)
+    ends = pixels.groupBy("image_id", line).agg(F.min(along).alias("low"), F.max(along).alias("high"))
+    home = F.floor(F.col(along) / BLOCK)
+    blocks = F.array_distinct(F.array(*[F.floor((F.col(along) + o) / BLOCK) for o in (-BLUR, 0, BLUR)]))
+    placed = pixels.select("image_id", "idx", F.col(line).alias("line"), F.col(along).alias("along"), radius.alias("radius"), "r", "g", "b", home.alias("home"), F.explode(blocks).alias("block"))
+    placed = placed.join(ends.withColumnRenamed(line, "line"), ["image_id", "line"]).withColumn("band", F.floor(F.col("line") / BLOCK))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        line, along = group["line"].to_numpy(), group["along"].to_numpy()
+        top, left = line.min(), along.min()
+        known = np.zeros((line.max() - top + 1, along.max() - left + 1))
+        values = np.zeros((*known.shape, 3))
+        known[line - top, along - left] = 1
+        values[line - top, along - left] = group[["r", "g", "b"]].to_numpy()
+        own = group[(group["home"] == group["block"]).to_numpy()]
+        line, along, reach = own["line"].to_numpy() - top, own["along"].to_numpy(), own["radius"].to_numpy()
+        low, high = own["low"].to_numpy(), own["high"].to_numpy()
+        total, weight = np.zeros((len(own), 3)), np.zeros(len(own))
+        sigma = np.maximum(reach / 2.0, 1e-6)
+        for o in range(-BLUR, BLUR + 1):
+            i = np.flatnonzero(reach >= abs(o))
+            if len(i):
+                at = np.clip(along[i] + o, low[i], high[i]) - left
+                w = np.exp(-(o * o) / (2.0 * sigma[i] * sigma[i])) * known[line[i], at]
+                total[i] += w[:, None] * values[line[i], at]
+                weight[i] += w
+        out = total / weight[:, None]
+        return pd.DataFrame({"image_id": own["image_id"], "idx": own["idx"], "r": out[:, 0], "g": out[:, 1], "b": out[:, 2]})
+
+    soft = placed.groupBy("image_id", "band", "block").applyInPandas(run, "image_id bigint, idx int, r double, g double, b double")
+    return soft.select("image_id", "idx", *[(F.floor(F.round(c, 6) + 0.5).cast("int") if halves else C.rounded(F.col(c), 6)).alias(c) for c in ("r", "g", "b")])

@@ -580,11 +580,6 @@ def _(s, d):
     return depth.simple_effect(read_pixels(s, d), 0.35, 0.65, 0.8).select("image_id", "idx", "r", "g", "b")
 
 
-@query("depth_blur_effect")
-def _(s, d):
-    return depth.effect(read_pixels(s, d), "blur", 0.35, 0.65, 0.8).select("image_id", "idx", "r", "g", "b")
-
-
 @query("depth_effect", f"""WITH {O.LAB}, z AS (SELECT *, 1.0 - {O.smooth('0.0', '0.35', 'depth / 255.0')} AS f, {O.smooth('0.65', '1.0', 'depth / 255.0')} AS t FROM lab),
 near AS (SELECT image_id, idx, t, ok_l * (1.0 - f) + (0.5 + (ok_l - 0.5) * (1.0 + 0.4 * f * 0.8)) * f AS l, ok_a * (1.0 - f + (1.0 + 0.3 * f * 0.8) * f) + 0.005 * f * 0.8 AS a,
   ok_b * (1.0 - f + (1.0 + 0.3 * f * 0.8) * f) + 0.015 * f * 0.8 AS b FROM z),
@@ -598,13 +593,31 @@ def _(s, d):
 _GAUSS = "exp(-(o * o) / (2.0 * greatest(rad / 2.0, 1e-6) * greatest(rad / 2.0, 1e-6)))"
 
 
-@query("depth_blur_rows", f"""WITH {O.PIXEL}, c AS (SELECT *, CAST(floor(round(greatest(0.0, least(1.0, (depth / 255.0 - 0.5) / (0.5 + 1e-6))) * 12 * 1.0, 9)) AS INT) AS rad, max(x) OVER (PARTITION BY image_id, y) AS high FROM pixel),
-e AS (SELECT image_id, idx, y, x, rad, high, unnest(range(-rad, rad + 1)) AS o FROM c)
-SELECT e.image_id, e.idx, """ + ", ".join(f"(round(sum({_GAUSS} * p.{c}) / sum({_GAUSS}), 6) + 0.0) AS {c}" for c in ("r", "g", "b")) + """ FROM e JOIN pixel p ON p.image_id = e.image_id AND p.y = e.y AND p.x = greatest(0, least(high, e.x + o)) GROUP BY ALL""")
+def _blur(source: str, axis: str, start: float, much: float, value: str) -> str:
+    """SQL of one pass over ``source``; ``value`` wraps the weighted mean."""
+    line = "y" if axis == "x" else "x"
+    means = ", ".join(value.format(f"round(sum({_GAUSS} * p.{c}) / sum({_GAUSS}), 6)") + f" AS {c}" for c in "rgb")
+    return f"""(SELECT e.image_id, e.idx, e.x, e.y, e.depth, {means} FROM (SELECT *, unnest(range(-rad, rad + 1)) AS o FROM (SELECT *,
+  CAST(floor(round(greatest(0.0, least(1.0, (depth / 255.0 - {start}) / (1.0 - {start} + 1e-6))) * 12 * {much}, 9)) AS INT) AS rad, max({axis}) OVER (PARTITION BY image_id, {line}) AS high FROM {source})) e
+  JOIN {source} p ON p.image_id = e.image_id AND p.{line} = e.{line} AND p.{axis} = greatest(0, least(high, e.{axis} + o)) GROUP BY ALL)"""
+
+
+@query("depth_blur_rows", f"WITH {O.PIXEL} SELECT image_id, idx, r, g, b FROM " + _blur("pixel", "x", 0.5, 1.0, "({} + 0.0)"))
 def _(s, d):
     return depth.blurred(read_pixels(s, d), 0.5, 1.0)
 
 
+_SOFT = O.LAB.replace("FROM pixel)", "FROM soft)").replace("linear AS", f"across AS MATERIALIZED {_blur('pixel', 'x', 0.65, 0.8, 'CAST(floor({} + 0.5) AS INT)')}, soft AS {_blur('across', 'y', 0.65, 0.8, 'CAST(floor({} + 0.5) AS INT)')},\nlinear AS", 1).replace("r, g, b, alpha, depth, lr", "depth, lr")
+
+
+@query("depth_blur_effect", f"""WITH {_SOFT}, z AS (SELECT *, 1.0 - {O.smooth('0.0', '0.35', 'depth / 255.0')} AS f FROM lab),
+near AS (SELECT image_id, idx, round(greatest(0.0, least(1.0, ok_l * (1.0 - f) + (0.5 + (ok_l - 0.5) * (1.0 + 0.4 * f * 0.8)) * f)), 6) AS l,
+  round(ok_a * (1.0 - f + (1.0 + 0.3 * f * 0.8) * f) + 0.005 * f * 0.8, 6) AS a, round(ok_b * (1.0 - f + (1.0 + 0.3 * f * 0.8) * f) + 0.015 * f * 0.8, 6) AS b FROM z)
+SELECT image_id, idx, """ + ", ".join(f"{v} AS {c}" for c, v in zip("rgb", O.rgb("l", "a", "b"))) + " FROM near")
+def _(s, d):
+    return depth.effect(read_pixels(s, d), "blur", 0.35, 0.65, 0.8).select("image_id", "idx", "r", "g", "b")
+
+
 # lines
 
 
