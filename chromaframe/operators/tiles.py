@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chromaframe.functions import color as C
 
@@ -57,20 +62,98 @@ def transformed(pixels: DataFrame, model: Callable[[np.ndarray], np.ndarray], sc
     side = tile + 2 * overlap
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["v", "u"])
-        image = group[["r", "g", "b"]].to_numpy(np.uint8).reshape(side, side, 3)
-        core = to_image(model(to_tensor(image)))[overlap * scale : (overlap + tile) * scale, overlap * scale : (overlap + tile) * scale]
-        y, x = np.divmod(np.arange((tile * scale) ** 2), tile * scale)
-        out = pd.DataFrame({"x": (x + (int(group["tx"].iloc[0]) * tile - border) * scale).astype(np.int32), "y": (y + (int(group["ty"].iloc[0]) * tile - border) * scale).astype(np.int32)})
-        out[["r", "g", "b"]] = core.reshape(-1, 3).astype(np.int32)
-        out.insert(0, "image_id", group["image_id"].iloc[0])
-        return out
-
-    made = tiles(pixels, tile, overlap, border).groupBy("image_id", "tx", "ty").applyInPandas(run, "image_id bigint, x int, y int, r int, g int, b int")
+        image = group.sort_values(["v", "u"])[["r", "g", "b"]].to_numpy(np.uint8).reshape(side, side, 3)
+        return _core(group["image_id"].iloc[0], group["tx"].iloc[0], group["ty"].iloc[0], to_image(model(to_tensor(image))), tile, overlap, border, scale)
+
+    return _cut(tiles(pixels, tile, overlap, border).groupBy("image_id", "tx", "ty").applyInPandas(run, _PLACED), pixels, scale)
+
+
+_PLACED = "image_id bigint, x int, y int, r int, g int, b int"
+
+
+def _core(image_id: int, tx: int, ty: int, made: np.ndarray, tile: int, overlap: int, border: int, scale: int) -> pd.DataFrame:
+    """Placed pixels of a tile's model output without its margins."""
+    core = made[overlap * scale : (overlap + tile) * scale, overlap * scale : (overlap + tile) * scale]
+    y, x = np.divmod(np.arange((tile * scale) ** 2), tile * scale)
+    out = pd.DataFrame({"x": (x + (int(tx) * tile - border) * scale).astype(np.int32), "y": (y + (int(ty) * tile - border) * scale).astype(np.int32)})
+    out[["r", "g", "b"]] = core.reshape(-1, 3).astype(np.int32)
+    out.insert(0, "image_id", image_id)
+    return out
+
+
+def _cut(made: DataFrame, pixels: DataFrame, scale: int) -> DataFrame:
+    """Placed pixels inside the enlarged images."""
     size = pixels.groupBy("image_id").agg(((F.max("x") + 1) * scale).alias("w"), ((F.max("y") + 1) * scale).alias("h"))
     return made.join(size, "image_id").where("x >= 0 and y >= 0 and x < w and y < h").select("image_id", (F.col("y") * F.col("w") + F.col("x")).cast("int").alias("idx"), "x", "y", "r", "g", "b")
 
 
+@dataclass(frozen=True)
+class Contract:
+    """What a model's manifest promises: tensors of one fixed shape in and out, (1, 3, side, side) of float32, the second ``scale`` times as large."""
+
+    name: str
+    side: int
+    scale: int
+
+    @classmethod
+    def of(cls, manifest: dict | str) -> Contract:
+        """From a manifest (or its JSON text) with ``method_id``, ``input_type``, ``output_type`` ("... [1,3,n,n] float32") and, if fixed, ``fixed_input_shape``."""
+        said = json.loads(manifest) if isinstance(manifest, str) else manifest
+        name = said.get("method_id") or "model"
+
+        def tensor(key: str) -> list[int]:
+            found = re.search(r"\[\s*([0-9]+(?:\s*,\s*[0-9]+)*)\s*\]\s*(\w+)\s*$", said.get(key) or "")
+            shape = [int(n) for n in found[1].split(",")] if found else []
+            if len(shape) != 4 or shape[:2] != [1, 3] or shape[2] != shape[3] or not shape[2] or found[2] != "float32":
+                raise ValueError(f"{name}: {key} is {said.get(key)!r}, not [1,3,n,n] float32")
+            return shape
+
+        taken, made = tensor("input_type"), tensor("output_type")
+        if said.get("flexible_shapes"):
+            raise ValueError(f"{name}: shapes must be fixed")
+        if said.get("fixed_input_shape", taken) != taken:
+            raise ValueError(f"{name}: fixed_input_shape {said['fixed_input_shape']} is not the shape of input_type, {taken}")
+        if made[2] % taken[2]:
+            raise ValueError(f"{name}: {made[2]} is no multiple of {taken[2]}")
+        return cls(name, taken[2], made[2] // taken[2])
+
+    def checked(self, made: np.ndarray, count: int) -> np.ndarray:
+        want = (count, 3, self.side * self.scale, self.side * self.scale)
+        if made.shape != want:
+            raise ValueError(f"{self.name}: the model made {made.shape} where its manifest says {want}")
+        return made
+
+
+def by_contract(pixels: DataFrame, load: Callable[[], Callable[[np.ndarray], np.ndarray]], contract: Contract, overlap: int = 10, border: int = 10, batch: int = 4) -> DataFrame:
+    """Pixels of the images that a model makes under its ``contract``; tiles overlap so that tile and margins fill its input.
+
+    ``load`` runs once per Python worker and returns the model, which turns (n, 3, side, side) into (n, 3, scale * side, scale * side), at most ``batch``
+    tiles at once. Tensors of another shape fail with the manifest's name.
+    """
+    tile, scale = contract.side - 2 * overlap, contract.scale
+    if tile < 1:
+        raise ValueError(f"{contract.name}: margins of {overlap} leave nothing of {contract.side}")
+
+    def stacked(group: pd.DataFrame) -> pd.DataFrame:
+        image = group.sort_values(["v", "u"])[["r", "g", "b"]].to_numpy(np.uint8).reshape(contract.side, contract.side, 3)
+        return pd.DataFrame({"image_id": group["image_id"].iloc[:1], "tx": group["tx"].iloc[:1], "ty": group["ty"].iloc[:1], "tensor": [to_tensor(image).reshape(-1)]})
+
+    def loaded() -> Callable[[np.ndarray], np.ndarray]:
+        model = load()
+        return lambda tensors: contract.checked(np.asarray(model(tensors)), len(tensors)).reshape(len(tensors), -1)
+
+    predict = predict_batch_udf(loaded, return_type=T.ArrayType(T.FloatType()), batch_size=batch, input_tensor_shapes=[[3, contract.side, contract.side]])
+    made = tiles(pixels, tile, overlap, border).groupBy("image_id", "tx", "ty").applyInPandas(stacked, "image_id bigint, tx int, ty int, tensor array<float>")
+    made = made.select("image_id", "tx", "ty", predict("tensor").alias("tensor"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            for image_id, tx, ty, tensor in frame.itertuples(index=False):
+                yield _core(image_id, tx, ty, to_image(np.reshape(tensor, (3, contract.side * scale, contract.side * scale))), tile, overlap, border, scale)
+
+    return _cut(made.mapInPandas(run, _PLACED), pixels, scale)
+
+
 def point_at(segment: dict[str, Column], t: Column) -> tuple[Column, Column]:
     return tuple(segment[f"{c}0"] + (segment[f"{c}1"] - segment[f"{c}0"]) * t for c in "xy")
 

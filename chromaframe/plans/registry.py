@@ -820,6 +820,19 @@ def _(s, d):
     return tiles.transformed(pixels, lambda t: 1 - t.repeat(2, axis=1).repeat(2, axis=2), 2, 32, 3, 5)
 
 
+_MANIFEST = {"method_id": "negative", "input_type": "tensor [1,3,40,40] float32", "output_type": "tensor [1,3,80,80] float32", "fixed_input_shape": [1, 3, 40, 40], "flexible_shapes": False}
+
+
+@query("contract_transform", f"WITH {O.PIXEL} SELECT p.image_id, ((y * 2 + j) * 100 + x * 2 + i)::INT AS idx, (x * 2 + i)::INT AS x, (y * 2 + j)::INT AS y, 255 - r AS r, 255 - g AS g, 255 - b AS b FROM pixel p, (SELECT unnest(range(2)) AS i), (SELECT unnest(range(2)) AS j)")
+def _(s, d):
+    """The same negative by its manifest, loaded once a worker and given batches of tiles."""
+
+    def load():
+        return lambda tensors: 1 - tensors.repeat(2, axis=2).repeat(2, axis=3)
+
+    return tiles.by_contract(read_pixels(s, d), load, tiles.Contract.of(_MANIFEST), 4, 5)
+
+
 @query("grid_drawn")
 def _(s, d):
     pixels = read_pixels(s, d)
