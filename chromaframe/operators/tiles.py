@@ -158,6 +158,13 @@ def point_at(segment: dict[str, Column], t: Column) -> tuple[Column, Column]:
     return tuple(segment[f"{c}0"] + (segment[f"{c}1"] - segment[f"{c}0"]) * t for c in "xy")
 
 
+def mapped(segments: DataFrame, left: float | Column, top: float | Column, width: float | Column, height: float | Column) -> DataFrame:
+    """``segments`` (x0, y0, x1, y1 in 0..1) in the coordinates of a rectangle, given by numbers or by columns of theirs."""
+    rect = {"x": (left, width), "y": (top, height)}
+    place = {c: [v if isinstance(v, Column) else C.num(v) for v in of] for c, of in rect.items()}
+    return segments.withColumns({f"{c}{i}": start + F.col(f"{c}{i}") * size for c, (start, size) in place.items() for i in "01"})
+
+
 def drawn(pixels: DataFrame, segments: DataFrame, opacity: float = 0.7) -> DataFrame:
     """Pixels with coloured segments (image_id, x0, y0, x1, y1 in 0..1, color #RRGGBBAA) over them, the shorter side over 1000 wide, at least 1.
 

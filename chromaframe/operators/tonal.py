@@ -72,3 +72,11 @@ def as_clusters(bands: DataFrame, levels: int = 4) -> DataFrame:
     """Bands as clusters of equal salience: (image_id, k, gray, cnt, salience)."""
     counts = band_counts(bands, levels)
     return counts.select("image_id", F.col("band").alias("k"), C.band_gray(F.col("band"), levels).alias("gray"), "cnt", C.num(1).alias("salience"))
+
+
+def display_names(colors: DataFrame) -> DataFrame:
+    """``colors`` with the name of each colour as shown: its components r, g, b of 0..1 are rounded to bytes first; null where one is null."""
+    own = colors.select(F.struct(*colors.columns).alias("own"), *[C.to_byte(F.round(c, 9)).alias(c) for c in ("r", "g", "b")])
+    known = F.col("own.r").isNotNull() & F.col("own.g").isNotNull() & F.col("own.b").isNotNull()
+    named = with_oklab(own).select("own", F.when(known, C.color_name(F.round("ok_l", 9), F.col("ok_a"), F.col("ok_b"))).alias("name"))
+    return named.select(*[F.col("own")[c].alias(c) for c in colors.columns], "name")

@@ -129,6 +129,16 @@ def _(s, d):
     return _lab(s, d).select("image_id", "idx", C.color_name(F.round("ok_l", 9), F.col("ok_a"), F.col("ok_b")).alias("name"))
 
 
+_SHOWN = ", ".join(f"floor(round({c} / 255.0 * 0.9 + 0.05, 9) * 255.0 + 0.5)::INT AS {c}" for c in "rgb")
+
+
+@query("display_names", _NAMES.replace("FROM pixel)", "FROM shown)").replace("linear AS", f"shown AS (SELECT * REPLACE ({_SHOWN}) FROM pixel),\nlinear AS", 1))
+def _(s, d):
+    """Names of the colours as a screen of less contrast shows them."""
+    shown = read_pixels(s, d).select("image_id", "idx", *[(F.col(c) / 255.0 * 0.9 + 0.05).alias(c) for c in "rgb"])
+    return tonal.display_names(shown).select("image_id", "idx", "name")
+
+
 @query("hex_color", f"WITH {O.PIXEL} SELECT image_id, idx, printf('#%02X%02X%02X%02X', r, g, b, alpha) AS hex FROM pixel")
 def _(s, d):
     return read_pixels(s, d).select("image_id", "idx", C.hex_color(*[F.col(c) for c in ("r", "g", "b", "alpha")]).alias("hex"))
@@ -630,6 +640,12 @@ def _(s, d):
     return r6(lines.grid_segments(images, 4), "x0", "y0", "x1", "y1")
 
 
+@query("mapped_segments", f"SELECT image_id, kind, i, j, {O.r6('12 + x0 * 640')} AS x0, {O.r6('8 + y0 * 480')} AS y0, {O.r6('12 + x1 * 640')} AS x1, {O.r6('8 + y1 * 480')} AS y1 FROM ({SQL['grid_segments']})")
+def _(s, d):
+    """Grid lines in a view of 640 x 480 points at (12, 8)."""
+    return r6(tiles.mapped(QUERIES["grid_segments"](s, d), 12, 8, 640, 480), "x0", "y0", "x1", "y1")
+
+
 _LEVELS = [0.15, 0.3, 0.45, 0.6, 0.75]
 _CELLS = f"""WITH {O.PIXEL}, f AS (SELECT image_id, x, y, depth / 255.0 AS v FROM pixel),
 q AS (SELECT a.image_id, a.x, a.y, a.v AS tl, b.v AS tr, c.v AS bl, e.v AS br FROM f a JOIN f b ON b.image_id = a.image_id AND b.x = a.x + 1 AND b.y = a.y

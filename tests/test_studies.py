@@ -765,3 +765,18 @@ def test_names_and_signs_of_a_report(spark):
     values = [-0.5, -0.03, 0.0, 0.0004, 0.25, 1.0]
     rows = spark.createDataFrame([(v,) for v in values], "v double").select(export.signed_text(F.col("v")).alias("text"), export.bias_name(F.col("v")).alias("name")).collect()
     assert [(r.text, r.name) for r in rows] == [("-0.5", "Light Detail"), ("-0.03", "Even"), ("0", "Even"), ("0", "Even"), ("+0.25", "Shadow Detail"), ("+1", "Shadow Detail")]
+
+
+def test_display_names_round_to_bytes_first(spark):
+    """Components past the ends are clamped; a missing one leaves the colour without a name; other columns stay."""
+    rows = [(1, 1.0, 1.0, 1.0), (2, 1.5, 1.2, 1.001), (3, 0.0, 0.0, 0.0), (4, None, 0.5, 0.5), (5, 0.9, 0.1, 0.1), (6, 229.6 / 255, 25.4 / 255, 25.7 / 255)]
+    got = {r.own: r.name for r in tonal.display_names(spark.createDataFrame(rows, "own int, r double, g double, b double")).collect()}
+    bytes_ = spark.createDataFrame([(230, 26, 26), (230, 25, 26)], "r int, g int, b int")
+    want = [r.name for r in tonal.with_oklab(bytes_).select(C.color_name(F.round("ok_l", 9), F.col("ok_a"), F.col("ok_b")).alias("name")).collect()]
+    assert got[1] == got[2] and got[1].endswith("Neutral") and got[3].endswith("Neutral") and got[1] != got[3] and got[4] is None
+    assert [got[5], got[6]] == want
+
+
+def test_mapped_segments(spark):
+    segments = spark.createDataFrame([(1, 0.0, 0.5, 1.0, 0.25, 100)], "image_id long, x0 double, y0 double, x1 double, y1 double, w int")
+    assert tuple(tiles.mapped(segments, 10, 20, F.col("w"), 40).first())[1:5] == (10.0, 40.0, 110.0, 30.0)
