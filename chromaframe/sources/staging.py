@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -10,6 +11,10 @@ from pyarrow import fs
 from pyspark.sql.datasource import WriterCommitMessage
 
 
+#: How often the removal of a folder is tried again.
+ATTEMPTS = 20
+
+
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path or URI, and the path in it."""
     return fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path.removeprefix("file:")))
@@ -53,9 +58,20 @@ class Staging:
         self.abort()
 
     def abort(self) -> None:
+        """Removes the folder. It is renamed first, so that tasks that still run cannot add files while it is emptied."""
         system, root = filesystem(self.path)
+        gone = f"{root}/{self.folder}-gone"
         if system.get_file_info(f"{root}/{self.folder}").type == fs.FileType.Directory:
-            system.delete_dir(f"{root}/{self.folder}")
+            system.move(f"{root}/{self.folder}", gone)
+        for left in range(ATTEMPTS, -1, -1):  # a file whose making had begun may appear in between
+            if system.get_file_info(gone).type == fs.FileType.NotFound:
+                return
+            try:
+                system.delete_dir(gone)
+            except OSError:
+                if not left:
+                    raise
+                time.sleep(0.1)
 
 
 class StagedFiles:

@@ -86,3 +86,28 @@ def test_an_aborted_write_leaves_no_files(spark, tmp_path, bad):
     with pytest.raises(Exception):  # noqa: B017
         imagefiles.write_images(spark.createDataFrame(rows, "name string, content binary").repartition(4), path)
     assert not [f for _, _, files in os.walk(path) for f in files]
+
+
+def test_abort_while_files_are_added(tmp_path):
+    """Writers that go on during an abort fail, and nothing of theirs stays."""
+    import threading
+
+    from chromaframe.sources.staging import Staging
+
+    for k in range(20):
+        staging = Staging(str(tmp_path / str(k)))
+        attempts = [staging.attempt() for _ in range(4)]
+
+        def fill(files):
+            with pytest.raises(OSError):
+                for i in range(100_000):
+                    files.add(f"f{i}", b"x")
+
+        threads = [threading.Thread(target=fill, args=(a,)) for a in attempts]
+        for t in threads:
+            t.start()
+        staging.abort()
+        for t in threads:
+            t.join()
+        assert not os.listdir(tmp_path / str(k))
+        staging.abort()
