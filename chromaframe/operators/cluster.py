@@ -112,11 +112,15 @@ def _hue_coverage(lab: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     return np.where(np.hypot(lab[:, 1], lab[:, 2]) <= 0.02, 0.2, out)
 
 
+#: Scores of seeds nearer than that are equal.
 TIE = 1e-6
 
 
-def choose_seeds(lab: np.ndarray, weight: np.ndarray, k: int, spread: float = 0.0, l_weight: float = 0.3) -> np.ndarray:
-    """Indexes of up to k seeds: the heaviest first, then far and heavy ones; ties by weight, L, a, b, all descending."""
+def choose_seeds(lab: np.ndarray, weight: np.ndarray, k: int, spread: float = 0.0, l_weight: float = 0.3, tie: float = TIE) -> np.ndarray:
+    """Indexes of up to k seeds: the heaviest first, then far and heavy ones; ties by weight, L, a, b, all descending.
+
+    Scores within ``tie`` of the best so far are equal to it; where that is 0, scores that are so to nine places.
+    """
     order = np.lexsort((-lab[:, 2], -lab[:, 1], -lab[:, 0], -np.round(weight, 9)))
     lab, weight = lab[order], weight[order]
     scale = np.array([l_weight, 1, 1])
@@ -126,10 +130,10 @@ def choose_seeds(lab: np.ndarray, weight: np.ndarray, k: int, spread: float = 0.
         nearest = np.minimum(nearest, (((lab - lab[chosen[-1]]) * scale) ** 2).sum(axis=1))
         heavy = 0.35 + 0.65 * np.sqrt(weight / weight.max())
         score = nearest * ((1 - spread) * heavy + (spread * _hue_coverage(lab, lab[chosen]) if spread else 0))
-        score = np.where(np.round(nearest, 9) > 1e-6, score, -1)
+        score = np.where(np.round(nearest, 9) > 1e-6, score if tie else np.round(score, 9), -1)
         best, top = None, -0.5
         for i in np.flatnonzero(score > np.concatenate(([-0.5], np.maximum.accumulate(score)[:-1]))).tolist():
-            if best is None or score[i] > top + TIE:  # scores nearer than that are equal, and the order decides
+            if best is None or score[i] > top + tie:  # scores nearer than that are equal, and the order decides
                 best, top = i, score[i]
         if best is None:
             break
@@ -171,8 +175,8 @@ def _per_image(candidates: DataFrame, make: Callable[[np.ndarray, np.ndarray], n
     return candidates.select("image_id", "bin", "weight", *LAB).groupBy("image_id").applyInPandas(run, CENTERS)
 
 
-def seeds(candidates: DataFrame, k: int, spread: float = 0.0, l_weight: float = 0.3) -> DataFrame:
-    return _per_image(candidates, lambda lab, w: lab[choose_seeds(lab, w, k, spread, l_weight)])
+def seeds(candidates: DataFrame, k: int, spread: float = 0.0, l_weight: float = 0.3, tie: float = TIE) -> DataFrame:
+    return _per_image(candidates, lambda lab, w: lab[choose_seeds(lab, w, k, spread, l_weight, tie)])
 
 
 def centers(candidates: DataFrame, k: int, spread: float = 0.0, l_weight: float = 0.3, rounds: int = 4) -> DataFrame:
