@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -203,7 +205,10 @@ def effect(pixels: DataFrame, mode: str, foreground: float, background: float, i
 
 
 def resized(depths: DataFrame, pixels: DataFrame) -> DataFrame:
-    """Depth bytes (image_id, x, y, depth) at the size of the images in ``pixels``: linear between the centres of their own places, halves up."""
+    """Depth bytes (image_id, x, y, depth) at the size of the images in ``pixels``: linear between the centres of their own places, halves up.
+
+    Places have nine decimals and are summed as such, so no order of additions decides what is half.
+    """
 
     def size(of: DataFrame, *names: str) -> DataFrame:
         return of.groupBy("image_id").agg(*[(F.max(c) + 1).alias(n) for c, n in zip("xy", names, strict=True)])
@@ -214,12 +219,14 @@ def resized(depths: DataFrame, pixels: DataFrame) -> DataFrame:
         low = F.floor(place).cast("int")
         return F.filter(F.array(F.struct(low.alias("at"), (1.0 - (place - low)).alias("w")), F.struct((low + 1).alias("at"), (place - low).alias("w"))), lambda e: e["w"] > 0)
 
-    rows = pixels.select("image_id", "x", "y").join(size(depths, "dw", "dh").join(size(pixels, "w", "h"), "image_id"), "image_id")
+    sizes = size(depths, "dw", "dh").join(size(pixels, "w", "h").hint("merge"), "image_id")
+    rows = pixels.select("image_id", "x", "y").join(sizes.hint("merge"), "image_id")
     rows = rows.withColumn("cx", F.explode(corners("x", "dw", "w"))).withColumn("cy", F.explode(corners("y", "dh", "h")))
-    rows = rows.select("image_id", "x", "y", (F.col("cx.w") * F.col("cy.w")).alias("share"), F.col("cx.at").alias("dx"), F.col("cy.at").alias("dy"))
-    own = depths.select("image_id", F.col("x").alias("dx"), F.col("y").alias("dy"), "depth")
-    mixed = F.floor(F.round(F.sum(F.col("share") * F.col("depth")), 9) + 0.5).cast("int")
-    return rows.join(own, ["image_id", "dx", "dy"]).groupBy("image_id", "x", "y").agg(mixed.alias("depth"))
+    share = (F.col(f"{c}.w").cast("decimal(10,9)") for c in ("cx", "cy"))
+    rows = rows.select("image_id", "x", "y", (next(share) * next(share)).alias("share"), F.col("cx.at").alias("dx"), F.col("cy.at").alias("dy"))
+    own = depths.select("image_id", F.col("x").alias("dx"), F.col("y").alias("dy"), F.col("depth").cast("decimal(3,0)").alias("depth"))
+    mixed = F.floor(F.round(F.sum(F.col("share") * F.col("depth")), 9) + F.lit(Decimal("0.5"))).cast("int")
+    return rows.join(own.hint("merge"), ["image_id", "dx", "dy"]).groupBy("image_id", "x", "y").agg(mixed.alias("depth"))
 
 
 def embedded(samples: DataFrame) -> DataFrame:
