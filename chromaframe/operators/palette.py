@@ -14,6 +14,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,6 +132,38 @@ def unselected(pigments: DataFrame, tubes: DataFrame) -> DataFrame:
     return tubes.select("image_id").distinct().join(pigments.select("pid"), F.lit(True)).join(tubes.select("image_id", "pid"), ["image_id", "pid"], "left_anti")
 
 
+class InnerMixes:
+    """Colours of the mixes of sets of one to three pigments in which every paint has an amount, each set's worked out once for all images of a worker.
+
+    Triples of up to ``most`` pigments are kept (76,076 of 78: 38 MB), those of larger tables made anew.
+    """
+
+    def __init__(self, pigments: spectral.Pigments, most: int = 100):
+        self.pigments = pigments
+        inner = [spectral.steps(n, False) for n in (2, 3)]
+        self.amounts = [np.array([(8,)]), inner[0][:, :2], inner[1]]
+        self.most, self.at, self.lab = most, {}, {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"at": {}, "lab": {}}
+
+    def _made(self, places: np.ndarray) -> np.ndarray:
+        amounts = self.amounts[places.shape[1] - 1]
+        return self.pigments.mixes(np.repeat(places, len(amounts), axis=0), np.tile(amounts, (len(places), 1))).reshape(len(places), len(amounts), 3)
+
+    def of(self, places: np.ndarray) -> np.ndarray:
+        """Colours (set, mix, 3) of sets given by ascending places."""
+        n, size = places.shape[1], len(self.pigments.pid)
+        if size > self.most:
+            return self._made(places)
+        if n not in self.at:
+            every = np.array(list(itertools.combinations(range(size), n)))
+            at = np.zeros((size,) * n, np.int32)
+            at[tuple(every.T)] = np.arange(len(every))
+            self.at[n], self.lab[n] = at, np.concatenate([self._made(every[i : i + 2048]) for i in range(0, len(every), 2048)])
+        return self.lab[n][self.at[n][tuple(places.T)]]
+
+
 class SubsetMinima:
     """Per colour the distance of the best mix of every set of one to ``paints`` pigments, each set's worked out when it is first asked for.
 
@@ -138,12 +171,10 @@ class SubsetMinima:
     sets with the new tube alone, and no mix is ever looked at twice.
     """
 
-    def __init__(self, pigments: spectral.Pigments, colors: np.ndarray, paints: int = 3):
-        self.pigments, self.colors, self.paints = pigments, colors, paints
+    def __init__(self, pigments: spectral.Pigments, colors: np.ndarray, paints: int = 3, mixes: InnerMixes | None = None):
+        self.colors, self.paints, self.mixes = colors, paints, mixes or InnerMixes(pigments)
         self.place = {int(p): i for i, p in enumerate(pigments.pid)}
         self.best: dict[tuple[int, ...], np.ndarray] = {}
-        inner = [spectral.steps(n, False) for n in (2, 3)]
-        self.amounts = [np.array([(8,)]), inner[0][:, :2], inner[1]]
 
     def sets(self, tubes: Iterable[int]) -> list[tuple[int, ...]]:
         """All sets of at most ``paints`` of some tubes."""
@@ -152,16 +183,15 @@ class SubsetMinima:
 
     def look(self, sets: list[tuple[int, ...]]) -> np.ndarray:
         """The distances (set, colour) of the best mixes of sets."""
-        for n, amounts in enumerate(self.amounts, 1):
+        for n in range(1, self.paints + 1):
             new = [c for c in dict.fromkeys(sets) if len(c) == n and c not in self.best]
             for first in range(0, len(new), 2048):
                 some = new[first : first + 2048]
-                places = np.array([[self.place[p] for p in c] for c in some])
-                lab = self.pigments.mixes(np.repeat(places, len(amounts), axis=0), np.tile(amounts, (len(some), 1)))
+                lab = self.mixes.of(np.array([[self.place[p] for p in c] for c in some]))
                 d = np.empty((len(some), len(self.colors)))
                 for i, c in enumerate(self.colors):
                     diff = (lab - c) ** 2
-                    d[:, i] = (diff[:, 0] + spectral.chroma_weight(c) * (diff[:, 1] + diff[:, 2])).reshape(len(some), -1).min(axis=1)
+                    d[:, i] = (diff[..., 0] + spectral.chroma_weight(c) * (diff[..., 1] + diff[..., 2])).min(axis=1)
                 self.best.update(zip(some, np.sqrt(np.round(d, 9)), strict=True))
         return np.array([self.best[c] for c in sets]).reshape(len(sets), len(self.colors))
 
@@ -175,20 +205,21 @@ def tube_error(minima: SubsetMinima, tubes: Iterable[int], weights: np.ndarray)
 def improve_tubes(tubes: list[int], pigments: list[int], minima: SubsetMinima, weights: np.ndarray) -> list[int]:
     """Swap one tube for one left out while that lowers the error by more than 0.001: the best swap each time, at most twice as often as there are tubes.
 
-    What the tubes without one of them reach is one minimum a tube; a swap adds the sets that hold the new tube.
+    What the tubes without one of them reach is one minimum a tube; a swap adds the sets that hold the new tube, those of all new tubes at once.
     """
     tubes = list(tubes)
     for _ in range(max(3, 2 * len(tubes))):
         least, best = tube_error(minima, tubes, weights), None
-        others = [p for p in pigments if p not in tubes]
-        added = {p: [c for c in minima.sets([*tubes, p]) if p in c] for p in others}
-        minima.look([c for sets in added.values() for c in sets])
-        for p in others:
-            new = minima.look(added[p])
-            for i, gone in enumerate(tubes):
-                left = minima.look(minima.sets(tubes[:i] + tubes[i + 1 :])).min(axis=0, initial=np.inf)
-                mine = new[[gone not in c for c in added[p]]].min(axis=0, initial=np.inf)
-                error = float(np.minimum(left, mine) @ weights)
+        others = [p for p in pigments if p not in tubes and p in minima.place]
+        with_one = [c for n in range(minima.paints) for c in itertools.combinations(sorted(t for t in tubes if t in minima.place), n)]
+        new = minima.look([tuple(sorted((*c, p))) for p in others for c in with_one]).reshape(len(others), len(with_one), -1)
+        errors = np.full((len(others), len(tubes)), np.inf)
+        for i, gone in enumerate(tubes):
+            left = minima.look(minima.sets(tubes[:i] + tubes[i + 1 :])).min(axis=0, initial=np.inf)
+            mine = new[:, [gone not in c for c in with_one]].min(axis=1, initial=np.inf)
+            errors[:, i] = np.minimum(left, mine) @ weights
+        for at, p in enumerate(others):
+            for i, error in enumerate(errors[at].tolist()):
                 if error < least - 0.001:
                     best, least = [*tubes[:i], p, *tubes[i + 1 :]], error
         if best is None:
@@ -199,13 +230,14 @@ def improve_tubes(tubes: list[int], pigments: list[int], minima: SubsetMinima, w
 
 def improved_tubes(tubes: DataFrame, clusters: DataFrame, pigments: DataFrame, paints: int = 3) -> DataFrame:
     """``select_tubes`` of every image after ``improve_tubes`` for its clusters (k, lab, cnt, salience), among all ``pigments``."""
-    shared = tubes.sparkSession.sparkContext.broadcast(spectral.Pigments.of(pigments))  # at most 255 rows
+    shared = tubes.sparkSession.sparkContext.broadcast(InnerMixes(spectral.Pigments.of(pigments)))  # at most 255 rows
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.assign(w=right["cnt"] * right["salience"]).sort_values(["w", "k"], ascending=[False, True])
         found = left.sort_values("place")["pid"].astype(int).tolist()
         if found and len(right):
-            found = improve_tubes(found, shared.value.pid.tolist(), SubsetMinima(shared.value, right[LAB].to_numpy(float), paints), right["w"].to_numpy(float))
+            mixes = shared.value
+            found = improve_tubes(found, mixes.pigments.pid.tolist(), SubsetMinima(mixes.pigments, right[LAB].to_numpy(float), paints, mixes), right["w"].to_numpy(float))
         return pd.DataFrame({"image_id": (left if len(left) else right)["image_id"].iloc[0], "pid": found, "place": range(len(found))})
 
     return tubes.groupBy("image_id").cogroup(clusters.select("image_id", "k", *LAB, "cnt", "salience").groupBy("image_id")).applyInPandas(run, "image_id bigint, pid int, place int")
@@ -244,11 +276,14 @@ class Recipe:
     members: list[int] = field(default_factory=list)
 
 
-def _rows_to_recipes(group: pd.DataFrame) -> list[Recipe]:
-    return [
-        Recipe(int(r.recipe_id), {int(c["pid"]): float(c["concentration"]) for c in r.components}, np.array([r.ok_l, r.ok_a, r.ok_b]), int(r.cnt), float(r.importance), [int(r.recipe_id)])
-        for r in group.sort_values("recipe_id").itertuples()
-    ]
+def _rows_to_recipes(group: pa.Table) -> list[Recipe]:
+    group = group.sort_by("recipe_id").combine_chunks()
+    parts = group.column("components").combine_chunks()
+    parts = parts.chunk(0) if isinstance(parts, pa.ChunkedArray) else parts
+    pids, amounts, ends = parts.values.field("pid").to_pylist(), parts.values.field("concentration").to_pylist(), parts.offsets.to_pylist()
+    ids, cnt, importance = (group.column(c).to_pylist() for c in ("recipe_id", "cnt", "importance"))
+    lab = np.stack([group.column(c).to_numpy() for c in LAB], axis=1)
+    return [Recipe(i, dict(zip(pids[a:b], amounts[a:b], strict=True)), lab[n], cnt[n], float(importance[n]), [i]) for n, (i, a, b) in enumerate(zip(ids, ends, ends[1:]))]
 
 
 def _distance(a: Recipe, b: Recipe) -> float:
@@ -262,20 +297,58 @@ def similar(a: Recipe, b: Recipe, color: float, concentration: float) -> bool:
     return set(a.parts) == set(b.parts) and all(round(abs(v - b.parts[p]), 9) <= concentration for p, v in a.parts.items())
 
 
+#: Recipes that are compared with one kept recipe at once.
+AT_ONCE = 4096
+
+
 def merge(recipes: list[Recipe], color: float = 0.015, concentration: float = 0.05) -> list[Recipe]:
-    """Recipes folded into the first similar one before them; the larger lends its colour and amounts. Empty ones go to the nearest."""
+    """Recipes folded into the first similar one before them; the larger lends its colour and amounts. Empty ones go to the nearest.
+
+    What is ``similar`` to a kept recipe is worked out for many at once, when it is kept and again when it changes; each then takes the first that it is similar to.
+    """
     kept: list[Recipe] = []
-    for r in (r for r in recipes if r.cnt > 0):
-        for i, k in enumerate(kept):
-            if similar(k, r, color, concentration):
-                lead = k if k.cnt >= r.cnt else r
-                kept[i] = Recipe(k.id, lead.parts, lead.lab, k.cnt + r.cnt, k.importance + r.importance, k.members + r.members)
-                break
-        else:
-            kept.append(r)
-    for r in (r for r in recipes if r.cnt <= 0):
-        if kept:
-            min(kept, key=lambda k: (round(_distance(k, r), 9), k.id)).members.extend(r.members)
+    full = [r for r in recipes if r.cnt > 0]
+    sets: dict[tuple[int, ...], int] = {}
+    for first in range(0, len(full), AT_ONCE):
+        some = full[first : first + AT_ONCE]
+        lab = np.array([r.lab for r in some])
+        pids = [sorted(r.parts) for r in some]
+        kind = np.array([sets.setdefault(tuple(p), len(sets)) for p in pids])
+        widest = max(map(len, [*pids, *(k.parts for k in kept)]))
+        amounts = np.array([[r.parts[q] for q in p] + [0.0] * (widest - len(p)) for r, p in zip(some, pids, strict=True)]).reshape(len(some), widest)
+        alike = np.zeros((len(some), max(64, 2 * len(kept))), bool)
+
+        def compared(i: int, start: int) -> None:
+            k = kept[i]
+            near = np.sqrt(((lab[start:] - k.lab) ** 2).sum(axis=1)) < color
+            own = sorted(k.parts)
+            mine = np.array([k.parts[q] for q in own] + [0.0] * (widest - len(own)))
+            near |= (kind[start:] == sets[tuple(own)]) & (np.round(np.abs(amounts[start:] - mine), 9) <= concentration).all(axis=1)
+            alike[start:, i] = near
+
+        for i in range(len(kept)):
+            compared(i, 0)
+        for at, r in enumerate(some):
+            if len(kept) == alike.shape[1]:
+                alike = np.concatenate([alike, np.zeros_like(alike)], axis=1)
+            i = int(alike[at].argmax())
+            if not alike[at, i]:
+                kept.append(replace(r, members=list(r.members)))
+                compared(len(kept) - 1, at + 1)
+                continue
+            k, changes = kept[i], kept[i].cnt < r.cnt
+            k.members.extend(r.members)
+            lead = r if changes else k
+            kept[i] = Recipe(k.id, lead.parts, lead.lab, k.cnt + r.cnt, k.importance + r.importance, k.members)
+            if changes:
+                compared(i, at + 1)
+    if kept:
+        lab = np.array([k.lab for k in kept])
+        ids = np.array([k.id for k in kept])
+        for r in (r for r in recipes if r.cnt <= 0):
+            d = np.round(np.sqrt(((lab - r.lab) ** 2).sum(axis=1)), 9)
+            same = np.flatnonzero(d == d.min())
+            kept[int(same[ids[same].argmin()])].members.extend(r.members)
     return kept
 
 
@@ -318,9 +391,12 @@ def anchors(recipes: list[Recipe], shades: int) -> set[int]:
 def _survivors(recipes: list[Recipe], left: list[Recipe]) -> list[Recipe]:
     """``left`` with what was dropped from ``recipes`` added to the nearest of them."""
     out = {r.id: replace(r, members=list(r.members)) for r in left}
+    lab, ids = np.array([r.lab for r in left]).reshape(-1, 3), np.array([r.id for r in left])
     for r in recipes:
         if r.id not in out:
-            near = out[min(left, key=lambda k: (round(_distance(k, r), 9), k.id)).id]
+            d = np.round(np.sqrt(((lab - r.lab) ** 2).sum(axis=1)), 9)
+            same = np.flatnonzero(d == d.min())
+            near = out[int(ids[same].min())]
             near.members.extend(r.members)
             near.cnt += r.cnt
             near.importance += r.importance
@@ -352,19 +428,20 @@ def prune_to(recipes: list[Recipe], shades: int) -> list[Recipe]:
     return _survivors(recipes, [r for r in recipes if r.id not in gone])
 
 
-def _frame(image_id: int, recipes: list[Recipe]) -> pd.DataFrame:
-    columns = ["image_id", "recipe_id", "components", *LAB, "cnt", "importance", "members"]
+MEMBERS = RECIPE.replace("importance double", "importance double, members array<int>")
+
+
+def _table(image_id: int, recipes: list[Recipe]) -> pa.Table:
+    kinds = [pa.int64(), pa.int32(), pa.list_(pa.struct({"pid": pa.int32(), "concentration": pa.float64()})), *[pa.float64()] * 3, pa.int64(), pa.float64(), pa.list_(pa.int32())]
     rows = [(image_id, r.id, [{"pid": p, "concentration": c} for p, c in sorted(r.parts.items())], *map(float, r.lab), r.cnt, r.importance, sorted(r.members)) for r in recipes]
-    return pd.DataFrame(rows, columns=columns)
+    return pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["image_id", "recipe_id", "components", *LAB, "cnt", "importance", "members"])
 
 
 def _grouped(recipes: DataFrame, make) -> DataFrame:
-    names = RECIPE.replace("importance double", "importance double, members array<int>")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return _frame(int(group["image_id"].iloc[0]), make(_rows_to_recipes(group)))
+    def run(group: pa.Table) -> pa.Table:
+        return _table(group.column("image_id")[0].as_py(), make(_rows_to_recipes(group)))
 
-    return recipes.groupBy("image_id").applyInPandas(run, names)
+    return recipes.select(*[c.split()[0] for c in RECIPE.split(", ")]).groupBy("image_id").applyInArrow(run, MEMBERS)
 
 
 def merged(recipes: DataFrame) -> DataFrame:
