@@ -49,13 +49,21 @@ def pigments_of_embeddings(embeddings: DataFrame) -> DataFrame:
     )
 
 
-def pigments_of_nations(nations: DataFrame) -> DataFrame:
-    """A synthetic pigment of every nation: an absorption lobe at a place by its key, of a strength and width by its region."""
-    key, region = F.col("n_nationkey"), F.col("n_regionkey").cast("double")
-    lobes = [0.02 + 1.3 * (region + 1) * F.exp(-0.5 * F.pow((C.num(w - 400) - 12.5 * key) / (30.0 + 15 * region), C.num(2))) for w in WAVELENGTHS]
+def pigments_of_nations(nations: DataFrame, number: str = "n_nationkey") -> DataFrame:
+    """A synthetic pigment of every nation, by ``number``: an absorption lobe at a place by its key, of a strength and width by its region."""
+    place, key, region = F.col("n_nationkey"), F.col(number), F.col("n_regionkey").cast("double")
+    lobes = [0.02 + 1.3 * (region + 1) * F.exp(-0.5 * F.pow((C.num(w - 400) - 12.5 * place) / (30.0 + 15 * region), C.num(2))) for w in WAVELENGTHS]
     return nations.select(key.alias("pid"), F.concat(F.lit("p"), key.cast("string")).alias("id"), F.col("n_name").alias("name"), (key % 3 != 2).alias("essential"), F.array(*lobes).alias("k_over_s"))
 
 
+def pigments_of_nations_by_region(nations: DataFrame, regions: DataFrame) -> DataFrame:
+    """Synthetic pigments of every nation in every region: ``pigments_of_nations`` as if each nation lay in each region in turn, numbered by nation, then region."""
+    n = regions.count()
+    every = nations.select("n_nationkey", "n_name").crossJoin(regions.select(F.col("r_regionkey").alias("n_regionkey")))
+    pid = (F.col("n_nationkey") * n + F.col("n_regionkey")).cast("int")
+    return pigments_of_nations(every.withColumns({"n_name": F.concat_ws(" ", "n_name", "n_regionkey"), "number": pid}), "number")
+
+
 def pigment_fixture(spark: SparkSession) -> DataFrame:
     """A table of 78 synthetic pigments, the number of the reference: absorption lobes at 13 wavelengths in 6 strengths and widths."""
     rows = []

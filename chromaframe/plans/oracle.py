@@ -159,6 +159,9 @@ FIXTURE = """pig AS (SELECT pid, [0.02 + 4.0 * (pid // 13 + 1) / 6 * exp(-0.5 *
 #: A pigment of every nation: its key is the place of the lobe, its region the strength and width.
 NATIONS = """pig AS (SELECT n_nationkey AS pid, [0.02 + 1.3 * (n_regionkey + 1) * exp(-0.5 * pow((w - 400 - 12.5 * n_nationkey) / (30.0 + 15 * n_regionkey), 2)) FOR w IN range(400, 701, 10)] AS ks FROM nation)"""
 
+#: A pigment of every nation in every region's strength and width.
+PAINTS = """pig AS (SELECT n_nationkey * (SELECT count(*)::INT FROM region) + r_regionkey AS pid, [0.02 + 1.3 * (r_regionkey + 1) * exp(-0.5 * pow((w - 400 - 12.5 * n_nationkey) / (30.0 + 15 * r_regionkey), 2)) FOR w IN range(400, 701, 10)] AS ks FROM nation, region)"""
+
 #: Colour names, from the definitions.
 VALUES = "CASE WHEN l < 0.20 THEN 'Near-Black' WHEN l < 0.35 THEN 'Dark' WHEN l < 0.55 THEN 'Deep' WHEN l < 0.72 THEN 'Mid' WHEN l < 0.86 THEN 'Light' ELSE 'Pale' END"
 CHROMAS = "CASE WHEN c < 0.03 THEN 'Neutral' WHEN c < 0.06 THEN 'Dull' WHEN c < 0.10 THEN 'Muted' WHEN c < 0.16 THEN 'Soft' WHEN c < 0.24 THEN 'Clear' ELSE 'Bright' END"
