@@ -197,17 +197,17 @@ def _ranked(segs: DataFrame, nodes: DataFrame) -> DataFrame:
     both = nodes.where(F.size("at") == 2).select(*LEVEL, F.explode(F.array(F.struct(F.col("at")[0].alias("x"), F.col("at")[1].alias("y")), F.struct(F.col("at")[1].alias("x"), F.col("at")[0].alias("y")))).alias("p"))
     before = both.select(*LEVEL, (2 * F.col("p.x.s") + F.col("p.x.side")).alias("dart"), (2 * F.col("p.y.s") + 1 - F.col("p.y.side")).alias("before"))
     way = F.explode(F.array(F.struct(F.lit(0).alias("dir"), F.col("bx").alias("x"), F.col("by").alias("y")), F.struct(F.lit(1).alias("dir"), F.col("ax").alias("x"), F.col("ay").alias("y"))))
-    darts = segs.select(*LEVEL, "s", "piece", way.alias("w")).select(*LEVEL, "piece", (2 * F.col("s") + F.col("w.dir")).alias("dart"), "w.x", "w.y").join(before, [*LEVEL, "dart"], "left")
+    darts = segs.select(*LEVEL, "s", "piece", way.alias("w")).select(*LEVEL, "piece", (2 * F.col("s") + F.col("w.dir")).alias("dart"), "w.x", "w.y").join(before.hint("merge"), [*LEVEL, "dart"], "left")
     starts = F.col("before").isNull() | (F.floor(F.col("dart") / 2) == F.col("piece"))
     darts = stored(darts.select(*LEVEL, "piece", "dart", "x", "y", F.when(starts, F.col("dart")).otherwise(F.col("before")).alias("root"), (~starts).cast("int").alias("far"), F.col("before").isNull().alias("tip")), "darts")
     known = darts.select(*LEVEL, "dart", "root", "far")
     while True:
         step = known.toDF(*LEVEL, "root", "next", "more")
-        known = stored(known.join(step, [*LEVEL, "root"]).select(*LEVEL, "dart", F.col("next").alias("root"), (F.col("far") + F.col("more")).alias("far"), (F.col("more") > 0).alias("open")), "darts-known")
+        known = stored(known.join(step.hint("merge"), [*LEVEL, "root"]).select(*LEVEL, "dart", F.col("next").alias("root"), (F.col("far") + F.col("more")).alias("far"), (F.col("more") > 0).alias("open")), "darts-known")
         if known.where("open").isEmpty():
             break
         known = known.drop("open")
-    found = darts.drop("root", "far").join(known, [*LEVEL, "dart"])
+    found = darts.drop("root", "far").join(known.hint("merge"), [*LEVEL, "dart"])
     piece = Window.partitionBy(*LEVEL, "piece")
     closed = ~F.max("tip").over(piece)
     found = found.withColumn("closed", closed).withColumn("n", F.count(F.lit(1)).over(piece) / 2)
@@ -238,12 +238,12 @@ def contour_chains(segments: DataFrame) -> DataFrame:
     nodes = stored(at, "segment-ends")
     edges = nodes.where(F.size("at") > 1).select(*LEVEL, F.col("at")[0]["s"].alias("a"), F.explode(F.slice("at", 2, F.size("at") - 1)).alias("t"))
     pieces = graph.components(edges.select(*LEVEL, "a", F.col("t.s").alias("b")), LEVEL)
-    segs = stored(segs.join(pieces.withColumnRenamed("node", "s"), [*LEVEL, "s"], "left").withColumn("piece", F.coalesce("component", "s")).drop("component"), "segments")
+    segs = stored(segs.join(pieces.withColumnRenamed("node", "s").hint("merge"), [*LEVEL, "s"], "left").withColumn("piece", F.coalesce("component", "s")).drop("component"), "segments")
     meet = nodes.where((F.size("at") > 2) | (F.col("at")[0]["s"] == F.get("at", F.lit(1))["s"])).select(*LEVEL, F.col("at")[0]["s"].alias("s"))
-    branched = stored(segs.join(meet, [*LEVEL, "s"]).select(*LEVEL, "piece").distinct(), "segments-meeting")
-    walked = segs.join(branched, [*LEVEL, "piece"], "left_semi").groupBy(*LEVEL, "piece").applyInPandas(_walked, CHAINS)
-    simple = segs.join(branched, [*LEVEL, "piece"], "left_anti")
-    inside = nodes.join(simple.select(*LEVEL, "s"), [F.col("at")[0]["s"] == F.col("s"), *[nodes[c] == simple[c] for c in LEVEL]], "left_semi")
+    branched = stored(segs.join(meet.hint("merge"), [*LEVEL, "s"]).select(*LEVEL, "piece").distinct(), "segments-meeting")
+    walked = segs.join(branched.hint("merge"), [*LEVEL, "piece"], "left_semi").groupBy(*LEVEL, "piece").applyInPandas(_walked, CHAINS)
+    simple = segs.join(branched.hint("merge"), [*LEVEL, "piece"], "left_anti")
+    inside = nodes.join(simple.select(*LEVEL, "s").hint("merge"), [F.col("at")[0]["s"] == F.col("s"), *[nodes[c] == simple[c] for c in LEVEL]], "left_semi")
     chains = _ranked(simple, inside).unionByName(walked)
     number = F.dense_rank().over(Window.partitionBy(*LEVEL).orderBy("first")) - 1
     return chains.select(*LEVEL, number.cast("int").alias("chain"), "i", "px", "py", "closed")
@@ -287,22 +287,46 @@ def chain_segments(points: DataFrame) -> DataFrame:
     return rows.select("image_id", F.lit("contour").alias("kind"), F.col("chain_").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("px").alias("x0"), F.col("py").alias("y0"), "x1", "y1")
 
 
-def resampled(field: DataFrame, width: int = 201, height: int = 201) -> DataFrame:
-    """A field (image_id, x, y, v) at ``width`` x ``height`` points that span it, linear between its own points."""
-    size = field.groupBy("image_id").agg(F.max("x").alias("wide"), F.max("y").alias("high"))
-    points = size.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
+#: Rows of a field that are resampled at once.
+BAND = 64
+
 
-    def corners(at: str, last: str, n: int) -> Column:
-        """Neighbours along one axis with their weights."""
-        place = F.round(F.col(at) * F.col(last) / float(max(1, n - 1)), 9)
-        low = F.least(F.floor(place), F.greatest(F.col(last) - 1, F.lit(0))).cast("int")
-        share = place - low
-        return F.array(F.struct(low.alias("at"), (1.0 - share).alias("w")), F.struct(F.least(low + 1, F.col(last)).alias("at"), share.alias("w")))
+def resampled(field: DataFrame, width: int = 201, height: int = 201) -> DataFrame:
+    """A field (image_id, x, y, v) at ``width`` x ``height`` points that span it, linear between its own points; those that are missing add nothing.
 
-    each = points.withColumn("cx", F.explode(corners("x", "wide", width))).withColumn("cy", F.explode(corners("y", "high", height)))
-    each = each.select("image_id", "x", "y", (F.col("cx.w") * F.col("cy.w")).alias("w"), F.col("cx.at").alias("fx"), F.col("cy.at").alias("fy"))
-    own = field.select("image_id", F.col("x").alias("fx"), F.col("y").alias("fy"), "v")
-    return each.where("w > 0").join(own, ["image_id", "fx", "fy"]).groupBy("image_id", "x", "y").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
+    A band of rows, with the first row of the band behind it, is one group, which makes the points that begin in it by arrays. No points are joined.
+    """
+    size = field.groupBy("image_id").agg(F.max("x").alias("wide"), F.max("y").alias("high"))
+    bands = F.array_distinct(F.array(F.floor(F.col("y") / BAND), F.floor(F.greatest(F.col("y") - 1, F.lit(0)) / BAND)))
+    placed = field.select("image_id", "x", "y", "v", F.explode(bands).alias("band")).join(size.hint("merge"), "image_id")
+
+    def corners(last: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first neighbours along one axis and the weights of the second."""
+        place = np.round(np.arange(n) * last / max(1, n - 1), 9)
+        low = np.minimum(np.floor(place), max(last - 1, 0)).astype(np.int64)
+        return low, place - low
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group[group["v"].notna().to_numpy()]
+        if not len(group):
+            return pd.DataFrame({"image_id": [], "x": [], "y": [], "v": []})
+        band, wide, high = (int(group[c].iloc[0]) for c in ("band", "wide", "high"))
+        shape = (BAND + 1, wide + 2)  # a column behind the last, for weights of 0
+        at = (group["y"].to_numpy() - band * BAND) * shape[1] + group["x"].to_numpy()
+        count = np.bincount(at, minlength=shape[0] * shape[1]).reshape(shape)
+        value = np.bincount(at, group["v"].to_numpy(float), shape[0] * shape[1]).reshape(shape)
+        (fx, sx), (fy, sy) = corners(wide, width), corners(high, height)
+        y = np.flatnonzero(fy // BAND == band)
+        top, across, down = (fy[y] - band * BAND)[:, None], sx[None], sy[y][:, None]
+        total, known = np.zeros((len(y), width)), np.zeros((len(y), width), np.int64)
+        for below, wy in ((0, 1.0 - down), (1, down)):
+            for right, wx in ((0, 1.0 - across), (1, across)):
+                total += value[top + below, fx[None] + right] * wx * wy
+                known += count[top + below, fx[None] + right]
+        i, j = np.nonzero(known)
+        return pd.DataFrame({"image_id": group["image_id"].iloc[0], "x": j.astype(np.int32), "y": y[i].astype(np.int32), "v": total[i, j]})
+
+    return placed.groupBy("image_id", "band").applyInPandas(run, "image_id bigint, x int, y int, v double")
 
 
 def line_colors(segments: DataFrame, pixels: DataFrame, style: str = "auto", custom: str = "#000000FF") -> DataFrame:
@@ -315,7 +339,7 @@ def line_colors(segments: DataFrame, pixels: DataFrame, style: str = "auto", cus
     size = pixels.groupBy("image_id").agg(F.max("x").alias("mx"), F.max("y").alias("my"))
     key = ["image_id", "kind", "i", "j"]
     px, py = (F.col("x1") - F.col("x0")) * F.col("mx"), (F.col("y1") - F.col("y0")) * F.col("my")
-    rows = segments.join(size, "image_id").withColumn("length", F.round(F.sqrt(px * px + py * py), 9))
+    rows = segments.join(size.hint("merge"), "image_id").withColumn("length", F.round(F.sqrt(px * px + py * py), 9))
     longest = F.least(C.num(48), F.greatest(C.num(1), F.least("mx", "my") + 1.0))
     rows = rows.withColumn("chunks", F.greatest(F.lit(1), F.ceil(F.col("length") / longest)).cast("int"))
     rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("span", F.col("length") / F.col("chunks"))
@@ -331,7 +355,7 @@ def line_colors(segments: DataFrame, pixels: DataFrame, style: str = "auto", cus
 
     light = C.dot((0.2126, 0.7152, 0.0722), C.linear_rgb(F.col("r"), F.col("g"), F.col("b")))
     looked = pixels.select("image_id", F.col("x").alias("sx"), F.col("y").alias("sy"), light.alias("light"))
-    rows = rows.select(*key, "x0", "y0", "x1", "y1", "chunk", "chunks", at("x").alias("sx"), at("y").alias("sy")).join(looked, ["image_id", "sx", "sy"])
+    rows = rows.select(*key, "x0", "y0", "x1", "y1", "chunk", "chunks", at("x").alias("sx"), at("y").alias("sy")).join(looked.hint("merge"), ["image_id", "sx", "sy"])
     means = rows.groupBy(*key, "x0", "y0", "x1", "y1", "chunk", "chunks").agg(F.round(F.avg("light"), 9).alias("luminance"))
     order = Window.partitionBy(*key).orderBy("chunk")
     toned = means.withColumn("tone", tone(F.col("luminance")))
@@ -350,4 +374,4 @@ def average_luminance(pixels: DataFrame, most: int = 4096) -> DataFrame:
     step = F.greatest(F.lit(1), F.floor(F.sqrt(F.col("mx") * F.col("my") / float(most)))).cast("int")
     size = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("mx"), (F.max("y") + 1).alias("my")).select("image_id", step.alias("step"))
     light = C.dot((0.2126, 0.7152, 0.0722), C.linear_rgb(F.col("r"), F.col("g"), F.col("b")))
-    return pixels.join(size, "image_id").where("x % step = 0 and y % step = 0").groupBy("image_id").agg(F.avg(light).alias("luminance"))
+    return pixels.join(size.hint("merge"), "image_id").where("x % step = 0 and y % step = 0").groupBy("image_id").agg(F.avg(light).alias("luminance"))
