@@ -36,7 +36,7 @@ def contour_lines(pixels: DataFrame, levels: int = 5, cutoff: float = 1.0, style
     span = depth.groupBy("image_id").agg(F.min("v").alias("lo"), F.least(F.max("v"), C.num(cutoff)).alias("hi")).where("hi > lo")
     shares = [(i + 1) / (levels + 1) for i in range(levels)]
     edges = span.select("image_id", F.array(*[F.round(F.col("lo") + (F.col("hi") - F.col("lo")) * s, 9) for s in shares]).alias("levels"))
-    field = lines.resampled(depth, size, size).join(edges, "image_id").withColumn("v", F.round("v", 9))
+    field = lines.resampled(depth, size, size).join(edges.hint("merge"), "image_id").withColumn("v", F.round("v", 9))
     cells = lines.contour_cells(field, F.col("levels"), cutoff)
     chains = lines.contour_chains(lines.contour_segments(cells, size - 1, size - 1))
     return lines.line_colors(lines.chain_segments(lines.smoothed(chains)), pixels, style, custom)

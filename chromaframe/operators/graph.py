@@ -13,16 +13,16 @@ def _star(edges: DataFrame, keys: list[str], large: bool) -> DataFrame:
     both = edges.unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
     least = both.groupBy(*keys, "a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
     if large:
-        moved = both.where("b > a").join(least, [*keys, "a"]).select(*keys, F.col("b").alias("a"), F.col("m").alias("b"))
+        moved = both.where("b > a").join(least.hint("merge"), [*keys, "a"]).select(*keys, F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        moved = both.join(least, [*keys, "a"]).select(*keys, F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(*keys, "a", F.col("m").alias("b")))
+        moved = both.join(least.hint("merge"), [*keys, "a"]).select(*keys, F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(*keys, "a", F.col("m").alias("b")))
     return moved.where("a <> b").distinct()
 
 
 def components(edges: DataFrame, keys: list[str], most_rounds: int = 60) -> DataFrame:
     """(keys, node, component) of every node of ``edges`` (keys, a, b) but the components' smallest nodes themselves; a component is its smallest node.
 
-    Every round is written to the shared folder; a round that changes nothing, told by a count and a sum, is the last.
+    Joins are by shuffles, whatever their sizes on disk: packed files of numbers would look small enough to pass through the driver. Every round is written to the shared folder; a round that changes nothing, told by a count and a sum, is the last.
     """
     now = stored(edges.select(*keys, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     before = None
