@@ -139,11 +139,8 @@ _MATCH = [[sum(h * _bump(w, *rest) for h, *rest in parts) for w in range(400, 70
 WEIGHTS = [[v / sum(_MATCH[1]) for v in curve] for curve in _MATCH]
 
 
-def spectral_lab(source: str, keys: str, weights: list[list[float]] = WEIGHTS) -> str:
-    """Oklab of every ``ks`` list of ``source``."""
-    sums = ", ".join(f"list_sum([({reflect('ks[i]')}) * ([{', '.join(map(repr, w))}])[i] FOR i IN range(1, 32)]) AS {n}" for n, w in zip(("vx", "vy", "vz"), weights, strict=True))
-    return f"""tri AS (SELECT {keys}, {sums} FROM {source}),
-rgbl AS (SELECT {keys}, greatest(0.0, 3.2404542 * vx - 1.5371385 * vy - 0.4985314 * vz) AS lr, greatest(0.0, -0.9692660 * vx + 1.8760108 * vy + 0.0415560 * vz) AS lg,
+def _oklab_of_xyz(keys: str) -> str:
+    return f"""rgbl AS (SELECT {keys}, greatest(0.0, 3.2404542 * vx - 1.5371385 * vy - 0.4985314 * vz) AS lr, greatest(0.0, -0.9692660 * vx + 1.8760108 * vy + 0.0415560 * vz) AS lg,
   greatest(0.0, 0.0556434 * vx - 0.2040259 * vy + 1.0572252 * vz) AS lb FROM tri),
 cones AS (SELECT {keys}, cbrt(0.4122214708 * lr + 0.5363325363 * lg + 0.0514459929 * lb) AS c1, cbrt(0.2119034982 * lr + 0.6806995451 * lg + 0.1073969566 * lb) AS c2,
   cbrt(0.0883024619 * lr + 0.2817188376 * lg + 0.6299787005 * lb) AS c3 FROM rgbl),
@@ -151,6 +148,27 @@ tones AS (SELECT {keys}, 0.2104542553 * c1 + 0.7936177850 * c2 - 0.0040720468 *
   0.0259040371 * c1 + 0.7827717662 * c2 - 0.8086757660 * c3 AS ok_b FROM cones)"""
 
 
+def spectral_lab(source: str, keys: str, weights: list[list[float]] = WEIGHTS) -> str:
+    """Oklab of every ``ks`` list of ``source``."""
+    sums = ", ".join(f"list_sum([({reflect('ks[i]')}) * ([{', '.join(map(repr, w))}])[i] FOR i IN range(1, 32)]) AS {n}" for n, w in zip(("vx", "vy", "vz"), weights, strict=True))
+    return f"""tri AS (SELECT {keys}, {sums} FROM {source}),
+{_oklab_of_xyz(keys)}"""
+
+
+def triples_lab() -> str:
+    """Oklab of every triple of ``pig`` at every step, with a column for each wavelength, as DuckDB is slow in lists of so many mixes."""
+    keys, n = "i0, i1, i2, a0, a1, a2", range(1, 32)
+    wide = ", ".join(f"ks[{i}] AS k{i}" for i in n)
+    mixed = ", ".join(f"p.k{i} * a / 8.0 + q.k{i} * e / 8.0 + o.k{i} * (8 - a - e) / 8.0 AS k{i}" for i in n)
+    lit = ", ".join(f"{reflect(f'k{i}')} AS r{i}" for i in n)
+    sums = ", ".join(" + ".join(f"r{i} * {w!r}" for i, w in zip(n, curve, strict=True)) + f" AS {v}" for v, curve in zip(("vx", "vy", "vz"), WEIGHTS, strict=True))
+    return f"""wide AS (SELECT pid, {wide} FROM pig),
+mixed AS (SELECT p.pid AS i0, q.pid AS i1, o.pid AS i2, CAST(a AS INT) AS a0, CAST(e AS INT) AS a1, CAST(8 - a - e AS INT) AS a2, {mixed}
+  FROM wide p JOIN wide q ON p.pid < q.pid JOIN wide o ON q.pid < o.pid, (SELECT unnest(range(0, 9)) AS a) s, (SELECT unnest(range(0, 9)) AS e) t WHERE a + e <= 8),
+lit AS (SELECT {keys}, {lit} FROM mixed), tri AS (SELECT {keys}, {sums} FROM lit),
+{_oklab_of_xyz(keys)}"""
+
+
 PIGMENTS = "pig AS (SELECT CAST(vec_id AS INT) AS pid, [0.02 + 4.0 * abs(CAST(z AS DOUBLE)) FOR z IN embedding[1:31]] AS ks FROM embeddings)"
 #: 78 pigments: 13 places of the lobe in 6 strengths and widths.
 FIXTURE = """pig AS (SELECT pid, [0.02 + 4.0 * (pid // 13 + 1) / 6 * exp(-0.5 * pow((w - 400 - 25 * (pid % 13)) / (30.0 + 15 * (pid // 13)), 2)) FOR w IN range(400, 701, 10)] AS ks
