@@ -15,6 +15,7 @@ without mixes there is no result.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chromaframe.functions import color as C
-from chromaframe.operators.spectral import ORDER, Mix, Pigments, chroma_weight, pruned_parts
+from chromaframe.operators.spectral import ORDER, Mix, Pigments, chroma_weight, pruned_parts, steps
 from chromaframe.sources.store import stored
 
 LAB = list(C.LAB)
@@ -39,8 +40,8 @@ TARGETS = 20_000
 #: Distances are rounded to nine places, so a bound may lie this much above what it bounds.
 SLACK = 2e-9
 
-#: Mixes that a task may hold, 32 bytes each with their keys: those of 83 pigments in threes. Mixes of a box there.
-HELD, HELD_LEAF = 4_200_000, 256
+#: Mixes that a task may hold, 16 bytes each with their numbers: those of 83 pigments in threes. Mixes of a box there, and those made at once.
+HELD, HELD_LEAF, HELD_AT_ONCE = 4_200_000, 256, 1 << 13
 
 FOUND = "ok_l double, ok_a double, ok_b double, dd double, n_paints int, i0 int, i1 int, i2 int, a0 int, a1 int, a2 int, mix_l double, mix_a double, mix_b double"
 NEAREST = "image_id bigint, k int, i0 int, i1 int, i2 int, a0 int, a1 int, a2 int, n_paints int, ok_l double, ok_a double, ok_b double, delta_e double"
@@ -75,62 +76,93 @@ def cell() -> Column:
 
 
 class Held:
-    """All mixes of at most ``most`` paints of a pigment table in boxes along the Z-curve, as arrays."""
+    """All mixes of at most ``most`` paints of a pigment table in boxes along the Z-curve, as arrays.
+
+    A mix is a colour in single precision and its number among the sets of paints and their steps. A search gathers all mixes that may be nearest, as
+    the error of single precision is bounded, and makes these few anew, so results are those of double precision.
+    """
 
     def __init__(self, pigments: Pigments, most: int = 3, leaf: int = HELD_LEAF):
-        labs, keys = [], []
-        for places, amounts in pigments.sets(most):
-            paints = (amounts > 0).sum(axis=1)
-            fit = paints <= most
-            places, amounts, paints = places[fit], amounts[fit], paints[fit]
-            labs.append(pigments.mixes(places, amounts))
-            key = paints.astype(np.int64)  # with paints and amounts behind it, in the order that settles ties
-            for column, bits in ((places, 9), (amounts, 4)):
-                for i in range(3):
-                    key = key << bits | (column[:, i] + (bits == 9))
-            keys.append(key)
-        self.pid = pigments.pid
-        self.lab = np.concatenate([*labs, np.zeros((0, 3))])
-        self.key = np.concatenate([*keys, np.zeros(0, np.int64)])
-        at = ((self.lab - LOW) / np.subtract(HIGH, LOW) * (1 << GRID_BITS)).clip(0, (1 << GRID_BITS) - 1).astype(np.int32)
-        curve = np.zeros(len(at), np.int32)
-        for bit in range(GRID_BITS):
-            for axis in range(3):
-                curve |= (at[:, axis] >> bit & 1) << 3 * bit + axis
-        order = np.argsort(curve, kind="stable")
-        self.lab, self.key = self.lab[order], self.key[order]
-        self.start = np.arange(0, len(order), leaf)
-        self.end = np.append(self.start[1:], len(order))
-        ends = [f.reduceat(self.lab, self.start, axis=0) if len(order) else self.lab for f in (np.minimum, np.maximum)]
+        self.pigments, self.kinds, n = pigments, [], 0
+        for size in (2, 3) if most >= 3 else (2,):
+            sets = np.fromiter(itertools.chain.from_iterable(itertools.combinations(range(len(pigments.pid)), size)), np.int16).reshape(-1, size)
+            amounts = steps(size)
+            amounts = amounts[(amounts > 0).sum(axis=1) <= most]
+            self.kinds.append((n, sets, amounts))
+            n += len(sets) * len(amounts)
+        self.lab, curve = np.empty((n, 3), np.float32), np.empty(n, np.int32)
+        for start in range(0, n, HELD_AT_ONCE):
+            at = slice(start, min(start + HELD_AT_ONCE, n))
+            self.lab[at] = lab = pigments.mixes(*self.paints(np.arange(at.start, at.stop)))
+            curve[at] = self._curve(lab)
+        order = np.argsort(curve, kind="stable").astype(np.int32)
+        del curve
+        for i in range(3):
+            self.lab[:, i] = self.lab[order, i]
+        self.number = order
+        self.error = 2.0**-24 * max(1.0, float(np.abs(self.lab).max(initial=0)))
+        self.start = np.arange(0, n, leaf)
+        self.end = np.append(self.start[1:], n)
+        ends = [f.reduceat(self.lab, self.start, axis=0).astype(float) if n else self.lab for f in (np.minimum, np.maximum)]
+        ends = [ends[0] - self.error, ends[1] + self.error]
         self.boxes = Index(None, self.start, *ends)
         self.wide = math.isqrt(len(self.start)) + 1  # boxes of a group, which bounds them all
         first = np.arange(0, len(self.start), self.wide)
         self.groups = Index(None, first, *[f.reduceat(e, first, axis=0) if len(first) else e for f, e in zip((np.minimum, np.maximum), ends, strict=True)])
 
+    @staticmethod
+    def _curve(lab: np.ndarray) -> np.ndarray:
+        at = ((lab - LOW) / np.subtract(HIGH, LOW) * (1 << GRID_BITS)).clip(0, (1 << GRID_BITS) - 1).astype(np.int32)
+        curve = np.zeros(len(at), np.int32)
+        for bit in range(GRID_BITS):
+            for axis in range(3):
+                curve |= (at[:, axis] >> bit & 1) << 3 * bit + axis
+        return curve
+
+    def paints(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places (-1: none) and amounts of mixes by their numbers."""
+        places, amounts = np.full((len(number), 3), -1), np.zeros((len(number), 3), np.int64)
+        for first, sets, of in self.kinds:
+            mine = np.flatnonzero((number >= first) & (number < first + len(sets) * len(of)))
+            at, step = np.divmod(number[mine] - first, max(1, len(of)))
+            places[mine, : sets.shape[1]] = sets[at]
+            amounts[mine] = of[step]
+        return places, amounts
+
+    def _slack(self, d: float) -> float:
+        """How far a squared distance of double precision may lie from one of single precision, both weighted by at most 1, 32 and 32, and rounded."""
+        return 2 * self.error * math.sqrt(65 * d) + 65 * self.error**2 + SLACK
+
     def nearest(self, color: np.ndarray, least: float = 0.02) -> Mix:
         color, w = np.asarray(color, float), chroma_weight(np.asarray(color, float))
-        best = (np.inf, 0, 0)
+        best, near = np.inf, []
         groups = self.groups.bounds(color[None])[0]
         for group in np.argsort(groups).tolist():
-            if groups[group] > best[0] + SLACK:
+            if groups[group] > best + SLACK:
                 break
             boxes = np.arange(group * self.wide, min((group + 1) * self.wide, len(self.start)))
             bound = self.boxes.bounds(color[None], boxes)[0]
             for box in np.argsort(bound).tolist():
-                if bound[box] > best[0] + SLACK:
+                if bound[box] > best + SLACK:
                     break
                 at = slice(self.start[boxes[box]], self.end[boxes[box]])
                 diff = self.lab[at] - color
                 diff *= diff
-                d = np.round(diff[:, 0] + w * (diff[:, 1] + diff[:, 2]), 9)
+                d = diff[:, 0] + w * (diff[:, 1] + diff[:, 2])
                 least_d = float(d.min())
-                if least_d <= best[0]:
-                    same = np.flatnonzero(d == least_d) + at.start
-                    one = int(same[self.key[same].argmin()])
-                    best = min(best, (least_d, int(self.key[one]), one))
-        d, key, one = best
-        amounts = {int(self.pid[(key >> 12 + 9 * (2 - i) & 511) - 1]): (key >> 4 * (2 - i) & 15) / 8.0 for i in range(3) if key >> 4 * (2 - i) & 15}
-        return Mix(pruned_parts(amounts, least), tuple(self.lab[one].tolist()), math.sqrt(d))
+                best = min(best, least_d + self._slack(least_d))  # no less than the nearest's
+                if least_d <= best + self._slack(best):
+                    same = np.flatnonzero(d <= best + self._slack(best))
+                    near.append((d[same], self.number[at][same]))
+        d, number = (np.concatenate(c) for c in zip(*near, strict=True))
+        places, amounts = self.paints(number[d <= best + self._slack(best)].astype(np.int64))
+        full = max(2, len(places))  # the product of a single row is summed in another order
+        lab = self.pigments.mixes(np.resize(places, (full, 3)), np.resize(amounts, (full, 3)))[: len(places)]
+        diff = (lab - color) ** 2
+        d = np.round(diff[:, 0] + w * (diff[:, 1] + diff[:, 2]), 9)
+        one = int(np.lexsort((*amounts.T[::-1], *places.T[::-1], (amounts > 0).sum(axis=1), d))[0])
+        parts = {int(self.pigments.pid[p]): a / 8.0 for p, a in zip(places[one].tolist(), amounts[one].tolist(), strict=True) if a}
+        return Mix(pruned_parts(parts, least), tuple(lab[one].tolist()), math.sqrt(d[one]))
 
     def nearest_all(self, colors: np.ndarray) -> list[Mix]:
         return [self.nearest(c) for c in colors]

@@ -542,14 +542,19 @@ def _known(found: pd.DataFrame) -> dict[tuple[float, float, float], spectral.Mix
 ASK = ", ".join(f"ask_{c[-1]} double" for c in LAB)
 
 
+#: Images of a task that holds all mixes; each takes some hundredths of a second, so the few bytes of their clusters don't say how to deal them out.
+HELD_IMAGES = 16
+
+
 def _palettes_held(clusters: DataFrame, pigments: spectral.Pigments, paints: int, shades: int) -> DataFrame:
     """``palettes`` by tasks that each hold all mixes of the pigments."""
+    tasks = max(1, -(-clusters.select("image_id").distinct().count() // HELD_IMAGES))
     shared = clusters.sparkSession.sparkContext.broadcast(_Once(pigments, paints))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         return image_palette(group, shared.value.held(), shades)
 
-    return stored(clusters.groupBy("image_id").applyInPandas(run, PALETTE), "palettes")
+    return stored(clusters.repartition(tasks, "image_id").groupBy("image_id").applyInPandas(run, PALETTE), "palettes")
 
 
 class _Once:
