@@ -135,7 +135,7 @@ class Held:
 
     def nearest(self, color: np.ndarray, least: float = 0.02) -> Mix:
         color, w = np.asarray(color, float), chroma_weight(np.asarray(color, float))
-        best, near = np.inf, []
+        best, limit, near = np.inf, np.inf, []  # no less than the nearest's distance, and than what single precision makes of that
         groups = self.groups.bounds(color[None])[0]
         for group in np.argsort(groups).tolist():
             if groups[group] > best + SLACK:
@@ -150,12 +150,13 @@ class Held:
                 diff *= diff
                 d = diff[:, 0] + w * (diff[:, 1] + diff[:, 2])
                 least_d = float(d.min())
-                best = min(best, least_d + self._slack(least_d))  # no less than the nearest's
-                if least_d <= best + self._slack(best):
-                    same = np.flatnonzero(d <= best + self._slack(best))
+                if least_d < best and (most := least_d + self._slack(least_d)) < best:
+                    best, limit = most, most + self._slack(most)
+                if least_d <= limit:
+                    same = np.flatnonzero(d <= limit)
                     near.append((d[same], self.number[at][same]))
         d, number = (np.concatenate(c) for c in zip(*near, strict=True))
-        places, amounts = self.paints(number[d <= best + self._slack(best)].astype(np.int64))
+        places, amounts = self.paints(number[d <= limit].astype(np.int64))
         full = max(2, len(places))  # the product of a single row is summed in another order
         lab = self.pigments.mixes(np.resize(places, (full, 3)), np.resize(amounts, (full, 3)))[: len(places)]
         diff = (lab - color) ** 2
