@@ -204,10 +204,10 @@ def effect(pixels: DataFrame, mode: str, foreground: float, background: float, i
     return pixels.drop("r", "g", "b").join(new, ["image_id", "idx"]).select(*pixels.columns)
 
 
-def resized(depths: DataFrame, pixels: DataFrame) -> DataFrame:
+def resized(depths: DataFrame, pixels: DataFrame, exact: bool = True) -> DataFrame:
     """Depth bytes (image_id, x, y, depth) at the size of the images in ``pixels``: linear between the centres of their own places, halves up.
 
-    Places have nine decimals and are summed as such, so no order of additions decides what is half.
+    Places have nine decimals and are summed as such, so no order of additions decides what is half. Not ``exact``: sums of doubles, always added row by row.
     """
 
     def size(of: DataFrame, *names: str) -> DataFrame:
@@ -217,16 +217,21 @@ def resized(depths: DataFrame, pixels: DataFrame) -> DataFrame:
         """The two neighbours along one axis with their weights, one of them where they are the same place."""
         place = F.greatest(C.num(0), F.least(F.col(own) - 1.0, F.round((F.col(c) + 0.5) * F.col(own) / F.col(to) - 0.5, 9)))
         low = F.floor(place).cast("int")
-        return F.filter(F.array(F.struct(low.alias("at"), (1.0 - (place - low)).alias("w")), F.struct((low + 1).alias("at"), (place - low).alias("w"))), lambda e: e["w"] > 0)
+        return F.filter(F.array(*[F.struct((low + n).alias("at"), (1.0 - F.abs(place - (low + n))).alias("w"), F.lit(n).alias("n")) for n in (0, 1)]), lambda e: e["w"] > 0)
 
     sizes = size(depths, "dw", "dh").join(size(pixels, "w", "h").hint("merge"), "image_id")
     rows = pixels.select("image_id", "x", "y").join(sizes.hint("merge"), "image_id")
     rows = rows.withColumn("cx", F.explode(corners("x", "dw", "w"))).withColumn("cy", F.explode(corners("y", "dh", "h")))
-    share = (F.col(f"{c}.w").cast("decimal(10,9)") for c in ("cx", "cy"))
-    rows = rows.select("image_id", "x", "y", (next(share) * next(share)).alias("share"), F.col("cx.at").alias("dx"), F.col("cy.at").alias("dy"))
-    own = depths.select("image_id", F.col("x").alias("dx"), F.col("y").alias("dy"), F.col("depth").cast("decimal(3,0)").alias("depth"))
-    mixed = F.floor(F.round(F.sum(F.col("share") * F.col("depth")), 9) + F.lit(Decimal("0.5"))).cast("int")
-    return rows.join(own.hint("merge"), ["image_id", "dx", "dy"]).groupBy("image_id", "x", "y").agg(mixed.alias("depth"))
+    share = (F.col(f"{c}.w").cast("decimal(10,9)" if exact else "double") for c in ("cx", "cy"))
+    rows = rows.select("image_id", "x", "y", (next(share) * next(share)).alias("share"), (2 * F.col("cy.n") + F.col("cx.n")).alias("n"), F.col("cx.at").alias("dx"), F.col("cy.at").alias("dy"))
+    own = depths.select("image_id", F.col("x").alias("dx"), F.col("y").alias("dy"), F.col("depth").cast("decimal(3,0)" if exact else "double").alias("depth"))
+    part = F.col("share") * F.col("depth")
+    if exact:
+        mixed = F.floor(F.round(F.sum(part), 9) + F.lit(Decimal("0.5")))
+    else:
+        a, b, c, e = (F.coalesce(F.sum(F.when(F.col("n") == n, part)), C.num(0)) for n in range(4))
+        mixed = F.when(F.count("depth") > 0, F.floor(C.nanos(a + b + c + e) / 1e9 + 0.5))
+    return rows.join(own.hint("merge"), ["image_id", "dx", "dy"]).groupBy("image_id", "x", "y").agg(mixed.cast("int").alias("depth"))
 
 
 def embedded(samples: DataFrame) -> DataFrame:
