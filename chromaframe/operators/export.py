@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chromaframe.functions import color as C
-from chromaframe.operators import lines, presets, tiles
+from chromaframe.operators import contours, lines, presets, tiles
 from chromaframe.sources import imagefiles
 from chromaframe.sources.raster import encode
+from chromaframe.sources.store import stored
+
+#: Pixels of the largest images whose lines get their colours in the group that draws them.
+WHOLE = 512 * 512
 
 
 def exported(original: DataFrame, shown: DataFrame, original_mode: bool, grid: DataFrame | None = None, contours: DataFrame | None = None, grid_opacity: float = 0.7, contour_opacity: float = 0.7) -> DataFrame:
@@ -31,15 +35,31 @@ def contour_lines(pixels: DataFrame, levels: int = 5, cutoff: float = 1.0, style
     Depth is resampled to ``size`` x ``size`` points; levels lie evenly between an image's least depth and the lesser of its greatest and ``cutoff``; cells
     wholly behind ``cutoff`` have no lines; crossings are joined into chains and bent. An image whose depth lies all behind the cutoff, or in one value,
     has no contours. ``i`` numbers an image's chains through all its levels, ``j`` the pieces of a chain.
+
+    An image is one group of the pixels that its points are made from, at most three rows and columns of each point; one of at most ``WHOLE`` pixels goes
+    there whole, and its lines get their colours at once. Those of larger ones get them by a join with pixels.
     """
-    depth = pixels.where("depth is not null").select("image_id", "x", "y", (F.col("depth") / 255.0).alias("v"))
-    span = depth.groupBy("image_id").agg(F.min("v").alias("lo"), F.least(F.max("v"), C.num(cutoff)).alias("hi")).where("hi > lo")
-    shares = [(i + 1) / (levels + 1) for i in range(levels)]
-    edges = span.select("image_id", F.array(*[F.round(F.col("lo") + (F.col("hi") - F.col("lo")) * s, 9) for s in shares]).alias("levels"))
-    field = lines.resampled(depth, size, size).join(edges.hint("merge"), "image_id").withColumn("v", F.round("v", 9))
-    cells = lines.contour_cells(field, F.col("levels"), cutoff)
-    chains = lines.contour_chains(lines.contour_segments(cells, size - 1, size - 1))
-    return lines.line_colors(lines.chain_segments(lines.smoothed(chains)), pixels, style, custom)
+    known = F.col("depth").isNotNull()
+    ends = {"mx": F.max("x"), "my": F.max("y"), "wide": F.max(F.when(known, F.col("x"))), "high": F.max(F.when(known, F.col("y"))), "lo": F.min("depth") / 255.0, "hi": F.least(F.max("depth") / 255.0, C.num(cutoff))}
+    sizes = stored(pixels.groupBy("image_id").agg(*[v.alias(c) for c, v in ends.items()]).where("hi > lo"), "image-sizes")
+    light = C.dot((0.2126, 0.7152, 0.0722), C.linear_rgb(F.col("r"), F.col("g"), F.col("b")))
+    shown = pixels.select("image_id", "x", "y", (F.col("depth") / 255.0).alias("v"), *([light.alias("light")] if style == "auto" else []))
+    needed = F.col("v").isNotNull() & contours.read(F.col("x"), F.col("wide"), size) & contours.read(F.col("y"), F.col("high"), size)
+
+    def drawn(those: DataFrame, whole: bool) -> DataFrame:
+        placed = shown.join(those.hint("merge"), "image_id")
+        found = contours.contours(placed if whole else placed.where(needed).drop("light"), levels, cutoff, size, whole)
+        return found.select("image_id", F.lit("contour").alias("kind"), *found.columns[1:])
+
+    if style != "auto":
+        return lines.line_colors(drawn(sizes, False), pixels, style, custom)
+    area = (F.col("mx").cast("long") + 1) * (F.col("my") + 1)
+    color = F.when(F.col("black"), "#000000FF").otherwise("#FFFFFFFF").alias("color")
+    found = drawn(sizes.where(area <= WHOLE), True).select("image_id", "kind", "i", "j", "run", "x0", "y0", "x1", "y1", color)
+    large = sizes.where(area > WHOLE)
+    if large.isEmpty():
+        return found
+    return found.unionByName(lines.line_colors(drawn(large, False), pixels.join(large.select("image_id").hint("merge"), "image_id", "left_semi")))
 
 
 #: Sections of the report with the labels of their lines, in order; a line without a label is its value.

@@ -145,11 +145,8 @@ def catmull_rom(points: DataFrame, steps: int = 6) -> DataFrame:
 CHAINS = "image_id bigint, level int, first int, i int, px double, py double, closed boolean"
 
 
-def _walked(group: pd.DataFrame) -> pd.DataFrame:
-    """Chains of one connected piece with points where more than two segments meet: of several ways on, the first unused segment."""
-    group = group.sort_values("s")
-    numbers = group["s"].tolist()
-    ends = [((a, b), (c, d)) for a, b, c, d in group[["ax", "ay", "bx", "by"]].to_numpy().tolist()]
+def walk(ends: list[tuple]) -> list[tuple[int, list[tuple], bool]]:
+    """Chains of segments, given by their end points: the first segment, the points and whether it is closed. Of several ways on, the first unused segment."""
     at: dict[tuple, deque[int]] = {}
     for s, pair in enumerate(ends):
         for p in pair:
@@ -166,7 +163,7 @@ def _walked(group: pd.DataFrame) -> pd.DataFrame:
                 return ends[s][1] if ends[s][0] == tip else ends[s][0]
         return None
 
-    rows = []
+    out = []
     for s, (a, b) in enumerate(ends):
         if used[s]:
             continue
@@ -179,8 +176,16 @@ def _walked(group: pd.DataFrame) -> pd.DataFrame:
         closed = chain[0] == chain[-1]
         if closed:
             chain.pop()
-        points = [p for p, before in zip(chain, [None, *chain], strict=False) if p != before]
-        rows += [(numbers[s], i, x / QUANTUM, y / QUANTUM, closed) for i, (x, y) in enumerate(points)]
+        out.append((s, [p for p, before in zip(chain, [None, *chain], strict=False) if p != before], closed))
+    return out
+
+
+def _walked(group: pd.DataFrame) -> pd.DataFrame:
+    """Chains of one connected piece with points where more than two segments meet."""
+    group = group.sort_values("s")
+    numbers = group["s"].tolist()
+    ends = [((a, b), (c, d)) for a, b, c, d in group[["ax", "ay", "bx", "by"]].to_numpy().tolist()]
+    rows = [(numbers[s], i, x / QUANTUM, y / QUANTUM, closed) for s, points, closed in walk(ends) for i, (x, y) in enumerate(points)]
     out = pd.DataFrame(rows, columns=["first", "i", "px", "py", "closed"])
     out.insert(0, "level", group["level"].iloc[0])
     out.insert(0, "image_id", group["image_id"].iloc[0])
@@ -287,6 +292,13 @@ def chain_segments(points: DataFrame) -> DataFrame:
     return rows.select("image_id", F.lit("contour").alias("kind"), F.col("chain_").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("px").alias("x0"), F.col("py").alias("y0"), "x1", "y1")
 
 
+def corners(last: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of ``n`` points that span 0..``last`` the first neighbours along one axis and the weights of the second."""
+    place = np.round(np.arange(n) * last / max(1, n - 1), 9)
+    low = np.minimum(np.floor(place), max(last - 1, 0)).astype(np.int64)
+    return low, place - low
+
+
 #: Rows of a field that are resampled at once.
 BAND = 64
 
@@ -300,12 +312,6 @@ def resampled(field: DataFrame, width: int = 201, height: int = 201) -> DataFram
     bands = F.array_distinct(F.array(F.floor(F.col("y") / BAND), F.floor(F.greatest(F.col("y") - 1, F.lit(0)) / BAND)))
     placed = field.select("image_id", "x", "y", "v", F.explode(bands).alias("band")).join(size.hint("merge"), "image_id")
 
-    def corners(last: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """The first neighbours along one axis and the weights of the second."""
-        place = np.round(np.arange(n) * last / max(1, n - 1), 9)
-        low = np.minimum(np.floor(place), max(last - 1, 0)).astype(np.int64)
-        return low, place - low
-
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group[group["v"].notna().to_numpy()]
         if not len(group):
