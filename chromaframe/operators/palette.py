@@ -211,6 +211,8 @@ def improve_tubes(tubes: list[int], pigments: list[int], minima: SubsetMinima, w
     for _ in range(max(3, 2 * len(tubes))):
         least, best = tube_error(minima, tubes, weights), None
         others = [p for p in pigments if p not in tubes and p in minima.place]
+        if not others:
+            break
         with_one = [c for n in range(minima.paints) for c in itertools.combinations(sorted(t for t in tubes if t in minima.place), n)]
         new = minima.look([tuple(sorted((*c, p))) for p in others for c in with_one]).reshape(len(others), len(with_one), -1)
         errors = np.full((len(others), len(tubes)), np.inf)
